@@ -1,0 +1,30 @@
+"""Join helpers.
+
+Rule used throughout: a join whose other side is the raw claims fact gets an
+explicit broadcast decision made *before* the fact is touched, because an
+adaptive re-plan would only happen after the fact side had already been
+shuffled. Every other join (rollup x registry, rollup x peer groups, ...)
+is left to AQE, which converts it to a broadcast from real shuffle sizes and
+splits skewed partitions otherwise.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key table this small is ~ tens of MB as a hash relation.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Persist a small derived key table, count it (one cheap job), and hint a
+    broadcast only if the count is within ``max_rows``. Beyond the bound the
+    table is returned as is: the planner then uses a shuffle join, with AQE's
+    skew-join splitting a hot key's partitions.
+
+    The persisted copy is recomputed from lineage if an executor is lost."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
+    return F.broadcast(cached) if n <= max_rows else cached

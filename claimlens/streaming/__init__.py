@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The studied system is a three-step batch pipeline (ingest -> signals ->
+report) with no streaming source, watermark, window-over-time or stateful
+operator, so there is nothing to re-express with Structured Streaming.
+A monthly claims drop is handled by re-running the batch plans in
+``claimlens.plans``.
+"""
