@@ -47,55 +47,53 @@ def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: s
     g = list(group_cols)
     vals = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
-    # 1. distinct values with multiplicity
+    # 1. distinct values with multiplicity (hashed on group *and* value)
     vc = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
-    # 2. group size and split points over the distinct values
+    # 2. per group: size, split points, and the 0-based target ranks
+    #    floor/ceil of q * (n - 1) for every quantile (target 2i = floor, 2i+1 = ceil)
     splits = [i / buckets for i in range(1, buckets)]
     sketch = vc.groupBy(*g).agg(
         F.sum("_c").alias("_n"),
         F.percentile_approx("_v", splits, accuracy).alias("_bounds"))
+    pos = [F.lit(float(q)) * (F.col("_n") - 1).cast("double") for q in quantiles]
+    ranks = []
+    for p in pos:
+        ranks += [F.floor(p).cast("bigint"), F.ceil(p).cast("bigint")]
+    sketch = sketch.select(*g, "_n", "_bounds", F.array(*ranks).alias("_t"))
 
     # 3. bucket = number of split points strictly below the value
-    vcb = (vc.join(sketch.select(*g, "_bounds"), g)
-             .withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))))
-             .drop("_bounds"))
-    per_bucket = vcb.groupBy(*g, "_b").agg(F.sum("_c").alias("_cb"))
+    vcb = (vc.join(sketch, g)
+             .select(*g, "_v", "_c", "_n", "_t",
+                     F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b")))
+
+    # 4. rows per bucket, prefix sums over <= `buckets` rows per group, and
+    #    only the buckets that hold a target rank
     w_b = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before", F.coalesce(F.sum("_cb").over(w_b), F.lit(0)))
-
-    # target ranks (0-based) per quantile: floor and ceil of q * (n - 1)
-    targets = sketch.select(*g, "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_qi"), F.lit(float(q)).alias("_q")) for i, q in enumerate(quantiles)
-    ])).alias("_t")).select(*g, "_n", "_t._qi", "_t._q")
-    targets = targets.withColumn("_pos", F.col("_q") * (F.col("_n") - 1).cast("double"))
-    ranks = targets.select(*g, "_qi", F.explode(F.array(
-        F.floor("_pos").cast("bigint"), F.ceil("_pos").cast("bigint"))).alias("_r")).distinct()
-
-    # 4. bucket holding each target rank
-    located = (ranks.join(per_bucket, g)
-                    .where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_cb")))
-                    .select(*g, "_qi", "_r", "_b", "_before"))
-
-    # 5. exact values at the target ranks, sorting only the located buckets
-    needed = located.select(*g, "_b", "_before").distinct()
+    per_bucket = (vcb.groupBy(*g, "_b").agg(F.sum("_c").alias("_cb"), F.first("_t").alias("_t"))
+                     .withColumn("_before", F.coalesce(F.sum("_cb").over(w_b), F.lit(0))))
+    needed = (per_bucket.where(F.exists("_t", lambda r: (r >= F.col("_before"))
+                                         & (r < F.col("_before") + F.col("_cb"))))
+                        .select(*g, "_b", "_before"))
+
+    # 5. sort only the located buckets; read the value at each target rank
     w_v = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    in_bucket = (vcb.join(needed, g + ["_b"])
-                    .withColumn("_start", F.col("_before") + F.sum("_c").over(w_v) - F.col("_c")))
-    at_rank = (located.join(in_bucket.select(*g, "_b", "_v", "_c", "_start"), g + ["_b"])
-                      .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
-                      .select(*g, "_qi", "_r", "_v"))
-
-    # 6. interpolate between floor and ceil ranks
-    lohi = (targets.join(at_rank, g + ["_qi"])
-                   .groupBy(*g, "_qi", "_pos")
-                   .agg(F.min_by("_v", "_r").alias("_lo_v"), F.max_by("_v", "_r").alias("_hi_v"),
-                        F.min("_r").alias("_lo_r")))
-    interp = lohi.withColumn(
-        "_val", F.col("_lo_v") + (F.col("_pos") - F.col("_lo_r")) * (F.col("_hi_v") - F.col("_lo_v")))
-    wide = interp.groupBy(*g).agg(*[
-        F.max(F.when(F.col("_qi") == i, F.col("_val"))).alias(name) for i, name in enumerate(names)])
-    return sketch.select(*g, F.col("_n").alias(count_name)).join(wide, g, "left")
+    placed = (vcb.join(needed, g + ["_b"])
+                 .withColumn("_start", F.col("_before") + F.sum("_c").over(w_v) - F.col("_c")))
+    hits = placed.select(*g, "_n", "_v", F.explode(F.filter(
+        F.transform("_t", lambda r, i: F.struct(i.alias("i"), r.alias("r"))),
+        lambda t: (t["r"] >= F.col("_start")) & (t["r"] < F.col("_start") + F.col("_c")))).alias("_hit"))
+
+    # 6. interpolate between the floor and ceil values
+    agg = hits.groupBy(*g).agg(
+        F.first("_n").alias(count_name),
+        *[F.max(F.when(F.col("_hit.i") == j, F.col("_v"))).alias(f"_x{j}") for j in range(2 * len(quantiles))])
+    out = [F.col(c) for c in g] + [F.col(count_name)]
+    for i, name in enumerate(names):
+        lo, hi = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
+        frac = pos[i] - F.floor(pos[i])
+        out.append((lo + frac * (hi - lo)).alias(name))
+    return agg.withColumn("_n", F.col(count_name)).select(*out)
 
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SEVERITY_RANK, SIGNAL_ORDER, SignalConfig
+from claimlens.functions.lineage import materialize
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from claimlens.operators.rollups import home_health_month, provider_month
 from claimlens.sources.tables import ClaimsTables
@@ -55,13 +56,15 @@ class SignalSet:
     """All signal results of one run, built on shared rollups."""
 
     def __init__(self, tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                 persist_rollups: bool = False):
+                 materialize_rollups: bool = False):
+        """``materialize_rollups`` checkpoints the two shared rollups once, for
+        runs that evaluate several signals (the flag table, the report)."""
         self.tables = tables
         self.cfg = cfg
         pm = provider_month(tables.spending)
         hm = home_health_month(tables.spending, cfg)
-        if persist_rollups:   # share across separate jobs; lineage rebuilds lost blocks
-            pm, hm = pm.persist(), hm.persist()
+        if materialize_rollups:
+            pm, hm = materialize(pm), materialize(hm)
         self.pm, self.hm = pm, hm
 
     # --- signal results, one per signal (flag records) ---

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens.config import SIGNAL_ORDER, TOOL_VERSION
 from claimlens.functions.columns import entity_label, mdy_to_iso, provider_name
+from claimlens.functions.lineage import materialize
 from claimlens.functions.ranking import global_rank
 from claimlens.operators.rollups import provider_totals
 from claimlens.plans.flags import SignalSet
@@ -19,6 +20,12 @@ from claimlens.plans.report_text import signal_dimension
 
 
 
+def money(c):
+    """Round a double to cents, half-even on its decimal value (the same in
+    every engine, unlike binary rounding of the double)."""
+    return F.bround(c.cast("decimal(38,6)"), 2).cast("double")
+
+
 def severity_label(rank):
     """3/2/1/0 -> critical/high/medium/low."""
     return (F.when(rank == 3, "critical").when(rank == 2, "high")
@@ -78,7 +85,7 @@ def provider_records(flags: DataFrame, spark_dim: DataFrame) -> DataFrame:
         severity_label(F.col("top_rank")).alias("top_severity"),
         F.col("top_rank").alias("severity_rank"),
         "most_severe_signal", "claim_type", "statute_reference",
-        F.bround(F.col("overpayment_sum"), 2).alias("estimated_overpayment_usd"),
+        money(F.col("overpayment_sum")).alias("estimated_overpayment_usd"),
         F.transform("sigs", lambda s: F.struct(s["signal_type"].alias("signal_type"),
                                                s["severity"].alias("severity"),
                                                s["evidence"].alias("evidence"))).alias("signals"),
@@ -88,7 +95,9 @@ def provider_records(flags: DataFrame, spark_dim: DataFrame) -> DataFrame:
 def provider_report(signals: SignalSet, flags: DataFrame | None = None) -> DataFrame:
     """Flat provider report (R4-R12): identity, lifetime totals, severity,
     overpayment, legal reference; nested signal list and next steps."""
-    flags = signals.flags_by_npi() if flags is None else flags
+    # the flag table is the hand-off between the signal and report stages:
+    # written once, read by the grouping, enrichment and lifetime joins
+    flags = materialize(signals.flags_by_npi()) if flags is None else flags
     spark = flags.sparkSession
     core = provider_records(flags, signal_dimension(spark))
     npis = core.select("npi")

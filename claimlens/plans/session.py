@@ -26,15 +26,21 @@ SESSION_CONF: dict[str, str] = {
     "spark.sql.csv.parser.columnPruning.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
+    # plan text is built for every action; keep a runaway plan from costing heap
+    "spark.sql.maxPlanStringLength": str(2 * 1024 * 1024),
 }
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only when
     the cluster did not name one (tests, local runs)."""
+    sc = spark.sparkContext
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="claimlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -55,8 +61,8 @@ def build_session(master: str | None = None, app_name: str = "claimlens",
         conf.update(extra)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    if "spark.driver.memory" not in conf and os.environ.get("CLAIMLENS_DRIVER_MEMORY"):
-        builder = builder.config("spark.driver.memory", os.environ["CLAIMLENS_DRIVER_MEMORY"])
+    if "spark.driver.memory" not in conf:
+        builder = builder.config("spark.driver.memory", os.environ.get("CLAIMLENS_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     return spark
