@@ -1,19 +1,44 @@
 """Cutting lineage between stages.
 
-A rollup or flag table read by many downstream plans is written once with a
-reliable ``checkpoint`` into the cluster's shared checkpoint folder (the
-session's ``spark.checkpoint.dir``). Downstream plans then start from those
-files: plans stay small, the fact is not rescanned, and a lost executor costs
-a re-read of checkpoint files rather than a recomputation from the fact.
+A rollup or flag table read by many downstream plans is written once as
+Parquet under the cluster's shared checkpoint folder (the session's
+``spark.checkpoint.dir``) and read back. Downstream plans then start from
+those files: plans stay small, the fact is not rescanned, a lost executor
+costs a re-read of shared files rather than a recomputation from the fact,
+and AQE/broadcast decisions see the real file size. (An eager
+``Dataset.checkpoint`` would compute the plan twice - once to count, once
+to write - so a plain Parquet write is used.)
+
+With ``bucket_by`` the table is written hash-bucketed on the key (one file
+per bucket: the data is repartitioned on the key first) and registered as a
+bucketed table, so every later aggregate, window or join on that key reads
+co-partitioned data and needs no exchange of its own.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from claimlens.plans.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def default_buckets(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df: DataFrame, name: str = "stage", bucket_by: str | None = None,
+                buckets: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{root}/claimlens/{tag}"
+    if bucket_by is None:
+        df.write.mode("error").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = buckets or default_buckets(spark)
+    table = f"claimlens_{tag}"
+    (df.repartition(n, bucket_by)
+       .write.mode("error").bucketBy(n, bucket_by).option("path", path).saveAsTable(table))
+    return spark.table(table)

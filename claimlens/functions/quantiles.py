@@ -96,10 +96,26 @@ def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: s
     return agg.withColumn("_n", F.col(count_name)).select(*out)
 
 
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the biggest group (one small aggregate, one scalar back)."""
+    row = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     quantiles: Sequence[float], names: Sequence[str], count_name: str = "n",
-                    method: str = "exact", accuracy: int = 10000) -> DataFrame:
+                    method: str = "exact", accuracy: int = 10000,
+                    max_group_rows: int = 500_000) -> DataFrame:
+    """``exact``: the one-pass ``percentile`` when the largest group is proven
+    to hold at most ``max_group_rows`` values (its value map then has a known
+    bound per task), otherwise the distributed exact method above.
+    ``exact_distributed`` forces the latter; ``approx`` uses the sketch."""
     if method == "exact":
+        if largest_group(df, group_cols) <= max_group_rows:
+            method = "builtin"
+        else:
+            method = "exact_distributed"
+    if method == "exact_distributed":
         return exact_group_quantiles(df, group_cols, value_col, quantiles, names, count_name,
                                      accuracy=accuracy)
     if method == "builtin":

@@ -49,14 +49,16 @@ def geographic_implausibility(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_
 
 
 def home_health_codes(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                      flagged: DataFrame | None = None) -> DataFrame:
+                      flagged: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """S6d1: distinct (npi, hcpcs_code) of flagged NPIs over all their
     home-health claims (long form). Distinct pairs are reduced map-side
-    before the shuffle; the flagged set then filters the small result."""
+    before the shuffle (or come from the shared rollup); the flagged set
+    then filters the small result."""
     flagged = geographic_implausibility(tables, cfg) if flagged is None else flagged
-    pairs = (home_health_claims(tables.spending, cfg)
-             .select(F.col(S.BILLING_NPI).alias("npi"), F.col(S.HCPCS).alias("hcpcs_code"))
-             .distinct())
+    if pairs is None:
+        pairs = (home_health_claims(tables.spending, cfg)
+                 .select(F.col(S.BILLING_NPI).alias("npi"), F.col(S.HCPCS).alias("hcpcs_code"))
+                 .distinct())
     return pairs.join(flagged.select("npi"), "npi", "left_semi")
 
 

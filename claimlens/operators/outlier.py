@@ -34,7 +34,8 @@ def peer_group_stats(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     stats = group_quantiles(eligible, ["taxonomy", "state"], "paid_d",
                             [cfg.median_quantile, cfg.outlier_quantile],
                             ["median_paid", "p99_paid"], count_name="peer_count",
-                            method=cfg.quantile_method, accuracy=cfg.approx_accuracy)
+                            method=cfg.quantile_method, accuracy=cfg.approx_accuracy,
+                            max_group_rows=cfg.max_quantile_group_rows)
     return (stats.where(F.col("peer_count") >= cfg.min_peers)
                  .select("taxonomy", "state", "median_paid", "p99_paid",
                          F.col("peer_count").cast("bigint").alias("peer_count")))

@@ -51,6 +51,41 @@ def home_health_month(spending: DataFrame, cfg: SignalConfig) -> DataFrame:
                  F.sum(S.TOTAL_PAID).alias("paid")))
 
 
+def claims_rollup(spending: DataFrame, cfg: SignalConfig) -> DataFrame:
+    """One pass over the fact for everything keyed by billing NPI:
+    (npi, month, hh_code) -> paid, claims, benes, where hh_code is the
+    procedure code for home-health rows and NULL for all others. At most
+    1 + (home-health codes billed) rows per provider-month, so it is a
+    rollup, yet ``provider_month``, ``home_health_month`` and the
+    home-health code list all derive from it without touching the fact."""
+    hh_code = F.when(in_code_ranges(S.HCPCS, cfg.code_ranges), F.col(S.HCPCS))
+    return (spending
+            .groupBy(F.col(S.BILLING_NPI).alias("npi"), F.col(S.CLAIM_MONTH).alias("month"),
+                     hh_code.alias("hh_code"))
+            .agg(F.sum(S.TOTAL_PAID).alias("paid"),
+                 F.sum(S.TOTAL_CLAIMS).alias("claims"),
+                 F.sum(S.TOTAL_BENES).alias("benes")))
+
+
+def provider_month_from_rollup(rollup: DataFrame) -> DataFrame:
+    return (rollup.groupBy("npi", "month")
+                  .agg(F.sum("paid").alias("paid"), F.sum("claims").alias("claims"),
+                       F.sum("benes").alias("benes")))
+
+
+def home_health_month_from_rollup(rollup: DataFrame) -> DataFrame:
+    return (rollup.where(F.col("hh_code").isNotNull())
+                  .groupBy("npi", "month")
+                  .agg(F.sum("claims").alias("claims"), F.sum("benes").alias("benes"),
+                       F.sum("paid").alias("paid")))
+
+
+def home_health_code_pairs(rollup: DataFrame) -> DataFrame:
+    """Distinct (npi, hcpcs_code) over home-health claims."""
+    return (rollup.where(F.col("hh_code").isNotNull())
+                  .select("npi", F.col("hh_code").alias("hcpcs_code")).distinct())
+
+
 def registry_multiplicity(registry: DataFrame, where=None) -> DataFrame:
     """Rows per NPI in the registry (normally 1). Multiplying rollup sums by
     it reproduces the studied join-then-aggregate results exactly, duplicates

@@ -14,13 +14,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SEVERITY_RANK, SIGNAL_ORDER, SignalConfig
 from claimlens.functions.lineage import materialize
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
-from claimlens.operators.rollups import home_health_month, provider_month
+from claimlens.operators.rollups import (claims_rollup, home_health_code_pairs, home_health_month,
+                                        home_health_month_from_rollup, provider_month,
+                                        provider_month_from_rollup)
 from claimlens.sources.tables import ClaimsTables
 
 JSON_OPTS = {"ignoreNullFields": "false"}
@@ -57,40 +60,66 @@ class SignalSet:
 
     def __init__(self, tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                  materialize_rollups: bool = False):
-        """``materialize_rollups`` checkpoints the two shared rollups once, for
-        runs that evaluate several signals (the flag table, the report)."""
-        self.tables = tables
+        """``materialize_rollups`` is for runs that evaluate several signals
+        (the flag table, the report): the fact is rolled up once and written
+        bucketed on NPI next to an NPI-bucketed registry, so joins,
+        per-provider aggregates and NPI windows need no exchange. The small
+        derived rollups and each signal's result are persisted so that every
+        consumer reuses one computed copy (a lost block is rebuilt from the
+        bucket files, not from the fact)."""
         self.cfg = cfg
-        pm = provider_month(tables.spending)
-        hm = home_health_month(tables.spending, cfg)
+        self._memo: dict[str, DataFrame] = {}
+        self._keep = materialize_rollups
         if materialize_rollups:
-            pm, hm = materialize(pm), materialize(hm)
-        self.pm, self.hm = pm, hm
+            tables = ClaimsTables(
+                spending=tables.spending,
+                registry=materialize(tables.registry, "registry", bucket_by="npi"),
+                exclusions=tables.exclusions)
+            rollup = materialize(claims_rollup(tables.spending, cfg), "claims_rollup", bucket_by="npi")
+            self.pm = self._persist(provider_month_from_rollup(rollup))
+            self.hm = self._persist(home_health_month_from_rollup(rollup))
+            self.hh_pairs = home_health_code_pairs(rollup)
+        else:
+            self.pm = provider_month(tables.spending)
+            self.hm = home_health_month(tables.spending, cfg)
+            self.hh_pairs = None
+        self.tables = tables
+
+    def _persist(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._keep else df
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._memo:
+            self._memo[name] = self._persist(build())
+        return self._memo[name]
 
     # --- signal results, one per signal (flag records) ---
     def excluded_provider(self) -> DataFrame:
-        return excluded.excluded_provider(self.tables, self.cfg)
+        return self._once("s1", lambda: excluded.excluded_provider(self.tables, self.cfg))
 
     def billing_outlier(self) -> DataFrame:
-        return outlier.billing_outlier(self.tables, self.cfg, self.pm)
+        return self._once("s2", lambda: outlier.billing_outlier(self.tables, self.cfg, self.pm))
 
     def rapid_escalation(self) -> DataFrame:
-        return escalation.rapid_escalation(self.tables, self.cfg, self.pm)
+        return self._once("s3", lambda: escalation.rapid_escalation(self.tables, self.cfg, self.pm))
 
     def workforce_impossibility(self) -> DataFrame:
-        return workforce.workforce_impossibility(self.tables, self.cfg, self.pm)
+        return self._once("s4", lambda: workforce.workforce_impossibility(self.tables, self.cfg, self.pm))
 
     def shared_official(self) -> DataFrame:
-        return official.shared_official(self.tables, self.cfg, self.pm)
+        return self._once("s5", lambda: official.shared_official(self.tables, self.cfg, self.pm))
 
     def geographic_implausibility(self) -> DataFrame:
-        return home_health.geographic_implausibility(self.tables, self.cfg, self.hm)
+        return self._once("s6", lambda: home_health.geographic_implausibility(self.tables, self.cfg, self.hm))
 
     def result(self, name: str) -> DataFrame:
         return getattr(self, name)()
 
     # --- flag records -> long flags ---
     def flags_by_npi(self) -> DataFrame:
+        return self._once("flags", self._build_flags)
+
+    def _build_flags(self) -> DataFrame:
         cfg = self.cfg
         s1 = self.excluded_provider()
         f1 = _flag(s1, "excluded_provider", F.lit("critical"),
@@ -135,7 +164,7 @@ class SignalSet:
                             "combined_total_paid", "combined_total_claims", "npi_total_paid"))
 
         s6 = self.geographic_implausibility()
-        codes = (home_health.home_health_codes(self.tables, cfg, s6)
+        codes = (home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs)
                  .groupBy("npi").agg(F.array_sort(F.collect_set("hcpcs_code")).alias("hcpcs_codes")))
         detail = (home_health.home_health_months(self.tables, cfg, self.hm, s6)
                   .groupBy("npi").agg(F.array_sort(F.collect_list(F.struct(

@@ -97,7 +97,7 @@ def provider_report(signals: SignalSet, flags: DataFrame | None = None) -> DataF
     overpayment, legal reference; nested signal list and next steps."""
     # the flag table is the hand-off between the signal and report stages:
     # written once, read by the grouping, enrichment and lifetime joins
-    flags = materialize(signals.flags_by_npi()) if flags is None else flags
+    flags = materialize(signals.flags_by_npi(), "flags", bucket_by="npi") if flags is None else flags
     spark = flags.sparkSession
     core = provider_records(flags, signal_dimension(spark))
     npis = core.select("npi")

@@ -20,9 +20,20 @@ from claimlens.sources.tables import ClaimsTables, registry_view
 
 PAID_FACTOR = Decimal("0.035")
 
+# Declared read schemas (only the columns the mapping uses): no footer-reading
+# schema-inference job per read, and the scans' ReadSchema is exactly these.
+STAR_SCHEMAS: dict[str, str] = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                "l_extendedprice double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def npi_from_key(key: Column) -> Column:
@@ -40,7 +51,13 @@ def spending_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(part_mod == 2, "S9122").when(part_mod == 3, "T1019").otherwise("99213"))
     cust_mod = F.col("o_custkey") % 7
     bene_factor = F.when(cust_mod == 0, 0.5).when(cust_mod == 1, 1.5).otherwise(4.0)
-    paid = (F.col("l_extendedprice").cast(S.MONEY) * F.lit(PAID_FACTOR)).cast(S.MONEY)
+    # price in cents x 0.035, rounded half-up to cents, in exact integer
+    # arithmetic (a decimal(18,2) x decimal(3,3) product needs 22 digits,
+    # which leaves Spark's compact 64-bit decimal path)
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    factor_milli = int(PAID_FACTOR * 1000)   # 35
+    paid_cents = F.floor((cents * factor_milli + 500) / F.lit(1000)).cast("bigint")
+    paid = (paid_cents / F.lit(100.0)).cast(S.MONEY)
     return j.select(
         npi_from_key(F.col("o_custkey")).alias(S.BILLING_NPI),
         npi_from_key(F.col("l_suppkey")).alias(S.SERVICING_NPI),

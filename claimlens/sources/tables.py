@@ -54,7 +54,16 @@ def load_domain_tables(spark: SparkSession, spending_path: str, registry_path: s
     )
 
 
+_STAR_CACHE: dict[tuple[int, str], ClaimsTables] = {}
+
+
 def load_star_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
-    """Test layout: derive the three tables from the TPC-H-like star."""
+    """Test layout: derive the three tables from the TPC-H-like star.
+
+    The lazy plans (not data) are kept per session and folder, so repeated
+    queries skip re-analysing the mapping."""
     from claimlens.sources import star
-    return star.tables_from_star(spark, sf_dir)
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _STAR_CACHE:
+        _STAR_CACHE[key] = star.tables_from_star(spark, sf_dir)
+    return _STAR_CACHE[key]
