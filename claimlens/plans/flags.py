@@ -33,10 +33,8 @@ FLAG_COLUMNS = ["signal_type", "signal_index", "order_value", "order_key", "flag
 
 
 def severity_rank(sev: Column) -> Column:
-    expr = F.lit(SEVERITY_RANK["low"])
-    for name in ("medium", "high", "critical"):
-        expr = F.when(sev == name, F.lit(SEVERITY_RANK[name])).otherwise(expr)
-    return expr
+    ranks = F.create_map(*[x for name, r in SEVERITY_RANK.items() for x in (F.lit(name), F.lit(r))])
+    return F.coalesce(ranks[sev], F.lit(SEVERITY_RANK["low"]))
 
 
 def _flag(df: DataFrame, signal: str, severity: Column, overpayment: Column,

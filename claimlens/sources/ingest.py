@@ -95,7 +95,14 @@ def count_malformed(spark: SparkSession, csv_path: str, schema) -> int:
     """IO-7 audit: how many records the permissive parser could not fit."""
     from pyspark.sql import types as T
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    from pyspark import StorageLevel
     df = (spark.read.option("header", "true").option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .schema(with_corrupt).csv(csv_path))
-    return df.where(F.col("_corrupt_record").isNotNull()).count()
+    # Spark only allows filtering on the corrupt-record column of parsed
+    # (persisted) rows, never straight from the raw file
+    parsed = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return parsed.where(F.col("_corrupt_record").isNotNull()).count()
+    finally:
+        parsed.unpersist()
