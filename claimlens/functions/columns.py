@@ -13,9 +13,18 @@ def col_or_name(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_str(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def nonblank(c: Column | str) -> Column:
     """``x IS NOT NULL AND x != ''`` (blank means missing, untrimmed)."""
-    c = col_or_name(c)
+    if isinstance(c, str):   # one SQL expression: one driver->JVM call
+        return F.expr(f"{_ident(c)} IS NOT NULL AND {_ident(c)} != ''")
     return c.isNotNull() & (c != F.lit(""))
 
 
@@ -42,12 +51,17 @@ def mdy_to_iso(c: Column | str) -> Column:
 
 def in_code_ranges(code: Column | str, ranges: Iterable[tuple[str, str]]) -> Column:
     """OR of inclusive text ranges; Catalyst pushes it into the Parquet scan."""
-    code = col_or_name(code)
+    ranges = list(ranges)
+    if not ranges:
+        return F.lit(False)
+    if isinstance(code, str):
+        return F.expr(" OR ".join(f"({_ident(code)} BETWEEN {_sql_str(lo)} AND {_sql_str(hi)})"
+                                  for lo, hi in ranges))
     pred = None
     for lo, hi in ranges:
         term = code.between(F.lit(lo), F.lit(hi))
         pred = term if pred is None else (pred | term)
-    return pred if pred is not None else F.lit(False)
+    return pred
 
 
 def to_double(c: Column | str) -> Column:
@@ -64,15 +78,16 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), F.nullif(den.cast("double"), F.lit(0.0)))
 
 
-def provider_name(org_name: Column, first_name: Column, last_name: Column) -> Column:
+def provider_name(org_name: str = "org_name", first_name: str = "first_name",
+                  last_name: str = "last_name") -> Column:
     """Organisation name, else 'FIRST LAST', else 'UNKNOWN'."""
-    person = F.trim(F.concat_ws(" ", F.coalesce(first_name, F.lit("")),
-                                F.coalesce(last_name, F.lit(""))))
-    return F.coalesce(F.nullif(org_name, F.lit("")), F.nullif(person, F.lit("")), F.lit("UNKNOWN"))
+    o, f, la = _ident(org_name), _ident(first_name), _ident(last_name)
+    return F.expr(f"coalesce(nullif({o}, ''), "
+                  f"nullif(trim(concat_ws(' ', coalesce({f}, ''), coalesce({la}, ''))), ''), 'UNKNOWN')")
 
 
-def entity_label(code: Column) -> Column:
+def entity_label(code: str = "entity_type") -> Column:
     """'1' -> individual, '2' -> organization, other codes pass through."""
-    return (F.when(code == F.lit("1"), F.lit("individual"))
-             .when(code == F.lit("2"), F.lit("organization"))
-             .otherwise(F.coalesce(F.nullif(code, F.lit("")), F.lit("unknown"))))
+    c = _ident(code)
+    return F.expr(f"CASE {c} WHEN '1' THEN 'individual' WHEN '2' THEN 'organization' "
+                  f"ELSE coalesce(nullif({c}, ''), 'unknown') END")

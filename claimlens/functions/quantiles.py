@@ -105,13 +105,16 @@ def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     quantiles: Sequence[float], names: Sequence[str], count_name: str = "n",
                     method: str = "exact", accuracy: int = 10000,
-                    max_group_rows: int = 500_000) -> DataFrame:
+                    max_group_rows: int = 500_000, group_size_bound: int | None = None) -> DataFrame:
     """``exact``: the one-pass ``percentile`` when the largest group is proven
     to hold at most ``max_group_rows`` values (its value map then has a known
     bound per task), otherwise the distributed exact method above.
-    ``exact_distributed`` forces the latter; ``approx`` uses the sketch."""
+    ``group_size_bound`` is a caller-supplied upper bound on the largest
+    group (e.g. from a smaller dimension table); without it the input is
+    counted. ``exact_distributed`` forces the latter; ``approx`` uses the sketch."""
     if method == "exact":
-        if largest_group(df, group_cols) <= max_group_rows:
+        bound = largest_group(df, group_cols) if group_size_bound is None else group_size_bound
+        if bound <= max_group_rows:
             method = "builtin"
         else:
             method = "exact_distributed"

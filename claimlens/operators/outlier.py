@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
 from claimlens.functions.columns import nonblank, round4, safe_ratio
-from claimlens.functions.quantiles import group_quantiles
+from claimlens.functions.quantiles import group_quantiles, largest_group
 from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.sources.tables import ClaimsTables
 
@@ -29,13 +29,20 @@ def peer_group_stats(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                      peers: DataFrame | None = None) -> DataFrame:
     """(taxonomy, state, median_paid, p99_paid, peer_count), >= min peers."""
     peers = provider_peers(tables) if peers is None else peers
+    groups = ["taxonomy", "state"]
     eligible = (peers.where(nonblank("taxonomy") & nonblank("state"))
-                     .select("taxonomy", "state", F.col("paid").cast("double").alias("paid_d")))
-    stats = group_quantiles(eligible, ["taxonomy", "state"], "paid_d",
+                     .select(*groups, F.col("paid").cast("double").alias("paid_d")))
+    bound = None
+    if cfg.quantile_method == "exact":
+        # a peer group never holds more providers than the registry has rows
+        # for its (taxonomy, state): bound the group size from the registry
+        # alone instead of re-running the claims rollup to count it
+        bound = largest_group(tables.registry.where(nonblank("taxonomy") & nonblank("state")), groups)
+    stats = group_quantiles(eligible, groups, "paid_d",
                             [cfg.median_quantile, cfg.outlier_quantile],
                             ["median_paid", "p99_paid"], count_name="peer_count",
                             method=cfg.quantile_method, accuracy=cfg.approx_accuracy,
-                            max_group_rows=cfg.max_quantile_group_rows)
+                            max_group_rows=cfg.max_quantile_group_rows, group_size_bound=bound)
     return (stats.where(F.col("peer_count") >= cfg.min_peers)
                  .select("taxonomy", "state", "median_paid", "p99_paid",
                          F.col("peer_count").cast("bigint").alias("peer_count")))

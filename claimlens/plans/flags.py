@@ -32,15 +32,15 @@ FLAG_COLUMNS = ["signal_type", "signal_index", "order_value", "order_key", "flag
                 "severity", "severity_rank", "overpayment", "evidence"]
 
 
-def severity_rank(sev: Column) -> Column:
-    ranks = F.create_map(*[x for name, r in SEVERITY_RANK.items() for x in (F.lit(name), F.lit(r))])
-    return F.coalesce(ranks[sev], F.lit(SEVERITY_RANK["low"]))
+def severity_rank(sev: str = "severity") -> Column:
+    cases = " ".join(f"WHEN '{name}' THEN {rank}" for name, rank in SEVERITY_RANK.items())
+    return F.expr(f"CASE `{sev}` {cases} ELSE {SEVERITY_RANK['low']} END")
 
 
 def _flag(df: DataFrame, signal: str, severity: Column, overpayment: Column,
           order_value: Column, order_key: Column, flag_id: Column, npi: Column,
           evidence: Column) -> DataFrame:
-    return df.select(
+    out = df.select(
         F.lit(signal).alias("signal_type"),
         F.lit(SIGNAL_ORDER.index(signal) + 1).alias("signal_index"),
         order_value.cast("double").alias("order_value"),
@@ -48,9 +48,9 @@ def _flag(df: DataFrame, signal: str, severity: Column, overpayment: Column,
         F.concat_ws("|", F.lit(signal), flag_id).alias("flag_id"),
         npi.alias("npi"),
         severity.alias("severity"),
-        severity_rank(severity).alias("severity_rank"),
         overpayment.cast("double").alias("overpayment"),
         F.to_json(evidence, JSON_OPTS).alias("evidence"))
+    return out.withColumn("severity_rank", severity_rank("severity")).select(*FLAG_COLUMNS)
 
 
 class SignalSet:
@@ -78,11 +78,31 @@ class SignalSet:
             self.hm = self._persist(home_health_month_from_rollup(rollup))
             self.hh_pairs = home_health_code_pairs(rollup)
         else:
-            self.pm = provider_month(tables.spending)
-            self.hm = home_health_month(tables.spending, cfg)
+            self._pm = self._hm = None
             self.hh_pairs = None
         self.tables = tables
 
+    # rollups of a non-materialised run are built on first use only
+    @property
+    def pm(self) -> DataFrame:
+        if self._pm is None:
+            self._pm = provider_month(self.tables.spending)
+        return self._pm
+
+    @pm.setter
+    def pm(self, value: DataFrame) -> None:
+        self._pm = value
+
+    @property
+    def hm(self) -> DataFrame:
+        if self._hm is None:
+            self._hm = home_health_month(self.tables.spending, self.cfg)
+        return self._hm
+
+    @hm.setter
+    def hm(self, value: DataFrame) -> None:
+        self._hm = value
+
     def _persist(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._keep else df
 
@@ -118,62 +138,83 @@ class SignalSet:
         return self._once("flags", self._build_flags)
 
     def _build_flags(self) -> DataFrame:
+        """One SQL statement over the signal results and their detail
+        look-ups (one parse on the driver instead of thousands of Column
+        round-trips). Detail lists are folded per NPI; all are bounded by
+        what one provider can carry (12 months, a state's codes, its months)."""
         cfg = self.cfg
-        s1 = self.excluded_provider()
-        f1 = _flag(s1, "excluded_provider", F.lit("critical"),
-                   F.col("total_paid_after_exclusion"),
-                   F.col("tier"), F.col("npi"),
-                   F.concat_ws("|", F.col("tier").cast("string"), F.col("npi")), F.col("npi"),
-                   F.struct(*[c for c in excluded.RESULT_COLUMNS]))
-
-        s2 = self.billing_outlier()
-        f2 = _flag(s2, "billing_outlier",
-                   F.when(F.col("ratio_to_median") > cfg.outlier_high_ratio, "high").otherwise("medium"),
-                   F.greatest(F.lit(0.0), F.col("total_paid") - F.col("p99_paid")),
-                   -F.coalesce(F.col("ratio_to_median"), F.lit(0.0)), F.col("npi"),
-                   F.concat_ws("|", "npi", "taxonomy", "state"), F.col("npi"), F.struct(*s2.columns))
-
         s3 = self.rapid_escalation()
-        months = escalation.escalation_months(self.tables, cfg, self.pm, s3)
-        month_map = (months.groupBy("npi").agg(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("month", "monthly_paid")))).alias("monthly_paid_amounts")))
-        s3e = s3.join(month_map, "npi", "left")
-        f3 = _flag(s3e, "rapid_escalation",
-                   F.when(F.col("max_growth_pct") > cfg.escalation_high_pct, "high").otherwise("medium"),
-                   F.coalesce(F.col("total_paid_excess_growth_months"), F.col("total_paid_12mo") * 0.5),
-                   -F.col("max_growth_pct"), F.col("npi"), F.col("npi"), F.col("npi"),
-                   F.struct(*s3e.columns))
-
-        s4 = self.workforce_impossibility()
-        f4 = _flag(s4, "workforce_impossibility", F.lit("high"),
-                   F.greatest(F.lit(0.0), F.col("estimated_overpayment")),
-                   -F.col("implied_claims_per_hour"), F.col("npi"), F.col("npi"), F.col("npi"),
-                   F.struct(*s4.columns))
-
         s5 = self.shared_official()
-        members = official.official_npi_totals(self.tables, cfg, self.pm, s5)
-        s5m = s5.join(members.withColumnRenamed("total_paid", "npi_total_paid"), official.OFFICIAL_KEY)
-        f5 = _flag(s5m, "shared_official",
-                   F.when(F.col("combined_total_paid") > cfg.official_high_paid, "high").otherwise("medium"),
-                   F.lit(0.0), -F.col("combined_total_paid"),
-                   F.concat_ws("|", "off_last", "off_first"),
-                   F.concat_ws("|", "off_last", "off_first"), F.col("npi"),
-                   F.struct("off_last", "off_first", "npi_count", "states",
-                            "combined_total_paid", "combined_total_claims", "npi_total_paid"))
-
         s6 = self.geographic_implausibility()
-        codes = (home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs)
-                 .groupBy("npi").agg(F.array_sort(F.collect_set("hcpcs_code")).alias("hcpcs_codes")))
-        detail = (home_health.home_health_months(self.tables, cfg, self.hm, s6)
-                  .groupBy("npi").agg(F.array_sort(F.collect_list(F.struct(
-                      "month", "claims_count", "unique_beneficiaries", "monthly_paid", "ratio")))
-                      .alias("month_detail")))
-        s6e = s6.join(codes, "npi", "left").join(detail, "npi", "left")
-        f6 = _flag(s6e, "geographic_implausibility",
-                   F.when(F.col("bene_to_claims_ratio") < cfg.home_health_high_ratio, "high").otherwise("medium"),
-                   F.lit(0.0), F.col("bene_to_claims_ratio"), F.col("npi"), F.col("npi"), F.col("npi"),
-                   F.struct(*s6e.columns))
-        return reduce(DataFrame.unionByName, [f1, f2, f3, f4, f5, f6])
+        params = dict(
+            s1=self.excluded_provider(), s2=self.billing_outlier(), s3=s3,
+            s4=self.workforce_impossibility(), s5=s5, s6=s6,
+            months=escalation.escalation_months(self.tables, cfg, self.pm, s3),
+            members=official.official_npi_totals(self.tables, cfg, self.pm, s5),
+            codes=home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs),
+            detail=home_health.home_health_months(self.tables, cfg, self.hm, s6))
+        s1_cols = ", ".join(excluded.RESULT_COLUMNS)
+        rank = " ".join(f"WHEN '{n}' THEN {r}" for n, r in SEVERITY_RANK.items())
+        idx = {name: i + 1 for i, name in enumerate(SIGNAL_ORDER)}
+        sql = f"""
+        WITH month_map AS (
+            SELECT npi, map_from_entries(array_sort(collect_list(struct(month, monthly_paid))))
+                       AS monthly_paid_amounts
+            FROM {{months}} GROUP BY npi),
+        code_list AS (
+            SELECT npi, array_sort(collect_set(hcpcs_code)) AS hcpcs_codes FROM {{codes}} GROUP BY npi),
+        month_detail AS (
+            SELECT npi, array_sort(collect_list(struct(month, claims_count, unique_beneficiaries,
+                                                       monthly_paid, ratio))) AS month_detail
+            FROM {{detail}} GROUP BY npi),
+        f AS (
+            SELECT 'excluded_provider' AS signal_type, {idx['excluded_provider']} AS signal_index,
+                   CAST(tier AS DOUBLE) AS order_value, npi AS order_key,
+                   concat_ws('|', CAST(tier AS STRING), npi) AS flag_id, npi, 'critical' AS severity,
+                   CAST(total_paid_after_exclusion AS DOUBLE) AS overpayment,
+                   to_json(struct({s1_cols}), map('ignoreNullFields', 'false')) AS evidence
+            FROM {{s1}}
+            UNION ALL
+            SELECT 'billing_outlier', {idx['billing_outlier']}, -coalesce(ratio_to_median, 0.0), npi,
+                   concat_ws('|', npi, taxonomy, state), npi,
+                   CASE WHEN ratio_to_median > {cfg.outlier_high_ratio} THEN 'high' ELSE 'medium' END,
+                   greatest(0.0, total_paid - p99_paid),
+                   to_json(struct(*), map('ignoreNullFields', 'false'))
+            FROM {{s2}}
+            UNION ALL
+            SELECT 'rapid_escalation', {idx['rapid_escalation']}, -s.max_growth_pct, s.npi, s.npi, s.npi,
+                   CASE WHEN s.max_growth_pct > {cfg.escalation_high_pct} THEN 'high' ELSE 'medium' END,
+                   coalesce(s.total_paid_excess_growth_months, s.total_paid_12mo * 0.5),
+                   to_json(struct(s.*, m.monthly_paid_amounts), map('ignoreNullFields', 'false'))
+            FROM {{s3}} s LEFT JOIN month_map m ON s.npi = m.npi
+            UNION ALL
+            SELECT 'workforce_impossibility', {idx['workforce_impossibility']}, -implied_claims_per_hour,
+                   npi, npi, npi, 'high', greatest(0.0, estimated_overpayment),
+                   to_json(struct(*), map('ignoreNullFields', 'false'))
+            FROM {{s4}}
+            UNION ALL
+            SELECT 'shared_official', {idx['shared_official']}, -o.combined_total_paid,
+                   concat_ws('|', o.off_last, o.off_first), concat_ws('|', o.off_last, o.off_first), m.npi,
+                   CASE WHEN o.combined_total_paid > {cfg.official_high_paid} THEN 'high' ELSE 'medium' END,
+                   0.0,
+                   to_json(struct(o.off_last, o.off_first, o.npi_count, o.states, o.combined_total_paid,
+                                  o.combined_total_claims, m.total_paid AS npi_total_paid),
+                           map('ignoreNullFields', 'false'))
+            FROM {{s5}} o JOIN {{members}} m ON o.off_last = m.off_last AND o.off_first = m.off_first
+            UNION ALL
+            SELECT 'geographic_implausibility', {idx['geographic_implausibility']}, s.bene_to_claims_ratio,
+                   s.npi, s.npi, s.npi,
+                   CASE WHEN s.bene_to_claims_ratio < {cfg.home_health_high_ratio} THEN 'high' ELSE 'medium' END,
+                   0.0,
+                   to_json(struct(s.*, c.hcpcs_codes, d.month_detail), map('ignoreNullFields', 'false'))
+            FROM {{s6}} s LEFT JOIN code_list c ON s.npi = c.npi LEFT JOIN month_detail d ON s.npi = d.npi)
+        SELECT signal_type, signal_index, CAST(order_value AS DOUBLE) AS order_value, order_key,
+               concat_ws('|', signal_type, flag_id) AS flag_id, npi, severity,
+               CASE severity {rank} ELSE {SEVERITY_RANK['low']} END AS severity_rank,
+               CAST(overpayment AS DOUBLE) AS overpayment, evidence
+        FROM f"""
+        spark = self.tables.spending.sparkSession
+        return spark.sql(sql, **params)
 
     def flag_records(self) -> DataFrame:
         """(signal_type, flag_id): one row per signal record, before fan-out."""

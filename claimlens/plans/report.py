@@ -106,8 +106,8 @@ def provider_report(signals: SignalSet, flags: DataFrame | None = None) -> DataF
     rec = core.join(enr, "npi", "left").join(stats, "npi", "left")
     return rec.select(
         "npi",
-        provider_name(F.col("org_name"), F.col("first_name"), F.col("last_name")).alias("provider_name"),
-        entity_label(F.col("entity_type")).alias("entity_type"),
+        provider_name("org_name", "first_name", "last_name").alias("provider_name"),
+        entity_label("entity_type").alias("entity_type"),
         F.coalesce(F.col("taxonomy"), F.lit("")).alias("taxonomy_code"),
         F.coalesce(F.col("state"), F.lit("")).alias("state"),
         mdy_to_iso(F.col("enumeration_date")).alias("enumeration_date"),

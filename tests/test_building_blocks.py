@@ -50,8 +50,8 @@ def test_column_helpers(spark):
          ("9", "", None, None, "", "G0300"),
          (None, None, None, None, None, "S9122")],
         "e string, org string, first string, last string, d string, code string")
-    out = df.select(provider_name(F.col("org"), F.col("first"), F.col("last")).alias("name"),
-                    entity_label(F.col("e")).alias("et"), mdy_to_iso("d").alias("iso"),
+    out = df.select(provider_name("org", "first", "last").alias("name"),
+                    entity_label("e").alias("et"), mdy_to_iso("d").alias("iso"),
                     in_code_ranges("code", [("G0151", "G0162"), ("G0299", "G0300"), ("S9122", "S9124"),
                                             ("T1019", "T1022")]).alias("hh")).collect()
     assert [r["name"] for r in out] == ["John  DOE", "ACME", "UNKNOWN", "UNKNOWN"]
