@@ -10,10 +10,11 @@ splits skewed partitions otherwise.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.functions.lineage import keep
+
 # A key table this small is ~ tens of MB as a hash relation.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
@@ -25,6 +26,6 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_RO
     skew-join splitting a hot key's partitions.
 
     The persisted copy is recomputed from lineage if an executor is lost."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = keep(df)
     n = cached.count()
     return F.broadcast(cached) if n <= max_rows else cached

@@ -24,6 +24,24 @@ from pyspark.sql import DataFrame
 from claimlens.plans.session import ensure_checkpoint_dir
 
 
+_TRACKED: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) and remember it for ``release``."""
+    from pyspark import StorageLevel
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _TRACKED.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop every cache taken with ``keep``. Only speed is affected: a plan
+    that still references a released cache recomputes it from its inputs."""
+    while _TRACKED:
+        _TRACKED.pop().unpersist()
+
+
 def default_buckets(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

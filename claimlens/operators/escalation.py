@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
-from claimlens.functions.columns import nonblank, parse_mdy, round4
+from claimlens.functions.columns import dollars, nonblank, parse_mdy, round4
 from claimlens.operators.rollups import provider_month
 from claimlens.sources.tables import ClaimsTables
 
@@ -42,7 +42,7 @@ def escalation_growth(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     # join first, then rank: the join already hash-partitions by NPI, so the
     # windows add no exchange (and registry duplicates rank as in the SQL)
     months = _ranked_months(
-        pm.select("npi", "month", F.col("paid").cast("double").alias("monthly_paid")).join(reg, "npi"))
+        pm.select("npi", "month", dollars("paid").alias("monthly_paid")).join(reg, "npi"))
     eligible = months.where(
         F.col("enum_ym").isNotNull()
         & (F.col("enum_ym") <= F.col("first_billing_month"))
@@ -88,4 +88,4 @@ def escalation_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     ranked = (pm.join(flagged.select("npi"), "npi", "left_semi")
                 .withColumn("month_rank", F.row_number().over(w)))
     return (ranked.where(F.col("month_rank") <= cfg.first_billed_months)
-                  .select("npi", "month", F.col("paid").cast("double").alias("monthly_paid")))
+                  .select("npi", "month", dollars("paid").alias("monthly_paid")))

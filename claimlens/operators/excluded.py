@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
-from claimlens.functions.columns import nonblank, norm_key, ym_from_yyyymmdd
+from claimlens.functions.columns import dollars, norm_key, paid_cents, ym_from_yyyymmdd
 from claimlens.functions.joins import broadcast_if_bounded
 from claimlens.sources.tables import ClaimsTables
 
@@ -69,7 +69,7 @@ def claim_roles(spending: DataFrame, count_rows_once: bool = False) -> DataFrame
     servicing = F.struct(F.lit("servicing").alias("role"), serv_npi.alias("npi"))
     return (spending
             .select(F.explode(F.array(billing, servicing)).alias("r"),
-                    F.col(S.CLAIM_MONTH).alias("month"), F.col(S.TOTAL_PAID).alias("paid"),
+                    F.col(S.CLAIM_MONTH).alias("month"), paid_cents(S.TOTAL_PAID).alias("paid"),
                     F.col(S.TOTAL_CLAIMS).alias("claims"))
             .select("r.role", "r.npi", "month", "paid", "claims")
             .where(F.col("npi").isNotNull()))
@@ -109,6 +109,6 @@ def excluded_provider(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
         F.col("pick.EXCLDATE").alias("excl_date"),
         F.col("pick.EXCLTYPE").alias("excl_type"),
         role.alias("match_role"),
-        F.coalesce(F.col("paid").cast("double"), F.lit(0.0)).alias("total_paid_after_exclusion"),
+        F.coalesce(dollars("paid"), F.lit(0.0)).alias("total_paid_after_exclusion"),
         F.coalesce(F.col("claims"), F.lit(0)).cast("bigint").alias("total_claims_after_exclusion"),
         "first_claim_month", "last_claim_month")

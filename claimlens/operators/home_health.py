@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
-from claimlens.functions.columns import round4, safe_ratio
+from claimlens.functions.columns import dollars, round4, safe_ratio
 from claimlens.operators.rollups import home_health_claims, home_health_month
 from claimlens.sources.tables import ClaimsTables
 
@@ -41,7 +41,7 @@ def geographic_implausibility(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_
                 .select("npi",
                         F.col("claims").cast("bigint").alias("total_claims"),
                         F.col("benes").cast("bigint").alias("total_beneficiaries"),
-                        F.col("paid").cast("double").alias("total_paid"),
+                        dollars("paid").alias("total_paid"),
                         round4("ratio").alias("bene_to_claims_ratio"),
                         F.col("months_flagged").cast("bigint").alias("months_flagged"),
                         "first_month", "last_month",
@@ -71,5 +71,5 @@ def home_health_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     return hv.select("npi", "month",
                      F.col("claims").cast("bigint").alias("claims_count"),
                      F.col("benes").cast("bigint").alias("unique_beneficiaries"),
-                     F.col("paid").cast("double").alias("monthly_paid"),
+                     dollars("paid").alias("monthly_paid"),
                      round4(safe_ratio(F.col("benes"), F.col("claims"))).alias("ratio"))

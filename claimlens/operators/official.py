@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, ENTITY_ORGANIZATION, SignalConfig
-from claimlens.functions.columns import nonblank, norm_key
+from claimlens.functions.columns import dollars, nonblank, norm_key
 from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.sources.tables import ClaimsTables
 
@@ -57,9 +57,9 @@ def shared_official(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                     .groupBy(*OFFICIAL_KEY)
                     .agg(F.sum("paid").alias("paid"), F.sum("claims").alias("claims")))
     return (groups.join(spend, OFFICIAL_KEY)
-                  .where(F.col("paid") > F.lit(cfg.min_official_combined_paid))
+                  .where(dollars("paid") > F.lit(cfg.min_official_combined_paid))
                   .select(*OFFICIAL_KEY, "npi_count", "states",
-                          F.col("paid").cast("double").alias("combined_total_paid"),
+                          dollars("paid").alias("combined_total_paid"),
                           F.col("claims").cast("bigint").alias("combined_total_claims")))
 
 
@@ -79,4 +79,4 @@ def official_npi_totals(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG
     totals = provider_totals(pm).select("npi", "paid")
     return (official_members(tables, flagged).join(totals, "npi", "left")
             .select(*OFFICIAL_KEY, "npi",
-                    F.coalesce(F.col("paid").cast("double"), F.lit(0.0)).alias("total_paid")))
+                    F.coalesce(dollars("paid"), F.lit(0.0)).alias("total_paid")))

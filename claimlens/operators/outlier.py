@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
-from claimlens.functions.columns import nonblank, round4, safe_ratio
+from claimlens.functions.columns import dollars, nonblank, round4, safe_ratio
 from claimlens.functions.quantiles import group_quantiles, largest_group
 from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.sources.tables import ClaimsTables
@@ -31,7 +31,7 @@ def peer_group_stats(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     peers = provider_peers(tables) if peers is None else peers
     groups = ["taxonomy", "state"]
     eligible = (peers.where(nonblank("taxonomy") & nonblank("state"))
-                     .select(*groups, F.col("paid").cast("double").alias("paid_d")))
+                     .select(*groups, dollars("paid").alias("paid_d")))
     bound = None
     if cfg.quantile_method == "exact":
         # a peer group never holds more providers than the registry has rows
@@ -53,14 +53,14 @@ def billing_outlier(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     peers = provider_peers(tables, pm)
     stats = peer_group_stats(tables, cfg, peers)
     flagged = (peers.join(stats, ["taxonomy", "state"])
-                    .where(F.col("paid").cast("double") > F.col("p99_paid")))
+                    .where(dollars("paid") > F.col("p99_paid")))
     return flagged.select(
         "npi",
-        F.col("paid").cast("double").alias("total_paid"),
+        dollars("paid").alias("total_paid"),
         F.col("claims").cast("bigint").alias("total_claims"),
         "taxonomy", "state",
         round4("median_paid").alias("median_paid"),
         round4("p99_paid").alias("p99_paid"),
         "peer_count",
-        round4(safe_ratio(F.col("paid"), F.col("median_paid"))).alias("ratio_to_median"),
+        round4(safe_ratio(dollars("paid"), F.col("median_paid"))).alias("ratio_to_median"),
     )

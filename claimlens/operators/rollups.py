@@ -1,4 +1,5 @@
-"""Shared aggregates of the claims fact.
+"""Shared aggregates of the claims fact. Money columns (``paid``) are
+integer cents.
 
 ``provider_month`` is the one fact-sized shuffle most signals need; building
 every signal from the same DataFrame lets Spark reuse the exchange when the
@@ -15,14 +16,14 @@ from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.config import SignalConfig
-from claimlens.functions.columns import in_code_ranges
+from claimlens.functions.columns import in_code_ranges, paid_cents
 
 
 def provider_month(spending: DataFrame) -> DataFrame:
     """(npi, month) -> paid (decimal), claims, beneficiaries, by billing NPI."""
     return (spending
             .groupBy(F.col(S.BILLING_NPI).alias("npi"), F.col(S.CLAIM_MONTH).alias("month"))
-            .agg(F.sum(S.TOTAL_PAID).alias("paid"),
+            .agg(F.sum(paid_cents(S.TOTAL_PAID)).alias("paid"),
                  F.sum(S.TOTAL_CLAIMS).alias("claims"),
                  F.sum(S.TOTAL_BENES).alias("benes")))
 
@@ -48,7 +49,7 @@ def home_health_month(spending: DataFrame, cfg: SignalConfig) -> DataFrame:
             .groupBy(F.col(S.BILLING_NPI).alias("npi"), F.col(S.CLAIM_MONTH).alias("month"))
             .agg(F.sum(S.TOTAL_CLAIMS).alias("claims"),
                  F.sum(S.TOTAL_BENES).alias("benes"),
-                 F.sum(S.TOTAL_PAID).alias("paid")))
+                 F.sum(paid_cents(S.TOTAL_PAID)).alias("paid")))
 
 
 def claims_rollup(spending: DataFrame, cfg: SignalConfig) -> DataFrame:
@@ -62,7 +63,7 @@ def claims_rollup(spending: DataFrame, cfg: SignalConfig) -> DataFrame:
     return (spending
             .groupBy(F.col(S.BILLING_NPI).alias("npi"), F.col(S.CLAIM_MONTH).alias("month"),
                      hh_code.alias("hh_code"))
-            .agg(F.sum(S.TOTAL_PAID).alias("paid"),
+            .agg(F.sum(paid_cents(S.TOTAL_PAID)).alias("paid"),
                  F.sum(S.TOTAL_CLAIMS).alias("claims"),
                  F.sum(S.TOTAL_BENES).alias("benes")))
 

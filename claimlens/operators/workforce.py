@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, ENTITY_ORGANIZATION, SignalConfig
-from claimlens.functions.columns import round4
+from claimlens.functions.columns import dollars, round4
 from claimlens.operators.rollups import provider_month, registry_multiplicity
 from claimlens.sources.tables import ClaimsTables
 
@@ -27,7 +27,7 @@ def impossible_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     om = pm.join(orgs, "npi").select(
         "npi", "month",
         (F.col("claims") * F.col("mult")).alias("monthly_claims"),
-        (F.col("paid") * F.col("mult")).cast("double").alias("monthly_paid"))
+        dollars(F.col("paid") * F.col("mult")).alias("monthly_paid"))
     om = om.withColumn("claims_per_hour", F.col("monthly_claims").cast("double") / F.lit(cfg.hours_per_month))
     return om.where(F.col("claims_per_hour") > cfg.max_claims_per_hour)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG
+from claimlens.functions.lineage import release
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from claimlens.operators.excluded import RESULT_COLUMNS as S1_COLUMNS
 from claimlens.operators.rollups import provider_month
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     apply_session_conf(spark)
+    release()   # caches of previously built queries (speed only, never results)
     return load_star_tables(spark, sf_dir)
 
 

@@ -14,12 +14,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SEVERITY_RANK, SIGNAL_ORDER, SignalConfig
-from claimlens.functions.lineage import materialize
+from claimlens.functions.lineage import keep, materialize
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from claimlens.operators.rollups import (claims_rollup, home_health_code_pairs, home_health_month,
                                         home_health_month_from_rollup, provider_month,
@@ -104,7 +103,7 @@ class SignalSet:
         self._hm = value
 
     def _persist(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._keep else df
+        return keep(df) if self._keep else df
 
     def _once(self, name: str, build) -> DataFrame:
         if name not in self._memo:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import SIGNAL_ORDER, TOOL_VERSION
-from claimlens.functions.columns import entity_label, mdy_to_iso, provider_name
+from claimlens.functions.columns import dollars, entity_label, mdy_to_iso, provider_name
 from claimlens.functions.lineage import materialize
 from claimlens.functions.ranking import global_rank
 from claimlens.operators.rollups import provider_totals
@@ -52,7 +52,7 @@ def provider_lifetime_stats(pm: DataFrame, npis: DataFrame) -> DataFrame:
     totals = provider_totals(pm.join(npis, "npi", "left_semi"))
     return npis.join(totals, "npi", "left").select(
         "npi",
-        F.coalesce(F.col("paid").cast("double"), F.lit(0.0)).alias("total_paid_all_time"),
+        F.coalesce(dollars("paid"), F.lit(0.0)).alias("total_paid_all_time"),
         F.coalesce(F.col("claims"), F.lit(0)).cast("bigint").alias("total_claims_all_time"),
         F.coalesce(F.col("benes"), F.lit(0)).cast("bigint").alias("total_unique_beneficiaries_all_time"),
         F.col("first_month").alias("first_claim"),
