@@ -25,6 +25,7 @@ from claimlens.plans.session import ensure_checkpoint_dir
 
 
 _TRACKED: list[DataFrame] = []
+_VIEWS: list[tuple[object, str]] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -35,9 +36,23 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
+def view(df: DataFrame, prefix: str) -> str:
+    """Register ``df`` as a uniquely named temp view for SQL text and return
+    the name. (``spark.sql(text, name=df)`` would drop its temporary view
+    right after analysis, and dropping a view uncaches a persisted ``df``.)"""
+    name = f"claimlens_{prefix}_{uuid.uuid4().hex[:10]}"
+    df.createOrReplaceTempView(name)
+    _VIEWS.append((df.sparkSession, name))
+    return name
+
+
 def release() -> None:
-    """Drop every cache taken with ``keep``. Only speed is affected: a plan
-    that still references a released cache recomputes it from its inputs."""
+    """Drop every cache taken with ``keep`` and every view made by ``view``.
+    Only speed is affected: a plan that still references a released cache
+    recomputes it from its inputs."""
+    while _VIEWS:
+        spark, name = _VIEWS.pop()
+        spark.catalog.dropTempView(name)
     while _TRACKED:
         _TRACKED.pop().unpersist()
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SEVERITY_RANK, SIGNAL_ORDER, SignalConfig
-from claimlens.functions.lineage import keep, materialize
+from claimlens.functions.lineage import keep, materialize, view
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from claimlens.operators.rollups import (claims_rollup, home_health_code_pairs, home_health_month,
                                         home_health_month_from_rollup, provider_month,
@@ -152,6 +152,7 @@ class SignalSet:
             members=official.official_npi_totals(self.tables, cfg, self.pm, s5),
             codes=home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs),
             detail=home_health.home_health_months(self.tables, cfg, self.hm, s6))
+        names = {k: view(v, k) for k, v in params.items()}
         s1_cols = ", ".join(excluded.RESULT_COLUMNS)
         rank = " ".join(f"WHEN '{n}' THEN {r}" for n, r in SEVERITY_RANK.items())
         idx = {name: i + 1 for i, name in enumerate(SIGNAL_ORDER)}
@@ -159,38 +160,38 @@ class SignalSet:
         WITH month_map AS (
             SELECT npi, map_from_entries(array_sort(collect_list(struct(month, monthly_paid))))
                        AS monthly_paid_amounts
-            FROM {{months}} GROUP BY npi),
+            FROM {names['months']} GROUP BY npi),
         code_list AS (
-            SELECT npi, array_sort(collect_set(hcpcs_code)) AS hcpcs_codes FROM {{codes}} GROUP BY npi),
+            SELECT npi, array_sort(collect_set(hcpcs_code)) AS hcpcs_codes FROM {names['codes']} GROUP BY npi),
         month_detail AS (
             SELECT npi, array_sort(collect_list(struct(month, claims_count, unique_beneficiaries,
                                                        monthly_paid, ratio))) AS month_detail
-            FROM {{detail}} GROUP BY npi),
+            FROM {names['detail']} GROUP BY npi),
         f AS (
             SELECT 'excluded_provider' AS signal_type, {idx['excluded_provider']} AS signal_index,
                    CAST(tier AS DOUBLE) AS order_value, npi AS order_key,
                    concat_ws('|', CAST(tier AS STRING), npi) AS flag_id, npi, 'critical' AS severity,
                    CAST(total_paid_after_exclusion AS DOUBLE) AS overpayment,
                    to_json(struct({s1_cols}), map('ignoreNullFields', 'false')) AS evidence
-            FROM {{s1}}
+            FROM {names['s1']}
             UNION ALL
             SELECT 'billing_outlier', {idx['billing_outlier']}, -coalesce(ratio_to_median, 0.0), npi,
                    concat_ws('|', npi, taxonomy, state), npi,
                    CASE WHEN ratio_to_median > {cfg.outlier_high_ratio} THEN 'high' ELSE 'medium' END,
                    greatest(0.0, total_paid - p99_paid),
                    to_json(struct(*), map('ignoreNullFields', 'false'))
-            FROM {{s2}}
+            FROM {names['s2']}
             UNION ALL
             SELECT 'rapid_escalation', {idx['rapid_escalation']}, -s.max_growth_pct, s.npi, s.npi, s.npi,
                    CASE WHEN s.max_growth_pct > {cfg.escalation_high_pct} THEN 'high' ELSE 'medium' END,
                    coalesce(s.total_paid_excess_growth_months, s.total_paid_12mo * 0.5),
                    to_json(struct(s.*, m.monthly_paid_amounts), map('ignoreNullFields', 'false'))
-            FROM {{s3}} s LEFT JOIN month_map m ON s.npi = m.npi
+            FROM {names['s3']} s LEFT JOIN month_map m ON s.npi = m.npi
             UNION ALL
             SELECT 'workforce_impossibility', {idx['workforce_impossibility']}, -implied_claims_per_hour,
                    npi, npi, npi, 'high', greatest(0.0, estimated_overpayment),
                    to_json(struct(*), map('ignoreNullFields', 'false'))
-            FROM {{s4}}
+            FROM {names['s4']}
             UNION ALL
             SELECT 'shared_official', {idx['shared_official']}, -o.combined_total_paid,
                    concat_ws('|', o.off_last, o.off_first), concat_ws('|', o.off_last, o.off_first), m.npi,
@@ -199,21 +200,21 @@ class SignalSet:
                    to_json(struct(o.off_last, o.off_first, o.npi_count, o.states, o.combined_total_paid,
                                   o.combined_total_claims, m.total_paid AS npi_total_paid),
                            map('ignoreNullFields', 'false'))
-            FROM {{s5}} o JOIN {{members}} m ON o.off_last = m.off_last AND o.off_first = m.off_first
+            FROM {names['s5']} o JOIN {names['members']} m ON o.off_last = m.off_last AND o.off_first = m.off_first
             UNION ALL
             SELECT 'geographic_implausibility', {idx['geographic_implausibility']}, s.bene_to_claims_ratio,
                    s.npi, s.npi, s.npi,
                    CASE WHEN s.bene_to_claims_ratio < {cfg.home_health_high_ratio} THEN 'high' ELSE 'medium' END,
                    0.0,
                    to_json(struct(s.*, c.hcpcs_codes, d.month_detail), map('ignoreNullFields', 'false'))
-            FROM {{s6}} s LEFT JOIN code_list c ON s.npi = c.npi LEFT JOIN month_detail d ON s.npi = d.npi)
+            FROM {names['s6']} s LEFT JOIN code_list c ON s.npi = c.npi LEFT JOIN month_detail d ON s.npi = d.npi)
         SELECT signal_type, signal_index, CAST(order_value AS DOUBLE) AS order_value, order_key,
                concat_ws('|', signal_type, flag_id) AS flag_id, npi, severity,
                CASE severity {rank} ELSE {SEVERITY_RANK['low']} END AS severity_rank,
                CAST(overpayment AS DOUBLE) AS overpayment, evidence
         FROM f"""
         spark = self.tables.spending.sparkSession
-        return spark.sql(sql, **params)
+        return spark.sql(sql)
 
     def flag_records(self) -> DataFrame:
         """(signal_type, flag_id): one row per signal record, before fan-out."""
