@@ -34,17 +34,26 @@ SESSION_CONF: dict[str, str] = {
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only when
     the cluster did not name one (tests, local runs)."""
-    sc = spark.sparkContext
-    existing = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:   # sessions without a local SparkContext handle
+        sc = None
+    existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        sc.setCheckpointDir(current)
+        if sc is not None:
+            sc.setCheckpointDir(current)
         return current
+    # unset: only in tests and local runs - a cluster names a shared folder
     path = tempfile.mkdtemp(prefix="claimlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:   # static in some deployments; the path is returned anyway
+        pass
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,16 +55,18 @@ def load_domain_tables(spark: SparkSession, spending_path: str, registry_path: s
     )
 
 
-_STAR_CACHE: dict[tuple[int, str], ClaimsTables] = {}
+_STAR_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict[str, ClaimsTables]]" = weakref.WeakKeyDictionary()
 
 
 def load_star_tables(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     """Test layout: derive the three tables from the TPC-H-like star.
 
-    The lazy plans (not data) are kept per session and folder, so repeated
-    queries skip re-analysing the mapping."""
+    The lazy plans (not data) are kept per live session object and folder,
+    so repeated queries skip re-analysing the mapping; a new session never
+    sees another session's plans."""
     from claimlens.sources import star
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _STAR_CACHE:
-        _STAR_CACHE[key] = star.tables_from_star(spark, sf_dir)
-    return _STAR_CACHE[key]
+    per_session = _STAR_CACHE.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = star.tables_from_star(spark, sf_dir)
+    return per_session[key]
