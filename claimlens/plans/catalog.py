@@ -10,16 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG
 from claimlens.functions.lineage import release
-from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
+from claimlens.operators import escalation, excluded, home_health, official, outlier
 from claimlens.operators.excluded import RESULT_COLUMNS as S1_COLUMNS
 from claimlens.operators.rollups import provider_month
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.plans.session import apply_session_conf
-from claimlens.sources import star
 from claimlens.sources.tables import ClaimsTables, load_star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
