@@ -82,8 +82,11 @@ def to_double(c: Column | str) -> Column:
 
 
 def round4(c: Column | str) -> Column:
-    """Computed doubles (ratios, averages, rates) are reported at 4 decimals."""
-    return F.round(col_or_name(c), 4)
+    """Computed doubles (ratios, averages, rates) are reported at 4 decimals,
+    rounded half-up on their decimal value (via DECIMAL(38,6)), so a tie such
+    as 587.46625 rounds the same in every engine instead of depending on the
+    binary approximation of the double."""
+    return F.round(col_or_name(c).try_cast("decimal(38,6)"), 4).cast("double")
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
