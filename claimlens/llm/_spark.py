@@ -116,6 +116,9 @@ def in_sketch(sketch: bytes, slots: np.ndarray) -> np.ndarray:
 def bounded_sample(df: DataFrame, hashed: str, limit: int) -> DataFrame:
     """A seeded part of ``df`` of about nine tenths of ``limit`` rows, all of it if
     it is smaller: the rows whose 64-bit hash column is below a cut."""
-    n = df.count()
-    cut = int(min(1.0, 0.9 * limit / max(n, 1)) * 2 ** 64) - 2 ** 63 if n > limit else 2 ** 63
-    return df.where(F.col(hashed) <= F.lit(cut - 1))
+    return df.where(F.col(hashed) <= F.lit(hash_cut(0.9 * limit, df.count())))
+
+
+def hash_cut(wanted: float, of: int) -> int:
+    """The 64-bit hash value up to which about ``wanted`` of ``of`` rows lie (at most all)."""
+    return min(int(2 ** 64 * wanted / max(of, 1)), 2 ** 64 - 1) - 2 ** 63

@@ -191,3 +191,6 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def inside(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Keys that are equal only within the same document of a block."""
     return mix(keys + (doc.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
+LETTER_ASCII = table_of(bytes(range(65, 91)) + bytes(range(97, 123)))

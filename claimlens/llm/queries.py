@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlens.llm import decontaminate, mixing, quality_rules, record_files, simhash
+from claimlens.llm import decontaminate, language_id, mixing, pii, quality_rules, record_files, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _fold(parts: int):
+    """crc32 of doc_id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, _fold(3) != 1)
+    found = language_id.predict(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_files.read(record_files.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+                        F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"),
+                        pii.written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return simhash.classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,12 +64,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest_match")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        "worst", "worst_start", "worst_end")
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
 
 # Water-filling in rounds: each round clamps every source above its limit and shares
