@@ -90,10 +90,10 @@ def _slot(column) -> object:
     return F.pmod(F.xxhash64(column), F.lit(SKETCH_BITS))
 
 
-def document_sketch(ids: DataFrame, column: str = "doc_id") -> bytes:
+def document_sketch(ids: DataFrame, column: str = "doc_id", slot=None) -> bytes:
     """A one-hash Bloom filter over ``ids``: SKETCH_BITS bits, whatever the input.
     It may say yes for an id that is not there, never no for one that is."""
-    slot = _slot(F.col(column)) + 1     # the bitmap functions count from 1
+    slot = (_slot(F.col(column)) if slot is None else slot) + 1     # the bitmap functions count from 1
     rows = (ids.groupBy(F.bitmap_bucket_number(slot).alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
     out = bytearray(SKETCH_BITS // 8)

@@ -147,8 +147,9 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     at, have = np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        left, right = at[:len(at) - step], at[step:]
-        at = np.where(values[left] <= values[right], left, right)
+        n = len(values) - step
+        left = values[:n] <= values[step:]
+        at, values = np.where(left, at[:n], at[step:]), np.where(left, values[:n], values[step:])
         have += step
     return at
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlens.llm import decontaminate, language_id, mixing, pii, quality_rules, record_files, simhash, substring_dedup, toxicity
+from claimlens.llm import decontaminate, language_id, mixing, pii, quality_rules, record_files, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "worst", "worst_start", "worst_end")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -86,6 +90,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 # Water-filling in rounds: each round clamps every source above its limit and shares
