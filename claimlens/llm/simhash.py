@@ -108,7 +108,7 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) from (doc_id, fingerprint)."""
+    """``prints`` (doc_id, fingerprint and other columns) with component_id."""
     prints = stored(prints, "simhash_prints")
     nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "simhash_nodes")
     groups = components(links(nodes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
@@ -120,9 +120,11 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least doc_id
-    (a row without an id stays only if its group has no id at all). If several rows
-    have that id, they all stay: they are one document."""
-    name, group = free_name(docs, "simhash"), free_name(docs, "simhash_group")
-    groups = classes(fingerprints(docs.select("doc_id", "text"), size, ["doc_id"]), radius)
-    first = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(group), F.lit(1).alias(name)).distinct())
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(group)), "left_semi")
+    (one without an id only if its group has no id at all). Rows with the same doc_id and
+    text are one document and stay together."""
+    name, group = free_name(docs, "simhash_body"), free_name(docs, "simhash_group")
+    body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    prints = fingerprints(docs.select("doc_id", "text", body.alias("body")), size, ["doc_id", "body"])
+    first = classes(prints, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias(group), F.col("body").alias(name)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(group)) & (body == F.col(name)), "left_semi")
