@@ -17,7 +17,9 @@ the manifest says which. A task that runs again writes new files, and files with
 in the manifest are never read, so lost executors and repeated tasks do no harm.
 
 Words between white space are encoded once per worker and kept in a bounded memo; the
-tokenizer cuts at white space itself, so this gives the ids of the whole text.
+tokenizer cuts at white space itself, so this gives the ids of the whole text. Before that,
+what the tokenizer does anyway is done to the bytes, so that fewer words differ: letters in
+lower case (not those before a combining mark), and a space where a letter meets punctuation.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first;
 rows with the same doc_id are sequences of their own, next to each other; an empty table
@@ -30,6 +32,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ MASK_DELTA = 0xA282EAD8
 HEADER = 16
 INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
 #: a worker keeps the ids of at most so many words, each of at most so many bytes
-MEMO_WORDS, MEMO_BYTES = 500_000, 64
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
 #: stands between words that are encoded together; its own piece, hence its own ids
 MARK = "\x01"
 
@@ -63,6 +66,33 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+_PUNCT = t.table_of(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")      # no apostrophe: it may start a piece with letters
+_ASCII = t.table_of(bytes(range(97, 123)))
+#: special tokens begin so; a text with one stays as it is
+SPECIAL = b"<|"
+
+
+def simplified(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with the case folded and letters parted from punctuation, where that
+    leaves the ids as they are: ASCII and the Latin-1 letters (0xC3 and a second byte)."""
+    n = len(data)
+    if not n or SPECIAL in data.tobytes():
+        return data, offsets
+    after = np.append(data[1:], np.uint8(32))
+    before = np.append(np.uint8(32), data[:-1])
+    calm = (after < 0x80) | (after == 0xC3)
+    second = (before == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
+    out = data.copy()
+    out[(data >= 65) & (data <= 90) & calm] += 32
+    out[second & (data <= 0x9E) & calm] += 32
+    lead = np.append(second[1:], False)         # the first byte of a Latin-1 letter
+    ascii_letter = _ASCII[t.LOWER[data]]
+    ends, begins, mark = ascii_letter | second, ascii_letter | lead, _PUNCT[data]
+    cut = np.flatnonzero((ends[:-1] & mark[1:]) | (mark[:-1] & begins[1:])) + 1
+    shift = np.searchsorted(cut, offsets)
+    return np.insert(out, cut, 32), offsets + shift
+
+
 class WordEncoder:
     """Ids of whole texts by the ids of their words."""
 
@@ -125,18 +155,20 @@ class WordEncoder:
             first[i + 1] = len(words)
         if len(self.memo) > MEMO_WORDS:
             self._forget()
-        distinct = set(words)
-        long = [w for w in distinct if len(w) > MEMO_BYTES]
-        new = [w for w in distinct.difference(self.memo) if len(w) <= MEMO_BYTES]
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = {words[i] for i in missing}
+        long = [w for w in new if len(w) > MEMO_BYTES]
+        new = new.difference(long)
         if new:
-            self._remember(new)
+            self._remember(list(new))
         if not long:
-            at = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+            at[missing] = [self.memo[words[i]] for i in missing]
             start, count, pool = self.first[at], self.count[at], self.ids
         else:       # long words stand behind the memo for this call alone
             parts = self._encode(long)
             where = {w: i for i, w in enumerate(long)}
-            at = np.fromiter((self.memo[w] if w in self.memo else -1 - where[w] for w in words), np.int64, len(words))
+            at[missing] = [self.memo[w] if w in self.memo else -1 - where[w] for w in (words[i] for i in missing)]
             counts = np.array([len(p) for p in parts], np.int64)
             begin = self.used + np.cumsum(counts) - counts
             pool = np.concatenate([self.ids[:self.used], *parts])
@@ -178,7 +210,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, root: str | None = N
         at = total = records = 0
         first_id = None
         for block in t.blocks(batches):
-            raw, off = block.data.tobytes(), block.offsets.tolist()
+            data, off = simplified(block.data, block.offsets)
+            raw, off = data.tobytes(), off.tolist()
             ids, begin = enc.encode([raw[a:b] for a, b in zip(off, off[1:])])
             end = np.array([end_id], enc.type)
             doc_ids = block.column("doc_id")
