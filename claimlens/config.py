@@ -47,12 +47,10 @@ class SignalConfig:
     min_peers: int = 10
     median_quantile: float = 0.50
     outlier_quantile: float = 0.99
-    # "exact" = exact percentile (linear interpolation): one pass when the
-    #   largest peer group holds <= max_quantile_group_rows providers, else
-    #   the skew-safe distributed method; "exact_distributed" always the
-    #   latter; "approx" = percentile_approx sketch (bounded memory, one pass)
+    # "exact" = exact percentile (linear interpolation) by a distributed
+    #   selection; on request "builtin" (a group's values in one task) and
+    #   "approx" (percentile_approx sketch, bounded memory, one pass)
     quantile_method: str = "exact"
-    max_quantile_group_rows: int = 500_000
     approx_accuracy: int = 10000
     # rapid escalation
     enumeration_window_months: int = 24

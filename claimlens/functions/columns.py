@@ -77,10 +77,6 @@ def dollars(c: Column | str) -> Column:
     return col_or_name(c).cast("double") / F.lit(100.0)
 
 
-def to_double(c: Column | str) -> Column:
-    return col_or_name(c).cast("double")
-
-
 def round4(c: Column | str) -> Column:
     """Computed doubles (ratios, averages, rates) are reported at 4 decimals,
     rounded half-up on their decimal value (via DECIMAL(38,6)), so a tie such

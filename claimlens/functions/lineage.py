@@ -25,7 +25,6 @@ from claimlens.plans.session import ensure_checkpoint_dir
 
 
 _TRACKED: list[DataFrame] = []
-_VIEWS: list[tuple[object, str]] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -36,42 +35,61 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
-def view(df: DataFrame, prefix: str) -> str:
-    """Register ``df`` as a uniquely named temp view for SQL text and return
-    the name. (``spark.sql(text, name=df)`` would drop its temporary view
-    right after analysis, and dropping a view uncaches a persisted ``df``.)"""
-    name = f"claimlens_{prefix}_{uuid.uuid4().hex[:10]}"
-    df.createOrReplaceTempView(name)
-    _VIEWS.append((df.sparkSession, name))
-    return name
-
-
 def release() -> None:
-    """Drop every cache taken with ``keep`` and every view made by ``view``.
-    Only speed is affected: a plan that still references a released cache
+    """Drop every cache taken with ``keep``. Only speed is affected: a plan that still references a released cache
     recomputes it from its inputs."""
-    while _VIEWS:
-        spark, name = _VIEWS.pop()
-        spark.catalog.dropTempView(name)
     while _TRACKED:
         _TRACKED.pop().unpersist()
 
 
-def default_buckets(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_STORED: list[tuple[object, str | None, str]] = []
+
+# Bytes of input per bucket of a stored table, and the range of the resulting
+# number of buckets.
+BUCKET_BYTES = 128 * 1024 * 1024
+BUCKETS_RANGE = (8, 20_000)
+
+
+def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Number of buckets for tables derived from ``df``, from the bytes of the
+    files it reads (the optimizer's estimate of a join is a product, and says
+    nothing). Tables that are joined with each other take the same number."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(max(-(-size // bucket_bytes), BUCKETS_RANGE[0]), BUCKETS_RANGE[1])
 
 
 def materialize(df: DataFrame, name: str = "stage", bucket_by: str | None = None,
                 buckets: int | None = None) -> DataFrame:
+    """``df`` written once and read back. ``buckets`` (with ``bucket_by``) defaults
+    to ``buckets_for(df)``."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     tag = f"{name}_{uuid.uuid4().hex[:12]}"
     path = f"{root}/claimlens/{tag}"
     if bucket_by is None:
         df.write.mode("error").parquet(path)
+        _STORED.append((spark, None, path))
         return spark.read.schema(df.schema).parquet(path)
-    n = buckets or default_buckets(spark)
+    n = buckets or buckets_for(df)
     table = f"claimlens_{tag}"
     (df.repartition(n, bucket_by)
        .write.mode("error").bucketBy(n, bucket_by).option("path", path).saveAsTable(table))
+    _STORED.append((spark, table, path))
     return spark.table(table)
+
+
+def stored_count() -> int:
+    return len(_STORED)
+
+
+def drop_stored(keep_first: int = 0) -> None:
+    """Drop the tables and files that ``materialize`` wrote, but for the first
+    ``keep_first``: at the end of a run, when no plan needs them any more."""
+    while len(_STORED) > keep_first:
+        spark, table, path = _STORED.pop()
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -16,7 +16,8 @@ statistics with bounded work per task:
    group's distinct values) to read the exact values at the target ranks
 6. interpolate.
 
-The result is exact; the sketch only decides how the work is split.
+The result is exact; the sketch only decides how the work is split. NULL values
+count as members of their group and take no part in its quantiles.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.functions.lineage import materialize
+
 
 def builtin_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                             quantiles: Sequence[float], names: Sequence[str],
@@ -37,7 +40,7 @@ def builtin_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col:
     for q, name in zip(quantiles, names):
         expr = F.percentile_approx(v, q, accuracy) if approx else F.percentile(v, F.lit(q))
         aggs.append(expr.alias(name))
-    return df.groupBy(*group_cols).agg(F.count(v).alias(count_name), *aggs)
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(count_name), *aggs)
 
 
 def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -45,10 +48,13 @@ def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: s
                           count_name: str = "n", buckets: int = 256,
                           accuracy: int = 10000) -> DataFrame:
     g = list(group_cols)
-    vals = df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    vals = df.select(*g, F.col(value_col).cast("double").alias("_v"))
 
-    # 1. distinct values with multiplicity (hashed on group *and* value)
-    vc = vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # 1. distinct values with multiplicity (hashed on group *and* value), stored:
+    #    the sketch, the buckets and the located values all read it
+    every = materialize(vals.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")), "distinct_values")
+    members = every.groupBy(*g).agg(F.sum("_c").alias(count_name))
+    vc = every.where(F.col("_v").isNotNull())
 
     # 2. per group: size, split points, and the 0-based target ranks
     #    floor/ceil of q * (n - 1) for every quantile (target 2i = floor, 2i+1 = ceil)
@@ -86,44 +92,25 @@ def exact_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: s
 
     # 6. interpolate between the floor and ceil values
     agg = hits.groupBy(*g).agg(
-        F.first("_n").alias(count_name),
+        F.first("_n").alias("_n"),
         *[F.max(F.when(F.col("_hit.i") == j, F.col("_v"))).alias(f"_x{j}") for j in range(2 * len(quantiles))])
     out = [F.col(c) for c in g] + [F.col(count_name)]
     for i, name in enumerate(names):
         lo, hi = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
         frac = pos[i] - F.floor(pos[i])
         out.append((lo + frac * (hi - lo)).alias(name))
-    return agg.withColumn("_n", F.col(count_name)).select(*out)
-
-
-def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Row count of the biggest group (one small aggregate, one scalar back)."""
-    row = df.groupBy(*group_cols).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+    return members.join(agg, g, "left").select(*out)
 
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     quantiles: Sequence[float], names: Sequence[str], count_name: str = "n",
-                    method: str = "exact", accuracy: int = 10000,
-                    max_group_rows: int = 500_000, group_size_bound: int | None = None) -> DataFrame:
-    """``exact``: the one-pass ``percentile`` when the largest group is proven
-    to hold at most ``max_group_rows`` values (its value map then has a known
-    bound per task), otherwise the distributed exact method above.
-    ``group_size_bound`` is a caller-supplied upper bound on the largest
-    group (e.g. from a smaller dimension table); without it the input is
-    counted. ``exact_distributed`` forces the latter; ``approx`` uses the sketch."""
+                    method: str = "exact", accuracy: int = 10000) -> DataFrame:
+    """``exact``: the distributed method above, whatever the sizes. On request:
+    ``builtin``, Spark's one-pass ``percentile`` (a group's values in one task),
+    and ``approx``, its sketch."""
     if method == "exact":
-        bound = largest_group(df, group_cols) if group_size_bound is None else group_size_bound
-        if bound <= max_group_rows:
-            method = "builtin"
-        else:
-            method = "exact_distributed"
-    if method == "exact_distributed":
-        return exact_group_quantiles(df, group_cols, value_col, quantiles, names, count_name,
-                                     accuracy=accuracy)
-    if method == "builtin":
-        return builtin_group_quantiles(df, group_cols, value_col, quantiles, names, count_name)
-    if method == "approx":
+        return exact_group_quantiles(df, group_cols, value_col, quantiles, names, count_name, accuracy=accuracy)
+    if method in ("builtin", "approx"):
         return builtin_group_quantiles(df, group_cols, value_col, quantiles, names, count_name,
-                                       approx=True, accuracy=accuracy)
+                                       approx=method == "approx", accuracy=accuracy)
     raise ValueError(f"unknown quantile method {method!r}")

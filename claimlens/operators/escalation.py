@@ -6,7 +6,7 @@ average is compared with the same average 3 rows earlier; from rank 6 on a
 growth above 200 % flags the provider.
 
 All windows are partitioned by NPI over the (npi, month) rollup, so a
-partition holds at most one provider's months; the three windows share one
+partition holds at most one provider's months; the windows share one
 exchange and one sort.
 """
 
@@ -21,11 +21,15 @@ from claimlens.operators.rollups import provider_month
 from claimlens.sources.tables import ClaimsTables
 
 
+def _by_month():
+    return Window.partitionBy("npi").orderBy(F.asc_nulls_last("month"))
+
+
 def _ranked_months(months: DataFrame) -> DataFrame:
-    by_npi = Window.partitionBy("npi")
-    by_month = Window.partitionBy("npi").orderBy("month")
-    return (months.withColumn("first_billing_month", F.min("month").over(by_npi))
-                  .withColumn("month_rank", F.row_number().over(by_month)))
+    # months in order, a NULL month last; the running minimum over that order is
+    # the first month, so both values come from one window
+    return (months.withColumn("first_billing_month", F.min("month").over(_by_month()))
+                  .withColumn("month_rank", F.row_number().over(_by_month())))
 
 
 def escalation_growth(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
@@ -48,7 +52,7 @@ def escalation_growth(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
         & (F.col("enum_ym") <= F.col("first_billing_month"))
         & (F.col("first_billing_month") <= F.col("enum_plus_ym"))
         & (F.col("month_rank") <= cfg.first_billed_months))
-    w = Window.partitionBy("npi").orderBy("month")
+    w = _by_month()
     rolled = eligible.withColumn(
         "rolling_avg", F.avg("monthly_paid").over(w.rowsBetween(-(cfg.rolling_rows - 1), 0)))
     rolled = rolled.withColumn("prev_rolling_avg", F.lag("rolling_avg", cfg.growth_lag_rows).over(w))
@@ -57,35 +61,44 @@ def escalation_growth(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     return rolled.withColumn("growth_pct", F.when(counted, growth).otherwise(F.lit(0.0)))
 
 
-def rapid_escalation(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                     pm: DataFrame | None = None) -> DataFrame:
+def escalation_records(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+                       pm: DataFrame | None = None) -> DataFrame:
+    """S3 with unrounded values."""
     g = escalation_growth(tables, cfg, pm)
+    zero = F.lit(0.0)
     excess = F.when(F.col("growth_pct") > cfg.growth_pct_threshold, F.col("monthly_paid")).otherwise(0.0)
     agg = g.groupBy("npi").agg(
         F.max("growth_pct").alias("max_growth"),
-        F.max("monthly_paid").alias("peak_monthly_paid"),
+        F.max("monthly_paid").alias("peak"),
         F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
         F.min("enum_date_raw").alias("enum_date"),
-        F.sum("monthly_paid").alias("total_paid_12mo"),
-        F.sum(excess).alias("total_paid_excess_growth_months"))
+        F.sum("monthly_paid").alias("paid"),
+        F.sum(excess).alias("excess"))
     return (agg.where(F.col("max_growth") > cfg.growth_pct_threshold)
-               .select("npi",
-                       round4("max_growth").alias("max_growth_pct"),
-                       "peak_monthly_paid", "first_month", "last_month", "enum_date",
-                       round4("total_paid_12mo").alias("total_paid_12mo"),
-                       round4("total_paid_excess_growth_months").alias("total_paid_excess_growth_months"),
+               .select("npi", F.col("max_growth").alias("max_growth_pct"),
+                       F.coalesce("peak", zero).alias("peak_monthly_paid"), "first_month", "last_month", "enum_date",
+                       F.coalesce("paid", zero).alias("total_paid_12mo"),
+                       F.coalesce("excess", zero).alias("total_paid_excess_growth_months"),
                        F.col("first_month").alias("first_billing_month")))
 
 
+def rounded(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: round4(c) for c in ("max_growth_pct", "total_paid_12mo", "total_paid_excess_growth_months")})
+
+
+def rapid_escalation(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+                     pm: DataFrame | None = None) -> DataFrame:
+    return rounded(escalation_records(tables, cfg, pm))
+
+
 def escalation_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                       pm: DataFrame | None = None, flagged: DataFrame | None = None) -> DataFrame:
     """S3d: first 12 billed months (npi, month, monthly_paid) of flagged NPIs,
     long form (the report folds it into a month -> amount map)."""
     pm = provider_month(tables.spending) if pm is None else pm
     flagged = rapid_escalation(tables, cfg, pm) if flagged is None else flagged
-    w = Window.partitionBy("npi").orderBy("month")
     ranked = (pm.join(flagged.select("npi"), "npi", "left_semi")
-                .withColumn("month_rank", F.row_number().over(w)))
+                .withColumn("month_rank", F.row_number().over(_by_month())))
     return (ranked.where(F.col("month_rank") <= cfg.first_billed_months)
-                  .select("npi", "month", dollars("paid").alias("monthly_paid")))
+                  .select("npi", "month", F.coalesce(dollars("paid"), F.lit(0.0)).alias("monthly_paid")))

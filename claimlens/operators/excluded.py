@@ -6,10 +6,10 @@ providers by normalised (last, first, state) and then to claims. A claim
 counts from the exclusion month (inclusive) until the reinstatement month
 (exclusive), comparing 'YYYY-MM' text.
 
-Plan: both tiers become one small key table (npi, tier, exclusion window),
-joined once against the claims fact exploded into its two roles. The key
-table gets a count-checked broadcast, so the fact is scanned once and never
-shuffled; only the tiny matched remainder is aggregated.
+Plan: the test depends on a claim's NPI and month alone, so each role is
+summed per (NPI, month) first, with map-side partial sums, and only those
+monthly sums meet the exclusion keys. The billing leg is the rollup that the
+other signals use too.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
 from claimlens.functions.columns import dollars, norm_key, paid_cents, ym_from_yyyymmdd
-from claimlens.functions.joins import broadcast_if_bounded
+from claimlens.operators.rollups import provider_month
 from claimlens.sources.tables import ClaimsTables
 
 TIER_NPI = 1
 TIER_NAME = 2
 
+# fixed values: output column names and role labels
 RESULT_COLUMNS = ["npi", "excl_date", "excl_type", "match_role",
                   "total_paid_after_exclusion", "total_claims_after_exclusion",
                   "first_claim_month", "last_claim_month"]
@@ -57,39 +58,35 @@ def exclusion_keys(tables: ClaimsTables) -> DataFrame:
     return tier1.unionByName(tier2)
 
 
-def claim_roles(spending: DataFrame, count_rows_once: bool = False) -> DataFrame:
-    """Each claim row once per role: (role, npi, month, paid, claims).
-
-    With ``count_rows_once`` the servicing leg is dropped when it names the
-    same NPI as the billing leg, so such a row counts once."""
-    billing = F.struct(F.lit("billing").alias("role"), F.col(S.BILLING_NPI).alias("npi"))
-    serv_npi = F.col(S.SERVICING_NPI)
+def servicing_month(spending: DataFrame, count_rows_once: bool = False) -> DataFrame:
+    """(npi, month) -> paid, claims by servicing NPI. With ``count_rows_once``
+    rows that name the same NPI as the billing one are left out: the billing
+    leg has them."""
+    serv = F.col(S.SERVICING_NPI)
+    rows = spending.where(serv.isNotNull())
     if count_rows_once:
-        serv_npi = F.when(serv_npi != F.col(S.BILLING_NPI), serv_npi)
-    servicing = F.struct(F.lit("servicing").alias("role"), serv_npi.alias("npi"))
-    return (spending
-            .select(F.explode(F.array(billing, servicing)).alias("r"),
-                    F.col(S.CLAIM_MONTH).alias("month"), paid_cents(S.TOTAL_PAID).alias("paid"),
-                    F.col(S.TOTAL_CLAIMS).alias("claims"))
-            .select("r.role", "r.npi", "month", "paid", "claims")
-            .where(F.col("npi").isNotNull()))
-
-
-def excluded_matches(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                     keys: DataFrame | None = None) -> DataFrame:
-    keys = broadcast_if_bounded(exclusion_keys(tables) if keys is None else keys)
-    roles = claim_roles(tables.spending, cfg.count_rows_once)
-    in_window = ((F.col("month") >= F.col("excl_ym"))
-                 & (F.col("rein_ym").isNull() | (F.col("month") < F.col("rein_ym"))))
-    return roles.join(keys, "npi").where(in_window)
+        rows = rows.where(~serv.eqNullSafe(F.col(S.BILLING_NPI)))
+    return (rows.groupBy(serv.alias("npi"), F.col(S.CLAIM_MONTH).alias("month"))
+                .agg(F.sum(paid_cents(S.TOTAL_PAID)).alias("paid"), F.sum(S.TOTAL_CLAIMS).alias("claims")))
+
+
+def role_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG, pm: DataFrame | None = None) -> DataFrame:
+    """(role, npi, month, paid, claims) for both roles."""
+    pm = provider_month(tables.spending) if pm is None else pm
+    cols = ["npi", "month", "paid", "claims"]
+    billing = pm.where(F.col("npi").isNotNull()).select(F.lit("billing").alias("role"), *cols)
+    servicing = servicing_month(tables.spending, cfg.count_rows_once).select(F.lit("servicing").alias("role"), *cols)
+    return billing.unionByName(servicing)
 
 
 def excluded_provider(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                      tiers: tuple[int, ...] = (TIER_NPI, TIER_NAME)) -> DataFrame:
+                      tiers: tuple[int, ...] = (TIER_NPI, TIER_NAME), pm: DataFrame | None = None) -> DataFrame:
     keys = exclusion_keys(tables)
     if tuple(tiers) != (TIER_NPI, TIER_NAME):
         keys = keys.where(F.col("tier").isin(*tiers))
-    m = excluded_matches(tables, cfg, keys)
+    in_window = ((F.col("month") >= F.col("excl_ym"))
+                 & (F.col("rein_ym").isNull() | (F.col("month") < F.col("rein_ym"))))
+    m = role_months(tables, cfg, pm).join(keys, "npi").where(in_window)
     # one aggregation per (tier, npi): sums over both roles and all matching
     # exclusion records, as the studied two-level aggregation computes
     agg = m.groupBy("tier", "npi").agg(

@@ -24,13 +24,13 @@ OFFICIAL_KEY = ["off_last", "off_first"]
 
 
 def official_npis(tables: ClaimsTables) -> DataFrame:
-    """(off_last, off_first, npi, org_name, state) for organisation rows."""
+    """(off_last, off_first, npi, state) for organisation rows."""
     reg = tables.registry
     return (reg.where(nonblank("auth_off_last") & nonblank("auth_off_first")
                       & (F.col("entity_type") == ENTITY_ORGANIZATION))
                .select(norm_key("auth_off_last").alias("off_last"),
                        norm_key("auth_off_first").alias("off_first"),
-                       "npi", "org_name", "state"))
+                       "npi", "state"))
 
 
 def official_groups(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
@@ -60,7 +60,7 @@ def shared_official(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                   .where(dollars("paid") > F.lit(cfg.min_official_combined_paid))
                   .select(*OFFICIAL_KEY, "npi_count", "states",
                           dollars("paid").alias("combined_total_paid"),
-                          F.col("claims").cast("bigint").alias("combined_total_claims")))
+                          F.coalesce(F.col("claims"), F.lit(0)).cast("bigint").alias("combined_total_claims")))
 
 
 def official_members(tables: ClaimsTables, flagged: DataFrame) -> DataFrame:

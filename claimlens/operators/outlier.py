@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
 from claimlens.functions.columns import dollars, nonblank, round4, safe_ratio
-from claimlens.functions.quantiles import group_quantiles, largest_group
+from claimlens.functions.lineage import materialize
+from claimlens.functions.quantiles import group_quantiles
 from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.sources.tables import ClaimsTables
 
@@ -32,35 +33,34 @@ def peer_group_stats(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     groups = ["taxonomy", "state"]
     eligible = (peers.where(nonblank("taxonomy") & nonblank("state"))
                      .select(*groups, dollars("paid").alias("paid_d")))
-    bound = None
-    if cfg.quantile_method == "exact":
-        # a peer group never holds more providers than the registry has rows
-        # for its (taxonomy, state): bound the group size from the registry
-        # alone instead of re-running the claims rollup to count it
-        bound = largest_group(tables.registry.where(nonblank("taxonomy") & nonblank("state")), groups)
     stats = group_quantiles(eligible, groups, "paid_d",
                             [cfg.median_quantile, cfg.outlier_quantile],
                             ["median_paid", "p99_paid"], count_name="peer_count",
-                            method=cfg.quantile_method, accuracy=cfg.approx_accuracy,
-                            max_group_rows=cfg.max_quantile_group_rows, group_size_bound=bound)
+                            method=cfg.quantile_method, accuracy=cfg.approx_accuracy)
     return (stats.where(F.col("peer_count") >= cfg.min_peers)
                  .select("taxonomy", "state", "median_paid", "p99_paid",
                          F.col("peer_count").cast("bigint").alias("peer_count")))
 
 
-def billing_outlier(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+def outlier_records(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                     pm: DataFrame | None = None) -> DataFrame:
-    peers = provider_peers(tables, pm)
+    """S2 with unrounded values. The providers with their peer group are stored
+    once: the quantiles and the comparison with them read the same rows, so the
+    claims are scanned once."""
+    peers = materialize(provider_peers(tables, pm), "peers")
     stats = peer_group_stats(tables, cfg, peers)
-    flagged = (peers.join(stats, ["taxonomy", "state"])
-                    .where(dollars("paid") > F.col("p99_paid")))
-    return flagged.select(
-        "npi",
-        dollars("paid").alias("total_paid"),
-        F.col("claims").cast("bigint").alias("total_claims"),
-        "taxonomy", "state",
-        round4("median_paid").alias("median_paid"),
-        round4("p99_paid").alias("p99_paid"),
-        "peer_count",
-        round4(safe_ratio(dollars("paid"), F.col("median_paid"))).alias("ratio_to_median"),
-    )
+    return (peers.join(stats, ["taxonomy", "state"])
+                 .where(dollars("paid") > F.col("p99_paid"))
+                 .select("npi", dollars("paid").alias("total_paid"),
+                         F.coalesce(F.col("claims"), F.lit(0)).cast("bigint").alias("total_claims"),
+                         "taxonomy", "state", "median_paid", "p99_paid", "peer_count",
+                         F.coalesce(safe_ratio(dollars("paid"), F.col("median_paid")), F.lit(0.0)).alias("ratio_to_median")))
+
+
+def rounded(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: round4(c) for c in ("median_paid", "p99_paid", "ratio_to_median")})
+
+
+def billing_outlier(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+                    pm: DataFrame | None = None) -> DataFrame:
+    return rounded(outlier_records(tables, cfg, pm))

@@ -32,8 +32,9 @@ def impossible_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     return om.where(F.col("claims_per_hour") > cfg.max_claims_per_hour)
 
 
-def workforce_impossibility(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                            pm: DataFrame | None = None) -> DataFrame:
+def workforce_records(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+                      pm: DataFrame | None = None) -> DataFrame:
+    """S4 with unrounded values."""
     im = impossible_months(tables, cfg, pm)
     claims_d = F.col("monthly_claims").cast("double")
     excess = F.greatest(F.lit(0.0), (claims_d - F.lit(cfg.max_claims_per_month))
@@ -50,13 +51,22 @@ def workforce_impossibility(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CO
                 F.sum("monthly_claims").alias("total_claims_impossible"),
                 F.sum("monthly_paid").alias("total_paid_impossible"),
                 F.sum(excess).alias("estimated_overpayment")))
+    zero = F.lit(0.0)
     return agg.select(
         "npi",
         F.col("max_monthly_claims").cast("bigint").alias("max_monthly_claims"),
-        "peak_month",
-        round4("implied_claims_per_hour").alias("implied_claims_per_hour"),
-        "total_paid_peak_month",
+        "peak_month", "implied_claims_per_hour",
+        F.coalesce("total_paid_peak_month", zero).alias("total_paid_peak_month"),
         F.col("impossible_months_count").cast("bigint").alias("impossible_months_count"),
         F.col("total_claims_impossible").cast("bigint").alias("total_claims_impossible"),
-        round4("total_paid_impossible").alias("total_paid_impossible"),
-        round4("estimated_overpayment").alias("estimated_overpayment"))
+        F.coalesce("total_paid_impossible", zero).alias("total_paid_impossible"),
+        F.coalesce("estimated_overpayment", zero).alias("estimated_overpayment"))
+
+
+def rounded(records: DataFrame) -> DataFrame:
+    return records.withColumns({c: round4(c) for c in ("implied_claims_per_hour", "total_paid_impossible", "estimated_overpayment")})
+
+
+def workforce_impossibility(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
+                            pm: DataFrame | None = None) -> DataFrame:
+    return rounded(workforce_records(tables, cfg, pm))

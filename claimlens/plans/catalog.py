@@ -1,6 +1,7 @@
 """Named queries over the driver's star tables: one per operator of the
-inventory. Each takes (spark, sf_dir) and returns a lazy DataFrame whose
-work grows with the input tables. Outputs are flat (lists in long form or
+inventory. Each takes (spark, sf_dir) and returns a DataFrame whose work
+grows with the input tables. Queries that read a derived table more than once
+write it when they are built. Outputs are flat (lists in long form or
 joined to text) so they compare value-by-value against SQL."""
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG
-from claimlens.functions.lineage import release
+from claimlens.functions.columns import round4
+from claimlens.functions.lineage import materialize, release
 from claimlens.operators import escalation, excluded, home_health, official, outlier
 from claimlens.operators.excluded import RESULT_COLUMNS as S1_COLUMNS
-from claimlens.operators.rollups import provider_month
+from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.plans.session import apply_session_conf
@@ -67,7 +69,6 @@ def q_excluded_provider(spark, sf_dir):
 
 
 def q_peer_group_stats(spark, sf_dir):
-    from claimlens.functions.columns import round4
     return (outlier.peer_group_stats(_tables(spark, sf_dir))
             .withColumn("median_paid", round4("median_paid")).withColumn("p99_paid", round4("p99_paid")))
 
@@ -82,6 +83,7 @@ def q_rapid_escalation(spark, sf_dir):
 
 def q_escalation_months(spark, sf_dir):
     ss = _signals(spark, sf_dir)
+    ss.pm = materialize(ss.pm, "provider_month")    # read by the signal and by its months
     return escalation.escalation_months(ss.tables, ss.cfg, ss.pm)
 
 
@@ -100,6 +102,7 @@ def q_shared_official(spark, sf_dir):
 
 def q_official_npi_totals(spark, sf_dir):
     ss = _signals(spark, sf_dir)
+    ss.pm = materialize(ss.pm, "provider_month")
     return official.official_npi_totals(ss.tables, ss.cfg, ss.pm)
 
 
@@ -117,33 +120,27 @@ def q_home_health_months(spark, sf_dir):
 
 
 # --- flags and report -------------------------------------------------------
-def _flags(spark, sf_dir) -> DataFrame:
-    return _signals(spark, sf_dir, materialize=True).flags_by_npi()
-
-
 def q_all_flags(spark, sf_dir):
     """One row per signal record (before the fan-out to member NPIs)."""
-    f = _flags(spark, sf_dir)
-    return (f.where(F.col("signal_type") != "shared_official")
-             .select("signal_type", F.col("order_key").alias("flag_key"), "severity", "overpayment")
-             .unionByName(f.where(F.col("signal_type") == "shared_official")
-                           .select("signal_type", F.col("order_key").alias("flag_key"), "severity", "overpayment")
-                           .distinct()))
+    return (_signals(spark, sf_dir, materialize=True).flag_records()
+            .select("signal_type", F.col("order_key").alias("flag_key"), "severity",
+                    round4("overpayment").alias("overpayment")))
 
 
 def q_flag_severity(spark, sf_dir):
-    return (q_all_flags(spark, sf_dir).groupBy("signal_type", "severity")
+    return (_signals(spark, sf_dir, materialize=True).flag_records().groupBy("signal_type", "severity")
             .agg(F.count(F.lit(1)).alias("flag_count")))
 
 
 def q_flag_overpayment(spark, sf_dir):
-    return (q_all_flags(spark, sf_dir).groupBy("signal_type")
+    return (_signals(spark, sf_dir, materialize=True).flag_records().groupBy("signal_type")
             .agg(R.money(F.sum("overpayment")).alias("total_overpayment"),
                  R.money(F.max("overpayment")).alias("max_overpayment")))
 
 
 def q_flags_by_npi(spark, sf_dir):
-    return _flags(spark, sf_dir).select("signal_type", "npi", "severity", "overpayment")
+    return (_signals(spark, sf_dir, materialize=True).flags_by_npi()
+            .select("signal_type", "npi", "severity", round4("overpayment").alias("overpayment")))
 
 
 def q_provider_enrichment(spark, sf_dir):
@@ -153,7 +150,7 @@ def q_provider_enrichment(spark, sf_dir):
 
 def q_provider_lifetime_stats(spark, sf_dir):
     ss = _signals(spark, sf_dir, materialize=True)
-    return R.provider_lifetime_stats(ss.pm, R.flagged_npis(ss.flags_by_npi()))
+    return R.provider_lifetime_stats(provider_totals(ss.pm), R.flagged_npis(ss.flags_by_npi()))
 
 
 def q_providers_scanned(spark, sf_dir):
@@ -167,24 +164,26 @@ FLAT_REPORT = ["npi", "provider_name", "entity_type", "taxonomy_code", "state",
 
 
 def q_provider_report(spark, sf_dir):
-    return R.provider_report(_signals(spark, sf_dir, materialize=True)).select(*FLAT_REPORT)
+    return R.provider_report(_signals(spark, sf_dir, materialize=True), evidence=False).select(*FLAT_REPORT)
 
 
 def q_provider_next_steps(spark, sf_dir):
-    return R.provider_next_steps(R.provider_report(_signals(spark, sf_dir, materialize=True)))
+    return R.provider_next_steps(R.provider_report(_signals(spark, sf_dir, materialize=True), evidence=False))
 
 
 def q_report_ranked(spark, sf_dir):
+    """The whole nested report, ranked; a digest of it is returned."""
     rep = R.provider_report(_signals(spark, sf_dir, materialize=True))
     return R.report_ranked(rep).select("rank", "npi", "top_severity", "estimated_overpayment_usd")
 
 
 def q_signal_counts(spark, sf_dir):
-    return R.signal_counts(_signals(spark, sf_dir, materialize=True))
+    return R.signal_counts(_signals(spark, sf_dir, materialize=True).flag_records())
 
 
 def q_report_summary(spark, sf_dir):
-    return R.report_summary(_signals(spark, sf_dir, materialize=True))
+    ss = _signals(spark, sf_dir, materialize=True)
+    return R.report_summary(ss.pm, ss.flags_by_npi())
 
 
 QUERIES: dict[str, Query] = {

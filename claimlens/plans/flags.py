@@ -1,8 +1,15 @@
 """Every signal's records as one long flag table.
 
-``flag_records``: one row per signal record (what the signal counts report).
+``flag_records``: one row per signal record, with severity and overpayment,
+without evidence (what the signal counts report).
 ``flags_by_npi``: the records fanned out to NPIs; a shared-official record
-goes to every member NPI through the long-form membership table.
+goes to every member NPI through the long-form membership table. A record
+without an NPI belongs to no provider and stops here.
+``flags_with_evidence``: the same rows with each flag's evidence as JSON, for
+the report.
+
+Severity and overpayment are decided on unrounded values; evidence shows the
+rounded ones.
 
 Ordering inside the report ("first of equals") follows the run order of the
 signals and each signal's own result order; both are carried as sortable
@@ -18,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.config import DEFAULT_CONFIG, SEVERITY_RANK, SIGNAL_ORDER, SignalConfig
-from claimlens.functions.lineage import keep, materialize, view
+from claimlens.functions.lineage import buckets_for, keep, materialize
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from claimlens.operators.rollups import (claims_rollup, home_health_code_pairs, home_health_month,
                                         home_health_month_from_rollup, provider_month,
@@ -42,14 +49,16 @@ class SignalSet:
         consumer reuses one computed copy (a lost block is rebuilt from the
         bucket files, not from the fact)."""
         self.cfg = cfg
+        buckets = buckets_for(tables.spending) if materialize_rollups else 0
+        self.buckets = buckets
         self._memo: dict[str, DataFrame] = {}
         self._keep = materialize_rollups
         if materialize_rollups:
             tables = ClaimsTables(
                 spending=tables.spending,
-                registry=materialize(tables.registry, "registry", bucket_by="npi"),
+                registry=materialize(tables.registry, "registry", bucket_by="npi", buckets=buckets),
                 exclusions=tables.exclusions)
-            rollup = materialize(claims_rollup(tables.spending, cfg), "claims_rollup", bucket_by="npi")
+            rollup = materialize(claims_rollup(tables.spending, cfg), "claims_rollup", bucket_by="npi", buckets=buckets)
             self.pm = self._persist(provider_month_from_rollup(rollup))
             self.hm = self._persist(home_health_month_from_rollup(rollup))
             self.hh_pairs = home_health_code_pairs(rollup)
@@ -87,118 +96,136 @@ class SignalSet:
             self._memo[name] = self._persist(build())
         return self._memo[name]
 
-    # --- signal results, one per signal (flag records) ---
+    # --- signal results, one per signal (flag records), unrounded ---
     def excluded_provider(self) -> DataFrame:
-        return self._once("s1", lambda: excluded.excluded_provider(self.tables, self.cfg))
+        return self._once("s1", lambda: excluded.excluded_provider(self.tables, self.cfg, pm=self.pm))
 
-    def billing_outlier(self) -> DataFrame:
-        return self._once("s2", lambda: outlier.billing_outlier(self.tables, self.cfg, self.pm))
+    def outlier_records(self) -> DataFrame:
+        return self._once("s2", lambda: outlier.outlier_records(self.tables, self.cfg, self.pm))
 
-    def rapid_escalation(self) -> DataFrame:
-        return self._once("s3", lambda: escalation.rapid_escalation(self.tables, self.cfg, self.pm))
+    def escalation_records(self) -> DataFrame:
+        return self._once("s3", lambda: escalation.escalation_records(self.tables, self.cfg, self.pm))
 
-    def workforce_impossibility(self) -> DataFrame:
-        return self._once("s4", lambda: workforce.workforce_impossibility(self.tables, self.cfg, self.pm))
+    def workforce_records(self) -> DataFrame:
+        return self._once("s4", lambda: workforce.workforce_records(self.tables, self.cfg, self.pm))
 
     def shared_official(self) -> DataFrame:
         return self._once("s5", lambda: official.shared_official(self.tables, self.cfg, self.pm))
 
-    def geographic_implausibility(self) -> DataFrame:
-        return self._once("s6", lambda: home_health.geographic_implausibility(self.tables, self.cfg, self.hm))
+    def home_health_records(self) -> DataFrame:
+        return self._once("s6", lambda: home_health.home_health_records(self.tables, self.cfg, self.hm))
 
-    def result(self, name: str) -> DataFrame:
-        return getattr(self, name)()
+    # --- the same with ratios and sums rounded for display ---
+    def billing_outlier(self) -> DataFrame:
+        return outlier.rounded(self.outlier_records())
+
+    def rapid_escalation(self) -> DataFrame:
+        return escalation.rounded(self.escalation_records())
+
+    def workforce_impossibility(self) -> DataFrame:
+        return workforce.rounded(self.workforce_records())
+
+    def geographic_implausibility(self) -> DataFrame:
+        return home_health.rounded(self.home_health_records())
 
     # --- flag records -> long flags ---
-    def flags_by_npi(self) -> DataFrame:
-        return self._once("flags", self._build_flags)
+    def official_npi_totals(self) -> DataFrame:
+        """S5d, the members of every flagged official, keyed by the official's flag."""
+        totals = official.official_npi_totals(self.tables, self.cfg, self.pm, self.shared_official())
+        return totals.withColumn("flag_id", F.concat_ws("|", F.lit("shared_official"), "off_last", "off_first"))
+
+    def flag_records(self) -> DataFrame:
+        """(signal_type, signal_index, order_value, order_key, flag_id, npi, severity,
+        severity_rank, overpayment): one row per signal record. ``npi`` is NULL for a
+        shared official, whose members are in ``official_npi_totals``."""
+        return self._once("records", self._build_records)
 
-    def _build_flags(self) -> DataFrame:
-        """One SQL statement over the signal results and their detail
-        look-ups (one parse on the driver instead of thousands of Column
-        round-trips). Detail lists are folded per NPI; all are bounded by
-        what one provider can carry (12 months, a state's codes, its months)."""
+    def _build_records(self) -> DataFrame:
         cfg = self.cfg
-        s3 = self.rapid_escalation()
-        s5 = self.shared_official()
-        s6 = self.geographic_implausibility()
-        params = dict(
-            s1=self.excluded_provider(), s2=self.billing_outlier(), s3=s3,
-            s4=self.workforce_impossibility(), s5=s5, s6=s6,
-            months=escalation.escalation_months(self.tables, cfg, self.pm, s3),
-            members=official.official_npi_totals(self.tables, cfg, self.pm, s5),
-            codes=home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs),
-            detail=home_health.home_health_months(self.tables, cfg, self.hm, s6))
-        names = {k: view(v, k) for k, v in params.items()}
-        s1_cols = ", ".join(excluded.RESULT_COLUMNS)
-        rank = " ".join(f"WHEN '{n}' THEN {r}" for n, r in SEVERITY_RANK.items())
-        idx = {name: i + 1 for i, name in enumerate(SIGNAL_ORDER)}
-        sql = f"""
-        WITH month_map AS (
-            SELECT npi, map_from_entries(array_sort(collect_list(struct(month, monthly_paid))))
-                       AS monthly_paid_amounts
-            FROM {names['months']} GROUP BY npi),
-        code_list AS (
-            SELECT npi, array_sort(collect_set(hcpcs_code)) AS hcpcs_codes FROM {names['codes']} GROUP BY npi),
-        month_detail AS (
-            SELECT npi, array_sort(collect_list(struct(month, claims_count, unique_beneficiaries,
-                                                       monthly_paid, ratio))) AS month_detail
-            FROM {names['detail']} GROUP BY npi),
-        f AS (
-            SELECT 'excluded_provider' AS signal_type, {idx['excluded_provider']} AS signal_index,
-                   CAST(tier AS DOUBLE) AS order_value, npi AS order_key,
-                   concat_ws('|', CAST(tier AS STRING), npi) AS flag_id, npi, 'critical' AS severity,
-                   CAST(total_paid_after_exclusion AS DOUBLE) AS overpayment,
-                   to_json(struct({s1_cols}), map('ignoreNullFields', 'false')) AS evidence
-            FROM {names['s1']}
-            UNION ALL
-            SELECT 'billing_outlier', {idx['billing_outlier']}, -coalesce(ratio_to_median, 0.0), npi,
-                   concat_ws('|', npi, taxonomy, state), npi,
-                   CASE WHEN ratio_to_median > {cfg.outlier_high_ratio} THEN 'high' ELSE 'medium' END,
-                   greatest(0.0, total_paid - p99_paid),
-                   to_json(struct(*), map('ignoreNullFields', 'false'))
-            FROM {names['s2']}
-            UNION ALL
-            SELECT 'rapid_escalation', {idx['rapid_escalation']}, -s.max_growth_pct, s.npi, s.npi, s.npi,
-                   CASE WHEN s.max_growth_pct > {cfg.escalation_high_pct} THEN 'high' ELSE 'medium' END,
-                   coalesce(s.total_paid_excess_growth_months, s.total_paid_12mo * 0.5),
-                   to_json(struct(s.*, m.monthly_paid_amounts), map('ignoreNullFields', 'false'))
-            FROM {names['s3']} s LEFT JOIN month_map m ON s.npi = m.npi
-            UNION ALL
-            SELECT 'workforce_impossibility', {idx['workforce_impossibility']}, -implied_claims_per_hour,
-                   npi, npi, npi, 'high', greatest(0.0, estimated_overpayment),
-                   to_json(struct(*), map('ignoreNullFields', 'false'))
-            FROM {names['s4']}
-            UNION ALL
-            SELECT 'shared_official', {idx['shared_official']}, -o.combined_total_paid,
-                   concat_ws('|', o.off_last, o.off_first), concat_ws('|', o.off_last, o.off_first), m.npi,
-                   CASE WHEN o.combined_total_paid > {cfg.official_high_paid} THEN 'high' ELSE 'medium' END,
-                   0.0,
-                   to_json(struct(o.off_last, o.off_first, o.npi_count, o.states, o.combined_total_paid,
-                                  o.combined_total_claims, m.total_paid AS npi_total_paid),
-                           map('ignoreNullFields', 'false'))
-            FROM {names['s5']} o JOIN {names['members']} m ON o.off_last = m.off_last AND o.off_first = m.off_first
-            UNION ALL
-            SELECT 'geographic_implausibility', {idx['geographic_implausibility']}, s.bene_to_claims_ratio,
-                   s.npi, s.npi, s.npi,
-                   CASE WHEN s.bene_to_claims_ratio < {cfg.home_health_high_ratio} THEN 'high' ELSE 'medium' END,
-                   0.0,
-                   to_json(struct(s.*, c.hcpcs_codes, d.month_detail), map('ignoreNullFields', 'false'))
-            FROM {names['s6']} s LEFT JOIN code_list c ON s.npi = c.npi LEFT JOIN month_detail d ON s.npi = d.npi)
-        SELECT signal_type, signal_index, CAST(order_value AS DOUBLE) AS order_value, order_key,
-               concat_ws('|', signal_type, flag_id) AS flag_id, npi, severity,
-               CASE severity {rank} ELSE {SEVERITY_RANK['low']} END AS severity_rank,
-               CAST(overpayment AS DOUBLE) AS overpayment, evidence
-        FROM f"""
-        spark = self.tables.spending.sparkSession
-        return spark.sql(sql)
+        zero, none = F.lit(0.0), F.lit(None).cast("string")
+        npi, official_key = F.col("npi"), F.concat_ws("|", "off_last", "off_first")
+
+        def part(name, df, order, key, flag_key, who, severity, overpayment):
+            return df.select(
+                F.lit(name).alias("signal_type"), F.lit(SIGNAL_ORDER.index(name) + 1).alias("signal_index"),
+                order.cast("double").alias("order_value"), key.alias("order_key"),
+                F.concat_ws("|", F.lit(name), flag_key).alias("flag_id"), who.alias("npi"),
+                severity.alias("severity"), overpayment.cast("double").alias("overpayment"))
+
+        def high_if(condition):
+            return F.when(condition, F.lit("high")).otherwise(F.lit("medium"))
+
+        parts = [
+            part("excluded_provider", self.excluded_provider(), F.col("tier"), npi,
+                 F.concat_ws("|", F.col("tier").cast("string"), npi), npi, F.lit("critical"),
+                 F.col("total_paid_after_exclusion")),
+            part("billing_outlier", self.outlier_records(), -F.col("ratio_to_median"), npi,
+                 F.concat_ws("|", npi, "taxonomy", "state"), npi,
+                 high_if(F.col("ratio_to_median") > cfg.outlier_high_ratio),
+                 F.greatest(zero, F.col("total_paid") - F.col("p99_paid"))),
+            part("rapid_escalation", self.escalation_records(), -F.col("max_growth_pct"), npi, npi, npi,
+                 high_if(F.col("max_growth_pct") > cfg.escalation_high_pct),
+                 F.coalesce("total_paid_excess_growth_months", F.col("total_paid_12mo") * 0.5)),
+            part("workforce_impossibility", self.workforce_records(), -F.col("implied_claims_per_hour"), npi, npi, npi,
+                 F.lit("high"), F.greatest(zero, F.col("estimated_overpayment"))),
+            part("shared_official", self.shared_official(), -F.col("combined_total_paid"), official_key, official_key,
+                 none, high_if(F.col("combined_total_paid") > cfg.official_high_paid), zero),
+            part("geographic_implausibility", self.home_health_records(), F.col("bene_to_claims_ratio"), npi, npi, npi,
+                 high_if(F.col("bene_to_claims_ratio") < cfg.home_health_high_ratio), zero)]
+        records = reduce(DataFrame.unionByName, parts)
+        rank = F.lit(SEVERITY_RANK["low"])
+        for name, value in SEVERITY_RANK.items():
+            rank = F.when(F.col("severity") == name, value).otherwise(rank)
+        return records.withColumn("severity_rank", rank)
 
-    def flag_records(self) -> DataFrame:
-        """(signal_type, flag_id): one row per signal record, before fan-out."""
-        parts = [self.excluded_provider().select(F.lit("excluded_provider").alias("signal_type")),
-                 self.billing_outlier().select(F.lit("billing_outlier").alias("signal_type")),
-                 self.rapid_escalation().select(F.lit("rapid_escalation").alias("signal_type")),
-                 self.workforce_impossibility().select(F.lit("workforce_impossibility").alias("signal_type")),
-                 self.shared_official().select(F.lit("shared_official").alias("signal_type")),
-                 self.geographic_implausibility().select(F.lit("geographic_implausibility").alias("signal_type"))]
+    def flags_by_npi(self) -> DataFrame:
+        """``flag_records`` per provider, without evidence."""
+        records = self.flag_records()
+        shared = F.col("signal_type") == "shared_official"
+        members = self.official_npi_totals().select("flag_id", "npi")
+        fanned = records.where(shared).drop("npi").join(members, "flag_id")
+        return (records.where(~shared).unionByName(fanned).where(F.col("npi").isNotNull())
+                .select(*[c for c in FLAG_COLUMNS if c != "evidence"]))
+
+    def evidence(self) -> DataFrame:
+        """(flag_id, npi, evidence): JSON with the rounded values of each flag and its
+        detail lists, folded per NPI; all are bounded by what one provider can carry
+        (12 months, the code list, its home-health months)."""
+        cfg = self.cfg
+        s3, s5, s6 = self.rapid_escalation(), self.shared_official(), self.geographic_implausibility()
+        options = {"ignoreNullFields": "false"}
+        months = (escalation.escalation_months(self.tables, cfg, self.pm, s3).groupBy("npi")
+                  .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "monthly_paid"))))
+                       .alias("monthly_paid_amounts")))
+        codes = (home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs).groupBy("npi")
+                 .agg(F.array_sort(F.collect_set("hcpcs_code")).alias("hcpcs_codes")))
+        detail = (home_health.home_health_months(self.tables, cfg, self.hm, s6).groupBy("npi")
+                  .agg(F.array_sort(F.collect_list(F.struct(
+                      "month", "claims_count", "unique_beneficiaries", "monthly_paid", "ratio"))).alias("month_detail")))
+        members = self.official_npi_totals().select("flag_id", "npi", F.col("total_paid").alias("npi_total_paid"))
+
+        def part(df, flag_id, *columns):
+            return df.select(flag_id.alias("flag_id"), "npi", F.to_json(F.struct(*columns), options).alias("evidence"))
+
+        def flag(name, *key):
+            return F.concat_ws("|", F.lit(name), *key)
+
+        s2, s4 = self.billing_outlier(), self.workforce_impossibility()
+        s5 = s5.withColumn("flag_id", flag("shared_official", "off_last", "off_first")).join(members, "flag_id")
+        parts = [
+            part(self.excluded_provider(), flag("excluded_provider", F.col("tier").cast("string"), F.col("npi")),
+                 *excluded.RESULT_COLUMNS),
+            part(s2, flag("billing_outlier", "npi", "taxonomy", "state"), *s2.columns),
+            part(s3.join(months, "npi", "left"), flag("rapid_escalation", "npi"), *s3.columns, "monthly_paid_amounts"),
+            part(s4, flag("workforce_impossibility", "npi"), *s4.columns),
+            part(s5, F.col("flag_id"), "off_last", "off_first", "npi_count", "states", "combined_total_paid",
+                 "combined_total_claims", "npi_total_paid"),
+            part(s6.join(codes, "npi", "left").join(detail, "npi", "left"), flag("geographic_implausibility", "npi"),
+                 *s6.columns, "hcpcs_codes", "month_detail")]
         return reduce(DataFrame.unionByName, parts)
+
+    def flags_with_evidence(self) -> DataFrame:
+        """``flags_by_npi`` with the evidence; registry duplicates give a provider equal
+        flags, and each keeps one piece of evidence."""
+        evidence = self.evidence().groupBy("flag_id", "npi").agg(F.min("evidence").alias("evidence"))
+        return self.flags_by_npi().join(evidence, ["flag_id", "npi"], "left").select(*FLAG_COLUMNS)

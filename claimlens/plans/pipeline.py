@@ -1,11 +1,15 @@
-"""The batch job end to end: ingest -> signals -> report.
+"""The batch job: ingest -> signals -> report.
 
     python -m claimlens.plans.pipeline --spending claims.parquet \\
-        --registry-csv nppes_raw/ --exclusions-csv UPDATED.csv --out out/
+        --registry-csv nppes_raw/ --exclusions-csv UPDATED.csv --out out/ [--stage signals]
 
-Each stage writes its output, so a failed later stage restarts from files:
-slim registry and exclusion Parquet (written once), the flag table
-(partitioned by signal), then the report.
+Each stage reads files and writes files, so it can run in a session of its own
+and a failed one is run again from what the stage before it wrote:
+
+    ingest   nppes_slim.parquet, leie.parquet (kept if they are there)
+    signals  flags/ (by signal), official_members/ (members of each shared official,
+             by flag_id), provider_totals/ (lifetime sums per provider)
+    report   report/providers (JSON lines with rank), report/header
 """
 
 from __future__ import annotations
@@ -15,10 +19,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
+from claimlens.functions.lineage import drop_stored, release, stored_count
+from claimlens.operators.rollups import provider_totals
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.sources import ingest, sinks
-from claimlens.sources.tables import ClaimsTables, load_domain_tables
+from claimlens.sources.tables import ClaimsTables, load_domain_tables, register_views, registry_view
+
+STAGES = ("ingest", "signals", "report")
 
 
 def ingest_stage(spark: SparkSession, registry_csv: str, exclusions_csv: str, out: str) -> tuple[str, str]:
@@ -30,41 +38,58 @@ def ingest_stage(spark: SparkSession, registry_csv: str, exclusions_csv: str, ou
     return registry_path, exclusions_path
 
 
-def signals_stage(tables: ClaimsTables, out: str, cfg: SignalConfig = DEFAULT_CONFIG) -> SignalSet:
-    ss = SignalSet(tables, cfg, materialize_rollups=True)
-    sinks.write_flags(ss.flags_by_npi(), f"{out}/flags")
-    return ss
+def signals_stage(tables: ClaimsTables, out: str, cfg: SignalConfig = DEFAULT_CONFIG) -> None:
+    """Intermediate tables of the stage are dropped when its results are written."""
+    before = stored_count()
+    register_views(tables)
+    try:
+        ss = SignalSet(tables, cfg, materialize_rollups=True)
+        sinks.write_table(provider_totals(ss.pm), f"{out}/provider_totals")
+        sinks.write_table(ss.official_npi_totals(), f"{out}/official_members")
+        sinks.write_flags(ss.flags_with_evidence(), f"{out}/flags")
+    finally:
+        release()
+        drop_stored(before)
 
 
-def report_stage(ss: SignalSet, out: str) -> None:
-    spark = ss.tables.spending.sparkSession
+def report_stage(spark: SparkSession, out: str) -> None:
+    """Reads the files of the stages before it, and nothing else."""
+    before = stored_count()
     flags = sinks.read_flags(spark, f"{out}/flags")
-    rep = R.provider_report(ss, flags)
-    ranked = R.report_ranked(rep)
-    sinks.write_report(R.nested_report(ranked).join(ranked.select("npi", "rank"), "npi"),
-                       R.report_header(ss, rep), f"{out}/report")
+    totals = spark.read.parquet(f"{out}/provider_totals")
+    registry = registry_view(spark.read.parquet(f"{out}/nppes_slim.parquet"))
+    try:
+        ranked = R.report_ranked(R.build_report(flags, registry, totals))
+        sinks.write_report(R.nested_report(ranked), R.report_header(totals, flags), f"{out}/report")
+    finally:
+        drop_stored(before)
 
 
 def run(spark: SparkSession, spending: str, registry_csv: str, exclusions_csv: str, out: str,
-        cfg: SignalConfig = DEFAULT_CONFIG) -> None:
-    registry_path, exclusions_path = ingest_stage(spark, registry_csv, exclusions_csv, out)
-    tables = load_domain_tables(spark, spending, registry_path, exclusions_path)
-    ss = signals_stage(tables, out, cfg)
-    report_stage(ss, out)
+        cfg: SignalConfig = DEFAULT_CONFIG, stages: tuple[str, ...] = STAGES) -> None:
+    registry_path, exclusions_path = f"{out}/nppes_slim.parquet", f"{out}/leie.parquet"
+    if "ingest" in stages:
+        ingest_stage(spark, registry_csv, exclusions_csv, out)
+    if "signals" in stages:
+        signals_stage(load_domain_tables(spark, spending, registry_path, exclusions_path), out, cfg)
+    if "report" in stages:
+        report_stage(spark, out)
 
 
 def main() -> None:
     from claimlens.plans.session import build_session, ensure_checkpoint_dir
-    ap = argparse.ArgumentParser(description=__doc__)
+    ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--spending", required=True)
     ap.add_argument("--registry-csv", required=True, help="registry CSV file or folder to search")
     ap.add_argument("--exclusions-csv", required=True)
     ap.add_argument("--out", required=True)
+    ap.add_argument("--stage", choices=("all", *STAGES), default="all")
     ap.add_argument("--master", default=None)
     args = ap.parse_args()
     spark = build_session(args.master)
     ensure_checkpoint_dir(spark)
-    run(spark, args.spending, args.registry_csv, args.exclusions_csv, args.out)
+    run(spark, args.spending, args.registry_csv, args.exclusions_csv, args.out,
+        stages=STAGES if args.stage == "all" else (args.stage,))
 
 
 if __name__ == "__main__":

@@ -16,8 +16,7 @@ from claimlens.functions.lineage import materialize
 from claimlens.functions.ranking import global_rank
 from claimlens.operators.rollups import provider_totals
 from claimlens.plans.flags import SignalSet
-from claimlens.plans.report_text import signal_dimension
-
+from claimlens.plans.report_text import NEXT_STEPS, signal_dimension
 
 
 def money(c):
@@ -47,9 +46,9 @@ def provider_enrichment(registry: DataFrame, npis: DataFrame) -> DataFrame:
     return npis.join(hits, "npi", "left")
 
 
-def provider_lifetime_stats(pm: DataFrame, npis: DataFrame) -> DataFrame:
-    """Lifetime totals of flagged NPIs, zero-filled for non-billers."""
-    totals = provider_totals(pm.join(npis, "npi", "left_semi"))
+def provider_lifetime_stats(totals: DataFrame, npis: DataFrame) -> DataFrame:
+    """Lifetime totals (``provider_totals``) of flagged NPIs, zero-filled for
+    non-billers."""
     return npis.join(totals, "npi", "left").select(
         "npi",
         F.coalesce(dollars("paid"), F.lit(0.0)).alias("total_paid_all_time"),
@@ -59,26 +58,33 @@ def provider_lifetime_stats(pm: DataFrame, npis: DataFrame) -> DataFrame:
         F.col("last_month").alias("last_claim"))
 
 
-def providers_scanned(pm: DataFrame) -> DataFrame:
-    """Distinct billing NPIs (exact), one row."""
-    return pm.select("npi").distinct().agg(F.count(F.lit(1)).alias("total_providers_scanned"))
+def providers_scanned(billers: DataFrame) -> DataFrame:
+    """Distinct billing NPIs (exact, NULL is none), one row."""
+    return (billers.select("npi").where(F.col("npi").isNotNull()).distinct()
+            .agg(F.count(F.lit(1)).alias("total_providers_scanned")))
+
+
+def _steps_of(signal_types):
+    """The next steps of an array of signal types, first mention first: a lookup in a
+    constant map of six entries, so that no text travels with the flags."""
+    steps = F.create_map(*[x for k, v in NEXT_STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.array_distinct(F.flatten(F.transform(signal_types, lambda s: F.element_at(steps, s))))
 
 
 def provider_records(flags: DataFrame, spark_dim: DataFrame) -> DataFrame:
     """R10-R12 core: one row per NPI with the ordered signal list, total
-    overpayment, most severe signal (first of equals) and next steps."""
-    dim = F.broadcast(spark_dim)
-    f = flags.join(dim.select("signal_type", "next_steps"), "signal_type")
+    overpayment, most severe signal (first of equals) and next steps. ``flags``
+    may lack the evidence column; then the signal list does too."""
+    shown = [c for c in ("signal_type", "severity", "evidence") if c in flags.columns]
     order = F.struct("signal_index", "order_value", "order_key")
-    per_npi = f.groupBy("npi").agg(
+    per_npi = flags.where(F.col("npi").isNotNull()).groupBy("npi").agg(
         F.sum("overpayment").alias("overpayment_sum"),
         F.max("severity_rank").alias("top_rank"),
         F.min(F.struct((-F.col("severity_rank")).alias("neg_rank"), "signal_index", "order_value",
                        "order_key", "signal_type")).alias("top"),
-        F.array_sort(F.collect_list(F.struct(
-            order.alias("o"), "signal_type", "severity", "evidence", "next_steps"))).alias("sigs"),
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), *shown))).alias("sigs"),
         F.count(F.lit(1)).alias("n_signals"))
-    per_npi = per_npi.join(dim.withColumnRenamed("signal_type", "most_severe_signal"),
+    per_npi = per_npi.join(F.broadcast(spark_dim).withColumnRenamed("signal_type", "most_severe_signal"),
                            F.col("top.signal_type") == F.col("most_severe_signal"), "left")
     return per_npi.select(
         "npi", "n_signals",
@@ -86,23 +92,16 @@ def provider_records(flags: DataFrame, spark_dim: DataFrame) -> DataFrame:
         F.col("top_rank").alias("severity_rank"),
         "most_severe_signal", "claim_type", "statute_reference",
         money(F.col("overpayment_sum")).alias("estimated_overpayment_usd"),
-        F.transform("sigs", lambda s: F.struct(s["signal_type"].alias("signal_type"),
-                                               s["severity"].alias("severity"),
-                                               s["evidence"].alias("evidence"))).alias("signals"),
-        F.array_distinct(F.flatten(F.transform("sigs", lambda s: s["next_steps"]))).alias("next_steps"))
+        F.transform("sigs", lambda s: F.struct(*[s[c].alias(c) for c in shown])).alias("signals"),
+        _steps_of(F.transform("sigs", lambda s: s["signal_type"])).alias("next_steps"))
 
 
-def provider_report(signals: SignalSet, flags: DataFrame | None = None) -> DataFrame:
-    """Flat provider report (R4-R12): identity, lifetime totals, severity,
-    overpayment, legal reference; nested signal list and next steps."""
-    # the flag table is the hand-off between the signal and report stages:
-    # written once, read by the grouping, enrichment and lifetime joins
-    flags = materialize(signals.flags_by_npi(), "flags", bucket_by="npi") if flags is None else flags
-    spark = flags.sparkSession
-    core = provider_records(flags, signal_dimension(spark))
+def build_report(flags: DataFrame, registry: DataFrame, totals: DataFrame) -> DataFrame:
+    """R4-R12 from stored flags, the registry and the lifetime totals per provider."""
+    core = provider_records(flags, signal_dimension(flags.sparkSession))
     npis = core.select("npi")
-    enr = provider_enrichment(signals.tables.registry, npis)
-    stats = provider_lifetime_stats(signals.pm, npis)
+    enr = provider_enrichment(registry, npis)
+    stats = provider_lifetime_stats(totals, npis)
     rec = core.join(enr, "npi", "left").join(stats, "npi", "left")
     return rec.select(
         "npi",
@@ -117,6 +116,16 @@ def provider_report(signals: SignalSet, flags: DataFrame | None = None) -> DataF
         "signals", "next_steps")
 
 
+def provider_report(signals: SignalSet, evidence: bool = True) -> DataFrame:
+    """Flat provider report (R4-R12): identity, lifetime totals, severity,
+    overpayment, legal reference; nested signal list and next steps. The flag
+    table is the hand-off between the signal and report stages: written once,
+    bucketed like the rollup, read by the grouping, enrichment and lifetime joins."""
+    flags = signals.flags_with_evidence() if evidence else signals.flags_by_npi()
+    flags = materialize(flags, "flags", bucket_by="npi", buckets=signals.buckets or None)
+    return build_report(flags, signals.tables.registry, provider_totals(signals.pm))
+
+
 def report_ranked(report: DataFrame) -> DataFrame:
     """Global order - most severe first, then overpayment descending,
     NPI as the final tie-break; ``rank`` is the 1-based position."""
@@ -125,9 +134,10 @@ def report_ranked(report: DataFrame) -> DataFrame:
 
 
 def nested_report(report: DataFrame) -> DataFrame:
-    """Provider records in the published nested shape (fca_relevance struct)."""
+    """Provider records in the published nested shape (fca_relevance struct), with
+    ``rank`` if the report is ranked."""
     return report.select(
-        "npi", "provider_name", "entity_type", "taxonomy_code", "state", "enumeration_date",
+        *[c for c in ("rank",) if c in report.columns], "npi", "provider_name", "entity_type", "taxonomy_code", "state", "enumeration_date",
         "total_paid_all_time", "total_claims_all_time", "total_unique_beneficiaries_all_time",
         "signals", "estimated_overpayment_usd",
         F.struct("claim_type", "statute_reference",
@@ -140,23 +150,22 @@ def provider_next_steps(report: DataFrame) -> DataFrame:
         "npi", (F.col("pos") + 1).cast("bigint").alias("step_no"), "step")
 
 
-def signal_counts(signals: SignalSet) -> DataFrame:
-    """Flag records per signal, zeros included."""
-    spark = signals.tables.spending.sparkSession
-    names = spark.createDataFrame([(n, i + 1) for i, n in enumerate(SIGNAL_ORDER)],
-                                  "signal_type string, signal_index int")
-    counts = signals.flag_records().groupBy("signal_type").agg(F.count(F.lit(1)).alias("n"))
-    return (F.broadcast(names).join(counts, "signal_type", "left")
+def signal_counts(flags: DataFrame) -> DataFrame:
+    """Flag records per signal, zeros included, from records or from the
+    per-provider flag table (a shared official's flag counts once)."""
+    spark = flags.sparkSession
+    names = spark.createDataFrame([(n,) for n in SIGNAL_ORDER], "signal_type string")
+    counts = flags.groupBy("signal_type").agg(F.count_distinct("flag_id").alias("n"))
+    return (names.join(counts, "signal_type", "left")
             .select("signal_type", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("flag_count")))
 
 
-def report_summary(signals: SignalSet, report: DataFrame | None = None) -> DataFrame:
+def report_summary(billers: DataFrame, flags: DataFrame) -> DataFrame:
     """One row: providers scanned, providers flagged, tool version.
     The two single-value aggregates are stacked and folded into one row."""
-    report = provider_report(signals) if report is None else report
-    scanned = providers_scanned(signals.pm).select(F.lit("scanned").alias("k"),
-                                                    F.col("total_providers_scanned").alias("v"))
-    flagged = report.agg(F.count(F.lit(1)).alias("v")).select(F.lit("flagged").alias("k"), "v")
+    scanned = providers_scanned(billers).select(F.lit("scanned").alias("k"),
+                                                F.col("total_providers_scanned").alias("v"))
+    flagged = flagged_npis(flags).agg(F.count(F.lit(1)).alias("v")).select(F.lit("flagged").alias("k"), "v")
     return (scanned.unionByName(flagged)
             .agg(F.max(F.when(F.col("k") == "scanned", F.col("v"))).cast("bigint").alias("total_providers_scanned"),
                  F.max(F.when(F.col("k") == "flagged", F.col("v"))).cast("bigint").alias("total_providers_flagged"))
@@ -164,10 +173,11 @@ def report_summary(signals: SignalSet, report: DataFrame | None = None) -> DataF
                     F.lit(TOOL_VERSION).alias("tool_version")))
 
 
-def report_header(signals: SignalSet, report: DataFrame | None = None) -> DataFrame:
-    """Summary plus generation time and per-signal counts (a 6-entry map)."""
-    counts = signal_counts(signals).agg(F.map_from_entries(F.collect_list(
+def report_header(billers: DataFrame, flags: DataFrame) -> DataFrame:
+    """Summary plus generation time (UTC) and per-signal counts (a 6-entry map)."""
+    counts = signal_counts(flags).agg(F.map_from_entries(F.collect_list(
         F.struct("signal_type", "flag_count"))).alias("signal_counts")).withColumn("_k", F.lit(1))
-    summary = report_summary(signals, report).withColumn("_k", F.lit(1))
+    summary = report_summary(billers, flags).withColumn("_k", F.lit(1))
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     return (summary.join(counts, "_k").drop("_k")   # one row on each side
-            .withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+            .withColumn("generated_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,9 +22,6 @@ SESSION_CONF: dict[str, str] = {
     # everything derived is decided at runtime by AQE from real shuffle sizes.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    # Ingest: with CSV column pruning on, DROPMALFORMED keeps malformed rows
-    # whenever a query reads only some columns; the ingest must drop them.
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
     # plan text is built for every action; keep a runaway plan from costing heap
@@ -32,8 +30,8 @@ SESSION_CONF: dict[str, str] = {
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only when
-    the cluster did not name one (tests, local runs)."""
+    """Return the session's checkpoint folder. Where none is named, a local
+    master gets one of its own; any other master raises."""
     try:
         sc = spark.sparkContext
     except Exception:   # sessions without a local SparkContext handle
@@ -46,14 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None:
             sc.setCheckpointDir(current)
         return current
-    # unset: only in tests and local runs - a cluster names a shared folder
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[[^\]]*\])?$", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables "
+                           f"are written there, and {master!r} has executors on other machines")
+    # one machine (tests, local runs): a folder of its own is shared by all
     path = tempfile.mkdtemp(prefix="claimlens-ckpt-")
     try:
         spark.conf.set("spark.checkpoint.dir", path)
     except Exception:   # static in some deployments; the path is returned anyway
         pass
-    if sc is not None:
-        sc.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 

@@ -7,6 +7,8 @@ columns reach the Parquet writer.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,31 +22,48 @@ REGISTRY_FILE_GLOB = "npidata_pfile_*.csv"
 def find_registry_csv(spark: SparkSession, root: str) -> str:
     """IO-2a: pick the main registry CSV under ``root``: files matching
     ``npidata_pfile_*.csv`` (recursively), header-only files skipped, largest
-    wins. Uses the binaryFile source with only path/length selected, so no
-    file content is read; one path string comes back to the driver."""
-    listing = (spark.read.format("binaryFile")
-               .option("pathGlobFilter", REGISTRY_FILE_GLOB)
-               .option("recursiveFileLookup", "true")
-               .load(root)
-               .select("path", "length")
-               .where(~F.col("path").contains("FileHeader"))
-               .orderBy(F.desc("length"), F.asc("path"))
-               .limit(1)   # the feature: pick one file
-               .collect())
-    if not listing:
-        raise FileNotFoundError(f"no {REGISTRY_FILE_GLOB} under {root}")
-    return listing[0]["path"]
+    wins; if no name matches, the largest CSV of all. Uses the binaryFile source
+    with only path/length selected, so no file content is read; one path string
+    comes back to the driver."""
+    for pattern in (REGISTRY_FILE_GLOB, "*.csv"):
+        listing = (spark.read.format("binaryFile")
+                   .option("pathGlobFilter", pattern)
+                   .option("recursiveFileLookup", "true")
+                   .load(root)
+                   .select("path", "length")
+                   .where(~F.col("path").contains("FileHeader"))
+                   .orderBy(F.desc("length"), F.asc("path"))
+                   .limit(1)   # the feature: pick one file
+                   .collect())
+        if listing:
+            return listing[0]["path"]
+    raise FileNotFoundError(f"no CSV file under {root}")
+
+
+def read_csv_by_name(spark: SparkSession, csv_path: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of a CSV file with a header, as text, wherever they stand
+    in it. Quotes are doubled inside quoted fields, a backslash is a character
+    like any other, and malformed records (too few or too many fields) are
+    dropped: whether a record is malformed is a matter of all its columns, so
+    the parser must not prune any."""
+    df = (spark.read
+          .option("header", "true")
+          .option("inferSchema", "false")
+          .option("mode", "DROPMALFORMED")
+          .option("columnPruning", "false")
+          .option("quote", '"')
+          .option("escape", '"')
+          .option("multiLine", "false")
+          .csv(csv_path))
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{csv_path}: no column {', '.join(missing)}")
+    return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def read_registry_csv(spark: SparkSession, csv_path: str) -> DataFrame:
-    """Registry CSV with every column as text; malformed rows dropped."""
-    return (spark.read
-            .option("header", "true")
-            .option("inferSchema", "false")
-            .option("mode", "DROPMALFORMED")
-            .option("multiLine", "false")
-            .csv(csv_path)
-            .select(*[F.col(f"`{c}`") for c in S.REGISTRY_LONG]))
+    """The registry's 11 used columns."""
+    return read_csv_by_name(spark, csv_path, S.REGISTRY_LONG)
 
 
 def build_registry_slim(spark: SparkSession, csv_path: str, out_path: str) -> str:
@@ -56,13 +75,9 @@ def build_registry_slim(spark: SparkSession, csv_path: str, out_path: str) -> st
 
 
 def read_exclusions_csv(spark: SparkSession, csv_path: str) -> DataFrame:
-    """Exclusion CSV with a declared all-text schema (no type sniffing, so
-    zero-led NPIs and dates stay intact); malformed rows dropped."""
-    return (spark.read
-            .option("header", "true")
-            .option("mode", "DROPMALFORMED")
-            .schema(S.EXCLUSION_SCHEMA)
-            .csv(csv_path))
+    """The exclusion list's 9 used columns, by header name, all text (no type
+    sniffing, so zero-led NPIs and dates stay intact)."""
+    return read_csv_by_name(spark, csv_path, S.EXCLUSION_COLUMNS)
 
 
 def normalize_exclusions(raw: DataFrame) -> DataFrame:
@@ -91,14 +106,15 @@ def build_exclusions_parquet(spark: SparkSession, csv_path: str, out_path: str)
     return out_path
 
 
-def count_malformed(spark: SparkSession, csv_path: str, schema) -> int:
-    """IO-7 audit: how many records the permissive parser could not fit."""
-    from pyspark.sql import types as T
-    with_corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
+def count_malformed(spark: SparkSession, csv_path: str) -> int:
+    """IO-7 audit: how many records the parser drops, by the file's own header."""
     from pyspark import StorageLevel
-    df = (spark.read.option("header", "true").option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .schema(with_corrupt).csv(csv_path))
+    from pyspark.sql import types as T
+    options = {"header": "true", "quote": '"', "escape": '"', "columnPruning": "false"}
+    header = spark.read.options(**options).csv(csv_path).schema
+    with_corrupt = T.StructType([*header.fields, T.StructField("_corrupt_record", T.StringType())])
+    df = (spark.read.options(**options).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").schema(with_corrupt).csv(csv_path))
     # Spark only allows filtering on the corrupt-record column of parsed
     # (persisted) rows, never straight from the raw file
     parsed = df.persist(StorageLevel.DISK_ONLY)

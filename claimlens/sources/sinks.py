@@ -1,4 +1,5 @@
-"""Sinks: the flag table between stages (IO-10) and the report (IO-11)."""
+"""Sinks: what the signal stage hands to the report stage (IO-10), and the
+report (IO-11)."""
 
 from __future__ import annotations
 
@@ -17,13 +18,16 @@ def read_flags(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*FLAG_COLUMNS)
 
 
+def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    df.write.mode(mode).parquet(path)
+    return path
+
+
 def write_report(providers: DataFrame, header: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """IO-11: provider records as JSON lines under ``path/providers`` (in
-    report order, nulls written as null) and the one-row summary under
-    ``path/header``. Providers are written by many tasks; the order is kept
-    by the range-partitioned sort, so concatenating part files in name order
-    gives the ranked report."""
-    (providers.orderBy("rank").write.mode(mode).option("ignoreNullFields", "false")
+    """IO-11: provider records as JSON lines under ``path/providers`` (nulls
+    written as null) and the one-row summary under ``path/header``. Every
+    record carries its ``rank``; each file is in rank order."""
+    (providers.sortWithinPartitions("rank").write.mode(mode).option("ignoreNullFields", "false")
      .json(f"{path}/providers"))
     header.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/header")
     return path

@@ -31,7 +31,8 @@ def registry_view(df: DataFrame) -> DataFrame:
 
 def read_spending(spark: SparkSession, path: str) -> DataFrame:
     """IO-1: claims Parquet. Only the seven used columns are declared, so the
-    scan's ReadSchema never widens beyond them."""
+    scan's ReadSchema never widens beyond them. Amounts are rounded to whole
+    cents per row (they are money), which makes every sum exact."""
     df = spark.read.parquet(path)
     return df.select(
         F.col(S.BILLING_NPI).cast("string").alias(S.BILLING_NPI),
@@ -55,6 +56,15 @@ def load_domain_tables(spark: SparkSession, spending_path: str, registry_path: s
     )
 
 
+VIEW_NAMES = {"spending": "spending", "registry": "nppes", "exclusions": "leie"}
+
+
+def register_views(tables: ClaimsTables) -> None:
+    """IO-8: the three tables under their usual names, for the user's own SQL."""
+    for field, name in VIEW_NAMES.items():
+        getattr(tables, field).createOrReplaceTempView(name)
+
+
 _STAR_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict[str, ClaimsTables]]" = weakref.WeakKeyDictionary()
 
 

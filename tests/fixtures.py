@@ -1,5 +1,5 @@
-"""Planted-positive fixture: the spending / registry / exclusion rows of
-FIXTURES.md section 2, built here as DataFrames."""
+"""A small world with one planted case per signal (FIXTURES.md): a spread of ordinary
+prescribers, and providers built so that every expected value can be worked out by hand."""
 
 from __future__ import annotations
 
@@ -10,66 +10,70 @@ from pyspark.sql import SparkSession
 from claimlens import schemas as S
 from claimlens.sources.tables import ClaimsTables
 
-PEER_TAXONOMY = "207Q00000X"
-HOME_TAXONOMY = "251E00000X"
+ORDINARY = 30
+OUTLIER, RISER, CLINIC, HOME_MILD, HOME_BAD, BARRED, NAMESAKE = (f"400000000{i}" for i in range(1, 8))
+CHAIN = [f"450000000{i}" for i in range(1, 6)]
+SILENT = "4900000001"
+
+
+def ordinary_npi(i: int) -> str:
+    return f"31000000{i:02d}"
 
 
 def registry_rows() -> list[tuple]:
-    rows = []
-    for i in range(1, 101):
-        rows.append((f"2{i:09d}", "1", None, f"PEER{i}", f"P{i}", "CA", f"9{i:04d}", PEER_TAXONOMY,
-                     "01/15/2019", None, None))
-    rows += [
-        ("1000000099", "1", None, "EXCLUDED", "PERSON", "TX", "75001", PEER_TAXONOMY, "06/01/2018", None, None),
-        ("1000000098", "1", None, "BADACTOR", "FRANK", "NY", "10001", PEER_TAXONOMY, "03/15/2017", None, None),
-        ("1000000050", "1", None, "BIGBILLER", "MAX", "CA", "90220", PEER_TAXONOMY, "01/15/2018", None, None),
-        ("1000000060", "1", None, "NEWGUY", "FAST", "CA", "90221", PEER_TAXONOMY, "09/01/2024", None, None),
-        ("1000000070", "2", "MEGACORP HEALTH LLC", "MEGA", "CORP", "FL", "33101", HOME_TAXONOMY,
-         "01/01/2015", "SHADY", "BOSS"),
-    ]
-    for j, (suffix, state) in enumerate(zip("ABCDEF", ["FL", "FL", "FL", "TX", "TX", "NY"])):
-        rows.append((f"10000000{80 + j}", "2", f"SHELL CORP {suffix}", None, None, state, f"3310{j}",
-                     HOME_TAXONOMY, f"0{j + 1}/01/2018", "KINGPIN", "CARL"))
-    rows.append(("1000000090", "1", None, "PHANTOM", "HOME", "GA", "30301", HOME_TAXONOMY, "01/01/2016",
-                 None, None))
+    def person(npi, last, first, state, taxonomy, enumerated="05/20/2015"):
+        return (npi, "1", None, last, first, state, "97000", taxonomy, enumerated, None, None)
+
+    def company(npi, name, state, official_last, official_first):
+        return (npi, "2", name, None, None, state, "89000", "261Q00000X", "11/02/2011", official_last, official_first)
+
+    rows = [person(ordinary_npi(i), f"Nurse{i}", "Any", "OR", "363L00000X") for i in range(ORDINARY)]
+    rows += [person(OUTLIER, "Sato", "Iris", "OR", "363L00000X"),
+             person(RISER, "Brandt", "Noel", "WA", "208D00000X", "03/10/2022"),
+             company(CLINIC, "Harbor Day Clinic", "ME", "Abel", "Tom"),
+             person(HOME_MILD, "Quist", "Ada", "VT", "251J00000X"),
+             person(HOME_BAD, "Prior", "Lou", "", "251J00000X"),
+             person(BARRED, "Weld", "Hugo", "KS", "122300000X"),
+             person(NAMESAKE, " Okafor", "lena ", "MN", "122300000X"),
+             person(SILENT, "Quiet", "Max", "OR", "363L00000X")]
+    rows += [company(npi, f"Sierra Unit {k}", state, " vance", "Ruth ")
+             for k, (npi, state) in enumerate(zip(CHAIN, ["NV", "UT", "NV", "ID", "UT"]))]
     return rows
 
 
 def exclusion_rows() -> list[tuple]:
-    return [
-        ("EXCLUDED", "PERSON", None, "1000000099", "1128a1", "20200101", None, "TX", "GENERAL PRACTICE"),
-        ("BADACTOR", "FRANK", None, None, "1128a1", "20190601", None, "NY", "GENERAL PRACTICE"),
-        ("UNRELATED", "SOMEONE", None, "9999999999", "1128a1", "20180101", None, "CA", "DENTIST"),
-    ]
+    return [("WELD", "HUGO", None, BARRED, "1128b7", "20210401", None, "KS", "DENTAL"),
+            ("OKAFOR", "LENA", "R", None, "1128a3", "20220115", "20220301", "MN", "DENTAL"),
+            ("STRANGER", "AL", None, "4999999999", "1128a3", "20190101", None, "OR", "NURSING")]
 
 
-GROWTH_PAID = [100, 200, 500, 1500, 5000, 15000, 50000, 150000, 500000, 500000, 500000, 500000]
+RISER_MONTHLY = [40] * 6 + [400, 1600, 400]
 
 
 def spending_rows() -> list[tuple]:
     rows = []
 
-    def add(npi, month, code, claims, paid, benes):
-        rows.append((npi, npi, month, code, claims, Decimal(paid).quantize(Decimal("0.01")), benes))
-
-    six = [f"2024-{m:02d}-01" for m in range(1, 7)]
-    for i in range(1, 101):
-        for m in six:
-            add(f"2{i:09d}", m, "G0101", 50, 5000, 30)
-    for m in six:
-        add("1000000099", m, "99213", 100, 15000, 50)
-        add("1000000098", m, "99213", 80, 12000, 40)
-        add("1000000050", m, "99213", 5000, 500000, 200)
-        add("1000000090", m, "T1019", 500, 50000, 5)
-    for i, amount in enumerate(GROWTH_PAID):
-        month_num = ((10 + i - 1) % 12) + 1
-        year = 2024 if month_num >= 10 else 2025
-        add("1000000060", f"{year}-{month_num:02d}-01", "99213", max(10, amount // 10), amount, 20)
-    add("1000000070", "2024-06", "99213", 2000, 200000, 100)
-    add("1000000070", "2024-07", "99213", 500, 50000, 50)
-    for n in range(80, 86):
-        for m in six[:3]:
-            add(f"10000000{n}", m, "99213", 200, 80000, 50)
+    def bill(npi, month, claims, paid, people, code="99214"):
+        rows.append((npi, npi, month, code, claims, Decimal(paid).quantize(Decimal("0.01")), people))
+
+    for i in range(ORDINARY):
+        for month in ("2023-03", "2023-04", "2023-05"):
+            bill(ordinary_npi(i), month, 12, 400 + 10 * i, 9)
+    for month in ("2023-03", "2023-04", "2023-05"):
+        bill(OUTLIER, month, 700, 30000, 300)
+    for k, paid in enumerate(RISER_MONTHLY):
+        bill(RISER, f"2022-{4 + k:02d}", 4, paid, 3)
+    bill(CLINIC, "2023-01", 1760, 35200, 900)
+    bill(CLINIC, "2023-02", 1056, 21120, 600)
+    for npi in CHAIN:
+        bill(npi, "2023-07", 900, 250000, 410)
+    bill(HOME_MILD, "2023-08", 300, 6000, 20, "G0299")
+    bill(HOME_MILD, "2023-09", 500, 9000, 25, "T1020")
+    bill(HOME_BAD, "2023-08", 250, 5000, 10, "S9123")
+    for month in ("2021-03", "2021-04", "2021-05"):
+        bill(BARRED, month, 10, 300, 6)
+    for month in ("2022-01", "2022-02", "2022-03"):
+        bill(NAMESAKE, month, 5, 500, 4)
     return rows
 
 

@@ -1,4 +1,4 @@
-"""Boundary cases and genuine negatives for every signal (FIXTURES.md 5)."""
+"""Boundary cases and genuine negatives for every signal ."""
 
 from decimal import Decimal
 
@@ -67,12 +67,12 @@ def test_peer_group_needs_ten(spark):
     assert npis(outlier.billing_outlier(t)) == ["1000000001"]
 
 
-def test_zero_median_gives_null_ratio(spark):
+def test_zero_median_gives_ratio_zero(spark):
     registry, spending = _peers(10, 50)
     spending = [claim(s[0], s[2], paid=0) if s[0] != "1000000001" else s for s in spending]
     t = make_tables(spark, spending=spending, registry=registry)
     rows = outlier.billing_outlier(t).collect()
-    assert [r["npi"] for r in rows] == ["1000000001"] and rows[0]["ratio_to_median"] is None
+    assert [r["npi"] for r in rows] == ["1000000001"] and rows[0]["ratio_to_median"] == 0.0
 
 
 def test_workforce_threshold(spark):
@@ -135,11 +135,91 @@ def test_escalation_edges(spark):
     assert rows[0]["peak_monthly_paid"] == 1000.0
 
 
-def test_no_flags_for_plain_peers(spark):
+def test_no_flags_for_ordinary_providers(spark):
     t = make_tables(spark)
-    ss = SignalSet(t)
-    flagged = set(R.flagged_npis(ss.flags_by_npi()).toPandas()["npi"])
-    assert not any(n.startswith("2") for n in flagged)
+    flagged = {r["npi"] for r in R.flagged_npis(SignalSet(t).flags_by_npi()).collect()}
+    assert flagged and not any(n.startswith("31") for n in flagged)
+
+
+@pytest.mark.parametrize("benes, severity", [(49980, "high"), (49990, "high"), (49999, "high"), (50000, "medium")])
+def test_severity_is_decided_before_rounding(spark, benes, severity):
+    # 0.04998, 0.04999 and 0.049999 all round to 0.05
+    spending = [claim("1000000001", "2024-01", claims=1_000_000, benes=benes, code="T1019")]
+    t = make_tables(spark, spending=spending, registry=[reg("1000000001")])
+    (r,) = SignalSet(t).flags_by_npi().collect()
+    assert (r["signal_type"], r["severity"]) == ("geographic_implausibility", severity)
+
+
+def test_ratio_and_growth_just_above_the_limits_are_high(spark):
+    registry, spending = _peers(10, 0)
+    spending[-1] = claim("1000000001", "2024-01", paid=Decimal("500.01"))    # 5.0001 times the median of 100
+    t = make_tables(spark, spending=spending, registry=registry)
+    (r,) = SignalSet(t).flags_by_npi().collect()
+    assert (r["signal_type"], r["severity"]) == ("billing_outlier", "high")
+    months = [f"2020-{m:02d}" for m in range(1, 8)]
+    paid = [1000] * 6 + [Decimal("16000.01")]      # growth of 500.000033 %
+    t = make_tables(spark, spending=[claim("1000000001", m, paid=p) for m, p in zip(months, paid)],
+                    registry=[reg("1000000001", enum="12/01/2019")])
+    (r,) = SignalSet(t).flags_by_npi().collect()
+    assert (r["signal_type"], r["severity"]) == ("rapid_escalation", "high")
+
+
+def null_claim(npi, month, claims=10, paid=None, benes=None, code="99213"):
+    return (npi, npi, month, code, claims, None if paid is None else Decimal(paid), benes)
+
+
+def test_null_npi_is_no_provider(spark):
+    spending = [claim("1000000001", "2024-01"), null_claim(None, "2024-01", claims=500, benes=1, code="T1019")]
+    t = make_tables(spark, spending=spending, registry=[reg("1000000001")])
+    ss = SignalSet(t, materialize_rollups=True)
+    assert R.providers_scanned(ss.pm).first()[0] == 1
+    assert ss.flag_records().count() == 1 and ss.flags_by_npi().count() == 0
+    assert R.provider_report(ss).count() == 0
+
+
+def test_peers_are_counted_as_rows_not_as_amounts(spark):
+    registry, spending = _peers(9, 10_000)
+    spending[0] = null_claim(spending[0][0], "2024-01")
+    t = make_tables(spark, spending=spending, registry=registry)
+    (r,) = outlier.peer_group_stats(t).collect()
+    assert r["peer_count"] == 10 and r["median_paid"] == 100.0
+    assert npis(outlier.billing_outlier(t)) == ["1000000001"]
+
+
+def test_null_amounts_show_as_zero(spark):
+    spending = [null_claim("1000000001", "2024-01", claims=200, benes=1, code="T1019"),
+                null_claim("1000000002", "2024-01", claims=2000), null_claim("1000000003", "2024-01", claims=None, paid=7)]
+    excl = [("A", "B", None, "1000000003", "t", "20200101", None, "CA", "x")]
+    t = make_tables(spark, spending=spending, registry=[reg("1000000001"), reg("1000000002", entity="2", org="X")], exclusions=excl)
+    (h,) = home_health.geographic_implausibility(t).collect()
+    assert (h["total_paid"], h["total_beneficiaries"]) == (0.0, 1)
+    (m,) = home_health.home_health_months(t).collect()
+    assert (m["monthly_paid"], m["unique_beneficiaries"]) == (0.0, 1)
+    (w,) = workforce.workforce_impossibility(t).collect()
+    assert (w["total_paid_peak_month"], w["total_paid_impossible"], w["estimated_overpayment"]) == (0.0, 0.0, 0.0)
+    (e,) = excluded.excluded_provider(t).collect()
+    assert (e["total_claims_after_exclusion"], e["total_paid_after_exclusion"]) == (0, 14.0)
+
+
+def test_null_month_ranks_last(spark):
+    months = [f"2020-{m:02d}" for m in range(1, 9)]
+    paid = [10, 10, 10, 10, 10, 100, 100, 100]
+    spending = [claim("1000000001", m, paid=p) for m, p in zip(months, paid)] + [claim("1000000001", None, paid=10 ** 6)]
+    t = make_tables(spark, spending=spending, registry=[reg("1000000001", enum="12/01/2019")])
+    g = escalation.escalation_growth(t).orderBy("month_rank").collect()
+    assert [r["month"] for r in g] == months + [None]
+    assert {r["first_billing_month"] for r in g} == {"2020-01"}
+    assert [r["monthly_paid"] for r in escalation.escalation_months(t).orderBy("month").collect()][0] == 10.0 ** 6
+
+
+def test_amounts_are_whole_cents_per_row(spark, tmp_path):
+    """The recorded deviation: rows are money, so each is rounded to cents when read."""
+    from claimlens.sources.tables import read_spending
+    path = str(tmp_path / "s.parquet")
+    rows = [("1", "1", "2024-01", "x", 1, 0.014, 1), ("1", "1", "2024-01", "x", 1, 0.016, 1)]
+    spark.createDataFrame(rows, "BILLING_PROVIDER_NPI_NUM string, SERVICING_PROVIDER_NPI_NUM string, CLAIM_FROM_MONTH string, "
+                          "HCPCS_CODE string, TOTAL_CLAIMS long, TOTAL_PAID double, TOTAL_UNIQUE_BENEFICIARIES long").write.parquet(path)
+    assert float(read_spending(spark, path).agg({"TOTAL_PAID": "sum"}).first()[0]) == 0.03
 
 
 def test_missing_registry_row_in_report(spark):

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from claimlens.functions.columns import entity_label, in_code_ranges, mdy_to_iso, provider_name
 from claimlens.functions.quantiles import group_quantiles
@@ -23,7 +23,7 @@ def test_exact_distributed_quantiles_match_numpy(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     qs = [0.0, 0.01, 0.5, 0.99, 1.0]
     names = [f"q{i}" for i in range(len(qs))]
-    for method in ("exact_distributed", "builtin", "exact"):
+    for method in ("builtin", "exact"):
         out = {r["g"]: r for r in group_quantiles(df, ["g"], "v", qs, names, method=method).collect()}
         for g, n in sizes.items():
             vals = np.array([v for gg, v in rows if gg == g])
@@ -32,6 +32,31 @@ def test_exact_distributed_quantiles_match_numpy(spark):
                 assert out[g][name] == pytest.approx(float(np.quantile(vals, q)), rel=1e-12), (method, g, q)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_quantiles_do_not_depend_on_partitions_or_hot_groups(spark, partitions):
+    rnd = random.Random(1)
+    rows = [("hot" if i % 10 else f"g{i % 7}", float(rnd.randint(0, 10_000))) for i in range(20_000)] + [("hot", None)] * 5 + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(partitions)
+    out = {r["g"]: r for r in group_quantiles(df, ["g"], "v", [0.5, 0.99], ["m", "p"]).collect()}
+    hot = np.array([v for g, v in rows if g == "hot" and v is not None])
+    assert (out["hot"]["n"], out["hot"]["m"], out["hot"]["p"]) == (
+        len(hot) + 5, pytest.approx(np.quantile(hot, 0.5)), pytest.approx(np.quantile(hot, 0.99)))
+    assert tuple(out["none"]) == ("none", 1, None, None)
+
+
+def test_global_rank_loses_nothing_on_wide_rows(spark):
+    n = 200_000
+    df = (spark.range(n).repartition(50)
+          .selectExpr("id", "cast(pmod(hash(id), 1000) as int) AS score", "repeat(sha2(cast(id as string), 256), 10) AS payload"))
+    ranked = global_rank(df, [F.desc("score"), F.asc("id")], "rank")
+    s = ranked.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_distinct("id")).first()
+    assert tuple(s) == (n, n, 1, n, n)
+    order = Window.orderBy("rank")
+    wrong = (ranked.select("rank", "score", "id").withColumn("s0", F.lag("score").over(order)).withColumn("i0", F.lag("id").over(order))
+             .where("s0 < score or (s0 = score and i0 > id)"))
+    assert wrong.count() == 0
+
+
 def test_global_rank_is_dense_and_ordered(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.randint(0, 20)) for i in range(3000)]

@@ -3,6 +3,8 @@
 import csv
 import os
 
+import pytest
+
 from claimlens import schemas as S
 from claimlens.sources import ingest
 from claimlens.sources.tables import load_domain_tables, registry_view
@@ -74,7 +76,59 @@ def test_exclusions_normalised(spark, tmp_path):
     assert got["DOE"]["NPI"] == "0123456789"                   # leading zero kept
     assert got["DOE"]["REINDATE"] == "20220301"
     assert got["ROE"]["NPI"] is None and got["ROE"]["REINDATE"] is None
-    assert ingest.count_malformed(spark, src, S.EXCLUSION_SCHEMA) == 1
+    assert ingest.count_malformed(spark, src) == 1
+
+
+EXTRA = ["BUSNAME", "GENERAL", "UPIN", "DOB", "ADDRESS", "CITY", "ZIP", "WAIVERDATE", "WVRSTATE"]
+
+
+@pytest.fixture
+def plain(spark):
+    """A session without this library's settings."""
+    from claimlens.plans.session import SESSION_CONF
+    other = spark.newSession()
+    for key in SESSION_CONF:
+        try:
+            other.conf.unset(key)
+        except Exception:   # static
+            pass
+    return other
+
+
+def test_exclusions_are_picked_by_name(plain, tmp_path):
+    wide = [*reversed(S.EXCLUSION_COLUMNS), *EXTRA]
+    values = dict(zip(S.EXCLUSION_COLUMNS, ["DOE", "JANE", "Q", "0123456789", "1128b4", "20200115", "0", "CA", "DENT"]))
+    rows = [[values.get(c, "other") for c in wide], [values.get(c, "") for c in wide]]
+    src = str(tmp_path / "wide.csv")
+    write_csv(src, wide, rows, raw_lines=["too,short", ",".join(["x"] * 25)])
+    got = ingest.normalize_exclusions(ingest.read_exclusions_csv(plain, src)).collect()
+    assert len(wide) == 18 and len(got) == 2
+    for r in got:
+        assert (r["NPI"], r["EXCLTYPE"], r["LASTNAME"], r["REINDATE"], r["SPECIALTY"]) == ("0123456789", "1128b4", "DOE", None, "DENT")
+    write_csv(src, wide[1:], [r[1:] for r in rows])
+    with pytest.raises(ValueError, match="SPECIALTY"):
+        ingest.read_exclusions_csv(plain, src)
+
+
+def test_quotes_backslashes_and_malformed_records_in_a_plain_session(plain, tmp_path):
+    src = str(tmp_path / "npidata_pfile_q.csv")
+    header = list(S.REGISTRY_LONG)
+    names = ['ACME "X" LLC', "BAD SLASH\\", "A, B", 'say ""twice""', "plain"]
+    rows = [[f"100000000{i}", "2", n, "", "", "CA", "9", "t", "01/01/2010", "B", "C"] for i, n in enumerate(names)]
+    write_csv(src, header, rows, raw_lines=['"1000000007","2","too short"', ",".join(["1000000008"] * 14)])
+    df = ingest.read_registry_csv(plain, src)
+    assert [r[0] for r in df.select(header[2]).orderBy(header[0]).collect()] == names
+    assert df.select(header[0]).count() == 5        # malformed records go whatever is selected
+    assert ingest.count_malformed(plain, src) == 2
+
+
+def test_largest_csv_if_no_name_matches(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "b.csv").write_text("x\n" + "1\n" * 50)
+    (tmp_path / "c_FileHeader.csv").write_text("x\n" + "1\n" * 500)
+    assert ingest.find_registry_csv(spark, str(tmp_path)).endswith("b.csv")
+    with pytest.raises(Exception):
+        ingest.find_registry_csv(spark, str(tmp_path / "none"))
 
 
 def test_domain_layout_roundtrip(spark, tmp_path):
@@ -85,5 +139,5 @@ def test_domain_layout_roundtrip(spark, tmp_path):
     t.exclusions.write.parquet(str(tmp_path / "leie.parquet"))
     d = load_domain_tables(spark, str(tmp_path / "spending.parquet"), str(tmp_path / "nppes.parquet"),
                            str(tmp_path / "leie.parquet"))
-    assert d.spending.count() == 656 and d.registry.columns == list(S.REGISTRY_SHORT)
+    assert d.spending.count() == 118 and d.registry.columns == list(S.REGISTRY_SHORT)
     assert os.path.exists(str(tmp_path / "leie.parquet"))

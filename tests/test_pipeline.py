@@ -1,44 +1,121 @@
-"""End to end: CSV ingest -> flags on disk -> JSON report."""
+"""Stages: CSV ingest -> flags on disk -> JSON report, each from files alone."""
 
 import csv
-import json
 import glob
+import json
+import os
+
+import pytest
 
 from claimlens import schemas as S
+from claimlens.functions import lineage
 from claimlens.plans import pipeline
-from tests.fixtures import exclusion_rows, make_tables, registry_rows
+from claimlens.plans.session import ensure_checkpoint_dir
+from tests import fixtures as X
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
-    t = make_tables(spark)
-    spending = str(tmp_path / "claims.parquet")
-    t.spending.write.parquet(spending)
-    raw = tmp_path / "nppes_raw"
+def raw_inputs(spark, folder):
+    spending = str(folder / "claims.parquet")
+    X.make_tables(spark).spending.write.parquet(spending)
+    raw = folder / "nppes_raw"
     raw.mkdir()
-    with open(raw / "npidata_pfile_1.csv", "w", newline="") as fh:
-        w = csv.writer(fh)
-        w.writerow(S.REGISTRY_LONG)
-        for r in registry_rows():
-            w.writerow(["" if v is None else v for v in r])
-    with open(tmp_path / "UPDATED.csv", "w", newline="") as fh:
-        w = csv.writer(fh)
-        w.writerow(S.EXCLUSION_COLUMNS)
-        for r in exclusion_rows():
-            w.writerow(["" if v is None else v for v in r])
-    out = str(tmp_path / "out")
-    pipeline.run(spark, spending, str(raw), str(tmp_path / "UPDATED.csv"), out)
-
-    flags = spark.read.parquet(f"{out}/flags")
-    assert {r["signal_type"] for r in flags.select("signal_type").distinct().collect()} == {
-        "excluded_provider", "billing_outlier", "rapid_escalation", "workforce_impossibility",
-        "shared_official", "geographic_implausibility"}
-    lines = []
-    for f in sorted(glob.glob(f"{out}/report/providers/part-*.json")):
-        lines += [json.loads(x) for x in open(f) if x.strip()]
-    assert [p["rank"] for p in sorted(lines, key=lambda p: p["rank"])] == list(range(1, 13))
-    top = min(lines, key=lambda p: p["rank"])
-    assert top["npi"] == "1000000099" and top["estimated_overpayment_usd"] == 180000.0
-    assert top["fca_relevance"]["suggested_next_steps"][0].startswith("Verify exclusion status")
+    for path, header, rows in ((raw / "npidata_pfile_1.csv", S.REGISTRY_LONG, X.registry_rows()),
+                               (folder / "UPDATED.csv", S.EXCLUSION_COLUMNS, X.exclusion_rows())):
+        with open(path, "w", newline="") as fh:
+            csv.writer(fh).writerows([header, *[["" if v is None else v for v in r] for r in rows]])
+    return spending, str(raw), str(folder / "UPDATED.csv"), str(folder / "out")
+
+
+def read_report(out):
+    parts = [[json.loads(x) for x in open(f) if x.strip()] for f in glob.glob(f"{out}/report/providers/part-*.json")]
     header = [json.loads(x) for f in glob.glob(f"{out}/report/header/part-*.json") for x in open(f) if x.strip()]
-    assert header[0]["total_providers_scanned"] == 112 and header[0]["total_providers_flagged"] == 12
-    assert header[0]["signal_counts"]["excluded_provider"] == 2
+    return parts, header[0]
+
+
+def check_report(out):
+    parts, header = read_report(out)
+    assert all([p["rank"] for p in part] == sorted(p["rank"] for p in part) for part in parts)
+    lines = sorted((p for part in parts for p in part), key=lambda p: p["rank"])
+    assert [p["rank"] for p in lines] == list(range(1, 13))
+    assert lines[0]["npi"] == X.NAMESAKE and lines[0]["estimated_overpayment_usd"] == 2000.0
+    assert (header["total_providers_scanned"], header["total_providers_flagged"]) == (42, 12)
+    assert header["signal_counts"]["shared_official"] == 1 and header["signal_counts"]["geographic_implausibility"] == 2
+
+
+def test_all_stages(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    pipeline.run(spark, *args)
+    check_report(args[-1])
+    # the three tables are there for the user's own SQL
+    assert spark.sql("SELECT count(*) FROM spending s JOIN nppes n ON s.BILLING_PROVIDER_NPI_NUM = n.npi "
+                     "LEFT JOIN leie l ON l.NPI = n.npi").first()[0] == 118
+
+
+def test_stages_run_in_sessions_of_their_own(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    for stage in pipeline.STAGES:
+        pipeline.run(spark.newSession(), *args, stages=(stage,))
+    check_report(args[-1])
+    members = spark.read.parquet(f"{args[-1]}/official_members").collect()
+    assert sorted((m["flag_id"], m["npi"], m["total_paid"]) for m in members) == [
+        ("shared_official|VANCE|RUTH", npi, 250000.0) for npi in X.CHAIN]
+
+
+def test_intermediate_tables_are_dropped(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    before = lineage.stored_count()
+    root = ensure_checkpoint_dir(spark).removeprefix("file:") + "/claimlens"
+    had = set(os.listdir(root)) if os.path.isdir(root) else set()
+    pipeline.run(spark, *args)
+    assert lineage.stored_count() == before
+    assert set(os.listdir(root)) == had
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("claimlens_") and t.name not in had]
+
+
+def test_no_private_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_buckets_follow_the_bytes_read(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(200_000).selectExpr("id", "cast(rand() as string) AS s").write.parquet(path)
+    one = spark.read.parquet(path)
+    both = one.join(one.withColumnRenamed("s", "s2"), "id")
+    assert lineage.buckets_for(both, 10_000) >= lineage.buckets_for(one, 10_000) > lineage.BUCKETS_RANGE[0]
+    assert lineage.buckets_for(both, 10_000) < 3 * lineage.buckets_for(one, 10_000)
+    assert lineage.buckets_for(one) == lineage.BUCKETS_RANGE[0]
+    stored = lineage.materialize(one, "t", bucket_by="id", buckets=3)
+    assert stored.count() == 200_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver test data not present")
+def test_report_of_the_larger_star_loses_no_provider(spark, tmp_path):
+    from claimlens.sources.tables import load_star_tables
+    tables, out = load_star_tables(spark, "/root/testdata/sf0.1"), str(tmp_path / "out")
+    tables.registry.write.parquet(f"{out}/nppes_slim.parquet")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pipeline.signals_stage(tables, out)
+        pipeline.report_stage(spark, out)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    flagged = spark.read.parquet(f"{out}/flags").select("npi").distinct().count()
+    ranks = spark.read.json(f"{out}/report/providers")
+    got = ranks.selectExpr("count(*)", "count(distinct rank)", "min(rank)", "max(rank)", "count(distinct npi)").first()
+    assert flagged > 8000 and tuple(got) == (flagged, flagged, 1, flagged, flagged)
+    assert spark.read.json(f"{out}/report/header").first()["total_providers_flagged"] == flagged

@@ -1,4 +1,4 @@
-"""Six signals on the planted fixture, with the exact expected values."""
+"""Six signals on the planted fixture, with values worked out in FIXTURES.md."""
 
 import dataclasses
 
@@ -6,12 +6,12 @@ import pytest
 
 from claimlens.config import DEFAULT_CONFIG
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
-from tests.fixtures import make_tables
+from tests import fixtures as X
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return make_tables(spark)
+    return X.make_tables(spark)
 
 
 def by_npi(df):
@@ -19,136 +19,101 @@ def by_npi(df):
 
 
 def test_fixture_shape(tables):
-    assert tables.spending.count() == 656
-    assert tables.registry.count() == 112
-    assert tables.exclusions.count() == 3
+    assert (tables.spending.count(), tables.registry.count(), tables.exclusions.count()) == (118, 43, 3)
 
 
-def test_excluded_tier1(tables):
+def test_exclusion_by_npi_sums_both_roles(tables):
     rows = by_npi(excluded.excluded_provider(tables, tiers=(excluded.TIER_NPI,)))
-    assert set(rows) == {"1000000099"}
-    r = rows["1000000099"]
-    assert r["match_role"] == "billing+servicing"
-    # both roles are summed, so each row whose two NPIs match counts twice
-    assert r["total_paid_after_exclusion"] == 180000.0
-    assert r["total_claims_after_exclusion"] == 1200
-    assert (r["first_claim_month"], r["last_claim_month"]) == ("2024-01-01", "2024-06-01")
-    assert (r["excl_date"], r["excl_type"]) == ("20200101", "1128a1")
+    assert rows == {X.BARRED: {
+        "tier": 1, "npi": X.BARRED, "excl_date": "20210401", "excl_type": "1128b7", "match_role": "billing+servicing",
+        "total_paid_after_exclusion": 1200.0, "total_claims_after_exclusion": 40,
+        "first_claim_month": "2021-04", "last_claim_month": "2021-05"}}
 
 
-def test_excluded_tier1_rows_once(tables):
+def test_exclusion_can_count_rows_once(tables):
     cfg = dataclasses.replace(DEFAULT_CONFIG, count_rows_once=True)
-    r = by_npi(excluded.excluded_provider(tables, cfg, tiers=(excluded.TIER_NPI,)))["1000000099"]
-    assert (r["total_paid_after_exclusion"], r["total_claims_after_exclusion"]) == (90000.0, 600)
-    assert r["match_role"] == "billing"
+    r = by_npi(excluded.excluded_provider(tables, cfg))[X.BARRED]
+    assert (r["total_paid_after_exclusion"], r["total_claims_after_exclusion"], r["match_role"]) == (600.0, 20, "billing")
 
 
-def test_excluded_tier2_name_match(tables):
+def test_exclusion_by_name_ends_with_reinstatement(tables):
     rows = by_npi(excluded.excluded_provider(tables, tiers=(excluded.TIER_NAME,)))
-    assert set(rows) == {"1000000098"}
-    r = rows["1000000098"]
-    assert r["match_role"] == "name_match"
-    assert (r["total_paid_after_exclusion"], r["total_claims_after_exclusion"]) == (144000.0, 960)
+    assert set(rows) == {X.NAMESAKE}
+    r = rows[X.NAMESAKE]
+    assert (r["match_role"], r["total_paid_after_exclusion"], r["total_claims_after_exclusion"]) == ("name_match", 2000.0, 20)
+    assert (r["first_claim_month"], r["last_claim_month"]) == ("2022-01", "2022-02")
 
 
-def test_excluded_negative(tables):
-    # UNRELATED SOMEONE has an NPI but no claims; peers are never excluded
-    npis = set(by_npi(excluded.excluded_provider(tables)))
-    assert npis == {"1000000099", "1000000098"}
+def test_exclusions_touch_nobody_else(tables):
+    assert set(by_npi(excluded.excluded_provider(tables))) == {X.BARRED, X.NAMESAKE}
 
 
-@pytest.mark.parametrize("method", ["exact", "exact_distributed", "builtin"])
-def test_peer_group_stats(tables, method):
+@pytest.mark.parametrize("method", ["exact", "builtin"])
+def test_peer_group(tables, method):
     cfg = dataclasses.replace(DEFAULT_CONFIG, quantile_method=method)
-    rows = outlier.peer_group_stats(tables, cfg).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert (r["taxonomy"], r["state"], r["peer_count"]) == ("207Q00000X", "CA", 102)
-    assert r["median_paid"] == pytest.approx(30000.0)
-    assert r["p99_paid"] == pytest.approx(2200377.0)
+    (r,) = outlier.peer_group_stats(tables, cfg).collect()
+    assert (r["taxonomy"], r["state"], r["peer_count"], r["median_paid"]) == ("363L00000X", "OR", 31, 1650.0)
+    assert r["p99_paid"] == pytest.approx(63621.0)
 
 
-def test_billing_outlier(tables):
+def test_outlier(tables):
     rows = by_npi(outlier.billing_outlier(tables))
-    assert set(rows) == {"1000000050", "1000000060"}
-    assert rows["1000000050"]["total_paid"] == 3000000.0
-    assert rows["1000000050"]["ratio_to_median"] == pytest.approx(100.0)
-    assert rows["1000000060"]["total_paid"] == 2222300.0
-    assert rows["1000000060"]["ratio_to_median"] == pytest.approx(74.0767, abs=1e-4)
-    assert rows["1000000060"]["p99_paid"] == pytest.approx(2200377.0)
+    assert set(rows) == {X.OUTLIER}
+    r = rows[X.OUTLIER]
+    assert (r["total_paid"], r["total_claims"], r["p99_paid"], r["ratio_to_median"]) == (90000.0, 2100, 63621.0, 54.5455)
+    raw = by_npi(outlier.outlier_records(tables))[X.OUTLIER]
+    assert raw["ratio_to_median"] == pytest.approx(90000 / 1650, rel=1e-12)
 
 
-def test_billing_outlier_approx_flags_only_top(tables):
+def test_outlier_by_sketch(tables):
     cfg = dataclasses.replace(DEFAULT_CONFIG, quantile_method="approx")
-    stats = outlier.peer_group_stats(tables, cfg).collect()[0]
-    assert stats["p99_paid"] == pytest.approx(2222300.0)
-    assert set(by_npi(outlier.billing_outlier(tables, cfg))) == {"1000000050"}
+    (r,) = outlier.peer_group_stats(tables, cfg).collect()
+    assert r["p99_paid"] == 90000.0     # the sketch takes a value, it does not interpolate
+    assert outlier.billing_outlier(tables, cfg).count() == 0
 
 
-def test_rapid_escalation(tables):
+def test_escalation(tables):
     rows = by_npi(escalation.rapid_escalation(tables))
-    assert set(rows) == {"1000000060"}
-    r = rows["1000000060"]
-    assert r["max_growth_pct"] == pytest.approx(3155.814, abs=1e-3)
-    assert r["peak_monthly_paid"] == 500000.0
-    assert (r["first_month"], r["last_month"]) == ("2024-10-01", "2025-09-01")
-    assert r["first_billing_month"] == "2024-10-01"
-    assert r["total_paid_12mo"] == 2222300.0
-    assert r["total_paid_excess_growth_months"] == 1715000.0
-    assert r["enum_date"] == "09/01/2024"
+    assert rows == {X.RISER: {
+        "npi": X.RISER, "max_growth_pct": 1900.0, "peak_monthly_paid": 1600.0, "first_month": "2022-04",
+        "last_month": "2022-12", "enum_date": "03/10/2022", "total_paid_12mo": 2640.0,
+        "total_paid_excess_growth_months": 2400.0, "first_billing_month": "2022-04"}}
 
 
-def test_escalation_growth_by_rank(tables):
-    g = escalation.escalation_growth(tables).where("npi = '1000000060'").orderBy("month_rank").collect()
-    growth = [round(r["growth_pct"], 2) for r in g if r["month_rank"] >= 6]
-    assert growth == [2587.5, 3081.82, 2971.43, 3155.81, 1542.86, 597.67, 114.29]
+def test_escalation_growth_by_month(tables):
+    g = escalation.escalation_growth(tables).where(f"npi = '{X.RISER}'").orderBy("month_rank").collect()
+    assert [r["growth_pct"] for r in g] == pytest.approx([0, 0, 0, 0, 0, 0, 300, 1600, 1900])
 
 
 def test_escalation_months(tables):
-    rows = escalation.escalation_months(tables).collect()
-    assert len(rows) == 12
-    assert sorted(r["monthly_paid"] for r in rows) == sorted(float(x) for x in
-                                                              [100, 200, 500, 1500, 5000, 15000, 50000,
-                                                               150000, 500000, 500000, 500000, 500000])
+    rows = escalation.escalation_months(tables).orderBy("month").collect()
+    assert [r["monthly_paid"] for r in rows] == [float(x) for x in X.RISER_MONTHLY]
 
 
 def test_workforce(tables):
     rows = by_npi(workforce.workforce_impossibility(tables))
-    assert set(rows) == {"1000000070"}
-    r = rows["1000000070"]
-    assert (r["max_monthly_claims"], r["peak_month"], r["impossible_months_count"]) == (2000, "2024-06", 1)
-    assert r["implied_claims_per_hour"] == pytest.approx(11.3636, abs=1e-4)
-    assert r["total_paid_peak_month"] == 200000.0
-    assert r["total_claims_impossible"] == 2000
-    assert r["estimated_overpayment"] == pytest.approx(94400.0)
+    assert rows == {X.CLINIC: {
+        "npi": X.CLINIC, "max_monthly_claims": 1760, "peak_month": "2023-01", "implied_claims_per_hour": 10.0,
+        "total_paid_peak_month": 35200.0, "impossible_months_count": 1, "total_claims_impossible": 1760,
+        "total_paid_impossible": 35200.0, "estimated_overpayment": 14080.0}}
 
 
 def test_shared_official(tables):
-    rows = official.shared_official(tables).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert (r["off_last"], r["off_first"], r["npi_count"]) == ("KINGPIN", "CARL", 6)
-    assert r["states"] == ["FL", "NY", "TX"]
-    assert r["combined_total_paid"] == 1440000.0
-    assert r["combined_total_claims"] == 3600
-
-
-def test_official_groups_and_totals(tables):
-    groups = official.official_groups(tables).collect()
-    assert [(g["off_last"], g["npi_count"]) for g in groups] == [("KINGPIN", 6)]  # SHADY BOSS has 1
-    totals = official.official_npi_totals(tables).collect()
-    assert sorted(r["npi"] for r in totals) == [f"10000000{n}" for n in range(80, 86)]
-    assert {r["total_paid"] for r in totals} == {240000.0}
+    (r,) = official.shared_official(tables).collect()
+    assert r.asDict() == {"off_last": "VANCE", "off_first": "RUTH", "npi_count": 5, "states": ["ID", "NV", "UT"],
+                          "combined_total_paid": 1250000.0, "combined_total_claims": 4500}
+    assert [g["off_last"] for g in official.official_groups(tables).collect()] == ["VANCE"]     # ABEL runs one company
+    members = official.official_npi_totals(tables).collect()
+    assert sorted((m["npi"], m["total_paid"]) for m in members) == [(npi, 250000.0) for npi in X.CHAIN]
 
 
 def test_home_health(tables):
     rows = by_npi(home_health.geographic_implausibility(tables))
-    assert set(rows) == {"1000000090"}
-    r = rows["1000000090"]
-    assert (r["total_claims"], r["total_beneficiaries"], r["months_flagged"]) == (3000, 30, 6)
-    assert r["bene_to_claims_ratio"] == pytest.approx(0.01)
-    assert (r["total_paid"], r["state"]) == (300000.0, "GA")
+    assert {n: (r["total_claims"], r["total_beneficiaries"], r["bene_to_claims_ratio"], r["months_flagged"], r["state"])
+            for n, r in rows.items()} == {X.HOME_MILD: (800, 45, 0.0563, 2, "VT"), X.HOME_BAD: (250, 10, 0.04, 1, None)}
     codes = home_health.home_health_codes(tables).collect()
-    assert [(c["npi"], c["hcpcs_code"]) for c in codes] == [("1000000090", "T1019")]
+    assert sorted((c["npi"], c["hcpcs_code"]) for c in codes) == [
+        (X.HOME_MILD, "G0299"), (X.HOME_MILD, "T1020"), (X.HOME_BAD, "S9123")]
     months = home_health.home_health_months(tables).collect()
-    assert len(months) == 6 and all(m["ratio"] == pytest.approx(0.01) for m in months)
+    assert sorted((m["npi"], m["month"], m["ratio"]) for m in months) == [
+        (X.HOME_MILD, "2023-08", 0.0667), (X.HOME_MILD, "2023-09", 0.05), (X.HOME_BAD, "2023-08", 0.04)]
