@@ -1,0 +1,144 @@
+"""The registered queries on the driver's small tables, against plain Python or SQL, and the
+pipeline stage by stage."""
+
+import math
+import os
+
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from claimlens.llm import queries
+from tests.llm import cases
+from tests.llm.test_dedup import _brute_components, plain_fingerprint
+from tests.llm.test_record_files import expected
+from tests.llm.test_text_operators import contamination_brute, fill_brute, measures_brute, spans_brute
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r["text"] for r in queries.table(spark, SF, "documents").collect()}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def run(spark, name):
+    rows = E.queries()[name](spark, SF).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_all_are_registered():
+    names = [n for n in E.queries() if n.startswith("op")]
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
+    assert "pipeline" in E.queries()
+
+
+def test_op1(spark, docs):
+    got = run(spark, "op1_substring_dedup")
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == cases.substring_brute(docs.items())
+
+
+def test_op2(spark, docs):
+    got = run(spark, "op2_language_id")
+    lang = {r["doc_id"]: r["lang"] for r in queries.table(spark, SF, "documents").collect()}
+    held = [i for i in docs if cases.crc_fold(i, 3) == 1]
+    assert sorted(got) == sorted(docs) and {i for i in got if got[i]["held_out"]} == set(held)
+    assert sum(got[i]["lang_pred"] == lang[i] for i in held) / len(held) > 0.9
+
+
+def test_op3(spark, docs, tokenizer):
+    got = E.queries()["op3_token_files"](spark, SF).orderBy("start").collect()
+    assert [tuple(r) for r in got] == expected(docs.items(), tokenizer)
+
+
+def test_op4(spark, docs):
+    kinds = ["email", "ip", "card", "phone"]
+    for i, r in run(spark, "op4_pii").items():
+        base = spans_brute(docs[i])
+        text = [f"{kinds[k]}:{a}:{b}" for a, k, b in base]
+        assert r["base_sha256"] == cases.sha(",".join(text))
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[1] == j for x in base) for j in range(4)]
+        assert set(text) <= set(r["spans"].split(",")) | {""}
+
+
+def test_op5(spark, docs):
+    got = run(spark, "op5_simhash")
+    prints = {i: plain_fingerprint(s) for i, s in docs.items()}
+    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == prints
+    assert all(len(r["fingerprint"]) == 16 for r in got.values())
+    assert {i: r["component_id"] for i, r in got.items()} == _brute_components(prints)
+
+
+def test_op6(spark, docs):
+    for i, r in run(spark, "op6_quality_rules").items():
+        m = measures_brute(docs[i])
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == m
+        assert r["base_failed"] == (m[0] < 20 or 100 * m[4] > 30 * m[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_op7_matches_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = sorted(con.execute(E.oracle_sql()["op7_mixing"]).fetchall())
+    assert sorted(tuple(r) for r in E.queries()["op7_mixing"](spark, SF).collect()) == want
+    sizes = {}
+    rows = queries.table(spark, SF, "documents").collect()
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(cases.words(r["text"]))
+    target = fill_brute(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))})
+    assert all(math.isclose(w[3], target[r["source"]]) for w, r in zip(want, sorted(rows, key=lambda r: r["doc_id"])))
+
+
+def test_op8(spark, docs):
+    items = [tuple(r) for r in queries.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    got = run(spark, "op8_decontamination")
+    want = contamination_brute(docs.items(), items)
+    assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r["contaminated"]} == {i for i, w in want.items() if w[1]}
+
+
+def test_op9(spark, docs):
+    got = run(spark, "op9_toxicity")
+    assert sorted(got) == sorted(docs)
+    for i, r in got.items():
+        assert r["held_out"] == (cases.crc_fold(i, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_op10(spark, docs):
+    got = run(spark, "op10_suffix_dedup")
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == cases.suffix_brute(docs.items())
+
+
+def test_pipeline_stage_by_stage(spark, tokenizer):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "mixing", "token_files"]
+    docs = queries.table(spark, SF, "documents")
+    verdict = run(spark, "op6_quality_rules")
+    good = stages["quality_rules"](spark, docs, SF)
+    kept = {r["doc_id"]: r["text"] for r in good.collect()}
+    assert set(kept) == {i for i, r in verdict.items() if r["kept"]} and len(kept) > 100
+    single = stages["simhash_near_dedup"](spark, good, SF)
+    groups = _brute_components({i: plain_fingerprint(s) for i, s in kept.items()})
+    one = {r["doc_id"]: r["text"] for r in single.collect()}
+    assert set(one) == {i for i, g in groups.items() if i == g}
+    clean = stages["benchmark_decontamination"](spark, single, SF)
+    items = [tuple(r) for r in queries.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    found = contamination_brute(one.items(), items)
+    left = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert set(left) == {i for i, w in found.items() if not w[1]}
+    mixed = stages["mixing"](spark, clean, SF)
+    assert all(df.columns == docs.columns for df in (good, single, clean, mixed))
+    rows = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    assert {i for i, _ in rows} <= set(left) and max(sum(i == j for j, _ in rows) for i in left) <= 3
+    files = stages["token_files"](spark, mixed, SF).orderBy("start").collect()
+    assert [tuple(r) for r in files] == expected(rows, tokenizer)
+    assert corpus_pipeline.run(spark, SF).count() == len(files)
