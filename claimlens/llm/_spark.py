@@ -21,6 +21,8 @@ from claimlens.llm._text import Block, blocks
 SKETCH_BITS = 1 << 24
 
 
+#: bytes of one batch sent to a Python worker, however long its rows
+BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -28,6 +30,7 @@ def ship(df: DataFrame) -> DataFrame:
     """``df``, after its session has the source of this package to give to the Python
     workers, which need not have it installed. Spark serves the archive from the driver."""
     sc = df.sparkSession.sparkContext
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         path = os.path.join(tempfile.mkdtemp(prefix="claimlens-"), "claimlens_source.zip")
@@ -42,9 +45,17 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: rows per file of a table whose size is known beforehand
+FILE_ROWS = 50_000
+
+
+def stored(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
     """``df`` written once under ``spark.checkpoint.dir`` and read back: lineage
-    ends there, so a lost executor costs a re-read."""
+    ends there, so a lost executor costs a re-read. ``at_most``: a bound of its rows,
+    if one is known; a small table then gets few files, whatever the number of shuffle
+    partitions (a file costs more than its rows)."""
+    if at_most is not None:
+        df = df.coalesce(max(1, -(-at_most // FILE_ROWS)))
     return materialize(df, f"llm_{name}")
 
 
@@ -108,6 +119,15 @@ def sketch_slot(column) -> object:
     return _slot(column)
 
 
+def hash_sketch(rows: DataFrame, column: str) -> bytes:
+    """As ``document_sketch``, of a column that is a hash already: its low bits are its place."""
+    return document_sketch(rows, column, F.col(column).bitwiseAND(F.lit(SKETCH_BITS - 1)))
+
+
+def hash_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+
+
 def in_sketch(sketch: bytes, slots: np.ndarray) -> np.ndarray:
     bits = np.frombuffer(sketch, np.uint8)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0

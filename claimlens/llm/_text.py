@@ -142,16 +142,16 @@ def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost position of the least value in each ``values[i:i+width]``
-    (positions whose window would run over the end are left out)."""
-    at, have = np.arange(len(values)), 1
+    """Position of the least of each ``values[i:i+width]``, by the upper 32 bits of the
+    values, the leftmost of equals (windows that would run over the end are left out).
+    The lower half holds the position meanwhile, so one running minimum gives both."""
+    key = (values & U64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=U64)
+    have = 1
     while have < width:
         step = min(have, width - have)
-        n = len(values) - step
-        left = values[:n] <= values[step:]
-        at, values = np.where(left, at[:n], at[step:]), np.where(left, values[:n], values[step:])
+        key = np.minimum(key[:len(key) - step], key[step:])
         have += step
-    return at
+    return (key & U64(0xFFFFFFFF)).astype(np.int64)
 
 
 def cover(starts: np.ndarray, length: int, total: int) -> np.ndarray:
@@ -165,10 +165,11 @@ def cover(starts: np.ndarray, length: int, total: int) -> np.ndarray:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of the ranges starts[i] .. starts[i]+lengths[i]-1."""
     lengths = np.asarray(lengths, np.int64)
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(np.asarray(starts, np.int64), lengths)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.repeat(np.asarray(starts, np.int64) - ends + lengths, lengths)
+    out += np.arange(total)
+    return out
 
 
 def per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
