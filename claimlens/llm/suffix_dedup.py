@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from claimlens.llm import _text as t
-from claimlens.llm._spark import SKETCH_BITS, add_columns, document_sketch, in_sketch, ship, sketch_slot, stored
+from claimlens.llm._spark import add_columns, document_sketch, hash_sketch, hash_slots, in_sketch, ship, sketch_slot, stored
 
 WIDTH = 100
 SEED_WIDTH = 32
@@ -69,37 +69,45 @@ def _runs(block: t.Block, width: int, seed: int):
     return small[place], doc[k], first, n, place, words
 
 
-_OCCURRENCE = "anchor long, key long, place int, back int, n int, words long"
+_OCCURRENCE = "anchor long, key long, place int, back int, n int, words long, times long, mixed boolean"
 
 
-def occurrences(docs: DataFrame, sketch: bytes | None = None, width: int = WIDTH, seed: int = SEED_WIDTH) -> DataFrame:
-    """A row per run: anchor, key, place of the anchor in the text, ``back`` (bytes from the
-    first window to the anchor), n (windows), words. ``sketch`` lets through the anchors in it
-    and a few more."""
+def occurrences(docs: DataFrame, sketch: bytes | None = None, by_words: bool = False, every: bool = False,
+                width: int = WIDTH, seed: int = SEED_WIDTH) -> DataFrame:
+    """Runs: anchor, key, place of the anchor in the text, ``back`` (bytes from the first window
+    to the anchor), n (windows), words. ``sketch`` lets through the anchors in it and a few more.
+    With ``every`` a row per run; else a row per document and anchor (with ``by_words`` and
+    words): its first run, how many ``times`` there are, and whether their words are ``mixed``."""
 
     def run(batches):
         for block in t.blocks(batches, limit=STEP):
             found = _runs(block, width, seed)
             if found is None:
                 continue
-            anchor, doc, first, n, place, words = found
             if sketch is not None:
-                ok = in_sketch(sketch, _anchor_slot(anchor))
-                anchor, doc, first, n, place, words = (x[ok] for x in (anchor, doc, first, n, place, words))
+                ok = in_sketch(sketch, hash_slots(found[0]))
+                found = [x[ok] for x in found]
+            anchor, doc, first, n, place, words = found
+            times, mixed = np.ones(len(anchor), np.int64), np.zeros(len(anchor), bool)
+            if not every and len(anchor):
+                order = np.argsort(t.inside(anchor ^ (t.mix(words) if by_words else t.U64(0)), doc), kind="stable")
+                a, d, w = anchor[order], doc[order], words[order]
+                new = np.append(True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (by_words & (w[1:] != w[:-1])))
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(a)))
+                mixed = np.minimum.reduceat(w, at) != np.maximum.reduceat(w, at)
+                anchor, doc, first, n, place, words = (x[order][at] for x in found)
             yield pa.RecordBatch.from_pydict({
                 "anchor": anchor.view(np.int64), "key": block.ids("key")[doc], "place": (place - block.offsets[doc]).astype(np.int32),
-                "back": (place - first).astype(np.int32), "n": n.astype(np.int32), "words": words.view(np.int64)})
+                "back": (place - first).astype(np.int32), "n": n.astype(np.int32), "words": words.view(np.int64),
+                "times": times, "mixed": mixed})
 
     return ship(docs).select("key", "text").mapInArrow(run, _OCCURRENCE)
 
 
-def _anchor_slot(anchor: np.ndarray) -> np.ndarray:
-    return (anchor & t.U64(SKETCH_BITS - 1)).astype(np.int64)
-
-
-def _anchor_sketch(anchors: DataFrame) -> bytes:
-    """As ``document_sketch``; an anchor is a hash already, so its low bits are its place."""
-    return document_sketch(anchors, "anchor", F.col("anchor").bitwiseAND(F.lit(SKETCH_BITS - 1)))
+def _first() -> list:
+    """Of the occurrences of a group, the one in the least document."""
+    return [F.min("key").alias("key")] + [F.min_by(c, "key").alias(c) for c in ("place", "back", "n")]
 
 
 def _passed(docs: DataFrame, sketch: bytes) -> DataFrame:
@@ -237,13 +245,13 @@ def construct(shards: DataFrame, crowded: bool, width: int = WIDTH, seed: int =
 def first_places(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """The anchors that repeat, and (anchor, words, col, n, first_key, first_place) of all
     their strings."""
-    place = F.struct("key", "place", "back", "n")
     seams = stored(occurrences(docs).groupBy("anchor").agg(
-        F.count("*").alias("times"), F.min(place).alias("least"), F.min("words").alias("words"), F.max("words").alias("w1"))
-        .where("times > 1").select("anchor", "words", "least.*", (F.col("words") == F.col("w1")).alias("alike")), "suffix_anchors")
+        F.sum("times").alias("times"), *_first(), F.min("words").alias("words"), F.max("words").alias("w1"), F.max("mixed").alias("mixed"))
+        .where("times > 1").select("anchor", "words", "key", "place", "back", "n", (~F.col("mixed") & (F.col("words") == F.col("w1"))).alias("alike")),
+        "suffix_anchors")
     mixed = seams.where("not alike").select("anchor")
-    split = (occurrences(docs, _anchor_sketch(mixed)).groupBy("anchor", "words").agg(F.min(place).alias("least"))
-             .select("anchor", "words", "least.*").join(mixed, "anchor"))
+    split = (occurrences(docs, hash_sketch(mixed, "anchor"), by_words=True).groupBy("anchor", "words").agg(*_first())
+             .join(mixed, "anchor"))
     split = stored(split, "suffix_mixed")
     crowds = (split.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWD)
               .select("anchor", F.ceil(F.col("kinds") / CROWD).alias("parts")))
@@ -266,7 +274,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     late = F.lit(2 ** 62) + F.xxhash64(text).bitwiseAND(F.lit(2 ** 61 - 1))
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), late).alias("key"), text.cast("binary").alias("text"))
     anchors, places = first_places(own, width)
-    again = occurrences(own, _anchor_sketch(anchors)).select("anchor", "words", "key", "place")
+    again = occurrences(own, hash_sketch(anchors, "anchor"), every=True).select("anchor", "words", "key", "place")
     gone = (again.join(places, ["anchor", "words"])
             .where("first_key < key or (first_key = key and first_place < place)")
             .select("key", (F.col("place") + F.col("col")).alias("start"), "n"))
