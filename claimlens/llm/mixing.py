@@ -72,14 +72,15 @@ def plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     often it is read ``whole``, and which documents are read once more: those with a hash
     up to ``cut``, and those with the hash ``filler``."""
     ranged = sized.select("source", "size", "hash", F.expr(f"hash div {WIDTH}").alias("range"))
-    sums = stored(ranged.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix_ranges")
+    sums = stored(ranged.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix_ranges", sized.count())
+    n = sums.count()
     sources = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = cyclic_weights(sources, cycle).select(F.col("source").alias("s"), "weight")
     targets = water_fill(sources.join(weights, F.col("source").eqNullSafe(F.col("s"))).drop("s"), max_epochs)
     rate = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(0).cast("long")
     targets = stored(targets.withColumn("whole", whole)
-                     .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")), "mix_targets")
+                     .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size")), "mix_targets", n)
 
     # the range in which the missing words are reached, then the last hash in it that fits
     names = targets.select(F.col("source").alias("s"), "missing")
@@ -96,7 +97,7 @@ def plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     cuts = (edge.join(last, F.col("s").eqNullSafe(F.col("l")), "left")
             .select("s", F.coalesce("last", F.col("r") * WIDTH - 1).alias("cut"),
                     (F.col("missing") - F.coalesce("have", "before")).alias("gap")))
-    cuts = stored(cuts, "mix_cuts")
+    cuts = stored(cuts, "mix_cuts", n)
     off = F.abs(F.col("size") - F.col("gap"))
     filler = (ranged.join(cuts, F.col("source").eqNullSafe(F.col("s")))
               .where((F.col("hash") > F.col("cut")) & (off < F.col("gap")))
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3
     sized = stored(docs.select("source", word_count(F.col("text")).alias("size"),
                                seeded_hash(F.col("doc_id"), seed).alias("hash")), "mix_sizes")
     by = {c: free_name(docs, f"mix_{c}") for c in ("source", "whole", "cut", "filler")}
-    table = stored(plan(sized, cycle, max_epochs), "mix_plan").select(*[F.col(c).alias(n) for c, n in by.items()])
+    table = stored(plan(sized, cycle, max_epochs), "mix_plan", 1).select(*[F.col(c).alias(n) for c, n in by.items()])
     copies = copies_of(seeded_hash(F.col("doc_id"), seed), by)
     taken = docs.join(table, F.col("source").eqNullSafe(F.col(by["source"]))).where(copies > 0)
     n = free_name(docs, "mix_copy")
@@ -131,7 +132,7 @@ def mixed_words(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs:
     """doc_id, size, source_size, target, taken of every row."""
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                                seeded_hash(F.col("doc_id"), seed).alias("hash")), "mix_sizes")
-    table = stored(plan(sized, cycle, max_epochs), "mix_plan").withColumnRenamed("source", "s")
+    table = stored(plan(sized, cycle, max_epochs), "mix_plan", 1).withColumnRenamed("source", "s")
     copies = copies_of(F.col("hash"), {c: c for c in ("whole", "cut", "filler")})
     return (sized.join(table, F.col("source").eqNullSafe(F.col("s")))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")))

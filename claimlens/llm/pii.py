@@ -195,12 +195,13 @@ def bootstrap(docs: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) ->
         occurrences.select("string", "kind", F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("left").alias("word")), F.struct(F.lit(1).alias("side"), F.col("right").alias("word")))).alias("p"))
         .select("string", "kind", "p.side", "p.word").where("word != 0")
-        .groupBy("string", "kind", "side", "word").agg(F.count("*").alias("n")), "pii_edges")
+        .groupBy("string", "kind", "side", "word").agg(F.count("*").alias("n")), "pii_edges", 2 * occurrences.count())
+    n = edges.count()
     seeded = stored(edges.where("kind >= 0").groupBy("side", "word", "kind").agg(F.count("*").alias("seeds"))
-                    .where(F.col("seeds") >= SEEDS).select("side", "word", F.col("kind").alias("as_kind")), "pii_patterns")
-    totals = stored(word_totals(docs, seeded.select("word").distinct()), "pii_totals")
+                    .where(F.col("seeds") >= SEEDS).select("side", "word", F.col("kind").alias("as_kind")), "pii_patterns", n)
+    totals = stored(word_totals(docs, seeded.select("word").distinct()), "pii_totals", n)
     patterns = seeded.join(totals, "word")
-    graph = stored(edges.join(patterns, ["side", "word"]), "pii_graph")
+    graph = stored(edges.join(patterns, ["side", "word"]), "pii_graph", len(KINDS) * n)
     scores = None
     for k in range(rounds):
         own = F.when(F.col("kind") >= 0, (F.col("kind") == F.col("as_kind")).cast("double"))
@@ -211,7 +212,7 @@ def bootstrap(docs: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) ->
         good = (scored.groupBy("side", "word", "as_kind").agg((F.sum(F.col("s") * F.col("n")) / (F.first("total") + PRIOR)).alias("confidence"))
                 .where(F.col("confidence") >= CONFIDENCE))
         scores = stored(graph.where("kind < 0").join(good, ["side", "word", "as_kind"]).select("string", "as_kind", "side", "word", "confidence").distinct()
-                        .groupBy("string", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score")), "pii_scores")
+                        .groupBy("string", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("score")), "pii_scores", len(KINDS) * n)
     best = scores.where(F.col("score") >= FOUND).groupBy("string").agg(F.max(F.struct("score", -F.col("as_kind"))).alias("b"))
     return best.select("string", (-F.col("b.col2")).alias("kind"), F.col("b.score").alias("score"))
 

@@ -196,7 +196,7 @@ def learn_from(measured: DataFrame, labels: DataFrame, seed: int = 11, limit: in
     rows = (measured.join(known, F.col("doc_id") == F.col("label_id")).where(~base_failed(columns))
             .select(F.xxhash64(F.lit(seed), "doc_id").alias("h"), *[f(columns).alias(n) for n, f in FEATURES.items()],
                     F.col("bad").cast("double").alias("bad")))
-    chosen = sorted(map(tuple, bounded_sample(stored(rows, "quality_labelled"), "h", limit).collect()))
+    chosen = sorted(map(tuple, bounded_sample(stored(rows, "quality_labelled", labels.count()), "h", limit).collect()))
     return learn([r[1:] for r in chosen], list(FEATURES))
 
 

@@ -86,15 +86,15 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, at_most: int | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints (column ``fingerprint``, each
-    once) that differ in at most ``radius`` bits."""
+    once; ``at_most`` bounds their number, if known) that differ in at most ``radius`` bits."""
     if radius != 2:
         raise ValueError("the way for large buckets is written for a radius of 2")
     masks = [_signed(m) for m in covering_masks(radius)]
     keyed = prints.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("v", "key"))
     sizes = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
-    placed = stored(keyed.join(sizes, ["v", "key"]), "simhash_buckets")
+    placed = stored(keyed.join(sizes, ["v", "key"]), "simhash_buckets", None if at_most is None else len(masks) * at_most)
     few = placed.where(F.col("n") <= bucket).select("v", "key", "fingerprint")
     near = (few.withColumnRenamed("fingerprint", "a").join(few.withColumnRenamed("fingerprint", "b"), ["v", "key"])
             .where((F.col("a") < F.col("b")) & (_apart(F.col("a"), F.col("b")) <= radius)).select("a", "b"))
@@ -110,11 +110,12 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``prints`` (doc_id, fingerprint and other columns) with component_id."""
     prints = stored(prints, "simhash_prints")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "simhash_nodes")
-    groups = components(links(nodes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
+    n = prints.count()
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "simhash_nodes", n)
+    groups = components(links(nodes.select("fingerprint"), radius, at_most=n)).withColumnRenamed("node", "fingerprint")
     member = nodes.join(groups, "fingerprint", "left").withColumn("least", F.coalesce("least", "fingerprint"))
     named = member.groupBy("least").agg(F.min("least_id").alias("component_id"))
-    table = stored(member.join(named, "least").select(F.col("fingerprint").alias("f"), "component_id"), "simhash_classes")
+    table = stored(member.join(named, "least").select(F.col("fingerprint").alias("f"), "component_id"), "simhash_classes", n)
     return prints.join(table, F.col("fingerprint") == F.col("f")).drop("f")
 
 
