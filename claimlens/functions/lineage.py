@@ -55,8 +55,11 @@ def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     files it reads (the optimizer's estimate of a join is a product, and says
     nothing). Tables that are joined with each other take the same number."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(max(-(-size // bucket_bytes), BUCKETS_RANGE[0]), BUCKETS_RANGE[1])
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2 ** 63 - 1)))
+    if any(s >= unknown for s in sizes):    # not read from files
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(-(-sum(sizes) // bucket_bytes), BUCKETS_RANGE[0]), BUCKETS_RANGE[1])
 
 
 def materialize(df: DataFrame, name: str = "stage", bucket_by: str | None = None,
