@@ -45,9 +45,9 @@ class SignalSet:
         (the flag table, the report): the fact is rolled up once and written
         bucketed on NPI next to an NPI-bucketed registry, so joins,
         per-provider aggregates and NPI windows need no exchange. The small
-        derived rollups and each signal's result are persisted so that every
-        consumer reuses one computed copy (a lost block is rebuilt from the
-        bucket files, not from the fact)."""
+        derived rollups, and signal results that several branches read, are
+        persisted so that every consumer reuses one computed copy (a lost block
+        is rebuilt from the bucket files, not from the fact)."""
         self.cfg = cfg
         buckets = buckets_for(tables.spending) if materialize_rollups else 0
         self.buckets = buckets
@@ -91,9 +91,10 @@ class SignalSet:
     def _persist(self, df: DataFrame) -> DataFrame:
         return keep(df) if self._keep else df
 
-    def _once(self, name: str, build) -> DataFrame:
+    def _once(self, name: str, build, shared: bool = False) -> DataFrame:
+        """Built on first use; persisted if ``shared``, i.e. read by several branches of a plan."""
         if name not in self._memo:
-            self._memo[name] = self._persist(build())
+            self._memo[name] = self._persist(build()) if shared else build()
         return self._memo[name]
 
     # --- signal results, one per signal (flag records), unrounded ---
@@ -110,7 +111,7 @@ class SignalSet:
         return self._once("s4", lambda: workforce.workforce_records(self.tables, self.cfg, self.pm))
 
     def shared_official(self) -> DataFrame:
-        return self._once("s5", lambda: official.shared_official(self.tables, self.cfg, self.pm))
+        return self._once("s5", lambda: official.shared_official(self.tables, self.cfg, self.pm), shared=True)
 
     def home_health_records(self) -> DataFrame:
         return self._once("s6", lambda: home_health.home_health_records(self.tables, self.cfg, self.hm))
@@ -192,6 +193,8 @@ class SignalSet:
         detail lists, folded per NPI; all are bounded by what one provider can carry
         (12 months, the code list, its home-health months)."""
         cfg = self.cfg
+        for records in (self.escalation_records(), self.home_health_records()):
+            self._persist(records)      # read by their flags and by their details
         s3, s5, s6 = self.rapid_escalation(), self.shared_official(), self.geographic_implausibility()
         options = {"ignoreNullFields": "false"}
         months = (escalation.escalation_months(self.tables, cfg, self.pm, s3).groupBy("npi")
