@@ -26,8 +26,9 @@ classes of those shards are joined by their windows' bytes in one more step.
 
 Defined results: a null or empty text has no bytes; texts below 100 bytes lose nothing. Rows
 with the same doc_id and text are one document. A null doc_id comes after all others, in the
-order of the text's hash. Rows that share an id but not the text are taken as one document
-whose places coincide; hits beyond a text's end are ignored.
+order of the text's hash. Documents are compared by doc_id and found again by doc_id and the
+hash of the text (``body``): different texts under one id lose what a smaller id has or what
+starts earlier in the same text, and nothing to each other.
 """
 
 from __future__ import annotations
@@ -69,12 +70,12 @@ def _runs(block: t.Block, width: int, seed: int):
     return small[place], doc[k], first, n, place, words
 
 
-_OCCURRENCE = "anchor long, key long, place int, back int, n int, words long, times long, mixed boolean"
+_OCCURRENCE = "anchor long, key long, body long, place int, back int, n int, words long, times long, mixed boolean"
 
 
 def occurrences(docs: DataFrame, sketch: bytes | None = None, by_words: bool = False, every: bool = False,
                 width: int = WIDTH, seed: int = SEED_WIDTH) -> DataFrame:
-    """Runs: anchor, key, place of the anchor in the text, ``back`` (bytes from the first window
+    """Runs: anchor, key, body, place of the anchor in the text, ``back`` (bytes from the first window
     to the anchor), n (windows), words. ``sketch`` lets through the anchors in it and a few more.
     With ``every`` a row per run; else a row per document and anchor (with ``by_words`` and
     words): its first run, how many ``times`` there are, and whether their words are ``mixed``."""
@@ -98,36 +99,37 @@ def occurrences(docs: DataFrame, sketch: bytes | None = None, by_words: bool = F
                 mixed = np.minimum.reduceat(w, at) != np.maximum.reduceat(w, at)
                 anchor, doc, first, n, place, words = (x[order][at] for x in found)
             yield pa.RecordBatch.from_pydict({
-                "anchor": anchor.view(np.int64), "key": block.ids("key")[doc], "place": (place - block.offsets[doc]).astype(np.int32),
+                "anchor": anchor.view(np.int64), "key": block.ids("key")[doc], "body": block.ids("body")[doc], "place": (place - block.offsets[doc]).astype(np.int32),
                 "back": (place - first).astype(np.int32), "n": n.astype(np.int32), "words": words.view(np.int64),
                 "times": times, "mixed": mixed})
 
-    return ship(docs).select("key", "text").mapInArrow(run, _OCCURRENCE)
+    return ship(docs).select("key", "body", "text").mapInArrow(run, _OCCURRENCE)
 
 
 def _first() -> list:
-    """Of the occurrences of a group, the one in the least document."""
-    return [F.min("key").alias("key")] + [F.min_by(c, "key").alias(c) for c in ("place", "back", "n")]
+    """Of the occurrences of a group, one in the least document (of texts under one id, any:
+    all columns see the same rows in the same order, so they come from the same one)."""
+    return [F.min("key").alias("key")] + [F.min_by(c, "key").alias(c) for c in ("body", "place", "back", "n")]
 
 
 def _passed(docs: DataFrame, sketch: bytes) -> DataFrame:
-    slots = docs.select("key", "text", sketch_slot(F.col("key")).alias("slot"))
+    slots = docs.select("key", "body", "text", sketch_slot(F.col("key")).alias("slot"))
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(in_sketch(sketch, batch.column(2).to_numpy(zero_copy_only=False)))).drop_columns(["slot"])
+            yield batch.filter(pa.array(in_sketch(sketch, batch.column(3).to_numpy(zero_copy_only=False)))).drop_columns(["slot"])
 
-    return ship(slots).mapInArrow(run, "key long, text binary")
+    return ship(slots).mapInArrow(run, "key long, body long, text binary")
 
 
-_STRING = "anchor long, words long, key long, place int, back int, n int, part long, string binary"
+_STRING = "anchor long, words long, key long, body long, place int, back int, n int, part long, string binary"
 
 
 def strings(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The bytes of the wanted runs (anchor, words, key, place, back, n, part), each read from
-    the document ``key``."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "words", "place", "back", "n", "part")).alias("runs"))
-    texts = _passed(docs, document_sketch(wanted, "key")).dropDuplicates(["key"]).join(lists, "key")
+    """The bytes of the wanted runs (anchor, words, key, body, place, back, n, part), each read
+    from the document (key, body)."""
+    lists = wanted.groupBy("key", "body").agg(F.collect_list(F.struct("anchor", "words", "place", "back", "n", "part")).alias("runs"))
+    texts = _passed(docs, document_sketch(wanted, "key")).dropDuplicates(["key", "body"]).join(lists, ["key", "body"])
 
     def run(batches):
         for block in t.blocks(batches, limit=STEP):
@@ -141,7 +143,7 @@ def strings(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame
             raw = pa.py_buffer(np.ascontiguousarray(data))
             off = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
-                **{c: flat.field(c) for c in ("anchor", "words")}, "key": block.ids("key")[doc],
+                **{c: flat.field(c) for c in ("anchor", "words")}, **{c: block.ids(c)[doc] for c in ("key", "body")},
                 **{c: flat.field(c) for c in ("place", "back", "n", "part")},
                 "string": pa.Array.from_buffers(pa.binary(), len(size), [None, off, raw])})
 
@@ -186,21 +188,22 @@ def classes(group: np.ndarray, back: np.ndarray, n: np.ndarray, data: np.ndarray
     return least.T
 
 
-_CLASS = "anchor long, words long, col int, n int, first_key long, first_place int, window long"
+_CLASS = "anchor long, words long, col int, n int, first_key long, first_body long, first_place int, window long"
 
 
 def construct(shards: DataFrame, crowded: bool, width: int = WIDTH, seed: int = SEED_WIDTH) -> DataFrame:
-    """(anchor, words, col, n, first_key, first_place): the string's windows in columns col to
-    col + n - 1 first occur in document first_key with the anchor at first_place. With
+    """(anchor, words, col, n, first_key, first_body, first_place): the string's windows in
+    columns col to col + n - 1 first occur in document first_key, first_body with the anchor at
+    first_place; this place names the class. With
     ``crowded`` a row per window, with the hash of its bytes in ``window``."""
     reach = width - seed
 
     def solve(rows: pa.Table):
-        anchor, part, key, place, back, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part", "key", "place", "back", "n"))
+        anchor, part, key, body, place, back, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part", "key", "body", "place", "back", "n"))
         data, offsets = t.bytes_of(rows.column("string").combine_chunks())
         fresh = np.ones(len(anchor), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
-        by_place = np.lexsort((place, key))
+        by_place = np.lexsort((place, body, key))
         rank = np.empty(len(key), np.int64)
         rank[by_place] = np.arange(len(key))
         least = classes(np.cumsum(fresh) - 1, back, n, data, offsets, rank, width, seed)
@@ -219,7 +222,7 @@ def construct(shards: DataFrame, crowded: bool, width: int = WIDTH, seed: int =
             window = t.range_hashes(t.byte_values(data), start, start + width).view(np.int64)
         return pa.RecordBatch.from_pydict({
             "anchor": anchor[who], "words": rows.column("words").to_numpy()[who], "col": col.astype(np.int32), "n": size.astype(np.int32),
-            "first_key": key[first], "first_place": place[first].astype(np.int32), "window": window})
+            "first_key": key[first], "first_body": body[first], "first_place": place[first].astype(np.int32), "window": window})
 
     def run(batches):
         held, count = [], 0
@@ -243,11 +246,11 @@ def construct(shards: DataFrame, crowded: bool, width: int = WIDTH, seed: int =
 
 
 def first_places(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The anchors that repeat, and (anchor, words, col, n, first_key, first_place) of all
-    their strings."""
+    """The anchors that repeat, and (anchor, words, col, n, first_key, first_body,
+    first_place) of all their strings."""
     seams = stored(occurrences(docs).groupBy("anchor").agg(
         F.sum("times").alias("times"), *_first(), F.min("words").alias("words"), F.max("words").alias("w1"), F.max("mixed").alias("mixed"))
-        .where("times > 1").select("anchor", "words", "key", "place", "back", "n", (~F.col("mixed") & (F.col("words") == F.col("w1"))).alias("alike")),
+        .where("times > 1").select("anchor", "words", "key", "body", "place", "back", "n", (~F.col("mixed") & (F.col("words") == F.col("w1"))).alias("alike")),
         "suffix_anchors")
     mixed = seams.where("not alike").select("anchor")
     split = (occurrences(docs, hash_sketch(mixed, "anchor"), by_words=True).groupBy("anchor", "words").agg(*_first())
@@ -262,8 +265,8 @@ def first_places(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     plain = construct(few, False, width).drop("window")
     many = texts.where("part >= 0").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     crowd = stored(construct(many, True, width), "suffix_crowds")
-    best = crowd.groupBy("anchor", "col", "window").agg(F.min(F.struct("first_key", "first_place")).alias("b")).select("anchor", "col", "window", "b.*")
-    merged = crowd.drop("first_key", "first_place").join(best, ["anchor", "col", "window"]).select(*plain.columns)
+    best = crowd.groupBy("anchor", "col", "window").agg(F.min(F.struct("first_key", "first_body", "first_place")).alias("b")).select("anchor", "col", "window", "b.*")
+    merged = crowd.drop("first_key", "first_body", "first_place").join(best, ["anchor", "col", "window"]).select(*plain.columns)
     return seams.select("anchor"), stored(plain.unionByName(merged), "suffix_classes")
 
 
@@ -272,16 +275,35 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kept_sha256 of the bytes that stay."""
     text = F.coalesce(F.col("text"), F.lit(""))
     late = F.lit(2 ** 62) + F.xxhash64(text).bitwiseAND(F.lit(2 ** 61 - 1))
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), late).alias("key"), text.cast("binary").alias("text"))
+    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), late).alias("key"), F.xxhash64(text).alias("body"),
+                      text.cast("binary").alias("text"))
     anchors, places = first_places(own, width)
-    again = occurrences(own, hash_sketch(anchors, "anchor"), every=True).select("anchor", "words", "key", "place")
-    gone = (again.join(places, ["anchor", "words"])
-            .where("first_key < key or (first_key = key and first_place < place)")
-            .select("key", (F.col("place") + F.col("col")).alias("start"), "n"))
-    lists = stored(gone.groupBy(F.col("key").alias("hit")).agg(F.collect_set(F.struct("start", "n")).alias("runs")), "suffix_removed")
+    again = occurrences(own, hash_sketch(anchors, "anchor"), every=True).select("anchor", "words", "key", "body", "place")
+    met = again.join(places, ["anchor", "words"]).withColumn("start", F.col("place") + F.col("col"))
+    twins = stored(own.groupBy("key").agg(F.min("body").alias("b0"), F.max("body").alias("b1")).where("b0 < b1").select("key"), "suffix_twins")
+    before = "first_key < key or (first_key = key and first_place < place)"
+    if twins.isEmpty():
+        gone = met.where(before).select("key", "body", "start", "n")
+    else:
+        met = stored(met.join(twins.withColumn("twin", F.lit(True)), "key", "left"), "suffix_met")
+        plain = met.where(f"(twin is null or first_key < key) and ({before})").select("key", "body", "start", "n")
+        gone = plain.unionByName(_again_in_text(met.where("twin and first_key = key")))
+    lists = stored(gone.groupBy(F.col("key").alias("hit"), F.col("body").alias("hit_body"))
+                   .agg(F.collect_set(F.struct("start", "n")).alias("runs")), "suffix_removed")
     return _judged(own, lists, width)
 
 
+def _again_in_text(met: DataFrame) -> DataFrame:
+    """(key, body, start, n) of the windows that start earlier in the same text, for texts
+    that share the id of their classes' first document: window by window, as the first place
+    of a class may be in another text."""
+    each = (met.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            .select("key", "body", "first_body", (F.col("first_place") + F.col("col") + F.col("i")).alias("first_start"), (F.col("start") + F.col("i")).alias("start")))
+    own = ["key", "body", "first_body", "first_start"]
+    least = stored(each.groupBy(*own).agg(F.min("start").alias("s0"), F.max("start").alias("s1")).where("s0 < s1").drop("s1"), "suffix_twin_windows")
+    return each.join(least, own).where("s0 < start").select("key", "body", "start", F.lit(1).alias("n"))
+
+
 def _judged(own: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     """A text without hits is judged where it is read; the others, by a sketch, are shuffled
     to meet their hits."""
@@ -296,8 +318,8 @@ def _judged(own: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         zero = np.zeros(len(block), np.int64)
         return [np.diff(block.offsets), zero, zero, pa.array(kept, pa.string()), pa.array(rest, pa.binary())]
 
-    passed = add_columns(own.withColumn("slot", sketch_slot(F.col("key"))), plain, fields + [StructField("rest", BinaryType())], ["doc_id", "key"])
-    met = passed.join(lists, F.col("key") == F.col("hit"), "left").withColumnsRenamed({f.name: f"old_{f.name}" for f in fields})
+    passed = add_columns(own.withColumn("slot", sketch_slot(F.col("key"))), plain, fields + [StructField("rest", BinaryType())], ["doc_id", "key", "body"])
+    met = passed.join(lists, (F.col("key") == F.col("hit")) & (F.col("body") == F.col("hit_body")), "left").withColumnsRenamed({f.name: f"old_{f.name}" for f in fields})
 
     def final(block: t.Block) -> list:
         runs = block.column("runs")
@@ -306,8 +328,6 @@ def _judged(own: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         doc = np.repeat(np.arange(len(block)), count)
         start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + block.offsets[doc]
         n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-        ok = start + n + width - 1 <= block.offsets[doc + 1]
-        start, n = start[ok], n[ok]
         edge = np.zeros(len(block.data) + 1, np.int64)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + n + width - 1, -1)

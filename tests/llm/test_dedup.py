@@ -64,6 +64,19 @@ def test_suffix_null_ids_repeated_rows_and_empty_table(spark):
     assert suffix_dedup.dedup(cases.documents(spark, [])).count() == 0
 
 
+def test_suffix_different_texts_under_one_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(cases.prose(rng, k)) for k in (60, 90, 70, 40))
+    twice = c + "|" + d + "|" + c
+    texts = [(3, a), (5, a), (5, b), (6, twice), (6, d + "!" + c), (6, d + "!" + c)]
+    want = sorted(v for k, s in set(texts) for v in [(k, *cases.suffix_brute([(0, a), (k, s)] if k == 5 else [(k, s)])[k])])
+    want += [x for x in want if x[:2] == (6, len((d + "!" + c).encode()))]
+    got = suffix_dedup.dedup(cases.documents(spark, texts)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r["n_bytes"]: r["n_removed"] for r in got if r["doc_id"] == 5} == {len(a.encode()): len(a.encode()), len(b.encode()): 0}
+    assert max(r["n_removed"] for r in got if r["doc_id"] == 6) == len(c.encode())
+
+
 def test_classes_of_the_construction_match_brute_force():
     rng = np.random.default_rng(0)
     width, seed = 6, 3
