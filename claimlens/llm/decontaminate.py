@@ -1,16 +1,17 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each block of training documents (a shard of bounded size) gets a suffix array over
-its words; the suffixes of all benchmark items are binary-searched in it. A hit gives
-the places in the documents, and matching goes on word by word to the longest verbatim
-match. Documents that hold any window of ``width`` words of an item (items of fewer
+its words; each different window of the benchmark is binary-searched in it, over all its
+words. The ranges of different windows do not overlap, so a block has at most as many places
+as words, however often a window repeats on either side. From a place the longest match is
+found by bisecting the items' sorted suffixes with that window. Documents that hold any window of ``width`` words of an item (items of fewer
 words: the whole item) are contaminated.
 
 Only the benchmark, the stated query set, is sent to the tasks, in blocks of at most
 ``QUERY_BYTES`` of text each; a task holds one block at a time. Documents are never
 shuffled: a document's hits, in whatever shard order, are decided in its own row.
 
-Words are compared by 64-bit hashes; suffixes are ordered by those hashes, which is
+Words are compared by 64-bit hashes, longer matches by hashes of them; suffixes are ordered by those hashes, which is
 as good an order as the alphabet's for finding equal runs.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item
@@ -33,21 +34,26 @@ from claimlens.llm._spark import add_columns, free_name
 
 #: benchmark text of one query block
 QUERY_BYTES = 8 << 20
-#: words that one sort key of a suffix holds (16 bits of hash each)
+#: words that one sort key of a suffix holds at most
 DEPTH = 4
 
 
 @dataclass
 class QueryBlock:
-    """Benchmark windows: ``hashes`` of all words; window k is ``hashes[at[k]:at[k]+size[k]]``
-    of item ``item[k]`` (a place in ``names``), which ends at ``stop[k]``."""
+    """Benchmark windows. ``suffixes`` are their places in ``hashes`` (all words), sorted by the
+    words up to the item's end (``stop``), windows of full width first. Window g, each different
+    one once, has ``size[g]`` words, stands at ``suffixes[group[g]:group[g + 1]]``, and in the
+    items ``item[held[g]:held[g + 1]]`` (places in ``names``)."""
 
     hashes: np.ndarray
-    at: np.ndarray
-    size: np.ndarray
+    suffixes: np.ndarray
     stop: np.ndarray
+    group: np.ndarray
+    size: np.ndarray
+    held: np.ndarray
     item: np.ndarray
     names: list[str]
+    width: int
 
 
 def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +66,25 @@ def _query_block(rows: list, width: int) -> QueryBlock:
     data, off = t.bytes_of(pa.array([r[1] or "" for r in rows], pa.string()))
     hashes, first = _hash_words(data, off)
     n = first[1:] - first[:-1]
-    size = np.minimum(n, width)
-    count = np.where(n > 0, n - size + 1, 0)
-    item = np.repeat(np.arange(len(rows)), count)
-    return QueryBlock(hashes, t.ragged(first[:-1], count), size[item], first[1:][item], item, [str(r[0]) for r in rows])
+    order, _ = suffix_array(hashes, first)
+    item = np.searchsorted(first, order, "right") - 1
+    size = np.minimum(n, width)[item]
+    starts = first[1:][item] - order >= size
+    starts &= (n[item] >= width) | (order == first[:-1][item])
+    order, item, size = order[starts], item[starts], size[starts]
+    by = np.argsort(size < width, kind="stable")
+    order, item, size = order[by], item[by], size[by]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = size[1:] != size[:-1]
+    for k in range(width):
+        same = np.flatnonzero(~fresh)
+        same = same[size[same] > k]
+        fresh[same] = hashes[order[same] + k] != hashes[order[same - 1] + k]
+    group = np.flatnonzero(fresh)
+    pair = np.unique((np.cumsum(fresh) - 1) * max(len(rows), 1) + item)
+    held = np.searchsorted(pair // max(len(rows), 1), np.arange(len(group) + 1))
+    return QueryBlock(hashes, order, first[1:][item], np.append(group, len(order)), size[group], held, pair % max(len(rows), 1),
+                      [str(r[0]) for r in rows], width)
 
 
 def query_blocks(benchmark: DataFrame, width: int, limit: int = QUERY_BYTES) -> list:
@@ -80,25 +101,37 @@ def query_blocks(benchmark: DataFrame, width: int, limit: int = QUERY_BYTES) ->
     return out
 
 
-def _packed(hashes: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """For each word, the first DEPTH words from it as one key: 16 bits of hash each,
-    zero after ``stop`` (the end of its text)."""
-    n = len(hashes)
-    short = np.zeros(n + DEPTH, t.U64)
-    short[:n] = hashes >> t.U64(48)
+def _packed(ids: np.ndarray, stop: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """For each word, the first ``depth`` words from it as one key: ``bits`` each, zero after
+    ``stop`` (the end of its text)."""
+    n = len(ids)
+    padded = np.zeros(n + depth, t.U64)
+    padded[:n] = ids
     key, at = np.zeros(n, t.U64), np.arange(n)
-    for k in range(DEPTH):
-        key = (key << t.U64(16)) | np.where(at + k < stop, short[k:n + k], t.U64(0))
+    for k in range(depth):
+        key = (key << t.U64(bits)) | np.where(at + k < stop, padded[k:n + k], t.U64(0))
     return key
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The different words in order, each word's number among them from 1, the bits of a
+    number, and how many numbers make a key."""
+    vocabulary, ids = np.unique(hashes, return_inverse=True)
+    bits = max(len(vocabulary).bit_length(), 1)
+    return vocabulary, ids.astype(np.int64) + 1, bits, min(64 // bits, DEPTH)
+
+
 def suffix_array(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (word numbers) in order, and the sort key of each. A suffix ends with its
-    document. Ties after DEPTH words are split by the ranks of the suffixes DEPTH, then
-    2 * DEPTH, ... words on, until every suffix has its place."""
-    n = len(hashes)
+    document. Ties after the words of a key are split by the ranks of the suffixes as many, then
+    twice as many, ... words on, until every suffix has its place."""
+    return _suffixes(*_numbered(hashes)[1:], first)
+
+
+def _suffixes(ids: np.ndarray, bits: int, depth: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(ids)
     stop = np.repeat(first[1:], first[1:] - first[:-1])
-    key = _packed(hashes, stop)
+    key = _packed(ids, stop, bits, depth)
     order = np.argsort(key, kind="stable")
     keys = key[order]
     fresh = np.ones(n, bool)
@@ -106,7 +139,6 @@ def suffix_array(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]       # the first place of its group
-    depth = DEPTH
     while True:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
@@ -131,49 +163,131 @@ def suffix_array(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return order, keys
 
 
-def search(q: QueryBlock, hashes: np.ndarray, first: np.ndarray, order: np.ndarray, keys: np.ndarray):
-    """Every verbatim occurrence of a window: (window, word number, length of the match
-    when it is followed to the end of the item or the document)."""
-    if not len(q.at) or not len(hashes):
+def _bound(words: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, stop: np.ndarray, order: np.ndarray,
+           lo: np.ndarray, hi: np.ndarray, depth: int, right: bool) -> np.ndarray:
+    """For each window ``words[at:at + size]`` the first place in ``order[lo:hi]``, whose suffixes
+    have its first ``depth`` words, that is not before it (``right``: that is after all of its)."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) // 2
+        place, sign, undecided = order[mid], np.zeros(len(live), np.int64), np.arange(len(live))
+        for k in range(depth, int(size.max())):
+            undecided = undecided[(sign[undecided] == 0) & (size[live[undecided]] > k)]
+            if not len(undecided):
+                break
+            p = place[undecided] + k
+            there = np.where(p < stop[place[undecided]], ids[np.minimum(p, len(ids) - 1)], 0)
+            sign[undecided] = there - words[at[live[undecided]] + k]
+        on = sign <= 0 if right else sign < 0
+        lo[live[on]], hi[live[~on]] = mid[on] + 1, mid[~on]
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+class _Hashed:
+    """Hashes of any ranges of ``values``, from one prefix sum."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = t._powers(0xD1342543DE82EF95, max(10, len(values).bit_length()))
+        self.total = np.zeros(len(values) + 1, t.U64)
+        np.cumsum(values * up[:len(values)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, size: int) -> np.ndarray:
+        return (self.total[start + size] - self.total[start]) * self.down[start]
+
+
+def _longest(q: QueryBlock, window: np.ndarray, place: np.ndarray, hashes: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The longest match from each place, where a window of full width was found, with any
+    suffix of that window's: the neighbours of its place in their order have it."""
+    ours, theirs = _Hashed(hashes), _Hashed(q.hashes)
+    lo, hi, longest = q.group[window], q.group[window + 1], np.zeros(len(place), np.int64)
+    live = np.arange(len(place))
+    while len(live):
+        mid = (lo[live] + hi[live]) // 2
+        a, b = place[live], q.suffixes[mid]
+        room_a, room_b = stop[a] - a, q.stop[mid] - b
+        room, common = np.minimum(room_a, room_b), np.full(len(live), q.width)
+        for k in range(int(room.max()).bit_length(), -1, -1):
+            who = np.flatnonzero(common + (1 << k) <= room)
+            who = who[ours(a[who] + common[who], 1 << k) == theirs(b[who] + common[who], 1 << k)]
+            common[who] += 1 << k
+        longest[live] = np.maximum(longest[live], common)
+        full = common == room
+        x, y = (v[np.minimum(i + common, len(v) - 1)] for v, i in ((hashes, a), (q.hashes, b)))
+        before = np.where(full, room_b < room_a, y < x)         # the item's suffix is before the document's
+        lo[live[before]], hi[live[~before]] = mid[before] + 1, mid[~before]
+        live = live[lo[live] < hi[live]]
+    return longest
+
+
+def search(q: QueryBlock, hashes: np.ndarray, first: np.ndarray, numbered: tuple, order: np.ndarray, keys: np.ndarray):
+    """Every verbatim occurrence of each different window: (window, word number, length of the
+    longest match from there with an item that holds the window)."""
+    if not len(q.size) or not len(hashes):
         return (np.zeros(0, np.int64),) * 3
+    vocabulary, ids, bits, depth = numbered
     stop = np.repeat(first[1:], first[1:] - first[:-1])
-    low = _packed(q.hashes, np.full(len(q.hashes), len(q.hashes)))[q.at]
-    free = (16 * np.maximum(DEPTH - q.size, 0)).astype(t.U64)       # bits that a short window leaves open
-    wide = np.where(free > 0, (t.U64(1) << np.minimum(free, t.U64(63))) - t.U64(1), t.U64(0))
+    at = np.minimum(np.searchsorted(vocabulary, q.hashes), len(vocabulary) - 1)
+    words = np.where(vocabulary[at] == q.hashes, at + 1, 0)
+    strange = np.concatenate([[0], np.cumsum(words == 0)])
+    start = q.suffixes[q.group[:-1]]
+    known = np.flatnonzero(strange[start + q.size] == strange[start])
+    start, size = start[known], q.size[known]
+    low = _packed(words, np.full(len(words), len(words)), bits, depth)[start]
+    free = (bits * np.maximum(depth - size, 0)).astype(t.U64)       # bits that a short window leaves open
+    wide = (t.U64(1) << free) - t.U64(1)
     low &= ~wide
     lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, low | wide, "right")
-    window = np.repeat(np.arange(len(lo)), hi - lo)
-    place = order[t.ragged(lo, hi - lo)]
-    length = np.zeros(len(place), np.int64)
-    live = np.arange(len(place))
-    step = 0
-    while len(live):
-        a, b = q.at[window[live]] + step, place[live] + step
-        live = live[(a < q.stop[window[live]]) & (b < stop[place[live]])]
-        a, b = q.at[window[live]] + step, place[live] + step
-        live = live[q.hashes[a] == hashes[b]]
-        length[live] += 1
-        step += 1
-    hit = length >= q.size[window]
-    return window[hit], place[hit], length[hit]
+    some = np.flatnonzero(lo < hi)
+    known, start, size, lo, hi = (x[some] for x in (known, start, size, lo, hi))
+    lo = _bound(words, start, size, ids, stop, order, lo, hi, depth, False)
+    hi = _bound(words, start, size, ids, stop, order, lo, hi, depth, True)
+    window, place = np.repeat(known, hi - lo), order[t.ragged(lo, hi - lo)]
+    length = q.size[window]
+    full = np.flatnonzero(length == q.width)
+    if len(full):
+        # an item of just the full width is sorted with the longer ones
+        length[full] = _longest(q, window[full], place[full], hashes, stop)
+    return window, place, length
+
+
+#: (document, item) pairs that are made at a time
+PAIRS = 1 << 20
+
+
+def _items(q: QueryBlock, doc: np.ndarray, window: np.ndarray, found: list[set]) -> None:
+    """Adds to ``found`` the items of each document's windows, each different window once."""
+    pair = np.unique(doc * len(q.size) + window)
+    doc, window = pair // len(q.size), pair % len(q.size)
+    count = q.held[window + 1] - q.held[window]
+    upto = np.cumsum(count)
+    a = 0
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - count[a] + PAIRS, "right")))
+        n = count[a:b]
+        both = np.unique(np.repeat(doc[a:b], n) * len(q.names) + q.item[t.ragged(q.held[window[a:b]], n)])
+        for d, i in zip((both // len(q.names)).tolist(), (both % len(q.names)).tolist()):
+            found[d].add(q.names[i])
+        a = b
 
 
 def _judge(blocks: list):
     def fn(block: t.Block) -> list:
         hashes, first = _hash_words(block.data, block.offsets)
-        order, keys = suffix_array(hashes, first)
+        numbered = _numbered(hashes)
+        order, keys = _suffixes(*numbered[1:], first)
         docs = len(block)
         starts, sizes, found, longest = [], [], [set() for _ in range(docs)], np.zeros(docs, np.int64)
         for held in blocks:
             q = held.value
-            window, place, length = search(q, hashes, first, order, keys)
+            window, place, length = search(q, hashes, first, numbered, order, keys)
             doc = np.searchsorted(first, place, "right") - 1
             np.maximum.at(longest, doc, length)
             starts.append(place)
             sizes.append(q.size[window])
-            pair = np.unique(doc * len(q.names) + q.item[window])
-            for d, i in zip((pair // max(len(q.names), 1)).tolist(), (pair % max(len(q.names), 1)).tolist()):
-                found[d].add(q.names[i])
+            if len(window):
+                _items(q, doc, window, found)
             if len(blocks) > 1:
                 held.unpersist_value()
         edge = np.zeros(len(hashes) + 1, np.int64)

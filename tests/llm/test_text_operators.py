@@ -74,6 +74,27 @@ def test_contamination_longest_match_and_empty_tables(spark):
     assert decontaminate.matches(cases.documents(spark, []), bench, keep=["doc_id"]).count() == 0
 
 
+def test_contamination_by_words_that_repeat_is_bounded(spark):
+    rng = random.Random(6)
+    tail = cases.prose(rng, 40)
+    items = [(1, "0 " * 500), (2, "0 " * 500 + " ".join(tail)), (3, " ".join(["0"] * 4 + tail[:20])), (4, "0 0 0"), (5, "0 1 " * 40)]
+    texts = [(1, "0 " * 300_000), (2, "0 " * 700 + " ".join(tail[:30])), (3, "0 0"), (4, " ".join(tail[5:30])), (5, "x " + "0 1 " * 30 + "0 0")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.matches(cases.documents(spark, texts), bench, keep=["doc_id"]).collect()}
+    want = contamination_brute(texts, items)
+    assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for i, r in got.items()} == want
+    assert {i: r["longest_match"] for i, r in got.items()} == {1: 500, 2: 530, 3: 0, 4: 25, 5: 61}
+
+
+def test_windows_are_found_once_per_place():
+    q = decontaminate._query_block([(k, "0 " * 500) for k in range(20)], 10)
+    hashes = np.full(5000, q.hashes[0])
+    first = np.array([0, 5000])
+    numbered = decontaminate._numbered(hashes)
+    found = decontaminate.search(q, hashes, first, numbered, *decontaminate.suffix_array(hashes, first))
+    assert len(q.size) == 1 and len(found[1]) == 4991 and found[2].max() == 500
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 3, 300).astype(np.uint64) << np.uint64(60)
