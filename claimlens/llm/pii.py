@@ -2,12 +2,13 @@
 
 Base patterns give the seed entities (email, IP address, payment card, phone number).
 Their contexts, the words to their left and right, are lexical patterns. Spark holds the
-graph of patterns and instances (identifier-like strings: four digits or more) and scores
-it in rounds: a pattern's confidence for a kind is the summed score of its instances over
+graph of patterns and instances (identifier-like strings: four digits or more, in groups over
+single spaces, dots, hyphens and brackets; or anything with @ or (at) inside) and scores it in
+rounds, each with the patterns of the seeds and of what the round before found: a pattern's confidence for a kind is the summed score of its instances over
 all occurrences of its word in the corpus, whatever follows; an instance's score is the
 noisy-or of its patterns'. So a word that stands nearly always beside a phone number is a
 pattern, and a common word is not. Patterns of high confidence, seen with enough different
-seeds, then give their kind to identifier-like strings that no base pattern matches.
+members, then give their kind to identifier-like strings that no base pattern matches.
 
 Defined results: a null or empty text has no spans. Spans are code points, end exclusive.
 Base spans always stay; a found span never overlaps a base span. Rows are extracted by
@@ -35,10 +36,13 @@ _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = t.table_of(b"._%+-" + bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)))
 _ID = t.table_of(b"._+@-" + bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)))
 _DIGIT = t.table_of(b"0123456789")
-#: digits an identifier-like string must have
+_JOINED = re.compile(rb"\)?[ .-]?\(?")
+_AT = re.compile(rb" ?(?:\(at\)|\[at\]) ?")
+_TRAIL = t.table_of(b"._+@-")
+#: digits an identifier-like string without @ must have
 LEAST_DIGITS = 4
 ROUNDS = 3
-#: what a pattern needs: confidence, and different seed strings
+#: what a pattern needs: confidence, and different strings of its kind
 CONFIDENCE, SEEDS = 0.6, 5
 #: the score from which an instance counts as found
 FOUND = 0.8
@@ -88,6 +92,67 @@ def base_spans(text: bytes, local: list[bool] | np.ndarray = _LOCAL) -> list[tup
     return sorted(found)
 
 
+def _trimmed(data: np.ndarray, i: int, j: int) -> tuple[int, int]:
+    while j > i and _TRAIL[data[j - 1]]:
+        j -= 1
+    while i < j and _TRAIL[data[i]]:
+        i += 1
+    return i, j
+
+
+def _candidates(data: np.ndarray, off: np.ndarray, digits: np.ndarray, base: list) -> list[tuple[int, int, int, int]]:
+    """(document, start, end, -1) of the identifier-like strings beside the base spans."""
+    raw, low = data.tobytes(), t.LOWER[data].tobytes()
+    a, b, first = t.words(data, off, _ID)
+    ats = np.concatenate([[0], np.cumsum(data == 64)])
+    doc = np.repeat(np.arange(len(off) - 1), first[1:] - first[:-1])
+    some = (digits[b] > digits[a]) | (ats[b] > ats[a])
+    # a piece of few digits and no @ counts only beside another piece with digits
+    a, b, doc = a[some], b[some], doc[some]
+    near = np.zeros(len(a) + 1, bool)
+    near[1:-1] = (a[1:] - b[:-1] <= 3) & (doc[1:] == doc[:-1])
+    use = near[1:] | near[:-1] | (digits[b] - digits[a] >= LEAST_DIGITS) | (ats[b] > ats[a])
+    pieces = list(zip(doc[use].tolist(), a[use].tolist(), b[use].tolist()))
+    for m in _AT.finditer(low) if b"at)" in low or b"at]" in low else ():
+        d = int(np.searchsorted(off, m.start(), "right")) - 1
+        i, j = m.start(), m.end()
+        while i > off[d] and _ID[data[i - 1]]:
+            i -= 1
+        while j < off[d + 1] and _ID[data[j]]:
+            j += 1
+        i, j = _trimmed(data, i, j)
+        if i < m.start() and j > m.end() and m.end() <= off[d + 1]:
+            pieces.append((d, i, j))
+    free, done = [], 0
+    # longer ones first from the same place, so that a string with (at) takes in its parts
+    for d, i, j in sorted(pieces, key=lambda x: (x[1], -x[2])):
+        i, j = _trimmed(data, max(i, done), j)
+        if i < j and all(j <= x + off[d] or i >= y + off[d] for x, _, y in base[d]):
+            free.append((d, i, j))
+            done = j
+    out = []
+    for d, i, j in free:
+        if out and out[-1][0] == d and _digit(raw[out[-1][2] - 1]) and _digit(raw[i]) and i > out[-1][2] and _JOINED.fullmatch(raw, out[-1][2], i):
+            out[-1] = (d, out[-1][1], j)
+        else:
+            out.append((d, i, j))
+    rows = []
+    for d, i, j in out:
+        word = low[i:j]
+        if digits[j] - digits[i] < LEAST_DIGITS and b"@" not in word and not _AT.search(word):
+            continue
+        if word.count(b")") > word.count(b"(") and i > off[d] and raw[i - 1] == 40:
+            i -= 1
+        elif word.count(b"(") > word.count(b")") and j < off[d + 1] and raw[j] == 41:
+            j += 1
+        rows.append((d, i, j, -1))
+    return rows
+
+
+def _digit(byte: int) -> bool:
+    return 48 <= byte <= 57
+
+
 def _instances(block: t.Block):
     """Base spans per document, and the graph's rows of the block: an occurrence is
     (document, start, end, kind or -1, string, left word, right word). Words are runs of
@@ -103,19 +168,7 @@ def _instances(block: t.Block):
     for i in np.flatnonzero(marks[off[1:]] > marks[off[:-1]]):
         base[i] = base_spans(data[off[i]:off[i + 1]].tobytes(), local)
     rows = [(i, int(off[i]) + a, int(off[i]) + b, k) for i, spans in enumerate(base) for a, k, b in spans]
-    # identifier-like strings beside the base spans
-    a, b, _ = t.words(data, off, _ID)
-    many = digits[b] - digits[a] >= LEAST_DIGITS
-    a, b = a[many], b[many]
-    trail = t.table_of(b"._+@-")
-    for i, j in zip(a.tolist(), b.tolist()):
-        while trail[data[j - 1]]:
-            j -= 1
-        while trail[data[i]] and i < j:
-            i += 1
-        doc = int(np.searchsorted(off, i, "right")) - 1
-        if all(j <= x + off[doc] or i >= y + off[doc] for x, _, y in base[doc]):
-            rows.append((doc, i, j, -1))
+    rows += _candidates(data, off, digits, base)
     if not rows:
         return base, None
     doc, s, e, kind = (np.array(x, np.int64) for x in zip(*rows))
@@ -197,13 +250,19 @@ def bootstrap(docs: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) ->
         .select("string", "kind", "p.side", "p.word").where("word != 0")
         .groupBy("string", "kind", "side", "word").agg(F.count("*").alias("n")), "pii_edges", 2 * occurrences.count())
     n = edges.count()
-    seeded = stored(edges.where("kind >= 0").groupBy("side", "word", "kind").agg(F.count("*").alias("seeds"))
-                    .where(F.col("seeds") >= SEEDS).select("side", "word", F.col("kind").alias("as_kind")), "pii_patterns", n)
-    totals = stored(word_totals(docs, seeded.select("word").distinct()), "pii_totals", n)
-    patterns = seeded.join(totals, "word")
-    graph = stored(edges.join(patterns, ["side", "word"]), "pii_graph", len(KINDS) * n)
+    # only these words can get enough members in any round; their totals are counted once
+    words = edges.groupBy("side", "word").agg(F.count("*").alias("strings")).where(F.col("strings") >= SEEDS).select("word").distinct()
+    totals = stored(word_totals(docs, words), "pii_totals", n)
+    seeds = edges.where("kind >= 0").select("side", "word", F.col("kind").alias("as_kind"))
     scores = None
     for k in range(rounds):
+        members = seeds
+        if scores is not None:
+            found = scores.where(F.col("score") >= FOUND).select("string", "as_kind")
+            members = seeds.unionByName(edges.where("kind < 0").join(found, "string").select(*seeds.columns))
+        patterns = stored(members.groupBy("side", "word", "as_kind").agg(F.count("*").alias("members")).where(F.col("members") >= SEEDS)
+                          .drop("members").join(totals, "word"), "pii_patterns", n)
+        graph = stored(edges.join(patterns, ["side", "word"]), "pii_graph", len(KINDS) * n)
         own = F.when(F.col("kind") >= 0, (F.col("kind") == F.col("as_kind")).cast("double"))
         if scores is None:
             scored = graph.withColumn("s", F.coalesce(own, F.lit(0.0)))

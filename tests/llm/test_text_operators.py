@@ -333,6 +333,38 @@ def test_patterns_find_identifiers_and_leave_others(spark):
         assert found == ([(re.search(r"555-\d+", text)[0], 3)] if 60 <= k < 80 else [])
 
 
+def test_spaced_numbers_and_bare_addresses_are_found(spark):
+    rng = random.Random(9)
+    filler = lambda: " ".join(cases.prose(rng, 12))
+    digits = lambda n: str(rng.randint(10 ** (n - 1), 10 ** n - 1))
+    name = lambda: "".join(rng.choices("abcdefgh", k=9))
+    forms = [(lambda: f"{digits(3)} {digits(3)} {digits(3)}", "fernruf", 3), (lambda: f"({digits(3)}) {digits(4)} {digits(4)}", "fernruf", 3),
+             (lambda: f"({digits(3)})-{digits(4)}", "fernruf", 3), (lambda: f"{name()}@localhost", "schreib", 0), (lambda: f"{name()}(at)host", "schreib", 0)]
+    texts, want = [], {}
+    for k in range(300):
+        if k < 240:
+            word, value = ("fernruf", f"+1 (555) {digits(3)}-{digits(4)}") if k % 2 else ("schreib", f"{name()}@example.org")
+        else:
+            form, word, kind = forms[k % 5]
+            value = form()
+            want[k] = [(value, kind)]
+        texts.append((k, f"{filler()} {word}: {value} {filler()}"))
+    rows = {r["doc_id"]: r for r in pii.spans(cases.documents(spark, texts)).collect()}
+    got = {k: [(text[x["start"]:x["end"]], x["kind"]) for x in rows[k]["found"]] for k, text in texts}
+    assert got == {k: want.get(k, []) for k, _ in texts}
+
+
+def test_found_instances_make_patterns_of_their_own(spark):
+    rng = random.Random(10)
+    filler = lambda: " ".join(cases.prose(rng, 12))
+    number = lambda: f"555-{rng.randint(1000, 9999)}"
+    texts = [(k, f"{filler()} fernruf: +1 (555) 200-{1000 + k} {filler()}") for k in range(200)]
+    texts += [(k, f"{filler()} fernruf: {number()} rueckruf {filler()}") for k in range(200, 220)]
+    texts += [(k, f"{filler()} {number()} rueckruf {filler()}") for k in range(220, 224)]
+    rows = {r["doc_id"]: r for r in pii.spans(cases.documents(spark, texts)).collect()}
+    assert all([x["kind"] for x in rows[k]["found"]] == ([3] if k >= 200 else []) for k, _ in texts)
+
+
 def test_personal_data_of_an_empty_table(spark):
     assert pii.spans(cases.documents(spark, [])).count() == 0
 
