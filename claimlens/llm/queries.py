@@ -73,7 +73,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
     found = toxicity.score(docs, model, ["doc_id"])
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                        "worst", "worst_start", "worst_end")
+                        "worst", "worst_start", "worst_end", F.size("offending").cast("long").alias("n_offending"),
+                        F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("offending"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

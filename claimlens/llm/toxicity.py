@@ -3,15 +3,16 @@
 A document is a bag of sentences. A sentence's probability is a logistic function of the
 words in it; a document's is the noisy-or of its sentences, 1 - prod(1 - p). The weights
 are trained from document labels alone, by the gradient of the document likelihood, so
-the sentences that carry a label are found in training; ``score`` then names the worst
-sentence of each text.
+the sentences that carry a label are found in training; ``score`` then names all offending
+sentences of each text, those of a probability of ``OFFENDING`` or more, and the worst of all.
 
 Learning reads a seeded sample of at most ``PER_CLASS`` documents of each label, weighted
 back to the share of each label among all labelled rows. Their ids go to the tasks, so no
 text is shuffled. The words of the model are those whose shares differ most between the
 labels.
 
-Defined results: a text without words (null, empty) has no sentence, score 0, span null.
+Defined results: a text without words (null, empty) has no sentence, score 0, span null, no
+offending sentence; nor has a text whose sentences all stay below ``OFFENDING``.
 Without labels of both values nothing is learned and every score is 0. Null labels are left
 out. The score reads the text alone; repeated rows agree.
 """
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from claimlens.llm import _text as t
 from claimlens.llm._spark import add_columns, hash_cut, ship
@@ -33,6 +34,8 @@ PER_CLASS = 4000
 #: words in the model at most; in how many sampled documents a word must occur, and how far
 #: (in standard errors) its shares must lie apart
 WORDS, LEAST_DOCUMENTS, LEAST_Z = 2048, 5, 6.0
+#: the probability from which a sentence offends
+OFFENDING = 0.5
 _STOP = t.table_of(b".!?\n")
 
 
@@ -150,24 +153,34 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, seed: int = 3,
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score, and of the worst sentence its probability
-    (``worst``) and place in the text's UTF-8 bytes (``worst_start``, ``worst_end``)."""
+    """The columns ``keep`` of ``docs`` with score; of the worst sentence its probability
+    (``worst``) and place in the text's UTF-8 bytes (``worst_start``, ``worst_end``); and
+    ``offending``, an array of (start, end, p) of all sentences of OFFENDING or more, in order."""
+    span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("p", DoubleType())])
+
+    def listed(n: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray, p: np.ndarray) -> pa.Array:
+        spans = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(p, pa.float64())], span.names)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), spans)
 
     def fn(block: t.Block) -> list:
         hashes, _, sentence, doc, first, last = sentences(block)
         n = len(block)
         if model is None or not len(doc):
             none = pa.nulls(n, pa.int64())
-            return [np.zeros(n), pa.nulls(n, pa.float64()), none, none]
+            nothing = np.zeros(0, np.int64)
+            return [np.zeros(n), pa.nulls(n, pa.float64()), none, none, listed(n, nothing, nothing, nothing, nothing.astype(float))]
         s, f = _features(hashes, sentence, model.words)
         p, none = _noisy_or(model.bias + np.bincount(s, model.weights[f], len(doc)), doc, n)
         order = np.lexsort((-np.arange(len(doc)), p, doc))       # the earliest of the worst comes last
         has = np.searchsorted(doc, np.arange(n + 1))
         empty = has[1:] == has[:-1]
         worst = order[np.maximum(has[1:] - 1, 0)]
+        bad = np.flatnonzero(p >= OFFENDING)
+        at = block.offsets[doc[bad]]
         mask = lambda x, kind: pa.array(x, kind, mask=empty)
         return [np.clip(-np.expm1(none), 0, 1), mask(p[worst], pa.float64()), mask(first[worst] - block.offsets[:-1], pa.int64()),
-                mask(last[worst] - block.offsets[:-1], pa.int64())]
+                mask(last[worst] - block.offsets[:-1], pa.int64()), listed(n, doc[bad], first[bad] - at, last[bad] - at, p[bad])]
 
-    fields = [StructField("score", DoubleType()), StructField("worst", DoubleType()), StructField("worst_start", LongType()), StructField("worst_end", LongType())]
+    fields = [StructField("score", DoubleType()), StructField("worst", DoubleType()), StructField("worst_start", LongType()), StructField("worst_end", LongType()),
+              StructField("offending", ArrayType(span))]
     return add_columns(docs, fn, fields, keep)

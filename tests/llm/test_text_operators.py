@@ -400,6 +400,19 @@ def test_toxicity_held_out_and_located(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_all_offending_sentences_are_returned(spark):
+    from claimlens.llm import _text as t
+    hashes = [t.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in (b"idiot", b"scum")]
+    model = toxicity.Model(np.sort(np.array(hashes)), np.array([12.0, 12.0]), -6.0)
+    texts = [(1, "é you idiot. all is well. Scum you are! fine"), (2, "all is well. fine"), (3, ""), (4, None), (5, "idiot scum")]
+    got = {r["doc_id"]: r for r in toxicity.score(cases.documents(spark, texts).select("doc_id", "text"), model, ["doc_id"]).collect()}
+    found = {i: [(s or "").encode()[x["start"]:x["end"]].decode() for x in got[i]["offending"]] for i, s in texts}
+    assert found == {1: ["é you idiot", "Scum you are"], 2: [], 3: [], 4: [], 5: ["idiot scum"]}
+    assert all(x["p"] > 0.99 for r in got.values() for x in r["offending"])
+    none = toxicity.score(cases.documents(spark, texts).select("doc_id", "text"), None, ["doc_id"]).collect()
+    assert all(r["offending"] == [] for r in none)
+
+
 def test_toxicity_without_both_labels(spark):
     texts, labels = toxic_tables(spark, 30)
     docs = cases.documents(spark, texts)
