@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from claimlens.functions.lineage import materialize
@@ -142,3 +142,46 @@ def bounded_sample(df: DataFrame, hashed: str, limit: int) -> DataFrame:
 def hash_cut(wanted: float, of: int) -> int:
     """The 64-bit hash value up to which about ``wanted`` of ``of`` rows lie (at most all)."""
     return min(int(2 ** 64 * wanted / max(of, 1)), 2 ** 64 - 1) - 2 ** 63
+
+
+def lower_ascii(text: Column) -> Column:
+    """``text`` with A-Z in lower case and nothing else changed; a null is empty.
+    ``lower`` does just that to plain ASCII, and is the faster way there."""
+    text = F.coalesce(text, F.lit(""))
+    letters = "".join(map(chr, range(65, 91)))
+    return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
+            .otherwise(F.translate(text, letters, letters.lower())))
+
+
+#: low bits of monotonically_increasing_id: the place in a partition; above them its number
+PLACE_BITS = 33
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with ``tree``, ``pos`` and ``size``, a table of the groups): a row's place from
+    0 in its group by ``order``, the group's number of rows, and as its name ``tree`` the
+    place that its first row has among all rows (groups ascend, null first).
+
+    One range-partitioned sort of all rows, stored; a group may span any number of its
+    partitions, so none is ever gathered. Places come from counts per partition and
+    group, of which there are at most as many as partitions and groups together. Rows
+    that the order leaves tied stand in any order."""
+    tie = F.monotonically_increasing_id()
+    ordered = (rows.withColumn("tie", tie).orderBy(F.col(group).asc_nulls_first(), *order, "tie").drop("tie")
+               .withColumn("at", F.monotonically_increasing_id()))
+    held = stored(ordered.withColumn("part", F.shiftright("at", PLACE_BITS))
+                  .withColumn("at", F.col("at") - F.shiftleft("part", PLACE_BITS)), f"{name}_sorted")
+    pieces = held.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    totals = pieces.groupBy("part").agg(F.sum("n").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # a row per partition of the sort
+    totals = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    own = Window.partitionBy(group)
+    pieces = (pieces.join(totals, "part").withColumn("begin", F.col("offset") + F.col("first"))
+              .select(F.col("part").alias("p"), F.col(group).alias("g"), "first",
+                      F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
+                      F.sum("n").over(own).alias("size"), F.min("begin").over(own).alias("tree")))
+    pieces = stored(pieces, f"{name}_pieces", 1)
+    placed = (held.join(pieces, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
+              .withColumn("pos", F.col("at") - F.col("first") + F.col("earlier"))
+              .drop("at", "part", "p", "g", "first", "earlier"))
+    return placed, pieces.groupBy("tree").agg(F.max("size").alias("size"))
