@@ -157,31 +157,31 @@ def lower_ascii(text: Column) -> Column:
 PLACE_BITS = 33
 
 
-def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+def numbered(rows: DataFrame, group: str, by: list[Column], name: str, down: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(``rows`` with ``tree``, ``pos`` and ``size``, a table of the groups): a row's place from
-    0 in its group by ``order``, the group's number of rows, and as its name ``tree`` the
+    0 in its group (by the columns ``by``, null first; those with a number in ``down``
+    descend, null last), the group's number of rows, and as its name ``tree`` the
     place that its first row has among all rows (groups ascend, null first).
 
     One range-partitioned sort of all rows, stored; a group may span any number of its
     partitions, so none is ever gathered. Places come from counts per partition and
     group, of which there are at most as many as partitions and groups together. Rows
-    that the order leaves tied stand in any order."""
-    tie = F.monotonically_increasing_id()
-    ordered = (rows.withColumn("tie", tie).orderBy(F.col(group).asc_nulls_first(), *order, "tie").drop("tie")
-               .withColumn("at", F.monotonically_increasing_id()))
-    held = stored(ordered.withColumn("part", F.shiftright("at", PLACE_BITS))
-                  .withColumn("at", F.col("at") - F.shiftleft("part", PLACE_BITS)), f"{name}_sorted")
-    pieces = held.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    that the order leaves tied stand in any order. Rows must not have columns of the added names."""
+    held = (rows.select(F.struct("*").alias("row"), F.col(group).alias("g"), F.monotonically_increasing_id().alias("tie"), *[o.alias(f"o{k}") for k, o in enumerate(by)])
+            .orderBy(F.col("g").asc_nulls_first(), *[F.desc(f"o{k}") if k in down else F.asc(f"o{k}") for k in range(len(by))], "tie")
+            .select("row", "g", F.monotonically_increasing_id().alias("at")))
+    held = stored(held.select("row", "g", F.shiftright("at", PLACE_BITS).alias("part"),
+                              F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at")), f"{name}_sorted")
+    pieces = held.groupBy("part", "g").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     totals = pieces.groupBy("part").agg(F.sum("n").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # a row per partition of the sort
     totals = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy(group)
+    own = Window.partitionBy("g")
     pieces = (pieces.join(totals, "part").withColumn("begin", F.col("offset") + F.col("first"))
-              .select(F.col("part").alias("p"), F.col(group).alias("g"), "first",
+              .select(F.col("part").alias("p"), F.col("g").alias("of"), "first",
                       F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
                       F.sum("n").over(own).alias("size"), F.min("begin").over(own).alias("tree")))
     pieces = stored(pieces, f"{name}_pieces", 1)
-    placed = (held.join(pieces, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g")))
-              .withColumn("pos", F.col("at") - F.col("first") + F.col("earlier"))
-              .drop("at", "part", "p", "g", "first", "earlier"))
+    placed = (held.join(pieces, (F.col("part") == F.col("p")) & F.col("g").eqNullSafe(F.col("of")))
+              .select("row.*", "tree", "size", (F.col("at") - F.col("first") + F.col("earlier")).alias("pos")))
     return placed, pieces.groupBy("tree").agg(F.max("size").alias("size"))

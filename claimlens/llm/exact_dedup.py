@@ -21,7 +21,7 @@ columns of any name pass through, also those called as the added ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from claimlens.llm._spark import lower_ascii, stored
 
@@ -37,13 +37,11 @@ def _runs(docs: DataFrame, keep: list[str], largest: bool) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("id"),
                        lower_ascii(F.col("text")).alias("norm"), F.monotonically_increasing_id().alias("number"))
     hashed, size = F.xxhash64("norm"), F.octet_length("norm").cast("long") + ROW_BYTES
-    seen = Observation()
-    counts = (rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
-              .groupBy(hashed.alias("hash")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).where("rows > 1"))
-    counts = stored(counts, "dedup_counts")
-    total = seen.get
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // PARTITION_BYTES))
-    share = F.greatest(F.col("rows") * n / F.lit(max(total["rows"], 1)), F.col("bytes") * n / F.lit(max(total["bytes"] or 0, 1)))
+    total = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES).alias("bytes")).first()
+    total = {"rows": max(total["rows"], 1), "bytes": total["bytes"] or 1}
+    counts = rows.groupBy(hashed.alias("hash")).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).where("rows > 1")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["bytes"] // PARTITION_BYTES))
+    share = F.greatest(F.col("rows") * n / F.lit(total["rows"]), F.col("bytes") * n / F.lit(total["bytes"]))
     heavy = counts.where(share > 0.5).select("hash", F.ceil(2 * share).alias("pieces"))
     heavy = stored(heavy, "dedup_heavy", 4 * n)
     dealt = (rows.withColumn("hash", hashed).join(heavy, "hash", "left")

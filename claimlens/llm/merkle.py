@@ -41,19 +41,24 @@ def leaf(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def _digest(slot: str) -> Column:
-    return F.coalesce(F.col(f"{slot}.digest"), F.lit(""))
+def _joined(slots: list[str]) -> str:
+    """SQL: the digests of the slots one after the other; an empty slot is nothing."""
+    return "concat(''" + "".join(f", coalesce({s}.digest, '')" for s in slots) + ")"
+
+
+#: SQL: one struct per slot, its child and what stands beside it
+_CHILDREN = "explode(array(" + ", ".join(
+    f"named_struct('slot', {k}L, 'child', {s}, 'beside', named_struct('left', {_joined(SLOTS[:k])}, 'right', {_joined(SLOTS[k + 1:])}))"
+    for k, s in enumerate(SLOTS)) + ")) AS x"
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
     """From nodes (tree, pos, size, child), one row per parent: its children in slots, its
     digest, and how many parents its tree has. A tree of one node has no more parents."""
-    slot = F.col("pos") % FANOUT
     spread = (nodes.where("size > 1").withColumn("up", F.expr(f"pos div {FANOUT}"))
               .groupBy("tree", "up", "size")
-              .agg(*[F.first(F.when(slot == k, F.col("child")), ignorenulls=True).alias(s) for k, s in enumerate(SLOTS)]))
-    return spread.select("tree", F.col("up").alias("pos"), F.ceil(F.col("size") / FANOUT).cast("long").alias("size"),
-                         F.sha2(F.concat(*map(_digest, SLOTS)), 256).alias("digest"), *SLOTS)
+              .agg(*[F.expr(f"first(CASE WHEN pos % {FANOUT} = {k} THEN child END, true) AS {s}") for k, s in enumerate(SLOTS)]))
+    return spread.selectExpr("tree", "up AS pos", f"(size + {FANOUT - 1}) div {FANOUT} AS size", f"sha2({_joined(SLOTS)}, 256) AS digest", *SLOTS)
 
 
 def _grow(leaves: DataFrame, rows: int, trees: int, largest: int, name: str) -> tuple[list[DataFrame], DataFrame]:
@@ -78,13 +83,8 @@ def _ways(leaves: DataFrame, levels: list[DataFrame], crown: DataFrame) -> DataF
         have = level.where("size = 1").join(crown, "tree")
         if known is not None:
             have = have.unionByName(level.where("size > 1").join(known, ["tree", "pos"]))
-        each = []
-        for k, s in enumerate(SLOTS):
-            left, right = F.concat(F.lit(""), *map(_digest, SLOTS[:k])), F.concat(F.lit(""), *map(_digest, SLOTS[k + 1:]))
-            each.append(F.struct(F.lit(k).alias("slot"), F.col(s).alias("child"), F.struct(left.alias("left"), right.alias("right")).alias("beside")))
-        spread = have.select("tree", "pos", "way", "top", F.explode(F.array(*each)).alias("x")).where("x.child is not null")
-        known = spread.select("tree", (F.col("pos") * FANOUT + F.col("x.slot")).alias("pos"), F.col("x.child").alias("child"),
-                              F.concat(F.array("x.beside"), F.col("way")).alias("way"), "top")
+        spread = have.selectExpr("tree", "pos", "way", "top", _CHILDREN).where("x.child is not null")
+        known = spread.selectExpr("tree", f"pos * {FANOUT} + x.slot AS pos", "x.child AS child", "concat(array(x.beside), way) AS way", "top")
         if level is not levels[0]:
             known = known.drop("child")
     return lone if known is None else known.select("child", "way", "top").unionByName(lone)
@@ -98,7 +98,7 @@ def proofs(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "la
     keep = list(docs.columns) if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(group).alias("of"), F.col(key).alias("key"),
                        leaf([F.col(c) for c in columns]).alias("digest"))
-    placed, trees = numbered(rows, "of", [F.col("key").asc_nulls_first(), F.col("digest")], "merkle_rows")
+    placed, trees = numbered(rows, "of", [F.col("key"), F.col("digest")], "merkle_rows")
     size = trees.agg(F.count(F.lit(1)).alias("trees"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows"),
                      F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
     leaves = placed.select("tree", "pos", "size", F.struct("digest", "row").alias("child"))

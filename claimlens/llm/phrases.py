@@ -326,5 +326,5 @@ def collocations(docs: DataFrame, group: str = "lang", shortest: int = 2, longes
 def top(docs: DataFrame, group: str = "lang", most: int = 2000, **options) -> DataFrame:
     """The first ``most`` collocations of each group by score, count and phrase, with their ``rank``."""
     found = collocations(docs, group, **options).drop("size")
-    ranked, _ = numbered(found, "of", [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()], "phrase_ranks")
+    ranked, _ = numbered(found, "of", [F.col("score"), F.col("a"), F.col("phrase")], "phrase_ranks", down=(0, 1))
     return ranked.where(F.col("pos") < most).withColumn("rank", F.col("pos") + 1).drop("tree", "pos", "size")
