@@ -2,7 +2,8 @@
 
 Sampled splitters range-partition the normalised texts, an external sort places equal
 ones next to each other, and neighbours are compared as a whole (the sort and the window
-compare all bytes; no hash decides). Of each run of equals one row stays: the one with the
+compare all bytes; no hash decides). A splitter is a text's first letters and, as many
+texts may begin alike, a hash of the whole: the driver sees splitters, so they are short. Of each run of equals one row stays: the one with the
 smallest identifier, or on request the largest.
 
 A text that alone makes up more than half a partition, by rows or by bytes, is sorted in
@@ -27,6 +28,8 @@ from claimlens.llm._spark import lower_ascii, stored
 
 #: bytes of text per partition of the sort, and what a row counts besides its text
 PARTITION_BYTES, ROW_BYTES = 128 << 20, 64
+#: letters of a text in a splitter
+HEAD = 16
 
 
 def _runs(docs: DataFrame, keep: list[str], largest: bool) -> DataFrame:
@@ -44,12 +47,12 @@ def _runs(docs: DataFrame, keep: list[str], largest: bool) -> DataFrame:
     share = F.greatest(F.col("rows") * n / F.lit(total["rows"]), F.col("bytes") * n / F.lit(total["bytes"]))
     heavy = counts.where(share > 0.5).select("hash", F.ceil(2 * share).alias("pieces"))
     heavy = stored(heavy, "dedup_heavy", 4 * n)
-    dealt = (rows.withColumn("hash", hashed).join(heavy, "hash", "left")
+    dealt = (rows.withColumn("hash", hashed).join(heavy, "hash", "left").withColumn("head", F.substring("norm", 1, HEAD))
              .withColumn("piece", F.coalesce(F.pmod(F.xxhash64("number"), "pieces"), F.lit(-1))))
-    ordered = (Window.partitionBy("norm", "piece")
+    ordered = (Window.partitionBy("head", "hash", "norm", "piece")
                .orderBy(F.col("id").desc_nulls_last() if largest else F.col("id").asc_nulls_last()))
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = (dealt.select("row", "id", "norm", "piece").repartitionByRange(n, "norm", "piece")
+    runs = (dealt.select("row", "id", "head", "hash", "norm", "piece").repartitionByRange(n, "head", "hash", "piece")
             .select("row", "piece", "norm", F.row_number().over(ordered).alias("place"),
                     F.first("id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("rows")))
     stays = F.col("place") == 1
