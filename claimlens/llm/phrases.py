@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from claimlens.llm import _text as t
 from claimlens.llm._spark import numbered, ship, stored
@@ -45,11 +45,11 @@ TAB, SPACE = 9, 32
 #: bytes of text behind one partition of the first pass (about as many n-grams occur per three bytes)
 PART_BYTES = 16 << 20
 #: n-grams held before a task sends what it has added up
-HELD = 1 << 22
+HELD = 1 << 21
 #: bits of the sketch of survivors (16 MB)
 SKETCH_BITS = 1 << 27
 #: n-grams whose words a task of the second pass holds
-HELD_PHRASES = 1 << 20
+HELD_PHRASES = 1 << 19
 
 
 def _seed(group: str) -> int:
@@ -171,11 +171,12 @@ class MisraGries:
         self.keys, self.counts = keys, counts
 
 
-def survivors(summed: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """(part, keys): of each partition, the keys that may occur ``threshold`` times or more."""
-    mass = summed.groupBy("part").agg(F.sum("mass").alias("all"))
+def survivors(summed: DataFrame, threshold: int) -> DataFrame:
+    """(part, keys): of each partition, the keys that may occur ``threshold`` times or more.
+    The mass is summed where a partition's summaries meet, so they travel once."""
     tasks = int(summed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = summed.join(stored(mass, "phrase_mass", parts), "part").drop("mass").repartition(tasks, "part").sortWithinPartitions("part")
+    dealt = (summed.repartition(tasks, "part").withColumn("all", F.sum("mass").over(Window.partitionBy("part")))
+             .drop("mass").sortWithinPartitions("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
@@ -285,8 +286,7 @@ def frequent(docs: DataFrame, group: str = "lang", longest: int = 3, threshold:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     length = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     parts = max(4 * tasks, -(-length // PART_BYTES))      # several for each task, so that they even out
-    summed = stored(summaries(docs, parts, group, longest), "phrase_summaries")
-    bits = sketch(stored(survivors(summed, parts, threshold), "phrase_survivors"))
+    bits = sketch(stored(survivors(summaries(docs, parts, group, longest), threshold), "phrase_survivors"))
     return stored(counted(docs, bits, parts, group, longest, threshold), "phrase_counts")
 
 
