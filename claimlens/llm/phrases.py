@@ -44,6 +44,8 @@ TAB, SPACE = 9, 32
 
 #: bytes of text behind one partition of the first pass (about as many n-grams occur per three bytes)
 PART_BYTES = 16 << 20
+#: bytes of text that a task works on at once (a longer document stands alone)
+BLOCK = 1 << 20
 #: n-grams held before a task sends what it has added up
 HELD = 1 << 21
 #: bits of the sketch of survivors (16 MB)
@@ -125,7 +127,7 @@ def summaries(docs: DataFrame, parts: int, group: str, longest: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for block in t.blocks(batches):
+        for block in t.blocks(batches, limit=BLOCK):
             hashed = Grams(block, group, longest).hash
             if len(hashed):
                 held.append(hashed)
@@ -237,7 +239,7 @@ def _gather(pieces: DataFrame, wide: int) -> bytes:
 
     tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = bytearray(SKETCH_BITS // 8)
-    for r in ship(pieces.repartition(tasks, "piece")).mapInArrow(run, "piece long, bits binary").toLocalIterator():
+    for r in ship(pieces.repartition(tasks, "piece")).mapInArrow(run, "piece long, bits binary").collect():      # SKETCH_BITS in all
         out[r["piece"] * wide // 8:(r["piece"] + 1) * wide // 8] = r["bits"]
     return bytes(out)
 
@@ -258,7 +260,7 @@ def counted(docs: DataFrame, bits: bytes, parts: int, group: str, longest: int,
 
         schema = pa.schema([("of", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
         rows = 0
-        for block in t.blocks(batches):
+        for block in t.blocks(batches, limit=BLOCK):
             g = Grams(block, group, longest)
             slot = _slots(_part(g.hash, parts), (g.hash & U64(0xFFFFFFFF)).astype(U32))
             pick = np.flatnonzero((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
@@ -286,7 +288,7 @@ def frequent(docs: DataFrame, group: str = "lang", longest: int = 3, threshold:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     length = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     parts = max(4 * tasks, -(-length // PART_BYTES))      # several for each task, so that they even out
-    bits = sketch(stored(survivors(summaries(docs, parts, group, longest), threshold), "phrase_survivors"))
+    bits = sketch(survivors(summaries(docs, parts, group, longest), threshold))
     return stored(counted(docs, bits, parts, group, longest, threshold), "phrase_counts")
 
 
