@@ -45,13 +45,13 @@ TAB, SPACE = 9, 32
 #: bytes of text behind one partition of the first pass (about as many n-grams occur per three bytes)
 PART_BYTES = 16 << 20
 #: bytes of text that a task works on at once (a longer document stands alone)
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: n-grams held before a task sends what it has added up
-HELD = 1 << 21
+HELD = 1 << 20
 #: bits of the sketch of survivors (16 MB)
 SKETCH_BITS = 1 << 27
 #: n-grams whose words a task of the second pass holds
-HELD_PHRASES = 1 << 19
+HELD_PHRASES = 1 << 18
 
 
 def _seed(group: str) -> int:
@@ -276,6 +276,7 @@ def counted(docs: DataFrame, bits: bytes, parts: int, group: str, longest: int,
             if rows >= HELD_PHRASES:
                 yield from send()
                 held, rows = [], 0
+                pa.default_memory_pool().release_unused()
         yield from send()
 
     each = ship(docs.select("text", group)).mapInArrow(run, "of string, size int, phrase string, n long")
