@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from claimlens.llm import _text as t
@@ -51,7 +52,7 @@ HELD = 1 << 20
 #: bits of the sketch of survivors (16 MB)
 SKETCH_BITS = 1 << 27
 #: n-grams whose words a task of the second pass holds
-HELD_PHRASES = 1 << 18
+HELD_PHRASES = 1 << 19
 
 
 def _seed(group: str) -> int:
@@ -244,43 +245,91 @@ def _gather(pieces: DataFrame, wide: int) -> bytes:
     return bytes(out)
 
 
-def counted(docs: DataFrame, bits: bytes, parts: int, group: str, longest: int, threshold: int) -> DataFrame:
-    """(group, size, phrase, n) of the n-grams that occur ``threshold`` times or more, and a row
-    of size 0 for each group with its number of words."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _spans(block: t.Block, bits: np.ndarray, parts: int, group: str, longest: int) -> pa.Table:
+    """(of, part, phrase, n) of a block's n-grams that are in the sketch; the empty phrase counts words."""
+    g = Grams(block, group, longest)
+    part = _part(g.hash, parts)
+    slot = _slots(part, (g.hash & U64(0xFFFFFFFF)).astype(U32))
+    pick = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+    order = pick[np.argsort(g.hash[pick], kind="stable")]
+    begin = np.flatnonzero(np.append(True, g.hash[order][1:] != g.hash[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    one, k = order[begin], len(g.groups)
+    of = pa.array(g.groups, pa.string()).take(pa.array(np.append(g.group[g.first[one]], np.arange(k))))
+    return pa.table({"of": of, "part": np.append(part[one], np.zeros(k, np.int64)),
+                     "phrase": pa.concat_arrays([g.texts(one).cast(pa.string()), pa.array([""] * k, pa.string())]),
+                     "n": np.append(np.diff(np.append(begin, len(order))), g.words_of)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(sent.value, np.uint8)
-        held: list[pa.Table] = []
 
-        def send() -> Iterator[pa.RecordBatch]:
-            if held:
-                all_ = pa.concat_tables(held).group_by(["of", "size", "phrase"]).aggregate([("n", "sum")])
-                yield from all_.rename_columns(["of", "size", "phrase", "n"]).cast(schema).to_batches(max_chunksize=1 << 16)
+def _summed(tables: list[pa.Table], by: list[str]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(by).aggregate([("n", "sum")]).rename_columns([*by, "n"])
 
-        schema = pa.schema([("of", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-        rows = 0
+
+def counted(docs: DataFrame, bits: bytes, parts: int, group: str, longest: int, threshold: int) -> DataFrame:
+    """(of, size, phrase, n) of the n-grams that occur ``threshold`` times or more, and a row
+    of size 0 for each group with its number of words. A task's counts for one partition
+    and group travel as one row: the phrases, a line each, and their counts."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(held: list[pa.Table]) -> pa.RecordBatch:
+        all_ = _summed(held, ["part", "of", "phrase"]).sort_by([("part", "ascending"), ("of", "ascending")])
+        part, of = all_["part"].to_numpy(), all_["of"].combine_chunks().dictionary_encode()
+        code = of.indices.to_numpy()
+        cut = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        raw, off = t.bytes_of(all_["phrase"].combine_chunks())
+        lines = np.insert(raw, off[1:], 10)     # an end after every phrase
+        ends = off + np.arange(len(off))
+        n = all_["n"].to_numpy().astype(np.int64)
+        stop = np.append(cut[1:], len(part))
+        return pa.RecordBatch.from_pydict({
+            "part": part[cut], "of": of.dictionary.take(pa.array(code[cut])),
+            "lines": pa.array([lines[ends[a]:ends[b]].tobytes() for a, b in zip(cut, stop)], pa.binary()),
+            "counts": pa.array([n[a:b].tobytes() for a, b in zip(cut, stop)], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, rows = np.frombuffer(sent.value, np.uint8), [], 0
         for block in t.blocks(batches, limit=BLOCK):
-            g = Grams(block, group, longest)
-            slot = _slots(_part(g.hash, parts), (g.hash & U64(0xFFFFFFFF)).astype(U32))
-            pick = np.flatnonzero((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            order = pick[np.argsort(g.hash[pick], kind="stable")]
-            begin = np.flatnonzero(np.append(True, g.hash[order][1:] != g.hash[order][:-1])) if len(order) else np.zeros(0, np.int64)
-            one = order[begin]
-            of = g.group[g.first[one]]
-            held.append(pa.table({"of": pa.array(g.groups, pa.string()).take(pa.array(of)), "size": pa.array(g.size[one].astype(np.int32)),
-                                  "phrase": g.texts(one).cast(pa.string()), "n": pa.array(np.diff(np.append(begin, len(order))))}))
-            held.append(pa.table({"of": pa.array(g.groups, pa.string()), "size": pa.array(np.zeros(len(g.groups), np.int32)),
-                                  "phrase": pa.array([""] * len(g.groups), pa.string()), "n": pa.array(g.words_of.astype(np.int64))}))
-            rows += len(one)
+            held.append(_spans(block, table, parts, group, longest))
+            rows += held[-1].num_rows
             if rows >= HELD_PHRASES:
-                yield from send()
+                yield send(held)
                 held, rows = [], 0
                 pa.default_memory_pool().release_unused()
-        yield from send()
+        if held:
+            yield send(held)
 
-    each = ship(docs.select("text", group)).mapInArrow(run, "of string, size int, phrase string, n long")
-    return each.groupBy("of", "size", "phrase").agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {threshold}")
+    def unpack(of: str, lines: bytes, counts: bytes) -> pa.Table:
+        raw = np.frombuffer(lines, np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        off = np.append(0, ends - np.arange(len(ends))).astype(np.int32)
+        text = pa.StringArray.from_buffers(len(ends), pa.py_buffer(off.tobytes()), pa.py_buffer(raw[raw != 10].tobytes()))
+        return pa.table({"of": pa.repeat(pa.scalar(of, pa.string()), len(ends)), "phrase": text, "n": np.frombuffer(counts, np.int64)})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            all_ = _summed(held, ["of", "phrase"])
+            size = pc.if_else(pc.equal(all_["phrase"], ""), 0, pc.add(pc.count_substring(all_["phrase"], " "), 1)).cast(pa.int32())
+            all_ = pa.table({"of": all_["of"], "size": size, "phrase": all_["phrase"], "n": all_["n"]})
+            yield from all_.filter(pc.or_(pc.equal(size, 0), pc.greater_equal(all_["n"], threshold))).to_batches(max_chunksize=1 << 16)
+
+        now, held, rows = None, [], 0
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["part"] != now:
+                    if held:
+                        yield from done()
+                    now, held, rows = x["part"], [], 0
+                held.append(unpack(x["of"], x["lines"], x["counts"]))
+                rows += held[-1].num_rows
+                if rows >= 4 * HELD_PHRASES:
+                    held = [_summed(held, ["of", "phrase"])]
+                    rows = 0
+        if held:
+            yield from done()
+
+    each = ship(docs.select("text", group)).mapInArrow(count, "part long, of string, lines binary, counts binary")
+    return (ship(each.repartition(tasks, "part").sortWithinPartitions("part"))
+            .mapInArrow(merge, "of string, size int, phrase string, n long"))
 
 
 def frequent(docs: DataFrame, group: str = "lang", longest: int = 3, threshold: int = 10) -> DataFrame:
