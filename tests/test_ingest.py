@@ -51,12 +51,13 @@ def test_registry_slim_drops_malformed_and_keeps_text(spark, tmp_path):
     assert set(rows) == {"1000000001", "1000000002"}          # short row dropped
     assert rows["1000000002"]["enumeration_date"] == "3/4/2015"
     assert rows["1000000001"]["org_name"] is None
-    # written once: a second build with different input keeps the first output
+    # built once for its input; another input replaces it
+    assert not ingest.build_registry_slim(spark, src, out).built
     other = registry_csv(str(tmp_path / "npidata_pfile_y.csv"),
                          extra_rows=[["", "1000000009", "1", "", "X", "Y", "NY", "1", "t", "01/01/2020",
                                       "", "", "z"]])
-    ingest.build_registry_slim(spark, other, out)
-    assert spark.read.parquet(out).count() == 2
+    assert ingest.build_registry_slim(spark, other, out).built
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_exclusions_normalised(spark, tmp_path):
