@@ -77,7 +77,8 @@ class SignalConfig:
     home_health_high_ratio: float = 0.05
     # excluded provider: the studied system sums the billing and servicing
     # legs, so a row whose two NPIs are the same excluded provider counts
-    # twice. True counts each claim row once per exclusion record.
+    # twice, and once more for every further exclusion that covers its month. True
+    # counts each claim row once.
     count_rows_once: bool = False
 
     @property

@@ -10,11 +10,15 @@ Plan: the test depends on a claim's NPI and month alone, so each role is
 summed per (NPI, month) first, with map-side partial sums, and only those
 monthly sums meet the exclusion keys. The billing leg is the rollup that the
 other signals use too.
+
+With ``count_rows_once`` a claim row counts once, whatever its roles and however many
+exclusions cover its month: periods of one NPI are merged before the join
+(gaps and islands), so a month meets at most one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens import schemas as S
@@ -58,6 +62,24 @@ def exclusion_keys(tables: ClaimsTables) -> DataFrame:
     return tier1.unionByName(tier2)
 
 
+def merged_periods(keys: DataFrame) -> DataFrame:
+    """The exclusion keys with the periods of one (tier, NPI) that overlap or touch made one:
+    from the least start to the greatest end (NULL: still open). The record of such a
+    period is its first, by date and type. Records in the order of their start begin
+    a new period where they start after the greatest end so far. A period that ends
+    before it has begun excludes nobody."""
+    never = F.lit("9999-99")
+    ends = keys.where(F.col("excl_ym").isNotNull()).withColumn("end", F.coalesce("rein_ym", never)).where("end > excl_ym")
+    order = Window.partitionBy("tier", "npi").orderBy("excl_ym", "end", "EXCLDATE", "EXCLTYPE")
+    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = ends.withColumn("begins", F.when(F.col("excl_ym") <= so_far, 0).otherwise(1))
+    numbered = begins.withColumn("period", F.sum("begins").over(order))
+    merged = numbered.groupBy("tier", "npi", "period").agg(
+        F.min(F.struct("EXCLDATE", "EXCLTYPE")).alias("first"), F.min("excl_ym").alias("excl_ym"), F.max("end").alias("end"))
+    return merged.select("npi", "tier", F.col("first.EXCLDATE").alias("EXCLDATE"), F.col("first.EXCLTYPE").alias("EXCLTYPE"),
+                         "excl_ym", F.nullif("end", never).alias("rein_ym"))
+
+
 def servicing_month(spending: DataFrame, count_rows_once: bool = False) -> DataFrame:
     """(npi, month) -> paid, claims by servicing NPI. With ``count_rows_once``
     rows that name the same NPI as the billing one are left out: the billing
@@ -84,6 +106,8 @@ def excluded_provider(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
     keys = exclusion_keys(tables)
     if tuple(tiers) != (TIER_NPI, TIER_NAME):
         keys = keys.where(F.col("tier").isin(*tiers))
+    if cfg.count_rows_once:
+        keys = merged_periods(keys)
     in_window = ((F.col("month") >= F.col("excl_ym"))
                  & (F.col("rein_ym").isNull() | (F.col("month") < F.col("rein_ym"))))
     m = role_months(tables, cfg, pm).join(keys, "npi").where(in_window)

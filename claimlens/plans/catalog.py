@@ -7,6 +7,7 @@ joined to text) so they compare value-by-value against SQL."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.plans.session import apply_session_conf
+from claimlens.sources.star import overlapping_exclusions
 from claimlens.sources.tables import ClaimsTables, load_star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +70,12 @@ def q_excluded_provider(spark, sf_dir):
     return _signals(spark, sf_dir).excluded_provider().select(*S1_COLUMNS)
 
 
+def q_excluded_provider_once(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    t = replace(t, exclusions=overlapping_exclusions(t.exclusions))
+    return excluded.excluded_provider(t, replace(DEFAULT_CONFIG, count_rows_once=True)).select("tier", *S1_COLUMNS)
+
+
 def q_peer_group_stats(spark, sf_dir):
     return (outlier.peer_group_stats(_tables(spark, sf_dir))
             .withColumn("median_paid", round4("median_paid")).withColumn("p99_paid", round4("p99_paid")))
@@ -194,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "excluded_provider_npi": q_excluded_provider_npi,
     "excluded_provider_name": q_excluded_provider_name,
     "excluded_provider": q_excluded_provider,
+    "excluded_provider_once": q_excluded_provider_once,
     "peer_group_stats": q_peer_group_stats,
     "billing_outlier": q_billing_outlier,
     "rapid_escalation": q_rapid_escalation,

@@ -19,6 +19,7 @@ number, so no step needs a single-partition window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -40,14 +41,19 @@ class SignalSet:
     """All signal results of one run, built on shared rollups."""
 
     def __init__(self, tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                 materialize_rollups: bool = False):
+                 materialize_rollups: bool = False, signals: Sequence[str] = SIGNAL_ORDER):
         """``materialize_rollups`` is for runs that evaluate several signals
         (the flag table, the report): the fact is rolled up once and written
         bucketed on NPI next to an NPI-bucketed registry, so joins,
         per-provider aggregates and NPI windows need no exchange. The small
         derived rollups, and signal results that several branches read, are
         persisted so that every consumer reuses one computed copy (a lost block
-        is rebuilt from the bucket files, not from the fact)."""
+        is rebuilt from the bucket files, not from the fact). ``signals``: the ones
+        whose flags are wanted; plans of the others are not built."""
+        unknown = set(signals) - set(SIGNAL_ORDER)
+        if unknown:
+            raise ValueError(f"no signal {', '.join(sorted(unknown))}")
+        self.signals = tuple(s for s in SIGNAL_ORDER if s in signals)
         self.cfg = cfg
         buckets = buckets_for(tables.spending) if materialize_rollups else 0
         self.buckets = buckets
@@ -156,23 +162,27 @@ class SignalSet:
         def high_if(condition):
             return F.when(condition, F.lit("high")).otherwise(F.lit("medium"))
 
-        parts = [
-            part("excluded_provider", self.excluded_provider(), F.col("tier"), npi,
-                 F.concat_ws("|", F.col("tier").cast("string"), npi), npi, F.lit("critical"),
-                 F.col("total_paid_after_exclusion")),
-            part("billing_outlier", self.outlier_records(), -F.col("ratio_to_median"), npi,
-                 F.concat_ws("|", npi, "taxonomy", "state"), npi,
-                 high_if(F.col("ratio_to_median") > cfg.outlier_high_ratio),
-                 F.greatest(zero, F.col("total_paid") - F.col("p99_paid"))),
-            part("rapid_escalation", self.escalation_records(), -F.col("max_growth_pct"), npi, npi, npi,
-                 high_if(F.col("max_growth_pct") > cfg.escalation_high_pct),
-                 F.coalesce("total_paid_excess_growth_months", F.col("total_paid_12mo") * 0.5)),
-            part("workforce_impossibility", self.workforce_records(), -F.col("implied_claims_per_hour"), npi, npi, npi,
-                 F.lit("high"), F.greatest(zero, F.col("estimated_overpayment"))),
-            part("shared_official", self.shared_official(), -F.col("combined_total_paid"), official_key, official_key,
-                 none, high_if(F.col("combined_total_paid") > cfg.official_high_paid), zero),
-            part("geographic_implausibility", self.home_health_records(), F.col("bene_to_claims_ratio"), npi, npi, npi,
-                 high_if(F.col("bene_to_claims_ratio") < cfg.home_health_high_ratio), zero)]
+        makers = {
+            "excluded_provider": lambda name: part(
+                name, self.excluded_provider(), F.col("tier"), npi, F.concat_ws("|", F.col("tier").cast("string"), npi), npi,
+                F.lit("critical"), F.col("total_paid_after_exclusion")),
+            "billing_outlier": lambda name: part(
+                name, self.outlier_records(), -F.col("ratio_to_median"), npi, F.concat_ws("|", npi, "taxonomy", "state"), npi,
+                high_if(F.col("ratio_to_median") > cfg.outlier_high_ratio), F.greatest(zero, F.col("total_paid") - F.col("p99_paid"))),
+            "rapid_escalation": lambda name: part(
+                name, self.escalation_records(), -F.col("max_growth_pct"), npi, npi, npi,
+                high_if(F.col("max_growth_pct") > cfg.escalation_high_pct),
+                F.coalesce("total_paid_excess_growth_months", F.col("total_paid_12mo") * 0.5)),
+            "workforce_impossibility": lambda name: part(
+                name, self.workforce_records(), -F.col("implied_claims_per_hour"), npi, npi, npi,
+                F.lit("high"), F.greatest(zero, F.col("estimated_overpayment"))),
+            "shared_official": lambda name: part(
+                name, self.shared_official(), -F.col("combined_total_paid"), official_key, official_key,
+                none, high_if(F.col("combined_total_paid") > cfg.official_high_paid), zero),
+            "geographic_implausibility": lambda name: part(
+                name, self.home_health_records(), F.col("bene_to_claims_ratio"), npi, npi, npi,
+                high_if(F.col("bene_to_claims_ratio") < cfg.home_health_high_ratio), zero)}
+        parts = [makers[name](name) for name in self.signals]
         records = reduce(DataFrame.unionByName, parts)
         rank = F.lit(SEVERITY_RANK["low"])
         for name, value in SEVERITY_RANK.items():
@@ -182,50 +192,63 @@ class SignalSet:
     def flags_by_npi(self) -> DataFrame:
         """``flag_records`` per provider, without evidence."""
         records = self.flag_records()
+        columns = [c for c in FLAG_COLUMNS if c != "evidence"]
+        if "shared_official" not in self.signals:
+            return records.where(F.col("npi").isNotNull()).select(*columns)
         shared = F.col("signal_type") == "shared_official"
         members = self.official_npi_totals().select("flag_id", "npi")
         fanned = records.where(shared).drop("npi").join(members, "flag_id")
         return (records.where(~shared).unionByName(fanned).where(F.col("npi").isNotNull())
-                .select(*[c for c in FLAG_COLUMNS if c != "evidence"]))
+                .select(*columns))
 
     def evidence(self) -> DataFrame:
         """(flag_id, npi, evidence): JSON with the rounded values of each flag and its
         detail lists, folded per NPI; all are bounded by what one provider can carry
         (12 months, the code list, its home-health months)."""
-        cfg = self.cfg
-        for records in (self.escalation_records(), self.home_health_records()):
-            self._persist(records)      # read by their flags and by their details
-        s3, s5, s6 = self.rapid_escalation(), self.shared_official(), self.geographic_implausibility()
-        options = {"ignoreNullFields": "false"}
-        months = (escalation.escalation_months(self.tables, cfg, self.pm, s3).groupBy("npi")
+        makers = {"excluded_provider": self._excluded_evidence, "billing_outlier": self._outlier_evidence,
+                  "rapid_escalation": self._escalation_evidence, "workforce_impossibility": self._workforce_evidence,
+                  "shared_official": self._official_evidence, "geographic_implausibility": self._home_health_evidence}
+        return reduce(DataFrame.unionByName, [makers[name](lambda *key, n=name: F.concat_ws("|", F.lit(n), *key)) for name in self.signals])
+
+    @staticmethod
+    def _json(df: DataFrame, flag_id, *columns) -> DataFrame:
+        return df.select(flag_id.alias("flag_id"), "npi", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("evidence"))
+
+    def _excluded_evidence(self, flag) -> DataFrame:
+        return self._json(self.excluded_provider(), flag(F.col("tier").cast("string"), F.col("npi")), *excluded.RESULT_COLUMNS)
+
+    def _outlier_evidence(self, flag) -> DataFrame:
+        s2 = self.billing_outlier()
+        return self._json(s2, flag("npi", "taxonomy", "state"), *s2.columns)
+
+    def _escalation_evidence(self, flag) -> DataFrame:
+        self._persist(self.escalation_records())        # read by the flags and by their months
+        s3 = self.rapid_escalation()
+        months = (escalation.escalation_months(self.tables, self.cfg, self.pm, s3).groupBy("npi")
                   .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "monthly_paid"))))
                        .alias("monthly_paid_amounts")))
-        codes = (home_health.home_health_codes(self.tables, cfg, s6, self.hh_pairs).groupBy("npi")
+        return self._json(s3.join(months, "npi", "left"), flag("npi"), *s3.columns, "monthly_paid_amounts")
+
+    def _workforce_evidence(self, flag) -> DataFrame:
+        s4 = self.workforce_impossibility()
+        return self._json(s4, flag("npi"), *s4.columns)
+
+    def _official_evidence(self, flag) -> DataFrame:
+        members = self.official_npi_totals().select("flag_id", "npi", F.col("total_paid").alias("npi_total_paid"))
+        s5 = self.shared_official().withColumn("flag_id", flag("off_last", "off_first")).join(members, "flag_id")
+        return self._json(s5, F.col("flag_id"), "off_last", "off_first", "npi_count", "states", "combined_total_paid",
+                          "combined_total_claims", "npi_total_paid")
+
+    def _home_health_evidence(self, flag) -> DataFrame:
+        self._persist(self.home_health_records())       # read by the flags and by their details
+        s6 = self.geographic_implausibility()
+        codes = (home_health.home_health_codes(self.tables, self.cfg, s6, self.hh_pairs).groupBy("npi")
                  .agg(F.array_sort(F.collect_set("hcpcs_code")).alias("hcpcs_codes")))
-        detail = (home_health.home_health_months(self.tables, cfg, self.hm, s6).groupBy("npi")
+        detail = (home_health.home_health_months(self.tables, self.cfg, self.hm, s6).groupBy("npi")
                   .agg(F.array_sort(F.collect_list(F.struct(
                       "month", "claims_count", "unique_beneficiaries", "monthly_paid", "ratio"))).alias("month_detail")))
-        members = self.official_npi_totals().select("flag_id", "npi", F.col("total_paid").alias("npi_total_paid"))
-
-        def part(df, flag_id, *columns):
-            return df.select(flag_id.alias("flag_id"), "npi", F.to_json(F.struct(*columns), options).alias("evidence"))
-
-        def flag(name, *key):
-            return F.concat_ws("|", F.lit(name), *key)
-
-        s2, s4 = self.billing_outlier(), self.workforce_impossibility()
-        s5 = s5.withColumn("flag_id", flag("shared_official", "off_last", "off_first")).join(members, "flag_id")
-        parts = [
-            part(self.excluded_provider(), flag("excluded_provider", F.col("tier").cast("string"), F.col("npi")),
-                 *excluded.RESULT_COLUMNS),
-            part(s2, flag("billing_outlier", "npi", "taxonomy", "state"), *s2.columns),
-            part(s3.join(months, "npi", "left"), flag("rapid_escalation", "npi"), *s3.columns, "monthly_paid_amounts"),
-            part(s4, flag("workforce_impossibility", "npi"), *s4.columns),
-            part(s5, F.col("flag_id"), "off_last", "off_first", "npi_count", "states", "combined_total_paid",
-                 "combined_total_claims", "npi_total_paid"),
-            part(s6.join(codes, "npi", "left").join(detail, "npi", "left"), flag("geographic_implausibility", "npi"),
-                 *s6.columns, "hcpcs_codes", "month_detail")]
-        return reduce(DataFrame.unionByName, parts)
+        return self._json(s6.join(codes, "npi", "left").join(detail, "npi", "left"), flag("npi"),
+                          *s6.columns, "hcpcs_codes", "month_detail")
 
     def flags_with_evidence(self) -> DataFrame:
         """``flags_by_npi`` with the evidence; registry duplicates give a provider equal

@@ -1,12 +1,13 @@
 """The batch job: ingest -> signals -> report.
 
     python -m claimlens.plans.pipeline --spending claims.parquet \\
-        --registry-csv nppes_raw/ --exclusions-csv UPDATED.csv --out out/ [--stage signals]
+        --registry-csv nppes_raw/ --exclusions-csv UPDATED.csv --out out/ [--stage signals [--signals billing_outlier]]
 
 Each stage reads files and writes files, so it can run in a session of its own
 and a failed one is run again from what the stage before it wrote:
 
-    ingest   nppes_slim.parquet, leie.parquet (kept if they are there)
+    ingest   nppes_slim.parquet, leie.parquet (kept while they are whole and their CSV is the
+             same); records left out in nppes_slim.parquet_rejected, leie.parquet_rejected
     signals  flags/ (by signal), official_members/ (members of each shared official,
              by flag_id), provider_totals/ (lifetime sums per provider)
     report   report/providers (JSON lines with rank), report/header
@@ -15,10 +16,11 @@ and a failed one is run again from what the stage before it wrote:
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from claimlens.config import DEFAULT_CONFIG, SignalConfig
+from claimlens.config import DEFAULT_CONFIG, SIGNAL_ORDER, SignalConfig
 from claimlens.functions.lineage import drop_stored, release, stored_count
 from claimlens.operators.rollups import provider_totals
 from claimlens.plans import report as R
@@ -38,15 +40,22 @@ def ingest_stage(spark: SparkSession, registry_csv: str, exclusions_csv: str, ou
     return registry_path, exclusions_path
 
 
-def signals_stage(tables: ClaimsTables, out: str, cfg: SignalConfig = DEFAULT_CONFIG) -> None:
-    """Intermediate tables of the stage are dropped when its results are written."""
+def signals_stage(tables: ClaimsTables, out: str, cfg: SignalConfig = DEFAULT_CONFIG,
+                  only: Sequence[str] | None = None) -> None:
+    """Intermediate tables of the stage are dropped when its results are written. ``only``:
+    signals to run again; the flags of the others, and what hangs on them, stay as they are."""
     before = stored_count()
     register_views(tables)
     try:
-        ss = SignalSet(tables, cfg, materialize_rollups=True)
-        sinks.write_table(provider_totals(ss.pm), f"{out}/provider_totals")
-        sinks.write_table(ss.official_npi_totals(), f"{out}/official_members")
-        sinks.write_flags(ss.flags_with_evidence(), f"{out}/flags")
+        ss = SignalSet(tables, cfg, materialize_rollups=True, signals=only or SIGNAL_ORDER)
+        if only is None:
+            sinks.write_table(provider_totals(ss.pm), f"{out}/provider_totals")
+        if "shared_official" in ss.signals:
+            sinks.write_table(ss.official_npi_totals(), f"{out}/official_members")
+        if only is None:
+            sinks.write_flags(ss.flags_with_evidence(), f"{out}/flags")
+        else:
+            sinks.replace_flags(ss.flags_with_evidence(), f"{out}/flags", ss.signals)
     finally:
         release()
         drop_stored(before)
@@ -66,12 +75,12 @@ def report_stage(spark: SparkSession, out: str) -> None:
 
 
 def run(spark: SparkSession, spending: str, registry_csv: str, exclusions_csv: str, out: str,
-        cfg: SignalConfig = DEFAULT_CONFIG, stages: tuple[str, ...] = STAGES) -> None:
+        cfg: SignalConfig = DEFAULT_CONFIG, stages: tuple[str, ...] = STAGES, only: Sequence[str] | None = None) -> None:
     registry_path, exclusions_path = f"{out}/nppes_slim.parquet", f"{out}/leie.parquet"
     if "ingest" in stages:
         ingest_stage(spark, registry_csv, exclusions_csv, out)
     if "signals" in stages:
-        signals_stage(load_domain_tables(spark, spending, registry_path, exclusions_path), out, cfg)
+        signals_stage(load_domain_tables(spark, spending, registry_path, exclusions_path), out, cfg, only)
     if "report" in stages:
         report_stage(spark, out)
 
@@ -84,12 +93,13 @@ def main() -> None:
     ap.add_argument("--exclusions-csv", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--stage", choices=("all", *STAGES), default="all")
+    ap.add_argument("--signals", nargs="+", choices=SIGNAL_ORDER, help="run these again and leave the flags of the others")
     ap.add_argument("--master", default=None)
     args = ap.parse_args()
     spark = build_session(args.master)
     ensure_checkpoint_dir(spark)
     run(spark, args.spending, args.registry_csv, args.exclusions_csv, args.out,
-        stages=STAGES if args.stage == "all" else (args.stage,))
+        stages=STAGES if args.stage == "all" else (args.stage,), only=args.signals)
 
 
 if __name__ == "__main__":

@@ -3,10 +3,15 @@ report (IO-11)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from claimlens.plans.flags import FLAG_COLUMNS
 
+FLAG_SCHEMA = ("signal_type string, signal_index int, order_value double, order_key string, flag_id string, npi string, "
+               "severity string, severity_rank int, overpayment double, evidence string")
+
 
 def write_flags(flags: DataFrame, path: str, mode: str = "overwrite") -> str:
     """IO-10: the long flag table, partitioned by signal type."""
@@ -14,8 +19,28 @@ def write_flags(flags: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def replace_flags(flags: DataFrame, path: str, signals: Sequence[str]) -> str:
+    """The flags of some signals in place of the ones that ``path`` has of them; the files of
+    the other signals are not touched. New files are written aside and
+    moved in when the job commits. A signal that flags nobody any more has no rows to
+    overwrite its partition with, so its old one is removed."""
+    spark = flags.sparkSession
+    seen = Observation()
+    wanted = flags.select(*FLAG_COLUMNS).where(F.col("signal_type").isin(*signals))
+    (wanted.observe(seen, *[F.count_if(F.col("signal_type") == name).alias(name) for name in signals])
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("signal_type").parquet(path))
+    counts = seen.get
+    for name in signals:
+        if not counts[name]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/signal_type={name}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return path
+
+
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*FLAG_COLUMNS)
+    """Whatever runs wrote the partitions. The schema is given, so that a table without any
+    flags reads as an empty one."""
+    return spark.read.schema(FLAG_SCHEMA).parquet(path).select(*FLAG_COLUMNS)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:

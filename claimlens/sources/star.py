@@ -123,6 +123,16 @@ def exclusions_raw_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def overlapping_exclusions(exclusions: DataFrame) -> DataFrame:
+    """Each exclusion with three more of the same provider: one that overlaps it, one that
+    lies after it or within it, and one that ends as it begins."""
+    more = [("1128b4", "19980101", "19990701"), ("1128b5", "20010301", "20010901"), ("1128a3", "19960601", "19960601")]
+    out = exclusions
+    for kind, begin, end in more:
+        out = out.unionByName(exclusions.withColumns({"EXCLTYPE": F.lit(kind), "EXCLDATE": F.lit(begin), "REINDATE": F.lit(end)}))
+    return out
+
+
 def tables_from_star(spark: SparkSession, sf_dir: str) -> ClaimsTables:
     return ClaimsTables(
         spending=spending_from_star(spark, sf_dir),

@@ -1,6 +1,7 @@
 """Stages: CSV ingest -> flags on disk -> JSON report, each from files alone."""
 
 import csv
+import dataclasses
 import glob
 import json
 import os
@@ -8,6 +9,7 @@ import os
 import pytest
 
 from claimlens import schemas as S
+from claimlens.config import DEFAULT_CONFIG
 from claimlens.functions import lineage
 from claimlens.plans import pipeline
 from claimlens.plans.session import ensure_checkpoint_dir
@@ -61,6 +63,43 @@ def test_stages_run_in_sessions_of_their_own(spark, tmp_path):
         ("shared_official|VANCE|RUTH", npi, 250000.0) for npi in X.CHAIN]
 
 
+def flag_files(out):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{out}/flags/signal_type=*/*.parquet")}
+
+
+def whole_report(out):
+    parts, header = read_report(out)
+    return sorted(json.dumps(p, sort_keys=True) for part in parts for p in part), {k: v for k, v in header.items() if k != "generated_at"}
+
+
+def test_one_signal_again(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    out = args[-1]
+    pipeline.run(spark, *args)
+    files, report = flag_files(out), whole_report(out)
+    pipeline.run(spark, *args, stages=("signals", "report"), only=["billing_outlier", "shared_official"])
+    now = flag_files(out)
+    again = ("signal_type=billing_outlier", "signal_type=shared_official")
+    assert {f: t for f, t in files.items() if not any(s in f for s in again)} == {f: t for f, t in now.items() if not any(s in f for s in again)}
+    assert not set(files) & {f for f in now if any(s in f for s in again)} and whole_report(out) == report
+
+
+def test_one_signal_again_with_other_thresholds(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    out = args[-1]
+    pipeline.run(spark, *args)
+    strict = dataclasses.replace(DEFAULT_CONFIG, min_peers=1000)
+    pipeline.run(spark, *args, cfg=strict, stages=("signals", "report"), only=["billing_outlier"])
+    assert not glob.glob(f"{out}/flags/signal_type=billing_outlier*")
+    report, header = whole_report(out)
+    assert header["signal_counts"]["billing_outlier"] == 0 and header["total_providers_flagged"] == 11
+    assert header["signal_counts"]["rapid_escalation"] == 1 and len(report) == 11
+    pipeline.run(spark, *args, stages=("signals", "report"), only=["billing_outlier"])
+    check_report(out)
+    with pytest.raises(ValueError, match="no signal x"):
+        pipeline.run(spark, *args, stages=("signals",), only=["x"])
+
+
 def test_intermediate_tables_are_dropped(spark, tmp_path):
     args = raw_inputs(spark, tmp_path)
     before = lineage.stored_count()

@@ -1,9 +1,11 @@
 """Six signals on the planted fixture, with values worked out in FIXTURES.md."""
 
 import dataclasses
+from decimal import Decimal
 
 import pytest
 
+from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG
 from claimlens.operators import escalation, excluded, home_health, official, outlier, workforce
 from tests import fixtures as X
@@ -36,6 +38,27 @@ def test_exclusion_can_count_rows_once(tables):
     assert (r["total_paid_after_exclusion"], r["total_claims_after_exclusion"], r["match_role"]) == (600.0, 20, "billing")
 
 
+MONTHS = ["2020-01", "2020-06", "2020-12", "2021-06", "2022-06"]
+
+
+@pytest.mark.parametrize(("periods", "months", "first"), [
+    ([("20200101", None), ("20200301", None)], 5, "20200101"),                          # both open
+    ([("20200101", "20200701"), ("20200601", "20210101")], 3, "20200101"),              # overlap
+    ([("20200101", "20200701"), ("20200701", "20210101")], 3, "20200101"),              # touch
+    ([("20200501", "20201101"), ("20200601", "20200801"), ("20210501", None)], 3, "20200501"),   # one within, one apart
+    ([("20200101", "20200101"), ("20200601", "20200701")], 1, "20200601"),              # the first excludes nobody
+    ([("20200601", "20190101"), ("20200701", "20200601")], 0, None)])
+def test_a_row_under_several_exclusions_counts_once(spark, tables, periods, months, first):
+    npi = "7000000001"
+    claims = spark.createDataFrame([(npi, npi, m, "99213", 1, Decimal("100.00"), 1) for m in MONTHS], S.SPENDING_SCHEMA)
+    records = [("A", "B", "", npi, "1128a1", begin, end, "CA", "") for begin, end in periods]
+    t = dataclasses.replace(tables, spending=claims, exclusions=spark.createDataFrame(records, S.EXCLUSION_SCHEMA))
+    cfg = dataclasses.replace(DEFAULT_CONFIG, count_rows_once=True)
+    rows = excluded.excluded_provider(t, cfg).collect()
+    assert [(r["total_paid_after_exclusion"], r["total_claims_after_exclusion"], r["excl_date"]) for r in rows] == (
+        [(100.0 * months, months, first)] if months else [])
+
+
 def test_exclusion_by_name_ends_with_reinstatement(tables):
     rows = by_npi(excluded.excluded_provider(tables, tiers=(excluded.TIER_NAME,)))
     assert set(rows) == {X.NAMESAKE}
