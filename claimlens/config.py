@@ -49,7 +49,8 @@ class SignalConfig:
     outlier_quantile: float = 0.99
     # "exact" = exact percentile (linear interpolation) by a distributed
     #   selection; on request "builtin" (a group's values in one task) and
-    #   "approx" (percentile_approx sketch, bounded memory, one pass)
+    #   "approx" (percentile_approx sketch, bounded memory, one pass) or
+    #   "sketch" (KLL: stored, merged upwards, see functions/sketches.py)
     quantile_method: str = "exact"
     approx_accuracy: int = 10000
     # rapid escalation

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.lineage import materialize
+from claimlens.functions.sketches import group_sketches, sketch_quantiles
 
 
 def builtin_group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -107,10 +108,13 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """``exact``: the distributed method above, whatever the sizes. On request:
     ``builtin``, Spark's one-pass ``percentile`` (a group's values in one task),
-    and ``approx``, its sketch."""
+    ``approx``, its sketch, and ``sketch``, the mergeable one of ``sketches``."""
     if method == "exact":
         return exact_group_quantiles(df, group_cols, value_col, quantiles, names, count_name, accuracy=accuracy)
     if method in ("builtin", "approx"):
         return builtin_group_quantiles(df, group_cols, value_col, quantiles, names, count_name,
                                        approx=method == "approx", accuracy=accuracy)
+    if method == "sketch":
+        found = sketch_quantiles(group_sketches(df, group_cols, value_col), quantiles, names)
+        return found.withColumnRenamed("members", count_name).select(*group_cols, count_name, *names)
     raise ValueError(f"unknown quantile method {method!r}")

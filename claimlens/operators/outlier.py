@@ -14,6 +14,7 @@ from claimlens.config import DEFAULT_CONFIG, SignalConfig
 from claimlens.functions.columns import dollars, nonblank, round4, safe_ratio
 from claimlens.functions.lineage import materialize
 from claimlens.functions.quantiles import group_quantiles
+from claimlens.functions.sketches import RANK_ERROR, group_sketches, merged_sketches, sketch_quantiles
 from claimlens.operators.rollups import provider_month, provider_totals
 from claimlens.sources.tables import ClaimsTables
 
@@ -42,6 +43,55 @@ def peer_group_stats(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                          F.col("peer_count").cast("bigint").alias("peer_count")))
 
 
+#: coarser and coarser peer groups
+LEVELS = (("taxonomy", "state"), ("taxonomy",), ())
+
+
+def peer_group_levels(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG, peers: DataFrame | None = None) -> DataFrame:
+    """(level, taxonomy, state, peer_count, median_paid, p99_paid) of the peer groups, of all
+    states of a taxonomy (state NULL), and of all providers: estimates from sketches. The
+    finest are stored, and each level merges the one below; the providers are read once."""
+    peers = provider_peers(tables) if peers is None else peers
+    eligible = (peers.where(nonblank("taxonomy") & nonblank("state"))
+                     .select("taxonomy", "state", dollars("paid").alias("paid_d")))
+    sketches, levels = None, []
+    for number, groups in enumerate(LEVELS, 1):
+        sketches = (group_sketches(eligible, groups, "paid_d") if sketches is None
+                    else merged_sketches(sketches, groups))
+        sketches = materialize(sketches, f"sketches_{number}")
+        found = sketch_quantiles(sketches, [cfg.median_quantile, cfg.outlier_quantile], ["median_paid", "p99_paid"])
+        missing = [F.lit(None).cast("string").alias(c) for c in LEVELS[0] if c not in groups]
+        levels.append(found.select(F.lit(number).alias("level"), *groups, *missing, F.col("members").cast("bigint").alias("peer_count"),
+                                   "median_paid", "p99_paid"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.where(F.col("peer_count") >= cfg.min_peers)
+
+
+def peer_level_ranks(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG) -> DataFrame:
+    """How good the estimates of ``peer_group_levels`` are: for each, whether the quantile asked for
+    lies within RANK_ERROR of the share of the group's providers below and up to the estimate."""
+    peers = materialize(provider_peers(tables), "peers")
+    levels = materialize(peer_group_levels(tables, cfg, peers), "peer_levels")
+    paid, out = dollars("paid"), None
+    eligible = peers.where(nonblank("taxonomy") & nonblank("state")).select("taxonomy", "state", paid.alias("paid_d"))
+    for number, groups in enumerate(LEVELS, 1):
+        of = levels.where(F.col("level") == number)
+        one = F.lit(1).alias("one")      # the level of all providers is one row
+        held = eligible.select("*", one).join(of.select(*groups, one, "median_paid", "p99_paid"), [*groups, "one"])
+        share = {}
+        for q, name in ((cfg.median_quantile, "median_paid"), (cfg.outlier_quantile, "p99_paid")):
+            below = F.count_if(F.col("paid_d") < F.col(name)) / F.count("paid_d")
+            upto = F.count_if(F.col("paid_d") <= F.col(name)) / F.count("paid_d")
+            share[name.replace("_paid", "_within")] = (below - RANK_ERROR <= q) & (q <= upto + RANK_ERROR)
+        ranks = held.groupBy(*groups).agg(F.count(F.lit(1)).alias("peer_count"), *[v.alias(k) for k, v in share.items()])
+        missing = [F.lit(None).cast("string").alias(c) for c in LEVELS[0] if c not in groups]
+        ranks = ranks.select(F.lit(number).alias("level"), *groups, *missing, F.col("peer_count").cast("bigint").alias("peer_count"), *share)
+        out = ranks if out is None else out.unionByName(ranks)
+    return out
+
+
 def outlier_records(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
                     pm: DataFrame | None = None) -> DataFrame:
     """S2 with unrounded values. The providers with their peer group are stored

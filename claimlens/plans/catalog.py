@@ -81,6 +81,10 @@ def q_peer_group_stats(spark, sf_dir):
             .withColumn("median_paid", round4("median_paid")).withColumn("p99_paid", round4("p99_paid")))
 
 
+def q_peer_group_sketches(spark, sf_dir):
+    return outlier.peer_level_ranks(_tables(spark, sf_dir))
+
+
 def q_billing_outlier(spark, sf_dir):
     return _signals(spark, sf_dir).billing_outlier()
 
@@ -204,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "excluded_provider": q_excluded_provider,
     "excluded_provider_once": q_excluded_provider_once,
     "peer_group_stats": q_peer_group_stats,
+    "peer_group_sketches": q_peer_group_sketches,
     "billing_outlier": q_billing_outlier,
     "rapid_escalation": q_rapid_escalation,
     "escalation_months": q_escalation_months,

@@ -1,5 +1,6 @@
 """Quantiles, global ranking, column helpers."""
 
+import bisect
 import random
 
 import numpy as np
@@ -83,3 +84,29 @@ def test_column_helpers(spark):
     assert [r["et"] for r in out] == ["individual", "organization", "9", "unknown"]
     assert [r["iso"] for r in out] == ["2020-01-05", None, None, None]
     assert [r["hh"] for r in out] == [True, False, True, True]
+
+
+# -- sketches of quantiles
+
+
+def test_sketches_merge_upwards_within_their_bound(spark):
+    from claimlens.functions import sketches
+    rng = random.Random(11)
+    values = [("big", rng.lognormvariate(5, 2)) for _ in range(60_000)] + [(f"g{i % 7}", float(i)) for i in range(7_000)]
+    values += [("same", 3.0)] * 500 + [("none", None)] * 20
+    df = spark.createDataFrame(values, "g string, v double").repartition(6)
+    fine = sketches.group_sketches(df, ["g"], "v")
+    quantiles, names = [0.01, 0.5, 0.99], ["q1", "q50", "q99"]
+    got = {r["g"]: r for r in sketches.sketch_quantiles(fine, quantiles, names).collect()}
+    everything = sketches.sketch_quantiles(sketches.merged_sketches(fine, []), quantiles, names).first()
+    held = {g: sorted(v for x, v in values if x == g and v is not None) for g in got}
+    held["all"] = sorted(v for _, v in values if v is not None)
+    for g, row in [*got.items(), ("all", everything)]:
+        assert row["members"] == (len(values) if g == "all" else sum(x == g for x, _ in values))
+        assert len(row["sketch"]) < 30_000
+        for q, name in zip(quantiles, names):
+            if g == "none":
+                assert row[name] is None
+                continue
+            below, upto = bisect.bisect_left(held[g], row[name]) / len(held[g]), bisect.bisect_right(held[g], row[name]) / len(held[g])
+            assert below - sketches.RANK_ERROR <= q <= upto + sketches.RANK_ERROR, (g, q)
