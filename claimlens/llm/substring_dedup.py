@@ -13,11 +13,13 @@ Level 50: where all runs of an anchor have the same words, its windows repeat ex
 the anchor does, and take its least doc_id. Where the runs differ, their windows are listed
 and counted one by one.
 
-Higher levels (100, 200, ...): from the first window of each repeated run, as long as the text
-goes on and the window repeats in another document, the length doubles; ``longest`` is the
-last length that did. They cannot change what is removed: a word of a longer repeated window
-stands in a repeated 50-word window, so starts are sampled by hash here. The lengths of a start
-are hashed in one pass over the text; each level shuffles the survivors of the one before.
+Higher levels (100, 200, ...): as long as the text goes on and a window repeats in another
+document, its length doubles; ``longest`` is the last length that did. Every repeated window is
+extended, but for those that need not be: where all runs of an anchor have the same words, a
+document that repeats a longer window from a later start of the run repeats it from the first
+start as well. The lengths of a start are hashed in one pass over the text; each level
+shuffles the survivors of the one before. What is removed is settled at level 50: a word of a
+longer repeated window stands in a repeated 50-word window.
 
 Least values come from partial aggregation and go back by a join, so a passage in a third of
 all documents is never gathered in a task. Texts are shuffled only for documents that a fixed
@@ -42,8 +44,6 @@ from claimlens.llm import _text as t
 from claimlens.llm._spark import add_columns, document_sketch, emit_rows, hash_sketch, hash_slots, in_sketch, ship, sketch_slot, stored
 
 WIDTH = 50
-#: of the windows listed one by one, one in so many (by hash, so that copies agree) is extended
-LEADS = 8
 #: stands for a null doc_id
 LAST = 2 ** 63 - 1
 
@@ -133,14 +133,14 @@ def windows_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, body, start, n, least, lead): runs of windows that also start in another document;
-    ``least`` is the smallest doc_id with them, ``lead`` says that the first is to be extended. ``docs``: (doc_id without nulls, body, text)."""
+    """(doc_id, body, start, n, least): runs of windows that also start in another document;
+    ``least`` is the smallest doc_id with them. ``docs``: (doc_id without nulls, body, text)."""
     spread = stored(anchors(docs, width=width).groupBy("anchor")
                     .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("words").alias("w0"), F.max("words").alias("w1"))
                     .where("least < most").select("anchor", "least", (F.col("w0") == F.col("w1")).alias("alike")), "substring_anchors")
     again = anchors(docs, hash_sketch(spread, "anchor"), width).drop("words")
     alive = stored(again.join(spread, "anchor").select("doc_id", "body", "start", "n", "least", "alike"), "substring_alive")
-    alike = alive.where("alike").select("doc_id", "body", "start", "n", "least", F.lit(True).alias("lead"))
+    alike = alive.where("alike").select("doc_id", "body", "start", "n", "least")
     mixed = alive.where("not alike").select("doc_id", "body", "start", "n")
     listed = stored(windows_of(_with_runs(docs, mixed), width), "substring_windows")
     n = listed.count()
@@ -148,8 +148,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # very many documents share can be split
     least = stored(listed.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                    .where("least < most").select("window", "least"), "substring_shared", n)
-    single = listed.join(least, "window").select("doc_id", "body", "start", F.lit(1).alias("n"), "least",
-                                                    (F.col("window").bitwiseAND(F.lit(LEADS - 1)) == 0).alias("lead"))
+    single = listed.join(least, "window").select("doc_id", "body", "start", F.lit(1).alias("n"), "least")
     return stored(alike.unionByName(single), "substring_repeats", alive.count() + n)
 
 
@@ -179,9 +178,9 @@ def _longer(texts: DataFrame, width: int) -> DataFrame:
 
 def longest_repeats(docs: DataFrame, repeats: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, body, longest): the last length, doubling from ``width``, at which a window of
-    the document that starts with a repeated run's first window repeats in another document."""
+    the document repeats in another document."""
     own = ["doc_id", "body"]
-    starts = repeats.where("lead").select(*own, "start", F.lit(1).alias("n"))
+    starts = repeats.select(*own, "start", F.lit(1).alias("n"))
     level, alive = 0, _longer(_with_runs(docs, starts), width)
     out = repeats.select(*own, F.lit(width).cast("long").alias("longest"))
     while True:
