@@ -126,7 +126,7 @@ def learn(docs: DataFrame, learn_from: Column, seed: int = 5, per_language: int
     if not sizes:
         return None
     df, n = document_frequencies(known)
-    hashed = F.xxhash64(F.lit(seed), "doc_id")
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")      # not of the id alone: rows may share one
     cuts = F.create_map(*[F.lit(x) for lang, m in sizes.items() for x in (lang, hash_cut(0.9 * per_language, m))])
     sample = known.where(hashed <= F.element_at(cuts, F.col("lang")))
 
@@ -154,6 +154,8 @@ def learn(docs: DataFrame, learn_from: Column, seed: int = 5, per_language: int
             floor.append(0.8 * float(np.quantile(mine, 0.01)) if len(mine) else 1.0)
         centroids.append(c)
         owner += [i] * len(c)
+    if not centroids:
+        return None
     model.centroids, model.owner, model.floor = np.concatenate(centroids), np.array(owner), np.array(floor)
     return model
 

@@ -22,7 +22,8 @@ def tokenizer_path() -> str:
 
 
 def _fold(parts: int):
-    """crc32 of doc_id as text, modulo ``parts``."""
+    """crc32 of doc_id as text, modulo ``parts``. Null for a null doc_id, which is neither
+    learnt from nor held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
@@ -34,7 +35,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs, _fold(3) != 1)
     found = language_id.predict(docs.select("doc_id", "text"), model, ["doc_id"])
-    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
     found = toxicity.score(docs, model, ["doc_id"])
-    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                         "worst", "worst_start", "worst_end", F.size("offending").cast("long").alias("n_offending"),
                         F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("offending"))
 

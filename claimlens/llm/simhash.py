@@ -109,23 +109,33 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, at_most
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``prints`` (doc_id, fingerprint and other columns) with component_id."""
+    return _classes(prints, radius).drop("component")
+
+
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """The same, and ``component``, which tells groups apart that have no id at all."""
     prints = stored(prints, "simhash_prints")
     n = prints.count()
     nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "simhash_nodes", n)
     groups = components(links(nodes.select("fingerprint"), radius, at_most=n)).withColumnRenamed("node", "fingerprint")
     member = nodes.join(groups, "fingerprint", "left").withColumn("least", F.coalesce("least", "fingerprint"))
     named = member.groupBy("least").agg(F.min("least_id").alias("component_id"))
-    table = stored(member.join(named, "least").select(F.col("fingerprint").alias("f"), "component_id"), "simhash_classes", n)
+    table = stored(member.join(named, "least").select(F.col("fingerprint").alias("f"), "component_id", F.col("least").alias("component")), "simhash_classes", n)
     return prints.join(table, F.col("fingerprint") == F.col("f")).drop("f")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id
-    (one without an id only if its group has no id at all). Rows with the same doc_id and
-    text are one document and stay together."""
+    """One row of each group of near-duplicates: the one with the least doc_id (one without
+    an id only if its group has no id at all), then with the least hash of its text. Of rows
+    that have both alike, any one stays."""
     name, group = free_name(docs, "simhash_body"), free_name(docs, "simhash_group")
     body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     prints = fingerprints(docs.select("doc_id", "text", body.alias("body")), size, ["doc_id", "body"])
-    first = classes(prints, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias(group), F.col("body").alias(name)).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(group)) & (body == F.col(name)), "left_semi")
+    rows = _classes(prints, radius).groupBy("component", "doc_id", "body").agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body", "rows")).alias("best"))
+    best = stored(best.select(F.col("best.doc_id").alias(group), F.col("best.body").alias(name), "best.rows"), "simhash_kept")
+    same = F.col("doc_id").eqNullSafe(F.col(group)) & (body == F.col(name))
+    alone = docs.join(best.where("rows = 1").select(group, name), same, "left_semi")
+    repeated = docs.join(best.where("rows > 1").select(group, name), same, "left_semi").withColumn(name, body)
+    one = repeated.groupBy("doc_id", name).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(group))
+    return alone.unionByName(one.select(f"{group}.*"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.llm import exact_dedup, merkle, phrases
+from claimlens.llm import exact_dedup, language_id, merkle, phrases, simhash, substring_dedup
 from claimlens.llm._spark import lower_ascii, numbered
 from tests.llm import cases
 
@@ -282,3 +282,57 @@ def test_misra_gries_gives_counters_back():
         summary.merge(np.array([k, 99], np.uint32), np.array([1, 1]))
         summary.settle()
     assert 99 in summary.keys and summary.taken > 0 and len(summary.keys) <= 3
+
+
+# -- faults of earlier rounds
+
+
+def longest_brute(rows, width=50):
+    held = [(i, cases.words(s)) for i, s in rows]
+    out = {}
+    for i, w in held:
+        best, size = None, width
+        while size <= len(w):
+            seen = defaultdict(set)
+            for j, x in held:
+                for a in range(len(x) - size + 1):
+                    seen[tuple(x[a:a + size])].add(j)
+            if not any(len(seen[tuple(w[a:a + size])]) > 1 for a in range(len(w) - size + 1)):
+                break
+            best, size = size, 2 * size
+        out[i] = best
+    return out
+
+
+def test_longest_repeat_of_every_length_and_context(spark):
+    rng = random.Random(4)
+    rows = []
+    for length in (49, 50, 99, 100, 101, 200, 230, 400):
+        shared = cases.prose(rng, length)
+        for _ in range(3 if length == 200 else 2):
+            own = cases.prose(rng, 160)
+            cut = rng.randrange(160)
+            rows.append((len(rows), " ".join(own[:cut] + shared + own[cut:])))
+    base = cases.prose(rng, 260)        # different parts shared with different documents
+    rows += [(100, " ".join(base)), (101, " ".join(cases.prose(rng, 30) + base[:130])), (102, " ".join(base[90:200] + cases.prose(rng, 30))),
+             (103, " ".join(cases.prose(rng, 9) + base[100:260]))]
+    got = {r["doc_id"]: r["longest"] for r in substring_dedup.dedup(cases.documents(spark, rows)).collect()}
+    assert got == longest_brute(rows) and {50, 100, 200, 400, None} <= set(got.values())
+
+
+def test_one_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(2)
+    texts = [" ".join(cases.prose(rng, 60)) for _ in range(4)]
+    rows = [(None, texts[0])] * 50 + [(7, texts[1])] * 50 + [(None, texts[2]), (3, texts[2]), (2, texts[2])] + [(None, texts[3]), (None, texts[3] + " ")]
+    left = simhash.keep_one(cases.documents(spark, rows))
+    assert Counter((r["doc_id"], r["text"].strip()) for r in left.collect()) == Counter([(None, texts[0]), (7, texts[1]), (2, texts[2]), (None, texts[3])])
+    assert left.columns == cases.documents(spark, rows).columns
+
+
+def test_language_of_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    rows = [(None, " ".join(cases.prose(rng, 20))) for _ in range(1500)]
+    docs = cases.documents(spark, rows, clash=False)
+    for seed in range(4):
+        assert language_id.learn(docs, F.lit(True), seed=seed) is not None
+    assert language_id.learn(docs.where("text is null"), F.lit(True)) is None
