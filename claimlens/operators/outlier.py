@@ -72,14 +72,14 @@ def peer_group_levels(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
 def peer_level_ranks(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG) -> DataFrame:
     """How good the estimates of ``peer_group_levels`` are: for each, whether the quantile asked for
     lies within RANK_ERROR of the share of the group's providers below and up to the estimate."""
-    peers = materialize(provider_peers(tables), "peers")
-    levels = materialize(peer_group_levels(tables, cfg, peers), "peer_levels")
+    everyone = F.lit("all").alias("everyone")       # a key of its own for the level of all providers
+    peers = materialize(provider_peers(tables).select("*", everyone), "peers")
+    levels = materialize(peer_group_levels(tables, cfg, peers).select("*", everyone), "peer_levels")
     paid, out = dollars("paid"), None
-    eligible = peers.where(nonblank("taxonomy") & nonblank("state")).select("taxonomy", "state", paid.alias("paid_d"))
+    eligible = peers.where(nonblank("taxonomy") & nonblank("state")).select("taxonomy", "state", "everyone", paid.alias("paid_d"))
     for number, groups in enumerate(LEVELS, 1):
         of = levels.where(F.col("level") == number)
-        one = F.lit(1).alias("one")      # the level of all providers is one row
-        held = eligible.select("*", one).join(of.select(*groups, one, "median_paid", "p99_paid"), [*groups, "one"])
+        held = eligible.join(of.select("everyone", *groups, "median_paid", "p99_paid"), ["everyone", *groups])
         share = {}
         for q, name in ((cfg.median_quantile, "median_paid"), (cfg.outlier_quantile, "p99_paid")):
             below = F.count_if(F.col("paid_d") < F.col(name)) / F.count("paid_d")
