@@ -70,9 +70,11 @@ def free_name(docs: DataFrame, name: str) -> str:
 def add_columns(docs: DataFrame, fn: Callable[[Block], list], fields: list[StructField],
                 keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all) with the columns that ``fn``
-    computes from each block of documents. Row by row, so repeated rows, ties and
-    null ids pass through; a null text is an empty one."""
-    keep = list(docs.columns) if keep is None else keep
+    computes from each block of documents; one that is named as an added column is replaced
+    by it. Row by row, so repeated rows, ties and null ids pass through; a null text is an
+    empty one."""
+    made_here = {f.name.lower() for f in fields}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made_here]
     schema = StructType([docs.schema[c] for c in keep] + fields)
     names = schema.names
     at = [docs.columns.index(c) for c in keep]

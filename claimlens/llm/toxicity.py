@@ -6,12 +6,16 @@ are trained from document labels alone, by the gradient of the document likeliho
 the sentences that carry a label are found in training; ``score`` then names all offending
 sentences of each text, those of a probability of ``OFFENDING`` or more, and the worst of all.
 
-Learning reads a seeded sample of at most ``PER_CLASS`` documents of each label, weighted
-back to the share of each label among all labelled rows. Their ids go to the tasks, so no
-text is shuffled. The words of the model are those whose shares differ most between the
-labels.
-
-Defined results: a text without words (null, empty) has no sentence, score 0, span null, no
+Learning reads a seeded sample of each label, of at most ``PER_CLASS`` documents and
+``TEXT_BYTES`` of text, weighted back to the share of each label among all labelled ids.
+Their ids go to the tasks, and only their texts are shuffled. The words of the model are
+those that toxic documents hold more often than chance allows (Fisher's exact test), at a
+level at which one word is chosen wrongly on average, however large the sample is.
+
+Defined results: an id that has several label rows is toxic if one of them says so; of several
+rows of ``docs`` with that id one is learnt from (the least by the hash of its text).
+An empty table gives an empty table. A column of ``docs`` that is kept and named as an added
+one is replaced by it. a text without words (null, empty) has no sentence, score 0, span null, no
 offending sentence; nor has a text whose sentences all stay below ``OFFENDING``.
 Without labels of both values nothing is learned and every score is 0. Null labels are left
 out. The score reads the text alone; repeated rows agree.
@@ -23,17 +27,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from claimlens.llm import _text as t
-from claimlens.llm._spark import add_columns, hash_cut, ship
+from claimlens.llm._spark import add_columns, hash_cut, ship, stored
 
 #: the learner reads at most so many documents of each label
 PER_CLASS = 4000
-#: words in the model at most; in how many sampled documents a word must occur, and how far
-#: (in standard errors) its shares must lie apart
-WORDS, LEAST_DOCUMENTS, LEAST_Z = 2048, 5, 6.0
+#: and at most so many bytes of their texts, of which no text may have more than a sixteenth
+TEXT_BYTES = 8 << 20
+#: words in the model at most, and how many of them may be chosen by chance, on average
+WORDS, BY_CHANCE = 2048, 1.0
+#: standard deviation of the weights before any document is seen
+SPREAD = 6.0
 #: the probability from which a sentence offends
 OFFENDING = 0.5
 _STOP = t.table_of(b".!?\n")
@@ -53,18 +60,34 @@ def sentences(block: t.Block):
     return t.word_hashes(data, starts, ends), doc, np.cumsum(new) - 1, doc[at], starts[at], ends[last] if len(at) else at
 
 
-def chosen_words(word: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The sorted hashes of the WORDS words whose shares among toxic and other documents
-    differ most (two-proportion z), from the (word, document) pairs that occur."""
+def _log_tail(k: np.ndarray, n: np.ndarray, toxic: int, docs: int) -> np.ndarray:
+    """Log of the chance that ``k`` or more of ``n`` documents drawn from ``docs`` are among the
+    ``toxic`` ones, for k above the mean, where the terms fall."""
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, docs + 1)))])
+    ways = lambda m, j: fact[m] - fact[j] - fact[m - j]
+    first = ways(n, k) + ways(docs - n, toxic - k) - ways(docs, toxic)
+    term, total, at, live = np.ones(len(k)), np.ones(len(k)), k.copy(), np.arange(len(k))
+    while len(live):
+        j = at[live]
+        term[live] *= (n[live] - j) * (toxic - j) / ((j + 1) * np.maximum(docs - n[live] - toxic + j + 1, 1))
+        total[live] += term[live]
+        at[live] += 1
+        live = live[term[live] > 1e-12 * total[live]]
+    return first + np.log(total)
+
+
+def chosen_words(word: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The sorted hashes of the at most WORDS words that toxic documents hold most surely
+    more often than others, from the (word, document) pairs that occur."""
     words, at = np.unique(word, return_inverse=True)
     pair = np.unique(at * len(label) + doc)
     at, doc = pair // len(label), pair % len(label)
-    toxic, clean = (np.bincount(at, label[doc] == side, len(words)) / max((label == side).sum(), 1) for side in (True, False))
-    share = np.bincount(at, weight[doc], len(words)) / weight.sum()
-    z = np.abs(toxic - clean) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / max(label.sum(), 1) + 1 / max((~label).sum(), 1)))
-    z[np.bincount(at, minlength=len(words)) < LEAST_DOCUMENTS] = -1
-    best = np.argsort(-z, kind="stable")[:WORDS]
-    return np.sort(words[best[z[best] >= LEAST_Z]])
+    n, toxic = np.bincount(at, minlength=len(words)), np.bincount(at[label[doc]], minlength=len(words))
+    more = np.flatnonzero((toxic > 1) & (toxic * len(label) > n * label.sum()))
+    chance = _log_tail(toxic[more], n[more], int(label.sum()), len(label))
+    # a word of one document alone cannot tell the labels apart, so it is no trial
+    sure = chance <= np.log(BY_CHANCE / max((n > 1).sum(), 1))
+    return np.sort(words[more[sure][np.argsort(chance[sure], kind="stable")[:WORDS]]])
 
 
 @dataclass
@@ -92,9 +115,11 @@ def _noisy_or(z: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np
 
 
 def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray,
-        n_words: int, rounds: int = 400, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the weighted document likelihood. ``sentence`` and
-    ``feature`` are the pairs that occur; ``doc`` is the document of each sentence."""
+        n_words: int, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the weighted document likelihood, with a normal prior on the
+    weights, which counts for less the more documents there are. ``sentence`` and ``feature``
+    are the pairs that occur; ``doc`` is the document of each sentence."""
+    decay = 1 / (SPREAD * SPREAD * max(len(label), 1))
     w, m, v = np.zeros(n_words + 1), np.zeros(n_words + 1), np.zeros(n_words + 1)
     w[-1] = -5.0
     share = weight / weight.sum()
@@ -110,16 +135,35 @@ def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.nd
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, seed: int = 3, per_class: int = PER_CLASS) -> Model | None:
-    """A model from the rows of ``docs`` and ``labels`` where ``learn_from`` (on doc_id) holds."""
-    known = labels.where(learn_from & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("label_id"), (F.col("toxic") != 0).alias("toxic"))
+def sampled(docs: DataFrame, labels: DataFrame, seed: int, per_class: int, text_bytes: int) -> tuple[DataFrame, dict]:
+    """(toxic, text) of the documents that are learnt from, and the number of labelled ids
+    by label. Within the cut by the hash of the id, texts are taken in the order of that hash
+    until their bytes fill the budget."""
+    known = stored(labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id"))
+                   .agg(F.max(F.col("toxic") != 0).alias("toxic")), "toxic_labels")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    cut = {k: hash_cut(0.9 * per_class, sizes.get(k, 0)) for k in (True, False)}
+    drawn = F.xxhash64(F.lit(seed), "label_id")
+    # at most about 2 * per_class ids, as each id is there once: small whatever the input
+    chosen = known.where(drawn <= F.when(F.col("toxic"), cut[True]).otherwise(cut[False]))
+    met = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+           .select("label_id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
+    held = met.groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    held = stored(held, "toxic_sample", 2 * per_class)
+    upto = Window.partitionBy("toxic").orderBy("drawn", "id")       # a label's numbers alone, per_class of them
+    fits = (held.select(F.col("label_id").alias("id"), "toxic", drawn.alias("drawn"), F.octet_length("text").cast("long").alias("bytes"))
+            .where(F.col("bytes") <= text_bytes // 16)
+            .withColumn("upto", F.sum("bytes").over(upto)).withColumn("place", F.row_number().over(upto))
+            .where((F.col("upto") <= text_bytes) & (F.col("place") <= per_class)))
+    return held.join(fits.select("id"), F.col("label_id") == F.col("id")).select("toxic", "text"), sizes
+
+
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, seed: int = 3, per_class: int = PER_CLASS,
+          text_bytes: int = TEXT_BYTES) -> Model | None:
+    """A model from the rows of ``docs`` and ``labels`` where ``learn_from`` (on doc_id) holds."""
+    sample, sizes = sampled(docs, labels.where(learn_from), seed, per_class, text_bytes)
     if len(sizes) < 2:
         return None
-    cut = {k: hash_cut(0.9 * per_class, n) for k, n in sizes.items()}
-    chosen = known.where(F.xxhash64(F.lit(seed), "label_id") <= F.when(F.col("toxic"), cut[True]).otherwise(cut[False]))
-    # at most about 2 * per_class ids: small whatever the input
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
 
     def run(batches):
         for block in t.blocks(batches):
@@ -147,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, seed: int = 3,
     h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in rows])
     owner = np.repeat(np.arange(len(n)), n)
     weight = np.where(label, sizes[True] / label.sum(), sizes[False] / (~label).sum())
-    words = chosen_words(h, owner[s], label, weight)
+    words = chosen_words(h, owner[s], label)
     s, f = _features(h, s, words)
     return Model(words, *fit(s, f, owner, label, weight, len(words)))
 

@@ -419,3 +419,53 @@ def test_toxicity_without_both_labels(spark):
     for some in (labels.where("toxic = 0"), labels.limit(0)):
         assert toxicity.learn(docs, some, F.lit(True)) is None
     assert toxicity.score(docs.select("doc_id", "text"), None, ["doc_id"]).agg(F.max("score")).first()[0] == 0
+
+
+def test_toxicity_learner_is_bounded_in_rows_and_bytes(spark):
+    docs = cases.documents(spark, [(1, f"row {k} of one id") for k in range(500)] + [(i, "word " * 100) for i in range(2, 60)] + [(99, "long " * 4000)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (None, 1)] + [(i, i % 2) for i in range(2, 60)] + [(99, 0)], "doc_id long, toxic int")
+    rows, sizes = toxicity.sampled(docs, labels, 3, 1000, 16000)
+    got = Counter(r["toxic"] for r in rows.collect())
+    assert sizes == {True: 30, False: 30}       # an id is one document; one toxic row makes it toxic
+    assert got == {True: 30, False: 29}         # all but the text above a sixteenth of the bytes
+    few, _ = toxicity.sampled(docs, labels, 3, 1000, 9000)
+    assert all(sum(len(r["text"]) for r in few.collect() if r["toxic"] == side) <= 9000 for side in (True, False))
+    assert max(Counter(r["toxic"] for r in toxicity.sampled(docs, labels, 3, 8, 16000)[0].collect()).values()) <= 8
+
+
+def test_toxicity_words_by_the_exact_test():
+    from fractions import Fraction
+    from math import comb, log
+    for k, n, toxic, docs in ((2, 2, 10, 68), (4, 8, 10, 68), (30, 40, 45, 329), (45, 45, 45, 329), (3, 3, 3, 9), (40, 300, 45, 329)):
+        want = Fraction(sum(comb(toxic, j) * comb(docs - toxic, n - j) for j in range(k, min(n, toxic) + 1)), comb(docs, n))
+        assert toxicity._log_tail(np.array([k]), np.array([n]), toxic, docs)[0] == pytest.approx(log(want), abs=1e-8)
+
+
+def test_toxicity_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    sentence, feature = np.repeat(np.arange(40), 2), rng.integers(0, 6, 80)
+    doc = np.sort(np.arange(40) % 12)
+    label = rng.random(12) < 0.4
+    weight = np.where(label, 1.0, 3.0)
+    w, bias = toxicity.fit(sentence, feature, doc, label, weight, 6, rounds=4000, rate=0.02)
+
+    def loss(v):
+        total = sum(v[:-1] ** 2) / (2 * toxicity.SPREAD ** 2 * len(label))
+        for d in range(12):
+            none = 1.0
+            for s in np.flatnonzero(doc == d):
+                none *= 1 - 1 / (1 + np.exp(-(v[-1] + v[feature[sentence == s]].sum())))
+            total -= weight[d] / weight.sum() * np.log(1 - none if label[d] else none)
+        return total
+
+    at = np.append(w, bias)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-4
+        assert abs(loss(at + step) - loss(at - step)) / 2e-4 < 2e-3     # the brute-force likelihood is flat there
+
+
+def test_kept_columns_named_as_added_ones_are_replaced(spark):
+    docs = cases.documents(spark, [(1, "a b")]).withColumn("Score", F.lit("old")).withColumn("n_words", F.lit("old"))
+    got = toxicity.score(docs, None)
+    assert [c for c in got.columns if c.lower() == "score"] == ["score"] and got.first()["score"] == 0
