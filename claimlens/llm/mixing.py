@@ -8,17 +8,23 @@ level at once.
 
 A source is then read whole ``floor(target / size)`` times, and a seeded part of
 its documents once more: documents in the order of a seeded hash while they fit into
-the words still missing, and one more document whose size is nearest to the gap that
-is left. The cut is one hash value per source. It is found from sums over 4096 equal
-hash ranges and the rows of the single range that holds it, so a source with a third
-of all rows is never sorted whole.
+the words still missing. The cut is one hash value per source. It is found from sums
+over 4096 equal hash ranges and the rows of the single range that holds it, so a source
+with a third of all rows is never sorted whole.
+
+The gap that is left is smaller than the first document past the cut. It is filled from
+the documents past it: sizes descend, and of each size as many documents as still fit are
+taken, in the order of the hash. How many they are follows from one row per (source, size);
+only sizes within the gap count, so a source has at most as many as the gap has words. In
+the end fewer words are missing than the smallest document that is left has.
 
 DataFrame expressions only; no Python runs on the rows.
 
 Defined results: a null or empty text has size 0 and is taken as often as its hash
 says, with 0 words; sources are taken in code point order, null last, and null is
-a source of its own; rows with the same doc_id share their hash and are taken
-together; an empty table gives an empty table; a source without words has target 0.
+a source of its own; rows of a source with the same doc_id share their hash and are taken
+together up to the cut, past it those of the same size, and such rows are left if they do
+not fit together; an empty table gives an empty table; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -67,10 +73,10 @@ def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
                     F.when(F.col("full"), limit.cast("double")).otherwise(shared).alias("target")))
 
 
-def plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
+def plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> tuple[DataFrame, DataFrame]:
     """From rows (source, size, hash), one row per source: source_size, target, how
-    often it is read ``whole``, and which documents are read once more: those with a hash
-    up to ``cut``, and those with the hash ``filler``."""
+    often it is read ``whole``, and the hash up to which documents are read once more
+    (``cut``); and the ``fillers``."""
     ranged = sized.select("source", "size", "hash", F.expr(f"hash div {WIDTH}").alias("range"))
     sums = stored(ranged.groupBy("source", "range").agg(F.sum("size").alias("size")), "mix_ranges", sized.count())
     n = sums.count()
@@ -96,43 +102,65 @@ def plan(sized: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int =
             .agg(F.max("hash").alias("last"), F.max("upto").alias("have")))
     cuts = (edge.join(last, F.col("s").eqNullSafe(F.col("l")), "left")
             .select("s", F.coalesce("last", F.col("r") * WIDTH - 1).alias("cut"),
-                    (F.col("missing") - F.coalesce("have", "before")).alias("gap")))
+                    F.floor(F.col("missing") - F.coalesce("have", "before")).cast("long").alias("gap")))
     cuts = stored(cuts, "mix_cuts", n)
-    off = F.abs(F.col("size") - F.col("gap"))
-    filler = (ranged.join(cuts, F.col("source").eqNullSafe(F.col("s")))
-              .where((F.col("hash") > F.col("cut")) & (off < F.col("gap")))
-              .groupBy(F.col("source").alias("g")).agg(F.min(F.struct(off, "hash"))["hash"].alias("filler")))
-    return (targets.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
-            .join(filler, F.col("source").eqNullSafe(F.col("g")), "left")
-            .select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"),
-                    F.coalesce("filler", F.lit(-1)).alias("filler")))
-
-
-def copies_of(hashed: Column, table: dict[str, str]) -> Column:
-    """How often a row with this hash is read, by the columns of its source's plan."""
-    more = (hashed <= F.col(table["cut"])) | (hashed == F.col(table["filler"]))
-    return F.col(table["whole"]) + F.when(more, 1).otherwise(0)
+    planned = (targets.join(cuts.drop("gap"), F.col("source").eqNullSafe(F.col("s")), "left")
+               .select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")))
+    past = (ranged.join(cuts, F.col("source").eqNullSafe(F.col("s")))
+            .where((F.col("hash") > F.col("cut")) & F.col("size").between(1, F.col("gap"))).drop("s", "cut"))
+    return planned, fillers(past)
+
+
+def fillers(past: DataFrame) -> DataFrame:
+    """(source, hash, sizes): which of the rows ``past`` the cuts (source, size, hash, range,
+    gap) fill the gaps: those of the source and hash that have one of the sizes."""
+    sizes = past.groupBy("source", "size", "gap").agg(F.count(F.lit(1)).alias("n"))
+    # descending sizes, each as often as it is there and fits
+    step = "least(x.n, acc.rest div x.size)"
+    filled = F.expr(f"""aggregate(sizes, struct(gap AS rest, cast(array() AS array<struct<size: bigint, k: bigint>>) AS taken),
+        (acc, x) -> struct(acc.rest - {step} * x.size AS rest,
+                           concat(acc.taken, filter(array(struct(x.size AS size, {step} AS k)), y -> y.k > 0)) AS taken),
+        acc -> acc.taken)""")
+    wanted = (sizes.groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+              .select(F.col("source").alias("s"), F.explode(filled).alias("t")).select("s", F.col("t.size").alias("of"), "t.k"))
+    wanted = stored(wanted, "mix_wanted", 1)
+    near = past.drop("gap").join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("of"))).drop("s", "of")
+    # a size that very many documents have is not sorted whole: only the first ranges that hold k of them
+    own = Window.partitionBy("source", "size")
+    ranges = (near.groupBy("source", "size", "range", "k").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("before", F.coalesce(F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .where("before < k").select(F.col("source").alias("s"), F.col("size").alias("of"), F.col("range").alias("r")))
+    first = near.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("of")) & (F.col("range") == F.col("r")))
+    picked = first.withColumn("upto", F.count(F.lit(1)).over(own.orderBy("hash"))).where("upto <= k")
+    return picked.groupBy("source", "hash").agg(F.collect_set("size").alias("sizes"))
+
+
+def _with_copies(rows: DataFrame, hashed: Column, size: Column, planned: DataFrame, filling: DataFrame) -> tuple[DataFrame, Column, dict[str, str]]:
+    """``rows`` met with their source's plan, how often a row is read, and the names that the
+    plan's columns have there. Both tables are read from files, so Spark broadcasts them only
+    if they are below its own limit."""
+    by = {c: free_name(rows, f"mix_{c}") for c in ("source", "whole", "cut", "source_size", "target", "of", "hash", "sizes")}
+    table = stored(planned, "mix_plan", 1).select(*[F.col(c).alias(by[c]) for c in ("source", "whole", "cut", "source_size", "target")])
+    extra = stored(filling, "mix_fillers", 1).select(F.col("source").alias(by["of"]), F.col("hash").alias(by["hash"]), F.col("sizes").alias(by["sizes"]))
+    met = (rows.join(table, F.col("source").eqNullSafe(F.col(by["source"])))
+           .join(extra, F.col("source").eqNullSafe(F.col(by["of"])) & (hashed == F.col(by["hash"])), "left"))
+    more = F.when(hashed <= F.col(by["cut"]), 1).when(F.col(by["sizes"]).isNotNull(), F.array_contains(by["sizes"], size).cast("int")).otherwise(0)
+    return met, F.col(by["whole"]) + more, by
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it (0 to max_epochs).
-    The table of sources is read from its file, so Spark broadcasts it only if that
-    file is below its own limit."""
-    sized = stored(docs.select("source", word_count(F.col("text")).alias("size"),
-                               seeded_hash(F.col("doc_id"), seed).alias("hash")), "mix_sizes")
-    by = {c: free_name(docs, f"mix_{c}") for c in ("source", "whole", "cut", "filler")}
-    table = stored(plan(sized, cycle, max_epochs), "mix_plan", 1).select(*[F.col(c).alias(n) for c, n in by.items()])
-    copies = copies_of(seeded_hash(F.col("doc_id"), seed), by)
-    taken = docs.join(table, F.col("source").eqNullSafe(F.col(by["source"]))).where(copies > 0)
-    n = free_name(docs, "mix_copy")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(n)).drop(n)
+    """``docs`` with each row as many times as the mix takes it (0 to max_epochs)."""
+    hashed, size = seeded_hash(F.col("doc_id"), seed), word_count(F.col("text"))
+    sized = stored(docs.select("source", size.alias("size"), hashed.alias("hash")), "mix_sizes")
+    met, copies, _ = _with_copies(docs, hashed, size, *plan(sized, cycle, max_epochs))
+    n = free_name(met, "mix_copy")
+    return met.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(n)).drop(n)
 
 
 def mixed_words(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                                seeded_hash(F.col("doc_id"), seed).alias("hash")), "mix_sizes")
-    table = stored(plan(sized, cycle, max_epochs), "mix_plan", 1).withColumnRenamed("source", "s")
-    copies = copies_of(F.col("hash"), {c: c for c in ("whole", "cut", "filler")})
-    return (sized.join(table, F.col("source").eqNullSafe(F.col("s")))
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")))
+    met, copies, by = _with_copies(sized, F.col("hash"), F.col("size"), *plan(sized, cycle, max_epochs))
+    return met.select("doc_id", "size", F.col(by["source_size"]).alias("source_size"), F.col(by["target"]).alias("target"),
+                      (F.col("size") * copies).alias("taken"))

@@ -156,13 +156,22 @@ runs AS (
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash RANGE UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 fits AS (SELECT *, upto <= target - whole * source_size AS fit, target - whole * source_size AS missing FROM runs),
-gaps AS (SELECT *, missing - coalesce(max(CASE WHEN fit THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM fits),
-fillers AS (
-  SELECT source AS s, arg_min(hash, {'off': abs(size - gap), 'hash': hash}) AS filler
-  FROM gaps WHERE NOT fit AND abs(size - gap) < gap GROUP BY source)
+gaps AS (SELECT *, CAST(floor(missing - coalesce(max(CASE WHEN fit THEN upto END) OVER (PARTITION BY source), 0)) AS BIGINT) AS gap FROM fits),
+left_over AS (
+  SELECT source AS s, size AS z, any_value(gap) AS gap, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS turn
+  FROM gaps WHERE NOT fit AND size BETWEEN 1 AND gap GROUP BY source, size),
+filled_so_far AS (
+  SELECT s, z, turn, least(n, gap // z) AS k, gap - least(n, gap // z) * z AS rest FROM left_over WHERE turn = 1
+  UNION ALL
+  SELECT l.s, l.z, l.turn, least(l.n, f.rest // l.z), f.rest - least(l.n, f.rest // l.z) * l.z
+  FROM filled_so_far f JOIN left_over l ON l.s IS NOT DISTINCT FROM f.s AND l.turn = f.turn + 1),
+ranked AS (
+  SELECT doc_id, source, size, source_size, target, whole, fit,
+         sum(CASE WHEN fit THEN 0 ELSE 1 END) OVER (PARTITION BY source, size ORDER BY hash RANGE UNBOUNDED PRECEDING) AS place
+  FROM gaps)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN fit OR hash = filler THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM gaps LEFT JOIN fillers ON source IS NOT DISTINCT FROM s
+       CAST(size * (whole + CASE WHEN fit OR place <= k THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked LEFT JOIN filled_so_far ON source IS NOT DISTINCT FROM s AND size = z
 """
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -215,6 +215,32 @@ def test_mix_fills_to_the_targets(spark):
         assert sum(1 for r in got if sources[r["doc_id"]] == s and r["source_size"] != size[s]) == 0
 
 
+def test_mix_leaves_gaps_below_the_smallest_document_left(spark):
+    rng = random.Random(8)
+    sizes = {i: rng.choice([1, 3, 7, 7, 7, 30, 200]) if rng.random() > 0.05 else rng.randint(500, 5000) for i in range(1, 1200)}
+    sources = {i: rng.choices("abcd", [9, 3, 2, 1])[0] for i in sizes}
+    got = mixing.mixed_words(cases.documents(spark, [(i, "w " * n) for i, n in sizes.items()], sources=sources)).collect()
+    for s in "abcd":
+        own = [r for r in got if sources[r["doc_id"]] == s]
+        gap = own[0]["target"] - sum(r["taken"] for r in own)
+        whole = min(r["taken"] // r["size"] for r in own)
+        rest = [r["size"] for r in own if r["taken"] // r["size"] == whole]
+        assert 0 <= gap < min(rest), s
+
+
+def test_mix_keeps_to_gaps_where_ids_repeat(spark):
+    """Rows without an id share a hash: a small one fills a gap without the large ones."""
+    texts = [(None, "w " * 100)] * 20 + [(None, "w w w")] + [(i, "w " * 50) for i in range(40)]
+    sources = {None: "a"} | {i: "ab"[i % 2] for i in range(40)}
+    got = mixing.mixed_words(cases.documents(spark, texts, sources=sources)).collect()
+    source = lambda r: sources[r["doc_id"]]
+    for s in "ab":
+        own = [r for r in got if source(r) == s]
+        assert sum(r["taken"] for r in own) <= own[0]["target"] + 1e-6
+    null = [r for r in got if r["doc_id"] is None]
+    assert all(len({r["taken"] for r in null if r["size"] == n}) == 1 for n in (3, 100))
+
+
 def test_mix_repeats_rows_as_counted_and_reruns_agree(spark):
     texts, sources = mix_tables(4, 300)
     docs = cases.documents(spark, texts, sources=sources)
