@@ -149,7 +149,7 @@ def sampled(docs: DataFrame, labels: DataFrame, seed: int, per_class: int, text_
     met = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
            .select("label_id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
     held = met.groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    held = stored(held, "toxic_sample", 2 * per_class)
+    held = stored(held, "toxic_sample")
     upto = Window.partitionBy("toxic").orderBy("drawn", "id")       # a label's numbers alone, per_class of them
     fits = (held.select(F.col("label_id").alias("id"), "toxic", drawn.alias("drawn"), F.octet_length("text").cast("long").alias("bytes"))
             .where(F.col("bytes") <= text_bytes // 16)
