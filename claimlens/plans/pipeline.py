@@ -70,6 +70,7 @@ def report_stage(spark: SparkSession, out: str) -> None:
     try:
         ranked = R.report_ranked(R.build_report(flags, registry, totals))
         sinks.write_report(R.nested_report(ranked), R.report_header(totals, flags), f"{out}/report")
+        sinks.write_document(spark, f"{out}/report")
     finally:
         drop_stored(before)
 

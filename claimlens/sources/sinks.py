@@ -56,3 +56,24 @@ def write_report(providers: DataFrame, header: DataFrame, path: str, mode: str =
      .json(f"{path}/providers"))
     header.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/header")
     return path
+
+
+#: fixed value: the key of the provider list in the report document
+PROVIDERS_KEY = "flagged_providers"
+
+
+def write_document(spark: SparkSession, path: str, mode: str = "overwrite") -> str:
+    """IO-11 as one JSON document: text files under ``path/document`` whose contents, joined in
+    the order of their names, are an object with the header's fields and the list of providers
+    by rank. Made of the records that ``write_report`` left in ``path``: a head, the records
+    (all but the first behind a comma) and a tail are sorted by rank into ranges, so no
+    task holds the document. No provider gives an empty list."""
+    records = spark.read.text(f"{path}/providers").select(F.get_json_object("value", "$.rank").cast("long").alias("rank"), "value")
+    records = records.select("rank", F.when(F.col("rank") > 1, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+    head = spark.read.text(f"{path}/header").select(
+        F.lit(0).cast("long").alias("rank"),
+        F.concat(F.expr("left(value, length(value) - 1)"), F.lit(f',"{PROVIDERS_KEY}":[')).alias("value"))
+    tail = head.select(F.lit(2 ** 63 - 1).alias("rank"), F.lit("]}").alias("value"))
+    whole = records.unionByName(head).unionByName(tail)
+    whole.orderBy("rank").select("value").write.mode(mode).text(f"{path}/document")
+    return path
