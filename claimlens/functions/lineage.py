@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.plans.session import ensure_checkpoint_dir
 
@@ -62,20 +62,26 @@ def buckets_for(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return min(max(-(-sum(sizes) // bucket_bytes), BUCKETS_RANGE[0]), BUCKETS_RANGE[1])
 
 
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table that the caller writes; ``drop_stored`` drops it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/claimlens/{name}_{uuid.uuid4().hex[:12]}"
+    _STORED.append((spark, None, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage", bucket_by: str | None = None,
                 buckets: int | None = None) -> DataFrame:
     """``df`` written once and read back. ``buckets`` (with ``bucket_by``) defaults
     to ``buckets_for(df)``."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = f"{name}_{uuid.uuid4().hex[:12]}"
-    path = f"{root}/claimlens/{tag}"
     if bucket_by is None:
+        path = stored_path(spark, name)
         df.write.mode("error").parquet(path)
-        _STORED.append((spark, None, path))
         return spark.read.schema(df.schema).parquet(path)
     n = buckets or buckets_for(df)
-    table = f"claimlens_{tag}"
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = f"{name}_{uuid.uuid4().hex[:12]}"
+    path, table = f"{root}/claimlens/{tag}", f"claimlens_{tag}"
     (df.repartition(n, bucket_by)
        .write.mode("error").bucketBy(n, bucket_by).option("path", path).saveAsTable(table))
     _STORED.append((spark, table, path))

@@ -14,17 +14,25 @@ other signals use too.
 With ``count_rows_once`` a claim row counts once, whatever its roles and however many
 exclusions cover its month: periods of one NPI are merged before the join
 (gaps and islands), so a month meets at most one.
+
+With ``narrow`` the claims of the exclusion keys alone are read, for claims that are laid out
+by provider (``sources.clustered``) and no rollup at hand: each role's leg is
+a scan with the keys pushed into it.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens import schemas as S
 from claimlens.config import DEFAULT_CONFIG, SignalConfig
 from claimlens.functions.columns import dollars, norm_key, paid_cents, ym_from_yyyymmdd
+from claimlens.functions.lineage import materialize
 from claimlens.operators.rollups import provider_month
+from claimlens.sources.clustered import rows_of
 from claimlens.sources.tables import ClaimsTables
 
 TIER_NPI = 1
@@ -102,12 +110,17 @@ def role_months(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG, pm: Da
 
 
 def excluded_provider(tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                      tiers: tuple[int, ...] = (TIER_NPI, TIER_NAME), pm: DataFrame | None = None) -> DataFrame:
+                      tiers: tuple[int, ...] = (TIER_NPI, TIER_NAME), pm: DataFrame | None = None,
+                      narrow: bool = False) -> DataFrame:
     keys = exclusion_keys(tables)
     if tuple(tiers) != (TIER_NPI, TIER_NAME):
         keys = keys.where(F.col("tier").isin(*tiers))
     if cfg.count_rows_once:
         keys = merged_periods(keys)
+    if narrow:
+        keys = materialize(keys, "exclusion_keys")
+        pm = provider_month(rows_of(tables.spending, keys, S.BILLING_NPI))
+        tables = replace(tables, spending=rows_of(tables.spending, keys, S.SERVICING_NPI))
     in_window = ((F.col("month") >= F.col("excl_ym"))
                  & (F.col("rein_ym").isNull() | (F.col("month") < F.col("rein_ym"))))
     m = role_months(tables, cfg, pm).join(keys, "npi").where(in_window)

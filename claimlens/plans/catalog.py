@@ -18,9 +18,11 @@ from claimlens.functions.lineage import materialize, release
 from claimlens.operators import escalation, excluded, home_health, official, outlier
 from claimlens.operators.excluded import RESULT_COLUMNS as S1_COLUMNS
 from claimlens.operators.rollups import provider_month, provider_totals
+from claimlens.plans import drilldown
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.plans.session import apply_session_conf
+from claimlens.sources.clustered import materialize_clustered
 from claimlens.sources.star import overlapping_exclusions
 from claimlens.sources.tables import ClaimsTables, load_star_tables
 
@@ -70,6 +72,13 @@ def q_excluded_provider(spark, sf_dir):
     return _signals(spark, sf_dir).excluded_provider().select(*S1_COLUMNS)
 
 
+def q_excluded_provider_clustered(spark, sf_dir):
+    """S1 from claims laid out by provider: only the claims of exclusion keys are read."""
+    t = _tables(spark, sf_dir)
+    t = replace(t, spending=materialize_clustered(t.spending))
+    return SignalSet(t, DEFAULT_CONFIG, clustered=True).excluded_provider().select(*S1_COLUMNS)
+
+
 def q_excluded_provider_once(spark, sf_dir):
     t = _tables(spark, sf_dir)
     t = replace(t, exclusions=overlapping_exclusions(t.exclusions))
@@ -189,6 +198,13 @@ def q_report_ranked(spark, sf_dir):
     return R.report_ranked(rep).select("rank", "npi", "top_severity", "estimated_overpayment_usd")
 
 
+def q_flagged_claims(spark, sf_dir):
+    """Claims of providers with an escalation flag, by month and code."""
+    ss = _signals(spark, sf_dir)
+    claims = materialize_clustered(ss.tables.spending)
+    return drilldown.by_month_and_code(drilldown.flagged_claims(claims, ss.escalation_records()))
+
+
 def q_signal_counts(spark, sf_dir):
     return R.signal_counts(_signals(spark, sf_dir, materialize=True).flag_records())
 
@@ -206,6 +222,7 @@ QUERIES: dict[str, Query] = {
     "excluded_provider_npi": q_excluded_provider_npi,
     "excluded_provider_name": q_excluded_provider_name,
     "excluded_provider": q_excluded_provider,
+    "excluded_provider_clustered": q_excluded_provider_clustered,
     "excluded_provider_once": q_excluded_provider_once,
     "peer_group_stats": q_peer_group_stats,
     "peer_group_sketches": q_peer_group_sketches,
@@ -229,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "provider_report": q_provider_report,
     "provider_next_steps": q_provider_next_steps,
     "report_ranked": q_report_ranked,
+    "flagged_claims": q_flagged_claims,
     "signal_counts": q_signal_counts,
     "report_summary": q_report_summary,
 }

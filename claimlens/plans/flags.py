@@ -41,7 +41,7 @@ class SignalSet:
     """All signal results of one run, built on shared rollups."""
 
     def __init__(self, tables: ClaimsTables, cfg: SignalConfig = DEFAULT_CONFIG,
-                 materialize_rollups: bool = False, signals: Sequence[str] = SIGNAL_ORDER):
+                 materialize_rollups: bool = False, signals: Sequence[str] = SIGNAL_ORDER, clustered: bool = False):
         """``materialize_rollups`` is for runs that evaluate several signals
         (the flag table, the report): the fact is rolled up once and written
         bucketed on NPI next to an NPI-bucketed registry, so joins,
@@ -49,11 +49,13 @@ class SignalSet:
         derived rollups, and signal results that several branches read, are
         persisted so that every consumer reuses one computed copy (a lost block
         is rebuilt from the bucket files, not from the fact). ``signals``: the ones
-        whose flags are wanted; plans of the others are not built."""
+        whose flags are wanted; plans of the others are not built. ``clustered``: the
+        claims are laid out by provider, so S1 without a rollup reads its keys' claims alone."""
         unknown = set(signals) - set(SIGNAL_ORDER)
         if unknown:
             raise ValueError(f"no signal {', '.join(sorted(unknown))}")
         self.signals = tuple(s for s in SIGNAL_ORDER if s in signals)
+        self.narrow = clustered and not materialize_rollups
         self.cfg = cfg
         buckets = buckets_for(tables.spending) if materialize_rollups else 0
         self.buckets = buckets
@@ -105,6 +107,8 @@ class SignalSet:
 
     # --- signal results, one per signal (flag records), unrounded ---
     def excluded_provider(self) -> DataFrame:
+        if self.narrow:
+            return self._once("s1", lambda: excluded.excluded_provider(self.tables, self.cfg, narrow=True))
         return self._once("s1", lambda: excluded.excluded_provider(self.tables, self.cfg, pm=self.pm))
 
     def outlier_records(self) -> DataFrame:

@@ -23,6 +23,9 @@ SESSION_CONF: dict[str, str] = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.compression.codec": "zstd",
+    # a key list that is pushed to a scan is tested key by key against statistics and Bloom
+    # filters up to this length (sources/clustered.py), by its least and greatest beyond it
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.ui.enabled": "false",
     # plan text is built for every action; keep a runaway plan from costing heap
     "spark.sql.maxPlanStringLength": str(2 * 1024 * 1024),

@@ -159,3 +159,22 @@ def test_report_of_the_larger_star_loses_no_provider(spark, tmp_path):
     got = ranks.selectExpr("count(*)", "count(distinct rank)", "min(rank)", "max(rank)", "count(distinct npi)").first()
     assert flagged > 8000 and tuple(got) == (flagged, flagged, 1, flagged, flagged)
     assert spark.read.json(f"{out}/report/header").first()["total_providers_flagged"] == flagged
+
+
+def test_claims_laid_out_by_provider(spark, tmp_path):
+    args = raw_inputs(spark, tmp_path)
+    out = args[-1]
+    pipeline.run(spark, *args, cluster_claims=True)
+    check_report(out)
+    report, laid = whole_report(out), sorted(glob.glob(f"{out}/claims_clustered/*.parquet"))
+    stamps = [os.stat(f).st_mtime_ns for f in laid]
+    # S1 again from its keys' claims, then the rows behind its flags; the layout is kept
+    pipeline.run(spark, *args, stages=("signals", "report"), only=["excluded_provider"], cluster_claims=True)
+    pipeline.run(spark, *args, stages=("claims",), only=["excluded_provider"], cluster_claims=True)
+    assert whole_report(out) == report
+    assert stamps == [os.stat(f).st_mtime_ns for f in sorted(glob.glob(f"{out}/claims_clustered/*.parquet"))]
+    spending = spark.read.parquet(args[0])
+    npi = S.BILLING_NPI
+    want = spending.where(spending[npi].isin(X.BARRED, X.NAMESAKE)).count()
+    rows = spark.read.parquet(f"{out}/flagged_claims")
+    assert want and rows.count() == want and {r[0] for r in rows.select(npi).distinct().collect()} == {X.BARRED, X.NAMESAKE}
