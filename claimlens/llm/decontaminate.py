@@ -7,6 +7,10 @@ as words, however often a window repeats on either side. From a place the longes
 found by bisecting the items' sorted suffixes with that window. Documents that hold any window of ``width`` words of an item (items of fewer
 words: the whole item) are contaminated.
 
+``matches`` lists the matches themselves: from each word where a window stands, the longest one
+with an item that has it, less those that lie inside one that began before. A document thus has
+at most as many as words, however many items share a window (``item_ids`` has them all).
+
 Only the benchmark, the stated query set, is sent to the tasks, in blocks of at most
 ``QUERY_BYTES`` of text each; a task holds one block at a time. Documents are never
 shuffled: a document's hits, in whatever shard order, are decided in its own row.
@@ -16,18 +20,18 @@ as good an order as the alphabet's for finding equal runs.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item
 has no window; an item_id that occurs twice counts once; an empty benchmark hits
-nothing; repeated documents are judged alike.
+nothing; repeated documents are judged alike; of several items with an equally long match at
+a word, one is named; columns of ``docs`` that are named as an added one are replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from claimlens.llm import _text as t
 from claimlens.llm._spark import add_columns, free_name
@@ -41,13 +45,16 @@ DEPTH = 4
 @dataclass
 class QueryBlock:
     """Benchmark windows. ``suffixes`` are their places in ``hashes`` (all words), sorted by the
-    words up to the item's end (``stop``), windows of full width first. Window g, each different
+    words up to the item's end (``stop``; it begins at ``begin`` and is ``names[owner]``), windows of
+    full width first. Window g, each different
     one once, has ``size[g]`` words, stands at ``suffixes[group[g]:group[g + 1]]``, and in the
     items ``item[held[g]:held[g + 1]]`` (places in ``names``)."""
 
     hashes: np.ndarray
     suffixes: np.ndarray
     stop: np.ndarray
+    begin: np.ndarray
+    owner: np.ndarray
     group: np.ndarray
     size: np.ndarray
     held: np.ndarray
@@ -83,7 +90,7 @@ def _query_block(rows: list, width: int) -> QueryBlock:
     group = np.flatnonzero(fresh)
     pair = np.unique((np.cumsum(fresh) - 1) * max(len(rows), 1) + item)
     held = np.searchsorted(pair // max(len(rows), 1), np.arange(len(group) + 1))
-    return QueryBlock(hashes, order, first[1:][item], np.append(group, len(order)), size[group], held, pair % max(len(rows), 1),
+    return QueryBlock(hashes, order, first[1:][item], first[:-1][item], item, np.append(group, len(order)), size[group], held, pair % max(len(rows), 1),
                       [str(r[0]) for r in rows], width)
 
 
@@ -197,12 +204,12 @@ class _Hashed:
         return (self.total[start + size] - self.total[start]) * self.down[start]
 
 
-def _longest(q: QueryBlock, window: np.ndarray, place: np.ndarray, hashes: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def _longest(q: QueryBlock, window: np.ndarray, place: np.ndarray, hashes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The longest match from each place, where a window of full width was found, with any
-    suffix of that window's: the neighbours of its place in their order have it."""
+    suffix of that window's, and that suffix: the neighbours of its place in their order have it."""
     ours, theirs = _Hashed(hashes), _Hashed(q.hashes)
     lo, hi, longest = q.group[window], q.group[window + 1], np.zeros(len(place), np.int64)
-    live = np.arange(len(place))
+    live, which = np.arange(len(place)), lo.copy()
     while len(live):
         mid = (lo[live] + hi[live]) // 2
         a, b = place[live], q.suffixes[mid]
@@ -212,20 +219,21 @@ def _longest(q: QueryBlock, window: np.ndarray, place: np.ndarray, hashes: np.nd
             who = np.flatnonzero(common + (1 << k) <= room)
             who = who[ours(a[who] + common[who], 1 << k) == theirs(b[who] + common[who], 1 << k)]
             common[who] += 1 << k
-        longest[live] = np.maximum(longest[live], common)
+        more = common > longest[live]
+        longest[live[more]], which[live[more]] = common[more], mid[more]
         full = common == room
         x, y = (v[np.minimum(i + common, len(v) - 1)] for v, i in ((hashes, a), (q.hashes, b)))
         before = np.where(full, room_b < room_a, y < x)         # the item's suffix is before the document's
         lo[live[before]], hi[live[~before]] = mid[before] + 1, mid[~before]
         live = live[lo[live] < hi[live]]
-    return longest
+    return longest, which
 
 
 def search(q: QueryBlock, hashes: np.ndarray, first: np.ndarray, numbered: tuple, order: np.ndarray, keys: np.ndarray):
     """Every verbatim occurrence of each different window: (window, word number, length of the
-    longest match from there with an item that holds the window)."""
+    longest match from there with an item that holds the window, place of that item's suffix)."""
     if not len(q.size) or not len(hashes):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     vocabulary, ids, bits, depth = numbered
     stop = np.repeat(first[1:], first[1:] - first[:-1])
     at = np.minimum(np.searchsorted(vocabulary, q.hashes), len(vocabulary) - 1)
@@ -244,12 +252,12 @@ def search(q: QueryBlock, hashes: np.ndarray, first: np.ndarray, numbered: tuple
     lo = _bound(words, start, size, ids, stop, order, lo, hi, depth, False)
     hi = _bound(words, start, size, ids, stop, order, lo, hi, depth, True)
     window, place = np.repeat(known, hi - lo), order[t.ragged(lo, hi - lo)]
-    length = q.size[window]
+    length, which = q.size[window], q.group[window]
     full = np.flatnonzero(length == q.width)
     if len(full):
         # an item of just the full width is sorted with the longer ones
-        length[full] = _longest(q, window[full], place[full], hashes, stop)
-    return window, place, length
+        length[full], which[full] = _longest(q, window[full], place[full], hashes, stop)
+    return window, place, length, which
 
 
 #: (document, item) pairs that are made at a time
@@ -272,32 +280,64 @@ def _items(q: QueryBlock, doc: np.ndarray, window: np.ndarray, found: list[set])
         a = b
 
 
-def _judge(blocks: list):
+class _Best:
+    """The longest match from each word of a block of documents, over the query blocks."""
+
+    def __init__(self, n: int):
+        self.length, self.item, self.at, self.names = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+
+    def add(self, q: QueryBlock, place: np.ndarray, length: np.ndarray, which: np.ndarray) -> None:
+        by = np.argsort(length, kind="stable")
+        by = by[length[by] > self.length[place[by]]]
+        place, length, which = place[by], length[by], which[by]         # of one place, the longest is last and stays
+        self.length[place] = length
+        self.item[place], self.at[place] = len(self.names) + q.owner[which], q.suffixes[which] - q.begin[which]
+        self.names += q.names
+
+    def listed(self, first: np.ndarray) -> pa.ListArray:
+        """Per document, the matches that are not inside one that began before."""
+        start = np.flatnonzero(self.length)
+        end = start + self.length[start]
+        reach = np.maximum.accumulate(np.concatenate([[0], end]))[:-1]
+        start = start[end > reach]
+        doc = np.searchsorted(first, start, "right") - 1
+        upto = np.searchsorted(start, first).astype(np.int32)
+        names = pa.array(self.names, pa.string()).take(pa.array(self.item[start]))
+        return pa.ListArray.from_arrays(pa.array(upto), pa.StructArray.from_arrays(
+            [names, pa.array(start - first[doc]), pa.array(self.length[start]), pa.array(self.at[start])], MATCH.names))
+
+
+def _judge(blocks: list, wanted: list[str]):
+    listing = {"n_items", "item_ids", "matches"} & set(wanted)
+
     def fn(block: t.Block) -> list:
         hashes, first = _hash_words(block.data, block.offsets)
         numbered = _numbered(hashes)
         order, keys = _suffixes(*numbered[1:], first)
         docs = len(block)
         starts, sizes, found, longest = [], [], [set() for _ in range(docs)], np.zeros(docs, np.int64)
+        best = _Best(len(hashes))
         for held in blocks:
             q = held.value
-            window, place, length = search(q, hashes, first, numbered, order, keys)
+            window, place, length, which = search(q, hashes, first, numbered, order, keys)
             doc = np.searchsorted(first, place, "right") - 1
             np.maximum.at(longest, doc, length)
             starts.append(place)
             sizes.append(q.size[window])
-            if len(window):
+            if listing and len(window):
                 _items(q, doc, window, found)
+                best.add(q, place, length, which)
             if len(blocks) > 1:
                 held.unpersist_value()
         edge = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(edge, np.concatenate(starts), 1)
         np.add.at(edge, np.concatenate(starts) + np.concatenate(sizes), -1)
         hit = np.cumsum(edge[:-1]) > 0
-        names = [sorted(x) for x in found]
-        n_hit = t.per_document(hit, first)
-        return [first[1:] - first[:-1], n_hit, longest, np.array([len(x) for x in names], np.int64),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names])]
+        made = {"n_words": first[1:] - first[:-1], "n_hit": t.per_document(hit, first), "longest_match": longest}
+        if listing:
+            made |= {"n_items": np.array([len(x) for x in found], np.int64), "matches": best.listed(first),
+                     "item_ids": pa.array([sorted(x) for x in found], pa.list_(pa.string()))}
+        return [made[c] for c in wanted]
 
     return fn
 
@@ -317,19 +357,26 @@ class _Held:
             del self.broadcast._value
 
 
-COLUMNS = {"n_words": LongType(), "n_hit": LongType(), "longest_match": LongType(), "n_items": LongType(), "items_sha256": StringType()}
+#: a match: its item, its first word in the document and its words, its first word in the item
+MATCH = StructType([StructField("item_id", StringType()), StructField("start", LongType()),
+                    StructField("length", LongType()), StructField("item_start", LongType())])
+
+COLUMNS = {"n_words": LongType(), "n_hit": LongType(), "longest_match": LongType(), "n_items": LongType(),
+           "item_ids": ArrayType(StringType()), "matches": ArrayType(MATCH)}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: list[str] | None = None,
             names: dict[str, str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` with, per row: n_words, n_hit (words inside any
-    occurrence of a window), longest_match (words), n_items, items_sha256."""
+    occurrence of a window), longest_match (words), n_items, item_ids (sorted; the items with
+    occurring windows), matches (by start; see MATCH and above). ``names``: the names of the
+    columns that are wanted; default: all, by their own."""
     names = names or {c: c for c in COLUMNS}
     held = [_Held(b) for b in query_blocks(benchmark, width)]
-    return add_columns(docs, _judge(held), [StructField(names[c], k) for c, k in COLUMNS.items()], keep)
+    return add_columns(docs, _judge(held, list(names)), [StructField(n, COLUMNS[c]) for c, n in names.items()], keep)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` without any benchmark window."""
-    names = {c: free_name(docs, f"benchmark_{c}") for c in COLUMNS}
-    return matches(docs, benchmark, width, names=names).where(F.col(names["n_hit"]) == 0).select(*docs.columns)
+    hit = free_name(docs, "benchmark_n_hit")
+    return matches(docs, benchmark, width, names={"n_hit": hit}).where(F.col(hit) == 0).select(*docs.columns)

@@ -67,7 +67,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "longest_match")
+    items = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, (F.col("n_hit") > 0).alias("contaminated"), "longest_match",
+                        F.size("matches").cast("long").alias("n_matches"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,47 @@ def contamination_brute(texts, items, width=10):
     return out
 
 
+def matches_brute(texts, items, width=10):
+    """{doc_id: [(start, length)]} of the longest match from every word where a window stands, less
+    the ones inside a match that began before."""
+    stands, out = {}, {}
+    for _, s in items:
+        w = alnum(s)
+        size = min(width, len(w))
+        for a in range(len(w) - size + 1 if w else 0):
+            stands.setdefault(tuple(w[a:a + size]), []).append((w, a))
+    for i, s in texts:
+        w, listed, reach = alnum(s), [], 0
+        for p in range(len(w)):
+            longest = 0
+            for size in range(1, width + 1):
+                for v, a in stands.get(tuple(w[p:p + size]), []) if p + size <= len(w) else []:
+                    n = size
+                    while size == width and p + n < len(w) and a + n < len(v) and w[p + n] == v[a + n]:
+                        n += 1
+                    longest = max(longest, n)
+            if p + longest > reach and longest:
+                listed.append((p, longest))
+                reach = p + longest
+        out[i] = listed
+    return out
+
+
+def check_matches(got, texts, items, width=10):
+    """Places and lengths by brute force; the named item has those words at the named place."""
+    want, words = matches_brute(texts, items, width), {}
+    for i, s in items:
+        words.setdefault(str(i), []).append(alnum(s))
+    text = dict(texts)
+    for r in got:
+        assert [(m["start"], m["length"]) for m in r["matches"]] == want[r["doc_id"]]
+        w = alnum(text[r["doc_id"]])
+        for m in r["matches"]:
+            a, b, n = m["start"], m["item_start"], m["length"]
+            assert any(v[b:b + n] == w[a:a + n] for v in words[m["item_id"]]) and m["item_id"] in r["item_ids"]
+        assert r["longest_match"] == max([n for _, n in want[r["doc_id"]]], default=0)
+
+
 def benchmark_items(texts):
     rng = random.Random(8)
     long = [s for _, s in texts if s and len(s.split()) > 60]
@@ -55,8 +96,9 @@ def test_contamination_matches_brute_force(spark, block_bytes, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.matches(cases.documents(spark, texts), bench, keep=["doc_id"]).collect()
     want = contamination_brute(texts, items)
-    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got} == want
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], cases.sha(",".join(r["item_ids"]))) for r in got} == want
     assert any(v[1] for v in want.values()) and not all(v[1] for v in want.values())
+    check_matches(got, texts, items)
     docs = cases.documents(spark, texts)
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns
@@ -74,6 +116,20 @@ def test_contamination_longest_match_and_empty_tables(spark):
     assert decontaminate.matches(cases.documents(spark, []), bench, keep=["doc_id"]).count() == 0
 
 
+def test_matches_name_item_and_place(spark):
+    rng = random.Random(12)
+    one, two = cases.prose(rng, 40), cases.prose(rng, 40)
+    texts = [(1, " ".join(["zz", *one[5:30], "zz", *two[:12], "zz", *one[20:40]])), (2, None), (3, "zz zz"), (4, " ".join(one + two))]
+    items = [(7, " ".join(one)), (8, " ".join(one[5:20])), (9, " ".join(two)), (None, " ".join(two[1:12]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(cases.documents(spark, texts).withColumn("matches", F.lit(1)), bench).collect()
+    check_matches(got, texts, [(k if k is not None else "null", s) for k, s in items])
+    by = {r["doc_id"]: r for r in got}
+    assert [tuple(m) for m in by[1]["matches"]] == [("7", 1, 25, 5), ("9", 27, 12, 0), ("7", 40, 20, 20)]
+    assert by[1]["item_ids"] == ["7", "8", "9", "null"] and by[2]["matches"] == [] == by[3]["item_ids"]
+    assert [tuple(m) for m in by[4]["matches"]] == [("7", 0, 40, 0), ("9", 40, 40, 0)]
+
+
 def test_contamination_by_words_that_repeat_is_bounded(spark):
     rng = random.Random(6)
     tail = cases.prose(rng, 40)
@@ -82,8 +138,9 @@ def test_contamination_by_words_that_repeat_is_bounded(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.matches(cases.documents(spark, texts), bench, keep=["doc_id"]).collect()}
     want = contamination_brute(texts, items)
-    assert {i: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for i, r in got.items()} == want
+    assert {i: (r["n_words"], r["n_hit"], r["n_items"], cases.sha(",".join(r["item_ids"]))) for i, r in got.items()} == want
     assert {i: r["longest_match"] for i, r in got.items()} == {1: 500, 2: 530, 3: 0, 4: 25, 5: 61}
+    assert len(got[1]["matches"]) == 299_501 and [tuple(m)[1:3] for m in got[5]["matches"]] == [(1, 61)]
 
 
 def test_windows_are_found_once_per_place():
