@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from claimlens.functions.lineage import materialize
 from claimlens.llm._text import Block, blocks
@@ -87,6 +87,29 @@ def add_columns(docs: DataFrame, fn: Callable[[Block], list], fields: list[Struc
     return ship(docs).mapInArrow(run, schema)
 
 
+#: maximal runs of removed units, end exclusive
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def add_with_hits(docs: DataFrame, hits: DataFrame, on: dict[str, str], sketch: bytes, slot: str, fn: Callable[[Block], list],
+                  fields: list[StructField], keep: list[str]) -> DataFrame:
+    """``add_columns`` where each row also has the columns of its row of ``hits`` (``on``: its
+    columns by those of ``docs``; nulls where there is none). Rows whose ``slot`` is not in the
+    sketch of the hits are judged where they are read; only the others are shuffled."""
+    at = docs.columns.index(slot)
+
+    def part(near: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_sketch(sketch, batch.column(at).to_numpy(zero_copy_only=False)) == near))
+
+        return ship(docs).mapInArrow(run, docs.schema)
+
+    met = part(True).join(hits, [F.col(a) == F.col(b) for a, b in on.items()], "left")
+    far = part(False).withColumns({f.name: F.lit(None).cast(f.dataType) for f in hits.schema})
+    return add_columns(far.unionByName(met), fn, fields, keep)
+
+
 def emit_rows(docs: DataFrame, fn: Callable[[Block], dict | None], schema: str, text: str = "text") -> DataFrame:
     """Rows that ``fn`` makes of each block (a dict of columns), any number of them."""
 

@@ -172,6 +172,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs_per_document(marked: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Per document, the (start, end) of its maximal marked runs, counted from its first unit, end
+    exclusive. ``first``: where each document's units begin, and their number."""
+    some = np.flatnonzero(np.diff(first) > 0)
+    before, after = np.zeros(len(marked), bool), np.zeros(len(marked), bool)
+    before[1:], after[:-1] = marked[:-1], marked[1:]
+    before[first[some]] = False
+    after[first[some + 1] - 1] = False
+    start, end = np.flatnonzero(marked & ~before), np.flatnonzero(marked & ~after) + 1
+    base = first[np.searchsorted(first, start, "right") - 1]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, first).astype(np.int32)),
+                                    pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], ["start", "end"]))
+
+
 def per_document(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many true items each document has."""
     total = np.zeros(len(mask) + 1, np.int64)

@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from claimlens.llm import _text as t
-from claimlens.llm._spark import add_columns, document_sketch, emit_rows, hash_sketch, hash_slots, in_sketch, ship, sketch_slot, stored
+from claimlens.llm._spark import (SPANS, add_columns, add_with_hits, document_sketch, emit_rows, free_name, hash_sketch, hash_slots, in_sketch, ship,
+                                  sketch_slot, stored)
 
 WIDTH = 50
 #: stands for a null doc_id
@@ -108,10 +109,10 @@ def _lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
 
 
-def _listed(block: t.Block, first: np.ndarray, width: int):
-    """Word numbers (over the block) of the windows in the column ``runs`` and their documents,
+def _listed(block: t.Block, first: np.ndarray, width: int, name: str = "runs"):
+    """Word numbers (over the block) of the windows in the column ``name`` and their documents,
     then the same of the runs' first windows."""
-    runs = block.column("runs")
+    runs = block.column(name)
     count = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = runs.flatten()
     start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -211,6 +212,29 @@ def dedup(docs: DataFrame, width: int = WIDTH, levels: bool = True) -> DataFrame
     return digest.drop("body").withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with ``kept`` (the words that stay, joined by one space) and ``removed``
+    (the runs of words that go, by word number). A column of ``docs`` with such a name is replaced."""
+    key, body, slot, hit, hit_body, runs = [free_name(docs, f"substring_{c}") for c in ("key", "body", "slot", "hit", "hit_body", "runs")]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), body: F.xxhash64(text)}).withColumn(slot, sketch_slot(F.col(body)))
+    own = named.select(F.col(key).alias("doc_id"), F.col(body).alias("body"), text.cast("binary").alias("text"))
+    gone = repeated_runs(own, width).where("least < doc_id").select("doc_id", "body", "start", "n")
+    lists = stored(_lists(gone).withColumnsRenamed({"doc_id": hit, "body": hit_body, "runs": runs}), "substring_removed")
+
+    def cut(block: t.Block) -> list:
+        starts, ends, first = t.words(block.data, block.offsets, t.NOT_SPACE)
+        marked = t.cover(_listed(block, first, width, runs)[0], width, len(starts))
+        raw, kept = block.data.tobytes(), []
+        for lo, hi in zip(first.tolist(), first[1:].tolist()):
+            stay = np.flatnonzero(~marked[lo:hi]) + lo
+            kept.append(b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist())]).decode())
+        return [pa.array(kept, pa.string()), t.runs_per_document(marked, first)]
+
+    return add_with_hits(named, lists, {key: hit, body: hit_body}, document_sketch(lists, hit_body), slot, cut,
+                         [StructField("kept", StringType()), StructField("removed", SPANS)], docs.columns)
+
+
 def _judged(own: DataFrame, removed: DataFrame, width: int) -> DataFrame:
     """A text without hits is judged where it is read, and goes on as its digest; only
     texts that the sketch lets through are shuffled to meet their hits."""

@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
 from claimlens.llm import _text as t
-from claimlens.llm._spark import add_columns, document_sketch, hash_sketch, hash_slots, in_sketch, ship, sketch_slot, stored
+from claimlens.llm._spark import (SPANS, add_columns, add_with_hits, document_sketch, free_name, hash_sketch, hash_slots, in_sketch, ship,
+                                  sketch_slot, stored)
 
 WIDTH = 100
 SEED_WIDTH = 32
@@ -270,13 +271,44 @@ def first_places(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     return seams.select("anchor"), stored(plain.unionByName(merged), "suffix_classes")
 
 
+def _keyed(docs: DataFrame) -> tuple:
+    """The number that orders a row's text, a null doc_id after all others, and the text's hash."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    late = F.lit(2 ** 62) + F.xxhash64(text).bitwiseAND(F.lit(2 ** 61 - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), late), F.xxhash64(text)
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256 of the bytes that stay."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    late = F.lit(2 ** 62) + F.xxhash64(text).bitwiseAND(F.lit(2 ** 61 - 1))
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), late).alias("key"), F.xxhash64(text).alias("body"),
-                      text.cast("binary").alias("text"))
+    key, body = _keyed(docs)
+    own = docs.select("doc_id", key.alias("key"), body.alias("body"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    return _judged(own, _removed(own, width), width)
+
+
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` with ``kept`` (the bytes that stay; a cut may part a character) and
+    ``removed`` (the runs of bytes that go). A column of ``docs`` with such a name is replaced."""
+    key, body, slot, hit, hit_body, runs = [free_name(docs, f"suffix_{c}") for c in ("key", "body", "slot", "hit", "hit_body", "runs")]
+    number, digest = _keyed(docs)
+    named = docs.withColumns({key: number, body: digest}).withColumn(slot, sketch_slot(F.col(key)))
+    own = named.select("doc_id", F.col(key).alias("key"), F.col(body).alias("body"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    lists = _removed(own, width)
+    sketch = document_sketch(lists, "hit")
+    lists = lists.withColumnsRenamed({"hit": hit, "hit_body": hit_body, "runs": runs})
+
+    def cut(block: t.Block) -> list:
+        marked = _covered(block, runs, width)
+        left = np.concatenate([[0], np.cumsum(np.diff(block.offsets) - t.per_document(marked, block.offsets))]).tolist()
+        raw = block.data[~marked].tobytes()
+        return [pa.array([raw[a:b] for a, b in zip(left, left[1:])], pa.binary()), t.runs_per_document(marked, block.offsets)]
+
+    return add_with_hits(named, lists, {key: hit, body: hit_body}, sketch, slot, cut,
+                         [StructField("kept", BinaryType()), StructField("removed", SPANS)], docs.columns)
+
+
+def _removed(own: DataFrame, width: int) -> DataFrame:
+    """(hit, hit_body, runs): per text with hits, the (start, n) of the windows that start earlier."""
     anchors, places = first_places(own, width)
     again = occurrences(own, hash_sketch(anchors, "anchor"), every=True).select("anchor", "words", "key", "body", "place")
     met = again.join(places, ["anchor", "words"]).withColumn("start", F.col("place") + F.col("col"))
@@ -288,9 +320,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         met = stored(met.join(twins.withColumn("twin", F.lit(True)), "key", "left"), "suffix_met")
         plain = met.where(f"(twin is null or first_key < key) and ({before})").select("key", "body", "start", "n")
         gone = plain.unionByName(_again_in_text(met.where("twin and first_key = key")))
-    lists = stored(gone.groupBy(F.col("key").alias("hit"), F.col("body").alias("hit_body"))
-                   .agg(F.collect_set(F.struct("start", "n")).alias("runs")), "suffix_removed")
-    return _judged(own, lists, width)
+    return stored(gone.groupBy(F.col("key").alias("hit"), F.col("body").alias("hit_body"))
+                  .agg(F.collect_set(F.struct("start", "n")).alias("runs")), "suffix_removed")
 
 
 def _again_in_text(met: DataFrame) -> DataFrame:
@@ -304,6 +335,20 @@ def _again_in_text(met: DataFrame) -> DataFrame:
     return each.join(least, own).where("s0 < start").select("key", "body", "start", F.lit(1).alias("n"))
 
 
+def _covered(block: t.Block, name: str, width: int) -> np.ndarray:
+    """Whether each byte of a block stands in a window of the column ``name``."""
+    runs = block.column(name)
+    count = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = runs.flatten()
+    doc = np.repeat(np.arange(len(block)), count)
+    start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + block.offsets[doc]
+    n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    edge = np.zeros(len(block.data) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n + width - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _judged(own: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     """A text without hits is judged where it is read; the others, by a sketch, are shuffled
     to meet their hits."""
@@ -322,16 +367,7 @@ def _judged(own: DataFrame, lists: DataFrame, width: int) -> DataFrame:
     met = passed.join(lists, (F.col("key") == F.col("hit")) & (F.col("body") == F.col("hit_body")), "left").withColumnsRenamed({f.name: f"old_{f.name}" for f in fields})
 
     def final(block: t.Block) -> list:
-        runs = block.column("runs")
-        count = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = runs.flatten()
-        doc = np.repeat(np.arange(len(block)), count)
-        start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64) + block.offsets[doc]
-        n = flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-        edge = np.zeros(len(block.data) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n + width - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = _covered(block, "runs", width)
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]
         firsts = block.offsets[:-1][np.diff(block.offsets) > 0]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from claimlens.llm import _text as t
 from claimlens.llm import components, simhash, substring_dedup, suffix_dedup
@@ -19,6 +20,51 @@ def test_substring_removal_is_exact(spark, parts):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == cases.substring_brute(texts)
 
 
+def left_by(units, removed):
+    """What stays of ``units`` without the runs ``removed``, which are maximal and ascend."""
+    gone = [k for r in removed for k in range(r["start"], r["end"])]
+    assert gone == sorted(set(gone)) and all(a["end"] < b["start"] for a, b in zip(removed, removed[1:]))
+    return [u for k, u in enumerate(units) if k not in set(gone)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_texts_and_spans(spark, parts):
+    texts = cases.awkward_texts()
+    docs = cases.documents(spark, texts, parts=parts).withColumn("kept", F.lit(1)).withColumn("substring_key", F.lit(2))
+    found = substring_dedup.deduplicated(docs)
+    assert sorted(found.columns) == sorted([*docs.columns, "removed"])
+    got, want, text = found.collect(), cases.substring_brute(texts), dict(texts)
+    assert len(got) == len(texts) and any(r["removed"] for r in got)
+    for r in got:
+        n, gone, digest = want[r["doc_id"]]
+        assert (sum(x["end"] - x["start"] for x in r["removed"]), cases.sha(r["kept"])) == (gone, digest)
+        assert " ".join(left_by(cases.words(text[r["doc_id"]]), r["removed"])) == r["kept"]
+        assert r["text"] == text[r["doc_id"]] and r["substring_key"] == 2
+    assert substring_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_suffix_texts_and_spans(spark, parts):
+    texts = cases.awkward_texts()
+    docs = cases.documents(spark, texts, parts=parts).withColumn("removed", F.lit(1))
+    got, want, text = suffix_dedup.deduplicated(docs).collect(), cases.suffix_brute(texts), dict(texts)
+    assert len(got) == len(texts) and any(r["removed"] for r in got)
+    for r in got:
+        n, gone, spans, digest = want[r["doc_id"]]
+        assert (sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), cases.sha(bytes(r["kept"]))) == (gone, spans, digest)
+        assert bytes(left_by((text[r["doc_id"]] or "").encode(), r["removed"])) == bytes(r["kept"])
+    assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_deduplicated_null_ids_and_repeated_rows(spark):
+    rng = random.Random(2)
+    a = " ".join(cases.prose(rng, 90))
+    docs = cases.documents(spark, [(5, a), (5, a), (7, a), (None, a), (None, "")])
+    rows = lambda df: sorted((r["doc_id"] or -1, r["text"] == "", len(r["kept"]) == 0) for r in df.collect())
+    want = [(-1, False, True), (-1, True, True), (5, False, False), (5, False, False), (7, False, True)]
+    assert rows(substring_dedup.deduplicated(docs)) == want == rows(suffix_dedup.deduplicated(docs))
+
+
 def test_substring_levels_double_until_nothing_survives(spark):
     rng = random.Random(5)
     passage = cases.prose(rng, 1000)
