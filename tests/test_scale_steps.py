@@ -10,6 +10,7 @@ from claimlens.config import DEFAULT_CONFIG
 from claimlens.functions.columns import whole
 from claimlens.operators import excluded, home_health
 from claimlens.operators.rollups import home_health_month, provider_month, provider_totals
+from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
 from claimlens.sources.star import money_from_cents, npi_from_key
 from tests.fixtures import make_tables
@@ -75,6 +76,16 @@ def test_codes_of_flagged_providers(spark, signals):
     assert rows(home_health.home_health_codes(signals.tables, DEFAULT_CONFIG, s6)) == rows(home_health.home_health_codes(t))
 
 
+def test_report_is_stored_before_it_is_sorted(spark, signals, monkeypatch):
+    seen = []
+    rank = R.global_rank
+    monkeypatch.setattr(R, "global_rank", lambda df, *a: seen.append(optimized(df)) or rank(df, *a))
+    ranked = R.report_ranked(R.provider_report(signals))
+    assert len(seen) == 1 and "Join" not in seen[0] and "Relation" in seen[0]
+    places = [r["rank"] for r in ranked.select("rank").collect()]
+    assert sorted(places) == list(range(1, len(places) + 1)) and places
+
+
 def test_whole_rounds_as_round_does(spark):
     values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 2.0 ** 52 - 0.5, 1e15 + 0.5, -7.2, 0.0, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
