@@ -49,13 +49,16 @@ def ship(df: DataFrame) -> DataFrame:
 FILE_ROWS = 50_000
 
 
-def stored(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, at_most: int | None = None, files: int | None = None) -> DataFrame:
     """``df`` written once under ``spark.checkpoint.dir`` and read back: lineage
     ends there, so a lost executor costs a re-read. ``at_most``: a bound of its rows,
     if one is known; a small table then gets few files, whatever the number of shuffle
-    partitions (a file costs more than its rows)."""
+    partitions (a file costs more than its rows). ``files``: a bound of the files themselves."""
     if at_most is not None:
-        df = df.coalesce(max(1, -(-at_most // FILE_ROWS)))
+        by_rows = max(1, -(-at_most // FILE_ROWS))
+        files = by_rows if files is None else min(files, by_rows)
+    if files is not None:
+        df = df.coalesce(files)
     return materialize(df, f"llm_{name}")
 
 

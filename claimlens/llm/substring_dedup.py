@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField
 
+from claimlens.functions.lineage import buckets_for
 from claimlens.llm import _text as t
 from claimlens.llm._spark import (SPANS, add_columns, add_with_hits, document_sketch, emit_rows, free_name, hash_sketch, hash_slots, in_sketch, ship,
                                   sketch_slot, stored)
@@ -47,6 +48,14 @@ from claimlens.llm._spark import (SPANS, add_columns, add_with_hits, document_sk
 WIDTH = 50
 #: stands for a null doc_id
 LAST = 2 ** 63 - 1
+#: an intermediate table has at most a file for so many bytes of the documents' files, and for so
+#: many of its rows, which are short: each file that a task writes starts a process beside the JVM
+FILE_BYTES, FILE_ROWS = 16 << 20, 400_000
+
+
+def _held(df: DataFrame, name: str, files: int, at_most: int | None = None) -> DataFrame:
+    """``df``, stored in ``files`` files at most, and in no more than ``at_most`` rows need."""
+    return stored(df, name, files=files if at_most is None else min(files, max(1, -(-at_most // FILE_ROWS))))
 
 
 def _words(block: t.Block):
@@ -136,21 +145,22 @@ def windows_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, body, start, n, least): runs of windows that also start in another document;
     ``least`` is the smallest doc_id with them. ``docs``: (doc_id without nulls, body, text)."""
-    spread = stored(anchors(docs, width=width).groupBy("anchor")
+    files = buckets_for(docs, FILE_BYTES)
+    spread = _held(anchors(docs, width=width).groupBy("anchor")
                     .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("words").alias("w0"), F.max("words").alias("w1"))
-                    .where("least < most").select("anchor", "least", (F.col("w0") == F.col("w1")).alias("alike")), "substring_anchors")
+                    .where("least < most").select("anchor", "least", (F.col("w0") == F.col("w1")).alias("alike")), "substring_anchors", files)
     again = anchors(docs, hash_sketch(spread, "anchor"), width).drop("words")
-    alive = stored(again.join(spread, "anchor").select("doc_id", "body", "start", "n", "least", "alike"), "substring_alive")
+    alive = _held(again.join(spread, "anchor").select("doc_id", "body", "start", "n", "least", "alike"), "substring_alive", files)
     alike = alive.where("alike").select("doc_id", "body", "start", "n", "least")
     mixed = alive.where("not alike").select("doc_id", "body", "start", "n")
-    listed = stored(windows_of(_with_runs(docs, mixed), width), "substring_windows")
+    listed = _held(windows_of(_with_runs(docs, mixed), width), "substring_windows", files)
     n = listed.count()
     # stored, so that the join below has an exchange of its own on either side and a window that
     # very many documents share can be split
-    least = stored(listed.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-                   .where("least < most").select("window", "least"), "substring_shared", n)
+    least = _held(listed.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                  .where("least < most").select("window", "least"), "substring_shared", files, n // 2)
     single = listed.join(least, "window").select("doc_id", "body", "start", F.lit(1).alias("n"), "least")
-    return stored(alike.unionByName(single), "substring_repeats", alive.count() + n)
+    return _held(alike.unionByName(single), "substring_repeats", files, alive.count() + n)
 
 
 def _longer(texts: DataFrame, width: int) -> DataFrame:
@@ -182,16 +192,17 @@ def longest_repeats(docs: DataFrame, repeats: DataFrame, width: int = WIDTH) ->
     the document repeats in another document."""
     own = ["doc_id", "body"]
     starts = repeats.select(*own, "start", F.lit(1).alias("n"))
+    files = buckets_for(docs, FILE_BYTES)
     level, alive = 0, _longer(_with_runs(docs, starts), width)
     out = repeats.select(*own, F.lit(width).cast("long").alias("longest"))
     while True:
         candidates = alive.where(F.size("windows") > level).withColumn("window", F.col("windows")[level])
         if not level:
-            candidates = stored(candidates, "substring_longer")
+            candidates = _held(candidates, "substring_longer", files)
             left = candidates.count()
-        many = stored(candidates.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-                      .where("least < most").select("window"), "substring_shared", left)
-        alive = stored(candidates.join(many, "window").drop("window"), "substring_level", left)
+        many = _held(candidates.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                     .where("least < most").select("window"), "substring_shared", files, left // 2)
+        alive = _held(candidates.join(many, "window").drop("window"), "substring_level", files, left)
         left = alive.count()
         if not left:
             return out.groupBy(*own).agg(F.max("longest").alias("longest"))

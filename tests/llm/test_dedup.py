@@ -73,6 +73,27 @@ def test_substring_levels_double_until_nothing_survives(spark):
     assert got == {0: 800, 1: 800, 2: 100, 3: None}
 
 
+def test_substring_tables_have_few_files_whatever_the_partitions(spark, tmp_path, monkeypatch):
+    """As many files as the documents' bytes need: each one that is written starts a process, for
+    an instant as large as the JVM beside it."""
+    texts = cases.awkward_texts()
+    cases.documents(spark, texts, parts=3).write.parquet(str(tmp_path / "documents"))
+    made, held = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name, *a, **b: made.append((name, held(df, name, *a, **b))) or made[-1][1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 48)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = substring_dedup.dedup(spark.read.parquet(str(tmp_path / "documents"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == cases.substring_brute(texts)
+    names = {name for name, _ in made}
+    assert {"substring_anchors", "substring_alive", "substring_windows", "substring_repeats", "substring_longer"} <= names
+    assert max(len(df.inputFiles()) for _, df in made) <= 8
+
+
 def test_substring_null_ids_repeated_rows_and_empty_table(spark):
     rng = random.Random(2)
     a, b = " ".join(cases.prose(rng, 90)), " ".join(cases.prose(rng, 90))
