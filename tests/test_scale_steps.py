@@ -12,7 +12,7 @@ from claimlens.operators import excluded, home_health
 from claimlens.operators.rollups import home_health_month, provider_month, provider_totals
 from claimlens.plans import report as R
 from claimlens.plans.flags import SignalSet
-from claimlens.sources.star import money_from_cents, npi_from_key
+from claimlens.sources.star import money_from_cents, npi_from_key, tables_from_star
 from tests.fixtures import make_tables
 
 
@@ -54,6 +54,26 @@ def test_claims_of_exclusion_keys_alone_are_summed(spark, signals):
     assert want and rows(signals.excluded_provider()) == want
 
 
+def test_exclusion_keys_are_looked_up_before_claims_meet_orders(spark):
+    """Of claims that are built by a join, those of excluded NPIs alone are shuffled; every task holds the keys."""
+    t = tables_from_star(spark, "/root/testdata/sf0.001")
+    npis = excluded.exclusion_keys(t).select("npi").distinct()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in before:
+            spark.conf.set(k, -1)       # the keys are sent because they are to be, not for their size
+        found = excluded.role_months(t, pm=provider_month(t.spending), npis=npis).where("role = 'servicing'")
+        lines = optimized(found).split("\n")
+        at = {kind: next(line.index("Join") for line in lines if f"Join {kind}" in line) for kind in ("Inner", "LeftSemi")}
+        assert at["LeftSemi"] > at["Inner"]
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        want = excluded.servicing_month(t.spending).join(npis, "npi", "left_semi").select(F.lit("servicing").alias("role"), "npi", "month", "paid", "claims")
+        assert rows(found) == rows(want) != []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_many_exclusion_keys_are_not_sent(spark, monkeypatch):
     t = make_tables(spark)
     want = rows(excluded.excluded_provider(t))
