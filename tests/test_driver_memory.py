@@ -6,10 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.functions.lineage import materialize
-from claimlens.operators import outlier
+from claimlens.operators import excluded, outlier
+from claimlens.operators.rollups import provider_month
 from claimlens.plans.session import apply_session_conf
 from claimlens.sources.tables import ClaimsTables
+from tests.fixtures import make_tables
+from tests.test_scale_steps import rows
 
+THRESHOLDS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 N = 300_000
 
 
@@ -48,3 +52,29 @@ def test_peer_groups_are_sent_and_not_the_providers(spark, providers):
     sides = re.findall(r"HashJoin \[taxonomy#\d+, state#\d+\].*?(Build\w+)", planned(found))
     assert sides == ["BuildRight"]
     assert 0 < found.count() < 20_000 * 0.011
+
+
+def test_exclusion_keys_meet_monthly_sums_unshuffled(spark, monkeypatch):
+    """Up to SENT_KEYS of them are sent to the monthly sums because they are to be, not for their
+    size; more are not."""
+    t = make_tables(spark)
+    before = {k: spark.conf.get(k) for k in THRESHOLDS}
+
+    def joins(plan: str) -> list[str]:
+        return re.findall(r"(\w+Join) \[npi#\d+\], \[npi#\d+\], Inner", plan)
+
+    try:
+        for k in before:
+            spark.conf.set(k, -1)
+        pm = materialize(provider_month(t.spending), "provider_month", bucket_by="npi", buckets=8)
+        tier = (excluded.TIER_NPI,)
+        sent = excluded.excluded_provider(t, tiers=tier, pm=pm)
+        assert joins(planned(sent)) == ["BroadcastHashJoin"]
+        want = rows(sent)
+        monkeypatch.setattr(excluded, "SENT_KEYS", 0)
+        kept = excluded.excluded_provider(t, tiers=tier, pm=pm)
+        assert joins(planned(kept)) == ["SortMergeJoin"]
+        assert rows(kept) == want != []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
